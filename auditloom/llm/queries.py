@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, media, minhash, mixing, pii, secrets
+from . import ann, bpe, chat, media, minhash, mixing, pii, quality, secrets
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,17 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = read_table(spark, sf_dir, "embeddings")
+    return ann.search(table, table.where("vec_id % 20 = 0"))
+
+
+def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op8_bpe_speculate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(read_table(spark, sf_dir, "documents"), keep_ids=False)
 
@@ -60,6 +71,8 @@ QUERIES: dict[str, Query] = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_chat_format": op4_chat_format,
+    "op6_collision_ann": op6_collision_ann,
+    "op7_compression_quality": op7_compression_quality,
     "op8_bpe_speculate": op8_bpe_speculate,
     "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mix": op10_source_mix,
