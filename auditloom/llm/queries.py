@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, media, minhash, mixing, pii, quality, secrets
+from . import ann, bpe, chat, media, minhash, mixing, pii, quality, secrets, suffix
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "embeddings")
     return ann.search(table, table.where("vec_id % 20 = 0"))
@@ -71,6 +75,7 @@ QUERIES: dict[str, Query] = {
     "op2_secret_ownership": op2_secret_ownership,
     "op3_pii_bootstrap": op3_pii_bootstrap,
     "op4_chat_format": op4_chat_format,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_collision_ann": op6_collision_ann,
     "op7_compression_quality": op7_compression_quality,
     "op8_bpe_speculate": op8_bpe_speculate,
