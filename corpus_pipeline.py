@@ -1,8 +1,61 @@
-"""A corpus pipeline of five operators."""
+"""A corpus pipeline: quality, near-duplicates, personal data, source weights, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as
+Parquet and read back as the next one's docs. All but the last return the
+columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from auditloom.llm import bpe, minhash, mixing, pii, quality
+from auditloom.llm.common import materialize, read_table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the labels beside the tables."""
+    return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays, the one with the smallest id; rows without id are no group and stay."""
+    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
+    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return known.unionByName(docs.where("doc_id IS NULL"))
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span of personal data becomes the name of its kind; n_chars follows."""
+    return pii.redact(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document that is left, repeats included, and digests of ids and decoded text."""
+    return bpe.encode(docs).drop("decoded")
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("near-duplicates", drop_near_duplicates),
+    ("personal data", mask_personal_data),
+    ("source weights", mix_sources),
+    ("tokens", tokenize),
+]
 
-STAGES = []
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again; the last one's rows."""
+    docs = read_table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage{k}")
+    return docs
