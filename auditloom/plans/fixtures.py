@@ -1,0 +1,193 @@
+"""A small project of our own, as text: what the queries on definition files read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+SALES = """table sales
+\tlineageTag: 11
+
+\tcolumn 'Order Key'
+\t\tdataType: int64
+\t\tsourceColumn: order_key
+\t\tsummarizeBy: none
+
+\tcolumn 'Customer Key'
+\t\tdataType: int64
+\t\tisHidden
+\t\tsummarizeBy: none
+
+\tcolumn Quantity
+\t\tdataType: int64
+\t\tsummarizeBy: sum
+
+\tcolumn Price
+\t\tdataType: double
+\t\tformatString: 0.00
+\t\tsummarizeBy: sum
+
+\tcolumn Cost
+\t\tdataType: decimal
+\t\tsummarizeBy: sum
+
+\tcolumn 'Line Label' = [Order Key] & "-" & [Quantity]
+\t\tdataType: string
+
+\tcolumn 'Order Date'
+\t\tdataType: dateTime
+
+\tcolumn 'Date Key'
+\t\tdataType: int64
+
+\tcolumn 'Store Key'
+\t\tdataType: string
+
+\tpartition sales = m
+\t\tmode: import
+\t\tsource =
+\t\t\t\tlet
+\t\t\t\t\tSource = Sql.Database("db.example.org", "shop"),
+\t\t\t\t\tT = Source{[Item="sales"]}[Data]
+\t\t\t\tin
+\t\t\t\t\tT
+
+\tannotation Owner = team-a
+"""
+
+CUSTOMER = """table dim_customer
+\tcolumn 'Customer Key'
+\t\tdataType: int64
+\tcolumn Name
+\t\tdataType: string
+\tcolumn City
+\t\tdataType: string
+\t\tdataCategory: City
+\tcolumn Active
+\t\tdataType: boolean
+\tpartition dim_customer = m
+\t\tsource = Csv.Document(File.Contents("C:/data/customers.csv"))
+"""
+
+CALENDAR = """table calendar
+\tcolumn 'Date Key'
+\t\tdataType: int64
+\tcolumn Date
+\t\tdataType: dateTime
+\tcolumn 'Month Start'
+\t\tdataType: dateTime
+\tpartition calendar = calculated
+\t\tsource = CALENDAR(DATE(2020,1,1), DATE(2024,12,31))
+"""
+
+STORE = """table dim_store
+\tcolumn 'Store Key'
+\t\tdataType: string
+\tcolumn Region
+\t\tdataType: string
+\tpartition dim_store = m
+\t\tsource = Excel.Workbook(Web.Contents("https://files.example.org/stores.xlsx"))
+"""
+
+MEASURES = """table _Measures
+\tmeasure Revenue = SUMX(sales, sales[Quantity] * sales[Price])
+\t\tformatString: "0.00"
+\t\tdescription: "Money in"
+
+\tmeasure 'Total Cost' = SUM(sales[Cost])
+\t\tformatString: "0.00"
+
+\tmeasure Margin = [Revenue] - [Total Cost]
+
+\tmeasure 'Margin Rate' = [Margin] / [Revenue]
+
+\tmeasure 'Margin Rate LY' =
+\t\t\tVAR base = [Margin Rate]
+\t\t\tVAR last = CALCULATE([Margin Rate], SAMEPERIODLASTYEAR(calendar[Date]))
+\t\t\tRETURN
+\t\t\t\tDIVIDE(base - last, last)
+\t\tformatString: "0.0%"
+\t\tdisplayFolder: Rates
+
+\tmeasure 'Big Orders' = COUNTX(FILTER(sales, sales[Quantity] > 10), [Revenue])
+
+\tmeasure Band = IF([Revenue] > 100, "a", IF([Revenue] > 50, "b", IF([Revenue] > 10, "c", "d")))
+
+\tmeasure Nested = ```
+\t\t\tSUMX(dim_customer, SUMX(sales, [Revenue] * 2))
+\t\t\t```
+
+\tmeasure Stub = 1
+
+\tmeasure Cycle1 = [Cycle2] + 1
+\tmeasure Cycle2 = [Cycle3] + 1
+\tmeasure Cycle3 = [Cycle1] + 1
+"""
+
+PARAMETER = """table Slicer Choice
+\tcolumn Choice
+\t\tdataType: string
+\tpartition p = calculated
+\t\tsource = DATATABLE("Choice", STRING, {{"a"}, {"b"}})
+"""
+
+RELATIONSHIPS = """relationship r1
+\tfromColumn: sales.'Customer Key'
+\ttoColumn: dim_customer.'Customer Key'
+
+relationship r2
+\tfromColumn: sales.'Date Key'
+\ttoColumn: calendar.'Date Key'
+
+relationship r3
+\tfromColumn: sales.'Store Key'
+\ttoColumn: dim_store.'Store Key'
+\tcrossFilteringBehavior: bothDirections
+
+relationship r4
+\tisActive: false
+\tfromCardinality: many
+\ttoCardinality: many
+\tfromColumn: sales[Order Date]
+\ttoColumn: calendar[Date]
+
+relationship broken
+\tfromColumn: sales.Quantity
+"""
+
+EXPRESSIONS = """expression Feed = OData.Feed("https://feeds.example.org/v4")
+
+expression 'Old Feed' = OData.Feed("https://feeds.example.org/v4")
+"""
+
+FILES = {
+    "tables/sales.tmdl": SALES, "tables/dim_customer.tmdl": CUSTOMER, "tables/calendar.tmdl": CALENDAR, "tables/dim_store.tmdl": STORE,
+    "tables/_Measures.tmdl": MEASURES, "tables/Slicer Choice.tmdl": PARAMETER, "relationships.tmdl": RELATIONSHIPS, "expressions.tmdl": EXPRESSIONS,
+}
+
+
+def _visual(kind: str, **roles: list[str]) -> str:
+    import json
+
+    return json.dumps({"visual": {"visualType": kind, "query": {"queryState": {r: {"projections": [{"nativeQueryRef": n} for n in names]} for r, names in roles.items()}}}})
+
+
+REPORT = [
+    (None, None, '{"pageOrder": ["p1", "p2"]}'),
+    ("p1", None, '{"displayName": "Overview"}'),
+    ("p2", None, '{"displayName": "Details"}'),
+    ("p1", "v1", _visual("columnChart", Values=["Margin Rate LY"], Category=["Region"])),
+    ("p1", "v2", _visual("pivotTable", Rows=["Name"], Columns=["Month Start"], Values=["Revenue", "Total Cost"])),
+    ("p1", "v3", _visual("slicer", Values=["dim_store.Region"])),
+    ("p1", "v4", _visual("KPI", Values=["Margin"])),
+    ("p1", "v5", "{not json"),
+    *[("p2", f"c{i:02d}", _visual("card", Values=["Band"])) for i in range(13)],
+]
+
+
+def files(spark: SparkSession, project: str = "shop") -> DataFrame:
+    rows = [(project, path, path.rsplit("/", 1)[-1].removesuffix(".tmdl"), text) for path, text in FILES.items()]
+    return spark.createDataFrame(rows, "project string, rel_path string, file_stem string, content string")
+
+
+def report(spark: SparkSession, project: str = "shop") -> DataFrame:
+    return spark.createDataFrame([(project, *r) for r in REPORT], "project string, page_id string, visual_id string, content string")
