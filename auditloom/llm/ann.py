@@ -136,12 +136,13 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     spark = table.sparkSession
     rows = usable(table, id_column, vector)
     square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    # shards are of one size whatever the shuffle's partitions: what a query finds grows with the vectors alone
     n, longest = rows.agg(F.count("*"), F.max(square)).first()
     shards = max(1, -(-n // SHARD_ROWS))
-    index = materialize(_packed(rows.repartition(shards, F.xxhash64("id")), SHARD_ROWS).withColumn("shard", F.monotonically_increasing_id()), "ann-index")
+    index = materialize(_packed(rows.repartition(shards), SHARD_ROWS).withColumn("shard", F.monotonically_increasing_id()), "ann-index")
     asked = usable(queries, id_column, vector)
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    packed = materialize(_packed(asked.repartition(blocks, F.xxhash64("id", F.lit(1))), BLOCK_ROWS), "ann-queries").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
+    packed = materialize(_packed(asked.repartition(blocks), BLOCK_ROWS), "ann-queries").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
     # a stated query set meets every shard: each block is sent once to each shard of its dimension
     met = packed.join(index.select("dim", "shard"), "dim").join(index.drop("dim"), "shard")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
