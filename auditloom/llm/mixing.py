@@ -104,20 +104,19 @@ def _measured(docs: DataFrame, weights: tuple[int, ...], repeat: int, size: Call
 
 
 def _with_plan(df: DataFrame, by_source: DataFrame) -> DataFrame:
-    renamed = by_source.withColumnRenamed("source", "__source")
-    out = df.join(F.broadcast(renamed), F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    return out.withColumn("copies", F.col("passes") + (F.col("hash") < F.col("threshold")).cast("int"))
+    """``df`` with __copies, __source_size and __target; its own columns as they are."""
+    named = by_source.select(*(F.col(c).alias(f"__{c}") for c in by_source.columns))
+    out = df.withColumn("__hash", doc_hash("doc_id")).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("__source")))
+    return out.withColumn("__copies", F.col("__passes") + (F.col("__hash") < F.col("__threshold")).cast("int"))
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT, size: Callable[[str], Column] = word_count) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies and taken (copies * size)."""
     sized, by_source = _measured(docs, weights, repeat, size)
-    return _with_plan(sized, by_source).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return _with_plan(sized, by_source).select("doc_id", "source", "size", *(F.col(f"__{c}").alias(c) for c in ("source_size", "target", "copies")), (F.col("__copies") * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT, size: Callable[[str], Column] = word_count) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
     _, by_source = _measured(docs, weights, repeat, size)
-    kept = [c for c in docs.columns if c not in ("passes", "threshold", "copies", "hash", "source_size", "target")]
-    planned = _with_plan(docs.select(*kept).withColumn("hash", doc_hash("doc_id")), by_source)
-    return planned.where("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, copies)"))).select(*kept)
+    return _with_plan(docs, by_source).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
