@@ -1,0 +1,184 @@
+"""Expected rows of the queries on the fixture project, reviewed row by row against its text."""
+
+from __future__ import annotations
+
+#: query: (columns, rows)
+ROWS: dict[str, tuple[str, list[tuple]]] = {
+    "tmdl_columns": (
+        "table, name, data_type, is_calculated, is_hidden, is_key, semantic_role, line",
+        [
+            ('Slicer Choice', 'Choice', 'string', False, False, False, 'ATTRIBUTE', 2),
+            ('calendar', 'Date Key', 'int64', False, False, True, 'KEY', 2),
+            ('calendar', 'Date', 'dateTime', False, False, False, 'DATE', 4),
+            ('calendar', 'Month Start', 'dateTime', False, False, False, 'DATE', 6),
+            ('dim_customer', 'Active', 'boolean', False, False, False, 'FLAG', 9),
+            ('dim_customer', 'City', 'string', False, False, False, 'GEOGRAPHY', 6),
+            ('dim_customer', 'Customer Key', 'int64', False, False, True, 'KEY', 2),
+            ('dim_customer', 'Name', 'string', False, False, False, 'ATTRIBUTE', 4),
+            ('dim_store', 'Region', 'string', False, False, False, 'ATTRIBUTE', 4),
+            ('dim_store', 'Store Key', 'string', False, False, True, 'KEY', 2),
+            ('sales', 'Cost', 'decimal', False, False, False, 'NUMERIC', 23),
+            ('sales', 'Customer Key', 'int64', False, True, True, 'KEY', 9),
+            ('sales', 'Date Key', 'int64', False, False, True, 'KEY', 33),
+            ('sales', 'Line Label', 'string', True, False, False, 'ATTRIBUTE', 27),
+            ('sales', 'Order Date', 'dateTime', False, False, False, 'DATE', 30),
+            ('sales', 'Order Key', 'int64', False, False, True, 'KEY', 4),
+            ('sales', 'Price', 'double', False, False, False, 'NUMERIC', 18),
+            ('sales', 'Quantity', 'int64', False, False, False, 'NUMERIC', 14),
+            ('sales', 'Store Key', 'string', False, False, True, 'KEY', 36),
+        ],
+    ),
+    "tmdl_measures": (
+        "name, expression, format_string, complexity_score, is_stub",
+        [
+            ('Band', 'IF([Revenue] > 100, "a", IF([Revenue] > 50, "b", IF([Revenue] > 10, "c", "d")))', None, 9.4, False),
+            ('Big Orders', 'COUNTX(FILTER(sales, sales[Quantity] > 10), [Revenue])', None, 8.73, False),
+            ('Cycle1', '[Cycle2] + 1', None, 1.08, False),
+            ('Cycle2', '[Cycle3] + 1', None, 1.08, False),
+            ('Cycle3', '[Cycle1] + 1', None, 1.08, False),
+            ('Margin Rate LY', 'VAR base = [Margin Rate] VAR last = CALCULATE([Margin Rate], SAMEPERIODLASTYEAR(calendar[Date])) RETURN DIVIDE(base - last, last)', '0.0%', 13.11, False),
+            ('Margin Rate', '[Margin] / [Revenue]', None, 1.3, False),
+            ('Margin', '[Revenue] - [Total Cost]', None, 1.38, False),
+            ('Nested', 'SUMX(dim_customer, SUMX(sales, [Revenue] * 2))', None, 8.66, False),
+            ('Revenue', 'SUMX(sales, sales[Quantity] * sales[Price])', '0.00', 5.13, False),
+            ('Stub', '1', None, 0.0, True),
+            ('Total Cost', 'SUM(sales[Cost])', '0.00', 2.7, False),
+        ],
+    ),
+    "tmdl_tables": (
+        "table, column_count, measure_count, partition_count, table_kind",
+        [
+            ('Slicer Choice', 1, 0, 1, 'PARAMETER'),
+            ('_Measures', 0, 12, 0, 'CALCULATION'),
+            ('calendar', 3, 0, 1, 'CALCULATED_TABLE'),
+            ('dim_customer', 4, 0, 1, 'MODEL_TABLE'),
+            ('dim_store', 2, 0, 1, 'MODEL_TABLE'),
+            ('sales', 9, 0, 1, 'CALCULATED_TABLE'),
+        ],
+    ),
+    "relationship_edges": (
+        "id, from_table, from_column, to_table, to_column, cardinality, cross_filter_direction, is_active, flags",
+        [
+            ('r1', 'sales', 'Customer Key', 'dim_customer', 'Customer Key', 'Many-to-One', 'Single', True, ''),
+            ('r2', 'sales', 'Date Key', 'calendar', 'Date Key', 'Many-to-One', 'Single', True, ''),
+            ('r3', 'sales', 'Store Key', 'dim_store', 'Store Key', 'Many-to-One', 'Both', True, 'BIDIRECTIONAL_FILTERING'),
+            ('r4', 'sales', 'Order Date', 'calendar', 'Date', 'Many-to-Many', 'Single', False, 'MANY_TO_MANY,INACTIVE_RELATIONSHIP'),
+        ],
+    ),
+    "datasources": (
+        "type, connector, confidence, occurrences, server, url",
+        [
+            ('CSV/Text', 'Csv.Document', 0.95, 1, None, None),
+            ('Excel', 'Excel.Workbook', 0.95, 1, None, None),
+            ('OData Feed', 'OData.Feed', 0.95, 2, None, 'https://feeds.example.org/v4'),
+            ('SQL Server', 'Sql.Database', 0.95, 1, 'db.example.org', None),
+        ],
+    ),
+    "visual_categories": (
+        "page_id, display_name, visuals_count, chart_count, table_count, card_count, slicer_count, other_count",
+        [
+            ('p1', 'Overview', 5, 2, 1, 0, 1, 0),
+            ('p2', 'Details', 13, 0, 0, 13, 0, 0),
+        ],
+    ),
+    "measure_roles": (
+        "name, depth, dependents, architectural_role, architectural_complexity",
+        [
+            ('Band', 1, 0, 'LEAF', 9.6),
+            ('Big Orders', 1, 0, 'LEAF', 8.93),
+            ('Cycle1', 3, 1, 'INTERMEDIATE', 1.98),
+            ('Cycle2', 3, 1, 'INTERMEDIATE', 1.98),
+            ('Cycle3', 3, 1, 'INTERMEDIATE', 1.98),
+            ('Margin Rate LY', 3, 0, 'LEAF', 13.71),
+            ('Margin Rate', 2, 1, 'INTERMEDIATE', 2.0),
+            ('Margin', 1, 1, 'INTERMEDIATE', 1.88),
+            ('Nested', 1, 0, 'LEAF', 8.86),
+            ('Revenue', 0, 5, 'FOUNDATION', 6.63),
+            ('Stub', 0, 0, 'BASE', 0.0),
+            ('Total Cost', 0, 1, 'BASE', 3.0),
+        ],
+    ),
+    "measure_dependencies": (
+        "name, dependency",
+        [
+            ('Band', 'Revenue'),
+            ('Big Orders', 'Revenue'),
+            ('Cycle1', 'Cycle2'),
+            ('Cycle2', 'Cycle3'),
+            ('Cycle3', 'Cycle1'),
+            ('Margin Rate LY', 'Margin Rate'),
+            ('Margin Rate', 'Margin'),
+            ('Margin Rate', 'Revenue'),
+            ('Margin', 'Revenue'),
+            ('Margin', 'Total Cost'),
+            ('Nested', 'Revenue'),
+        ],
+    ),
+    "unused_measures": (
+        "name, cleanup_risk",
+        [
+            ('Big Orders', 'REVIEW_SUGGESTED'),
+            ('Nested', 'REVIEW_SUGGESTED'),
+            ('Stub', 'SAFE_DELETE'),
+        ],
+    ),
+    "antipatterns": (
+        "name, code, severity, occurrences",
+        [
+            ('Band', 'DAX004', 'MEDIUM', 3),
+            ('Big Orders', 'DAX001', 'HIGH', 1),
+            ('Margin Rate', 'DAX005', 'LOW', 1),
+            ('Nested', 'DAX002', 'HIGH', 1),
+        ],
+    ),
+    "audit_issues": (
+        "dimension, rule, points, severity",
+        [
+            ('DAX', 'all_measures_in_dedicated_table', 8.0, '-'),
+            ('DAX', 'filter_over_full_table', -8.0, 'WARNING'),
+            ('DAX', 'measure_without_format', -10.0, 'INFO'),
+            ('DAX', 'nested_iterators', -6.0, 'WARNING'),
+            ('GOVERNANCE', 'consistent_naming', 8.0, '-'),
+            ('GOVERNANCE', 'no_description_on_measures', -8.0, 'WARNING'),
+            ('MODEL', 'bidirectional', -3.0, 'INFO'),
+            ('MODEL', 'calculated_columns_in_facts', -2.0, 'WARNING'),
+            ('MODEL', 'clean_dimensional_model', 5.0, '-'),
+            ('MODEL', 'high_classification_confidence', 5.0, '-'),
+            ('MODEL', 'inactive_relationships', -2.0, 'INFO'),
+            ('MODEL', 'many_to_many', -5.0, 'WARNING'),
+            ('MODEL', 'string_keys', -6.0, 'WARNING'),
+            ('REPORT', 'slicers_from_dimensions_only', 5.0, '-'),
+            ('REPORT', 'visuals_per_page', -10.0, 'CRITICAL'),
+        ],
+    ),
+    "audit_scores": (
+        "dimension, score, weighted",
+        [
+            ('DAX', 84.0, 21.0),
+            ('GOVERNANCE', 100.0, 15.0),
+            ('MODEL', 92.0, 32.2),
+            ('REPORT', 95.0, 23.75),
+        ],
+    ),
+    "column_usage": (
+        "table, total_columns, used_columns, used",
+        [
+            ('Slicer Choice', 1, 0, ''),
+            ('calendar', 3, 2, 'Date,Month Start'),
+            ('dim_customer', 4, 1, 'Name'),
+            ('dim_store', 2, 1, 'Region'),
+            ('sales', 9, 3, 'Cost,Price,Quantity'),
+        ],
+    ),
+}
+
+
+def _cell(x: object) -> str:
+    if x is None:
+        return "NULL"
+    if isinstance(x, bool):
+        return str(x).upper()
+    return "'" + x.replace("'", "''") + "'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+
+
+SQL = {name: f'SELECT * FROM (VALUES {", ".join("(" + ", ".join(map(_cell, r)) + ")" for r in rows)}) t({", ".join(chr(34) + c + chr(34) for c in columns.split(", "))})' for name, (columns, rows) in ROWS.items()}

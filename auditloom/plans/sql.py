@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import classify as K
 from ..sources import catalog
+from . import fixture_sql
 
 _TABLES = ", ".join(f"('{t}')" for t in catalog.TABLES)
 _EDGES = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in catalog.EDGES)
@@ -131,3 +132,5 @@ SQL: dict[str, str] = {
         UNION ALL SELECT 'except', count(*), sum(id)::BIGINT FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
         UNION ALL SELECT 'visible', count(*), sum(id)::BIGINT FROM (SELECT * FROM c INTERSECT SELECT * FROM a)""",
 }
+
+SQL |= fixture_sql.SQL

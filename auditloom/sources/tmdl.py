@@ -6,6 +6,9 @@ are a column, so a batch is one job. Files are small: a file is a row.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,9 +22,38 @@ def project_name(path: Column) -> Column:
     return F.regexp_replace(F.when(found != "", found).otherwise(plain), r"(\.SemanticModel|\.pbip)", "")
 
 
+#: How deep under a root a project may lie.
+DEPTH = 4
+
+
+def _underscored(spark: SparkSession, root: str) -> DataFrame:
+    """path and content of table files whose names start with an underscore: Spark's own readers take them for hidden.
+
+    The file system's glob finds them, some for each project; executors read them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().toString() for depth in range(DEPTH + 1) for s in fs.globStatus(path(root + "/*" * depth + "/definition/tables/_*.tmdl")) or []]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as files
+
+        for batch in batches:
+            uris = batch.column("path").to_pylist()
+            texts = []
+            for uri in uris:
+                store, name = files.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+                with store.open_input_stream(name) as stream:
+                    texts.append(stream.read())
+            yield pa.RecordBatch.from_arrays([pa.array(uris), pa.array(texts, pa.binary())], names=["path", "content"])
+
+    return spark.createDataFrame([(x,) for x in found], "path string").mapInArrow(run, "path string, content binary")
+
+
 def read_tmdl(spark: SparkSession, root: str) -> DataFrame:
     """project, rel_path, file_stem and content of each definition file; bytes that are not UTF-8 are left out."""
     raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tmdl").format("binaryFile").load(root)
+    raw = raw.select("path", "content").unionByName(_underscored(spark, root))
     path = F.url_decode(F.col("path"))
     return raw.select(
         project_name(path).alias("project"),
