@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, text_batches
 
 #: Words that a worker remembers, at most.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 300_000
 #: Words of more bytes than this are merged with a heap.
 LONG_WORD = 40
 _NEVER = np.int64(1) << 60

@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy pass takes at a time: what it needs stays in the CPU's cache.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
+#: Bytes of an Arrow batch at most: what a Python worker and its buffer in the executor hold of the input at a time.
+BATCH_BYTES = 8 << 20
 #: A set of ids is broadcast only up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -76,9 +78,18 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], s
                         schema=arrow,
                     )
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, fields)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless its bound is lower already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None) or ""
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 # Polynomial hashing modulo 2**64 over bytes: the hash of any slice comes from two prefix sums.
 
 _M64 = (1 << 64) - 1

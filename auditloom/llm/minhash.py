@@ -77,7 +77,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     permutations = -(-bands * rows // 2)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        for at, texts in text_batches(batch, "text", 1 << 21):
+        for at, texts in text_batches(batch, "text", 1 << 19):
             sets = list(shingle_sets(texts, SHINGLE))
             full = [i for i, x in enumerate(sets) if len(x)]
             keys: list = [None] * len(sets)
@@ -109,7 +109,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> Da
         while at < len(a):  # a bounded number of characters at a time; a text that many pairs share is cut once
             index: dict[str, int] = {}
             end, size = at, 0
-            while end < len(a) and (end == at or size < 1 << 21):
+            while end < len(a) and (end == at or size < 1 << 19):
                 for x in (text_a[end] or "", text_b[end] or ""):
                     if x not in index:
                         index[x] = len(index)
