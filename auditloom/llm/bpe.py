@@ -4,8 +4,8 @@ A word is cut into the longest tokens from the left. That cut is the BPE
 encoding exactly if every two neighbours are compatible: merging their bytes
 from scratch gives the same two tokens. All distinct neighbour pairs of a batch
 are checked at once by walking the merges back in time with numpy. Only words
-with a pair that fails are merged exactly. Words are remembered while a worker
-lives, up to a bound.
+with a pair that fails are merged exactly. Words are remembered within a
+partition, up to a bound.
 
 The tokenizer file is of the kind with word ends: NFC, lower case, words by a
 pattern, one token vocabulary of byte symbols. Special tokens in a text are
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow, text_batches
 
-#: Words that a worker remembers, at most.
+#: Words that a worker remembers within a partition, at most.
 CACHE_WORDS = 300_000
 #: Words of more bytes than this are merged with a heap.
 LONG_WORD = 40
@@ -317,4 +317,5 @@ def encode(docs: DataFrame, path: str | None = None, keep_ids: bool = True) -> D
                 out |= {"ids": [np.frombuffer(x, "<i4") for x in ids], "decoded": decoded}
             yield out
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
+    # workers outlive their tasks: the words of a partition go with it
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema, lambda: load(path).cache.clear())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that one numpy pass takes at a time: what it needs stays in the CPU's cache.
 CHUNK_BYTES = 1 << 18
 #: Bytes of an Arrow batch at most: what a Python worker and its buffer in the executor hold of the input at a time.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: A set of ids is broadcast only up to this many rows (8 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -61,8 +61,8 @@ def text_batches(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK_BYTE
         at = end
 
 
-def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` where ``work`` yields dicts of columns for each batch."""
+def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], schema: str, finish: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` where ``work`` yields dicts of columns for each batch; ``finish`` is called after a partition's last one."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -77,6 +77,8 @@ def map_arrow(df: DataFrame, work: Callable[[pa.RecordBatch], Iterator[dict]], s
                         [x if isinstance(x := out[f.name], (pa.Array, pa.ChunkedArray)) and x.type == f.type else pa.array(x, f.type) for f in arrow],
                         schema=arrow,
                     )
+        if finish:
+            finish()
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, fields)
