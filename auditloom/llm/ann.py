@@ -7,10 +7,15 @@ is counted. Vectors that fall into enough windows are candidates and their
 measure is computed exactly, in double precision, on the original vectors.
 
 Nearness is the inner product: a vector gets one more coordinate that brings all
-to the largest length, so the nearest by distance have the largest product.
-
-The index is cut into shards of at most ``SHARD_ROWS`` vectors, each with its own
-arrays; blocks of queries meet every shard. Equal vectors of a shard are one
+to the largest length, the query is scaled to that length, so the nearest by
+distance have the largest product. A shard is cut by length into bands, each
+with its own largest length and arrays, and searched from the longest down. A
+band is left when a vector of the k-th best product so far would be a candidate
+with probability ``FOUND`` at the radius reached; the rest are left when query
+and largest length together bound every product below the k-th best. Bands of
+few vectors are computed whole.
+
+The index is cut into shards of at most ``SHARD_ROWS`` vectors; blocks of queries meet every shard. Equal vectors of a shard are one
 entry that keeps its ids in order. Results are merged by query, best first.
 
 Nulls: vectors that are null, empty, zero or hold null or non-finite components
@@ -22,6 +27,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,70 +39,142 @@ from pyspark.sql import window as W
 from .common import materialize
 
 PROJECTIONS, SHARD_ROWS, BLOCK_ROWS = 64, 16384, 4096
-#: A candidate falls into this share of the windows; the search of a shard ends when so large a share of it, and so
+#: A candidate falls into this share of the windows; the search of a band ends no sooner than so large a share of it, and so
 #: many vectors at least, are candidates. Vectors that point everywhere alike need shares like these for a recall of 0.9.
 COLLISION_SHARE, CANDIDATE_SHARE, CANDIDATES = 0.85, 0.3, 800
 #: Entries from which a query's first radius is guessed, and what a radius is multiplied by when the windows hold too few.
 GUESS_ROWS, GROWTH = 256, 1.06
+#: A band holds lengths down to this share of its longest, and ``CANDIDATES`` vectors at least.
+BAND_SHARE, FOUND = 0.8, 0.95
 
 
 def directions(dim: int, count: int = PROJECTIONS) -> np.ndarray:
     return np.random.RandomState(20 + dim).standard_normal((dim + 1, count)) / np.sqrt(dim)
 
 
+def reach_of(count: int, enough: int, found: float = FOUND) -> float:
+    """Radius, in standard deviations of a projected distance, at which ``enough`` of ``count`` windows hold a vector with probability ``found``."""
+    low, high = 0.0, 10.0
+    for _ in range(60):
+        z = (low + high) / 2
+        p = math.erf(z / math.sqrt(2))
+        if sum(math.comb(count, j) * p**j * (1 - p) ** (count - j) for j in range(enough, count + 1)) < found:
+            low = z
+        else:
+            high = z
+    return high
+
+
+def lengths_of(vectors: np.ndarray) -> np.ndarray:
+    """Lengths of vectors that are not zero, without overflow or underflow of the squares."""
+    scale = np.abs(vectors).max(axis=1)
+    return scale * np.sqrt(((vectors / scale[:, None]) ** 2).sum(axis=1))
+
+
+class Band:
+    """Vectors of like length, with the sorted arrays unless all of them are candidates anyway."""
+
+    def __init__(self, first: int, vectors: np.ndarray, lengths: np.ndarray):
+        self.first, self.vectors, self.longest = first, vectors, float(lengths[0])
+        if len(vectors) <= CANDIDATES:
+            return
+        extra = self.longest * np.sqrt(1 - (lengths / self.longest) ** 2)[:, None]
+        projected = np.hstack([vectors, extra]) @ directions(vectors.shape[1])
+        order = np.argsort(projected, axis=0, kind="stable")
+        self.values = np.take_along_axis(projected, order, axis=0).T.copy()
+        self.order = order.T.copy()
+        self.guess = projected[np.linspace(0, len(projected) - 1, min(len(projected), GUESS_ROWS)).astype(np.int64)]
+
+    def candidates(self, own: np.ndarray, need: int, enough: int) -> Iterator[tuple[np.ndarray, float]]:
+        """(entries, radius) for ever larger radii, with ``need`` entries at least; a radius that is sent is the least of the next step."""
+        n, m = len(self.vectors), len(self.values)
+        reach = np.sort(np.partition(np.abs(self.guess - own), enough - 1, axis=1)[:, enough - 1])
+        r = max(float(reach[min(len(reach) - 1, need * len(reach) // n)]), 1e-9 * self.longest, 1e-300)
+        counts = None
+        low = high = [int(v.searchsorted(q)) for v, q in zip(self.values, own, strict=True)]
+        while True:
+            to_low = [int(v.searchsorted(q - r, "left")) for v, q in zip(self.values, own, strict=True)]
+            to_high = [int(v.searchsorted(q + r, "right")) for v, q in zip(self.values, own, strict=True)]
+            if counts is None and 2 * (sum(to_high) - sum(to_low)) > n * m:  # fewer entries lie outside the windows
+                outside = [o[:a] for o, a in zip(self.order, to_low, strict=True)] + [o[b:] for o, b in zip(self.order, to_high, strict=True)]
+                counts = m - np.bincount(np.concatenate(outside), minlength=n)
+            else:
+                new = [o[a:b] for o, a, b in zip(self.order, to_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, to_high, strict=True)]
+                counts = np.bincount(np.concatenate(new), minlength=n) + (0 if counts is None else counts)
+            low, high = to_low, to_high
+            found = np.flatnonzero(counts >= enough)
+            least = (yield found, r) if len(found) >= need else None
+            r = max(r * GROWTH, least or 0.0)
+
+
 class Shard:
-    """Distinct vectors of one dimension, their ids, and the sorted arrays."""
+    """Distinct vectors of one dimension, longest first, their ids, and the bands."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, longest: float):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         order = np.argsort(ids, kind="stable")
         ids, vectors = ids[order], np.ascontiguousarray(vectors[order])
         raw = vectors.view(f"V{vectors.shape[1] * vectors.itemsize}").ravel()
         _, first, of = np.unique(raw, return_index=True, return_inverse=True)
-        self.vectors = vectors[first]
+        lengths = lengths_of(vectors[first])
+        by_length = np.argsort(-lengths, kind="stable")
+        self.vectors, lengths = vectors[first][by_length], lengths[by_length]
+        of = np.argsort(by_length)[of]
         by_entry = np.argsort(of, kind="stable")
         self.ids, self.start = ids[by_entry], np.concatenate([[0], np.cumsum(np.bincount(of))])
-        lengths = (self.vectors * self.vectors).sum(axis=1)
-        extra = np.sqrt(np.maximum(longest - lengths, 0))[:, None]
-        projected = np.hstack([self.vectors, extra]) @ directions(vectors.shape[1])
-        order = np.argsort(projected, axis=0, kind="stable")
-        self.values = np.take_along_axis(projected, order, axis=0).T.copy()
-        self.order = order.T.copy()
-        self.guess = projected[np.linspace(0, len(projected) - 1, min(len(projected), GUESS_ROWS)).astype(np.int64)]
+        self.bands, at = [], 0
+        while at < len(lengths):
+            end = max(at + CANDIDATES, int(np.searchsorted(-lengths, -BAND_SHARE * lengths[at], "right")))
+            self.bands.append(Band(at, self.vectors[at:end], lengths[at:end]))
+            at = end
+
+    def _best(self, entries: np.ndarray, query: np.ndarray, query_id: int, k: int, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` of what is known and of ``entries``, ties to the smaller id."""
+        scores = (self.vectors[entries] * query).sum(axis=1)
+        if len(entries) > k + 1:  # entries with equal scores stay together
+            some = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
+            entries, scores = entries[some], scores[some]
+        new = [self.ids[self.start[e] : min(self.start[e] + k + 1, self.start[e + 1])] for e in entries]
+        flat, value = np.concatenate(new), np.repeat(scores, [len(x) for x in new])
+        other = flat != query_id
+        ids, values = np.concatenate([ids, flat[other]]), np.concatenate([values, value[other]])
+        best = np.lexsort((ids, -values))[:k]
+        return ids[best], values[best]
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query's row, ids, scores) with the best ``k`` found here."""
-        n, m = len(self.vectors), len(self.values)
-        need, enough = min(n, max(CANDIDATES + k, int(CANDIDATE_SHARE * n))), int(np.ceil(COLLISION_SHARE * m))
-        own = np.hstack([queries, np.zeros((len(queries), 1))]) @ directions(queries.shape[1])
-        at = np.array([np.searchsorted(v, own[:, j]) for j, v in enumerate(self.values)])
+        dim = queries.shape[1]
+        lengths = lengths_of(queries)
+        own = np.hstack([queries / lengths[:, None], np.zeros((len(queries), 1))]) @ directions(dim)
+        m = own.shape[1]
+        enough = int(np.ceil(COLLISION_SHARE * m))
+        z = reach_of(m, enough) / np.sqrt(dim)
         for i in range(len(queries)):
-            reach = np.sort(np.partition(np.abs(self.guess - own[i]), enough - 1, axis=1)[:, enough - 1])
-            r = max(float(reach[min(len(reach) - 1, need * len(reach) // n)]), 1e-9)
-            counts, low, high = None, at[:, i], at[:, i]
-            while True:
-                to_low = [int(v.searchsorted(q - r, "left")) for v, q in zip(self.values, own[i], strict=True)]
-                to_high = [int(v.searchsorted(q + r, "right")) for v, q in zip(self.values, own[i], strict=True)]
-                if counts is None and 2 * (sum(to_high) - sum(to_low)) > n * m:  # fewer entries lie outside the windows
-                    outside = [o[:a] for o, a in zip(self.order, to_low, strict=True)] + [o[b:] for o, b in zip(self.order, to_high, strict=True)]
-                    counts = m - np.bincount(np.concatenate(outside), minlength=n)
-                else:
-                    new = [o[a:b] for o, a, b in zip(self.order, to_low, low, strict=True)] + [o[a:b] for o, a, b in zip(self.order, high, to_high, strict=True)]
-                    counts = np.bincount(np.concatenate(new), minlength=n) + (0 if counts is None else counts)
-                low, high = to_low, to_high
-                found = np.flatnonzero(counts >= enough)
-                if len(found) >= need:
-                    break
-                r *= GROWTH
-            scores = (self.vectors[found] * queries[i]).sum(axis=1)
-            if len(found) > k + 1:  # entries with equal scores stay together
-                found = found[scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]]
-                scores = (self.vectors[found] * queries[i]).sum(axis=1)
-            ids = [self.ids[self.start[e] : min(self.start[e] + k + 1, self.start[e + 1])] for e in found]
-            flat, value = np.concatenate(ids), np.repeat(scores, [len(x) for x in ids])
-            other = flat != query_ids[i]
-            flat, value = flat[other], value[other]
-            best = np.lexsort((flat, -value))[:k]
-            yield i, flat[best], value[best]
+            ids, values = np.empty(0, np.int64), np.empty(0)
+            for band in self.bands:
+                n = len(band.vectors)
+                if len(ids) == k and values[-1] > lengths[i] * band.longest * (1 + 1e-9):
+                    break  # no product in this band or a shorter one is as large
+                if n <= CANDIDATES + k:
+                    ids, values = self._best(np.arange(band.first, band.first + n), queries[i], query_ids[i], k, ids, values)
+                    continue
+                steps = band.candidates(own[i] * band.longest, min(n, max(CANDIDATES + k, int(CANDIDATE_SHARE * n))), enough)
+                found, r = next(steps)
+                known = np.zeros(n, bool)
+                while True:
+                    new = found[~known[found]]
+                    if len(new):
+                        ids, values = self._best(new + band.first, queries[i], query_ids[i], k, ids, values)
+                    known[new] = True
+                    if len(found) == n:
+                        break
+                    least = 0.0
+                    if len(ids) == k:
+                        far = 2 * band.longest * max(band.longest - values[-1] / lengths[i], 0.0)  # square of the k-th best's distance
+                        least = z * float(np.sqrt(far))
+                        if r >= least:
+                            break
+                    found, r = steps.send(least)
+            yield i, ids, values
 
 
 def _packed(rows: DataFrame, limit: int) -> DataFrame:
@@ -135,10 +213,8 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows found, nearest first, ties to the smaller id."""
     spark = table.sparkSession
     rows = usable(table, id_column, vector)
-    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
     # shards are of one size whatever the shuffle's partitions: what a query finds grows with the vectors alone
-    n, longest = rows.agg(F.count("*"), F.max(square)).first()
-    shards = max(1, -(-n // SHARD_ROWS))
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
     index = materialize(_packed(rows.repartition(shards), SHARD_ROWS).withColumn("shard", F.monotonically_increasing_id()), "ann-index")
     asked = usable(queries, id_column, vector)
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
@@ -152,7 +228,7 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
             for row in range(batch.num_rows):
                 cell = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
                 dim = cell("dim")
-                shard = Shard(np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("vectors"), np.float64).reshape(-1, dim), longest)
+                shard = Shard(np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("vectors"), np.float64).reshape(-1, dim))
                 ids, vectors = np.frombuffer(cell("query_ids"), np.int64), np.frombuffer(cell("query_vectors"), np.float64).reshape(-1, dim)
                 found = list(shard.search(vectors, ids, k))
                 yield pa.RecordBatch.from_arrays([
