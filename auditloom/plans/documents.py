@@ -36,8 +36,25 @@ def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def _values(rows: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """project, no, label, value: the named columns of one row a project as rows."""
+    items = F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).cast("string").alias("value")) for label, c in pairs))
+    return rows.select("project", F.posexplode(items).alias("no", "item")).select("project", "no", "item.*")
+
+
+def _risks(r: dict[str, DataFrame]) -> DataFrame:
+    return _values(r["unused_summary"], ("Safe delete", "safe_delete"), ("Review suggested", "review_suggested"), ("Investigate", "investigate"), ("Do not delete", "do_not_delete"))
+
+
+def _use(r: dict[str, DataFrame]) -> DataFrame:
+    return _values(
+        r["usage_summary"], ("Total columns", "total_columns"), ("Used columns", "used_columns"), ("Unused columns", "total_unused"),
+        ("Average table usage %", "average_table_usage_percentage"), ("Tables with full usage", "tables_with_full_usage"),
+    )
+
+
 def technical(r: dict[str, DataFrame]) -> DataFrame:
-    """The technical document: totals, sources, tables by class, relationships, measures, pages, usage."""
+    """The technical document: totals, sources, tables by class, relationships, measures, cleanup risks, pages, usage."""
     d = "technical"
     totals = r["tables"].groupBy("project").agg(F.count("*").alias("tables"), F.sum("column_count").alias("columns"), F.sum("measure_count").alias("measures"))
     named = r["tables"].join(r["classifications"].select("project", "table", "classification", "confidence"), ["project", "table"], "left")
@@ -48,19 +65,22 @@ def technical(r: dict[str, DataFrame]) -> DataFrame:
         section(named, d, 2, "Tables by class", _cells("table", "classification", "column_count", "measure_count", "table_kind"), [F.col("classification"), F.col("table")], ("Table", "Class", "Columns", "Measures", "Kind")),
         section(r["relationships"], d, 3, "Relationships", _cells("from_table", "from_column", "to_table", "to_column", "cardinality", "is_active"), [F.col("from_table"), F.col("to_table"), F.col("id")], ("From", "Column", "To", "Column", "Cardinality", "Active")),
         section(r["unused_summary"], d, 4, "Measure use", F.format_string("%d of %d measures unused (%s %%)", "unused_measures", "total_measures", F.col("unused_percentage").cast("string")), [F.col("project")]),
-        section(top, d, 5, "Unused measures", _cells("name", "table", "complexity_score", "cleanup_risk"), [F.desc("complexity_score"), F.col("name"), F.col("table")], ("Measure", "Table", "Complexity", "Risk"), 10),
-        section(r["pages"], d, 6, "Pages", _cells("display_name", "visuals_count", "chart_count", "table_count", "card_count", "slicer_count"), [F.col("page_id")], ("Page", "Visuals", "Charts", "Tables", "Cards", "Slicers")),
-        section(r["column_usage"], d, 7, "Column use", _cells("table", "total_columns", "used_columns", "usage_percentage"), [F.col("usage_percentage"), F.desc("unused_columns"), F.col("table")], ("Table", "Columns", "Used", "%")),
+        section(_risks(r), d, 5, "Cleanup risk", _cells("label", "value"), [F.col("no")], ("Risk", "Count")),
+        section(top, d, 6, "Unused measures", _cells("name", "table", "complexity_score", "cleanup_risk", "reason"), [F.desc("complexity_score"), F.col("name"), F.col("table")], ("Measure", "Table", "Complexity", "Risk", "Reason"), 10),
+        section(r["pages"], d, 7, "Pages", _cells("display_name", "visuals_count", "chart_count", "table_count", "card_count", "slicer_count"), [F.col("page_id")], ("Page", "Visuals", "Charts", "Tables", "Cards", "Slicers")),
+        section(_use(r), d, 8, "Column use summary", F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.col("value")), [F.col("no")]),
+        section(r["column_usage"], d, 9, "Column use", _cells("table", "total_columns", "used_columns", "usage_percentage"), [F.col("usage_percentage"), F.desc("unused_columns"), F.col("table")], ("Table", "Columns", "Used", "%")),
     ])
 
 
 def extended(r: dict[str, DataFrame]) -> DataFrame:
-    """The extended document: overview, tables, classes with reasons, measures, columns, pages, data quality."""
+    """The extended document: overview, tables, classes with reasons, measures, unused measures, columns, pages, column use, data quality."""
     d = "extended"
     summary = r["schema"]
     types = r["columns"].where("NOT is_calculated").groupBy("project", "table").agg(F.array_sort(F.collect_set("data_type")).alias("types"))
     more = F.when(F.size("dependencies") > 2, F.format_string(" +%d", F.size("dependencies") - 2)).otherwise("")
     counts = r["tables"].select("project", "table", "column_count", "measure_count", "table_kind").join(types, ["project", "table"], "left")
+    usage = r["column_usage"].join(r["tables"].select("project", "table", "calculated_column_count", "measure_count", "table_kind"), ["project", "table"], "left")
     flags = r["relationships"].where(F.size("quality_flags") > 0)
     return _all([
         _text(summary, d, 0, F.concat(F.lit("# Extended documentation: "), F.col("project")), F.concat(F.lit("Schema: "), F.col("schema_type")), F.format_string("%d tables, %d relationships, %d facts", "n_tables", "n_edges", "n_facts")),
@@ -68,9 +88,12 @@ def extended(r: dict[str, DataFrame]) -> DataFrame:
         section(r["classifications"], d, 2, "Classes", _cells("table", "classification", "confidence", "reasoning"), [F.col("classification"), F.col("table")], ("Table", "Class", "Confidence", "Reason")),
         section(r["relationships"], d, 3, "Relationships", _cells(F.concat_ws(" -> ", "from_table", "to_table"), "cardinality", "cross_filter_direction"), [F.col("from_table"), F.col("to_table"), F.col("id")], ("Edge", "Cardinality", "Direction")),
         section(r["measures"], d, 4, "Measures", _cells("table", "name", F.concat(F.array_join(F.slice("dependencies", 1, 2), ", "), more), S.preview(F.col("expression"), 60)), [F.col("table"), F.col("name")], ("Table", "Measure", "Uses", "Expression")),
-        section(r["columns"], d, 5, "Columns", _cells("table", "name", "data_type", "semantic_role", "is_hidden"), [F.col("table"), F.col("line"), F.col("name")], ("Table", "Column", "Type", "Role", "Hidden")),
-        section(r["pages"], d, 6, "Pages", _cells("display_name", "visuals_count", "chart_count", "other_count"), [F.col("page_id")], ("Page", "Visuals", "Charts", "Other")),
-        section(flags, d, 7, "Data quality", _cells(F.concat_ws(" -> ", "from_table", "to_table"), F.array_join("quality_flags", ", ")), [F.col("from_table"), F.col("to_table"), F.col("id")], ("Edge", "Flags")),
+        section(r["unused_measures"], d, 5, "Unused measures", _cells("table", "name", "complexity_score", "reason"), [F.desc("complexity_score"), F.col("name"), F.col("table")], ("Table", "Measure", "Complexity", "Reason"), 10),
+        section(r["columns"], d, 6, "Columns", _cells("table", "name", "data_type", "semantic_role", "is_hidden"), [F.col("table"), F.col("line"), F.col("name")], ("Table", "Column", "Type", "Role", "Hidden")),
+        section(r["pages"], d, 7, "Pages", _cells("display_name", "visuals_count", "chart_count", "other_count"), [F.col("page_id")], ("Page", "Visuals", "Charts", "Other")),
+        section(_use(r), d, 8, "Column use summary", F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.col("value")), [F.col("no")]),
+        section(usage, d, 9, "Column use", _cells("table", "used_columns", "total_columns", "usage_percentage", "calculated_column_count", "measure_count", "table_kind"), [F.col("usage_percentage"), F.desc("unused_columns"), F.col("table")], ("Table", "Used", "Columns", "%", "Calculated", "Measures", "Kind")),
+        section(flags, d, 10, "Data quality", _cells(F.concat_ws(" -> ", "from_table", "to_table"), F.array_join("quality_flags", ", ")), [F.col("from_table"), F.col("to_table"), F.col("id")], ("Edge", "Flags")),
     ])
 
 
