@@ -53,15 +53,17 @@ CLOUD_TYPES = (*WEB_TYPES, "Dataverse", "Power BI Dataflow", "Azure")
 DATABASE_TYPES = ("SQL Server", "Database", "Oracle", "PostgreSQL", "MySQL")
 #: Visual types by category.
 VISUALS = {
-    "CHART": "columnChart lineChart areaChart barChart scatterChart bubbleChart donutChart pieChart waterfallChart ribbonChart gaugeChart KPI "
-    "lineClusteredColumnComboChart lineStackedColumnComboChart columnClusteredLineChart columnStackedLineChart comboChart clusteredBarChart "
-    "stackedBarChart clusteredColumnChart stackedColumnChart stackedAreaChart clusteredAreaChart funnelChart treemapChart radialGaugeChart smallMultiple",
-    "TABLE": "table pivotTable matrix",
-    "SLICER": "slicer ChicletSlicer1448559807354 timeSlicer",
-    "BUTTON": "actionButton button",
-    "TEXT": "textbox shape",
-    "CARD": "cardVisual card multiRowCard KPI",
-}
+    "CHART": (
+        "columnChart", "lineChart", "areaChart", "barChart", "scatterChart", "bubbleChart", "donutChart", "pieChart", "waterfallChart", "ribbonChart", "gaugeChart", "KPI",
+        "lineClusteredColumnComboChart", "lineStackedColumnComboChart", "columnClusteredLineChart", "columnStackedLineChart", "comboChart", "clusteredBarChart",
+        "stackedBarChart", "clusteredColumnChart", "stackedColumnChart", "stackedAreaChart", "clusteredAreaChart", "funnelChart", "treemapChart", "radialGaugeChart", "smallMultiple",
+    ),
+    "TABLE": ("table", "pivotTable", "matrix"),
+    "SLICER": ("slicer", "ChicletSlicer1448559807354", "timeSlicer"),
+    "BUTTON": ("actionButton", "button"),
+    "TEXT": ("textbox", "shape"),
+    "CARD": ("cardVisual", "card", "multiRowCard", "KPI"),
+}
 #: Words of a table's name that count for a class, and what they add.
 NAME_WORDS = {
     "FACT": (("fact", "facts", "transaction", "transactions", "sales", "spend", "ledger"), 35),
@@ -70,6 +72,19 @@ NAME_WORDS = {
     "CALCULATION": (("measure", "measures", "calculation", "calculations", "kpi", "metrics"), 35),
     "PARAMETER": (("parameter", "param", "selector", "slicer"), 35),
 }
+#: Grades and states by the least score that gets them.
+GRADES = {"A": 85, "B": 75, "C": 60, "D": 45, "F": 0}
+STATES = {"excellent": 90, "good": 75, "fair": 60, "poor": 40, "critical": 0}
+#: Substrings of names and texts that decide a role, a kind, a source or a type.
+DATE_WORDS = ("date", "fecha")
+TEXT_WORDS = ("name", "nombre", "description", "descripcion", "descripción")
+CALCULATION_WORDS = ("measure", "calculation", "kpi")
+PARAMETER_WORDS = ("param", "slicer")
+EXCEL_WORDS, CSV_WORDS, WEB_WORDS = ("excel.workbook", ".xls"), ("csv.document", ".csv"), ("web.contents", "https://", "http://")
+POSTING_WORDS = ("date", "fecha", "posting")
+COUNT_WORDS = ("amt", "amount", "qty", "quantity", "count", "total")
+RATE_WORDS = ("price", "rate", "pct", "percent")
+DAY_WORDS = ("date", "fecha", "posting", "month", "day")
 #: The order that ties take.
 CLASSES = ("FACT", "DIMENSION", "BRIDGE", "CALCULATION", "PARAMETER")
 
@@ -95,10 +110,10 @@ def semantic_role(name: Column, data_type: Column, key: Column, category: Column
     return first_of(
         [
             (key, "KEY"),
-            (kind.isin("datetime", "date") | contains_any(low, ("date", "fecha")), "DATE"),
+            (kind.isin("datetime", "date") | contains_any(low, DATE_WORDS), "DATE"),
             (kind.isin(*NUMERIC_TYPES), "NUMERIC"),
             (place, "GEOGRAPHY"),
-            (contains_any(low, ("name", "nombre", "description", "descripcion", "descripción")), "ATTRIBUTE"),
+            (contains_any(low, TEXT_WORDS), "ATTRIBUTE"),
             (kind == "boolean", "FLAG"),
         ],
         "ATTRIBUTE",
@@ -114,9 +129,9 @@ def table_kind(name: Column, columns: Column, measures: Column, partitions: Colu
     return first_of(
         [
             ((measures > 0) & (columns <= 1), "CALCULATION"),
-            (contains_any(low, ("measure", "calculation", "kpi")) & (measures > 0), "CALCULATION"),
+            (contains_any(low, CALCULATION_WORDS) & (measures > 0), "CALCULATION"),
             (datatable & (columns <= 5), "PARAMETER"),
-            (contains_any(low, ("param", "slicer")), "PARAMETER"),
+            (contains_any(low, PARAMETER_WORDS), "PARAMETER"),
             (calculated, "CALCULATED_TABLE"),
             (partitions > 0, "MODEL_TABLE"),
         ],
@@ -130,10 +145,10 @@ def partition_source(block: Column) -> Column:
         [
             (up.contains("DATATABLE"), "DATATABLE"),
             (up.contains("SQL"), "SQL"),
-            (contains_any(low, ("excel.workbook", ".xls")), "Excel"),
-            (contains_any(low, ("csv.document", ".csv")), "CSV/Text"),
+            (contains_any(low, EXCEL_WORDS), "Excel"),
+            (contains_any(low, CSV_WORDS), "CSV/Text"),
             (up.contains("SHAREPOINT"), "SharePoint"),
-            (contains_any(low, ("web.contents", "https://", "http://")), "Web"),
+            (contains_any(low, WEB_WORDS), "Web"),
             (low.contains("let") & low.contains("in"), "Power Query"),
         ],
         "Unknown",
@@ -168,7 +183,7 @@ def privacy_note(kind: Column) -> Column:
 
 
 def visual_category(visual_type: Column) -> Column:
-    return first_of([(visual_type.isin(*names.split()), category) for category, names in VISUALS.items()], "OTHER")
+    return first_of([(visual_type.isin(*names), category) for category, names in VISUALS.items()], "OTHER")
 
 
 def display_type(name: Column, data_type: Column) -> Column:
@@ -179,12 +194,12 @@ def display_type(name: Column, data_type: Column) -> Column:
             (data_type == "string", "Text"),
             (data_type.isin("int64", "int", "integer"), "Whole Number"),
             (data_type.isin("double", "real", "float", "decimal"), "Decimal Number"),
-            (data_type.isin("dateTime", "date"), F.when(contains_any(low, ("date", "fecha", "posting")), "Date").otherwise("DateTime")),
+            (data_type.isin("dateTime", "date"), F.when(contains_any(low, POSTING_WORDS), "Date").otherwise("DateTime")),
             (data_type == "boolean", "True/False"),
             (data_type == "binary", "Binary"),
-            (contains_any(low, ("amt", "amount", "qty", "quantity", "count", "total")), "Whole Number"),
-            (contains_any(low, ("price", "rate", "pct", "percent")), "Decimal Number"),
-            (contains_any(low, ("date", "fecha", "posting", "month", "day")), "Date"),
+            (contains_any(low, COUNT_WORDS), "Whole Number"),
+            (contains_any(low, RATE_WORDS), "Decimal Number"),
+            (contains_any(low, DAY_WORDS), "Date"),
         ],
         F.concat(F.lit("Other ("), data_type, F.lit(")")),
     )
@@ -196,12 +211,14 @@ def confidence(best: Column, total: Column) -> Column:
     return F.when(total <= 0, F.lit(0.3)).otherwise(F.bround(F.greatest(F.lit(0.3), F.least(F.lit(0.98), mean)), 2))
 
 
-def grade(score: Column) -> Column:
-    return F.when(score >= 85, "A").when(score >= 75, "B").when(score >= 60, "C").when(score >= 45, "D").otherwise("F")
+def grade(score: Column, grades: dict[str, int] | None = None) -> Column:
+    """The first grade whose least score is reached; the last one if none is."""
+    least = grades or GRADES
+    return first_of([(score >= v, k) for k, v in list(least.items())[:-1]], list(least)[-1])
 
 
 def status(score: Column) -> Column:
-    return F.when(score >= 90, "excellent").when(score >= 75, "good").when(score >= 60, "fair").when(score >= 40, "poor").otherwise("critical")
+    return grade(score, STATES)
 
 
 def dominant_visual(charts: Column, tables: Column, cards: Column) -> Column:

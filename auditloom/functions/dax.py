@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: The functions that are recognised, by weight.
-WEIGHTS = {
-    1: "SUM COUNT AVERAGE MIN MAX COUNTA COUNTBLANK AND OR NOT DIVIDE",
-    2: "DISTINCTCOUNT ALL ALLEXCEPT ALLSELECTED KEEPFILTERS REMOVEFILTERS RELATED RELATEDTABLE VALUES DISTINCT IF IFERROR",
-    4: "RANKX PERCENTILEX.INC PERCENTILEX.EXC PARALLELPERIOD ADDCOLUMNS SUMMARIZE",
-    3: "SUMX AVERAGEX COUNTX MAXX MINX CALCULATE CALCULATETABLE FILTER USERELATIONSHIP CROSSFILTER TREATAS TOTALYTD TOTALQTD "
-    "TOTALMTD SAMEPERIODLASTYEAR PREVIOUSYEAR PREVIOUSMONTH DATEADD DATESYTD TOPN SAMPLE SELECTCOLUMNS SWITCH",
-}
-FUNCTIONS = {name: weight for weight, names in WEIGHTS.items() for name in names.split()}
+#: The functions that are recognised and what each weighs.
+FUNCTIONS = {
+    "SUM": 1, "COUNT": 1, "AVERAGE": 1, "MIN": 1, "MAX": 1, "COUNTA": 1, "COUNTBLANK": 1, "AND": 1, "OR": 1, "NOT": 1, "DIVIDE": 1,
+    "DISTINCTCOUNT": 2, "ALL": 2, "ALLEXCEPT": 2, "ALLSELECTED": 2, "KEEPFILTERS": 2, "REMOVEFILTERS": 2, "RELATED": 2, "RELATEDTABLE": 2, "VALUES": 2, "DISTINCT": 2, "IF": 2, "IFERROR": 2,
+    "SUMX": 3, "AVERAGEX": 3, "COUNTX": 3, "MAXX": 3, "MINX": 3, "CALCULATE": 3, "CALCULATETABLE": 3, "FILTER": 3, "USERELATIONSHIP": 3, "CROSSFILTER": 3, "TREATAS": 3,
+    "TOTALYTD": 3, "TOTALQTD": 3, "TOTALMTD": 3, "SAMEPERIODLASTYEAR": 3, "PREVIOUSYEAR": 3, "PREVIOUSMONTH": 3, "DATEADD": 3, "DATESYTD": 3, "TOPN": 3, "SAMPLE": 3, "SELECTCOLUMNS": 3, "SWITCH": 3,
+    "RANKX": 4, "PERCENTILEX.INC": 4, "PERCENTILEX.EXC": 4, "PARALLELPERIOD": 4, "ADDCOLUMNS": 4, "SUMMARIZE": 4,
+}
+#: Iterators, those that scores look at, and the patterns of findings.
 ITERATORS = ("SUMX", "AVERAGEX", "MAXX", "MINX", "COUNTX", "PRODUCTX")
 SCORED_ITERATORS = ("SUMX", "AVERAGEX", "MAXX", "MINX")
+FILTER_OF_TABLE = r"FILTER\s*\(\s*'?[A-Z_][A-Z0-9_\s]*'?\s*,"
+SCORED_FILTER_OF_TABLE = r"(?i)FILTER\s*\(\s*(?!VALUES\s*\()(?:'?[A-Za-z_][A-Za-z0-9_]*'?)\s*,"
+IF_CALL, DIVISION = r"\bIF\s*\(", r"[^/<>=]\s*/\s*[^/<>=]"
 
 
 def _calls(expression: Column, name: str) -> Column:
@@ -87,12 +90,12 @@ def antipatterns(expression: Column) -> Column:
     """All findings DAX001 to DAX005 as (code, name, severity, occurrences, fix)."""
     e = F.coalesce(expression, F.lit(""))
     up = F.upper(e)
-    filters = F.regexp_count(up, F.lit(r"FILTER\s*\(\s*'?[A-Z_][A-Z0-9_\s]*'?\s*,"))
+    filters = F.regexp_count(up, F.lit(FILTER_OF_TABLE))
     nested = [up.rlike(rf"{i}\s*\([^()]*{i}\s*\(") for i in ITERATORS]
     which = F.coalesce(*(F.when(c, F.lit(i)) for c, i in zip(nested, ITERATORS, strict=True)))
     complex_ = (F.length(e) > 200) | (F.regexp_count(e, F.lit(r"\(")) > 5)
-    ifs = F.regexp_count(up, F.lit(r"\bIF\s*\("))
-    divisions = F.regexp_count(e, F.lit(r"[^/<>=]\s*/\s*[^/<>=]"))
+    ifs = F.regexp_count(up, F.lit(IF_CALL))
+    divisions = F.regexp_count(e, F.lit(DIVISION))
     found = F.array(
         _finding(filters > 0, "DAX001", "FILTER over full table", "HIGH", filters, "Filter one column: FILTER(VALUES(Table[Column]), ...) or CALCULATETABLE"),
         _finding(which.isNotNull(), "DAX002", F.concat(F.lit("Nested iterator: "), which), "HIGH", 1, "Compute the inner iterator in a VAR first"),
@@ -109,7 +112,7 @@ def highest_severity(findings: Column) -> Column:
 
 
 def filters_whole_table(expression: Column) -> Column:
-    return F.coalesce(expression.rlike(r"(?i)FILTER\s*\(\s*(?!VALUES\s*\()(?:'?[A-Za-z_][A-Za-z0-9_]*'?)\s*,"), F.lit(False))
+    return F.coalesce(expression.rlike(SCORED_FILTER_OF_TABLE), F.lit(False))
 
 
 def nests_iterators(expression: Column) -> Column:

@@ -148,7 +148,11 @@ def relationships(objects: DataFrame) -> DataFrame:
     return rows.withColumn("quality_flags", quality_flags(F.col("from_cardinality"), F.col("to_cardinality"), F.col("cross_filter_direction"), F.col("is_active")))
 
 
+#: A connector call and its arguments, and the connectors whose arguments say a database, an address or a path.
 _CALL = r"(?s)([A-Za-z0-9_]+\.[A-Za-z0-9_]+)\s*\((.*?)\)"
+DATABASE_CALLS = ("sql.database", "analysisservices.database", "oracle.database", "postgresql.database", "mysql.database", "commondataservice.database")
+WEB_CALLS = ("web.contents", "web.page", "odata.feed", "sharepoint.files", "sharepoint.contents", "sharepoint.tables")
+PATH_CALLS = ("file.contents", "excel.workbook", "csv.document", "folder.files", "folder.contents")
 
 
 def source_rows(files: DataFrame) -> DataFrame:
@@ -166,9 +170,7 @@ def source_rows(files: DataFrame) -> DataFrame:
     text = F.concat_ws(" ", "connector", "args")
     rows = rows.withColumn("type", K.connector_type(F.col("connector"), text)).withColumn("confidence", K.connector_confidence(F.col("connector"), text)).where("type <> 'Other'")
     values, low = S.quoted_values(F.col("args")), F.lower("connector")
-    database = low.isin("sql.database", "analysisservices.database", "oracle.database", "postgresql.database", "mysql.database", "commondataservice.database")
-    web = low.isin("web.contents", "web.page", "odata.feed", "sharepoint.files", "sharepoint.contents", "sharepoint.tables")
-    path = low.isin("file.contents", "excel.workbook", "csv.document", "folder.files", "folder.contents")
+    database, web, path = low.isin(*DATABASE_CALLS), low.isin(*WEB_CALLS), low.isin(*PATH_CALLS)
     first, second = F.get(F.col("v"), F.lit(0)), F.get(F.col("v"), F.lit(1))
     attributes = F.struct(
         F.when(database, first).alias("server"),
@@ -291,3 +293,18 @@ def pages(report: DataFrame, visuals_: DataFrame) -> DataFrame:
     )
     out = every.join(own, ["project", "page_id"], "left").join(counts, ["project", "page_id"], "left").withColumn("display_name", F.coalesce("display_name", "page_id"))
     return out.na.fill(0)
+
+
+def category_totals(pages_: DataFrame) -> DataFrame:
+    """project, pages and the visuals of all its pages by category."""
+    kinds = ("visuals", "chart", "table", "slicer", "button", "text", "card", "other", "hidden")
+    return pages_.groupBy("project").agg(F.count("*").alias("pages"), *(F.sum(f"{k}_count").cast("long").alias(f"{k}_count") for k in kinds))
+
+
+def page_fields(report: DataFrame) -> DataFrame:
+    """project, page_id, name: every bracketed name and every field reference anywhere in a visual's definition, however deep."""
+    text = F.coalesce("content", F.lit(""))
+    brackets = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\[\]\"{}:,]+)\]"), F.lit(1)), F.trim)
+    references = F.regexp_extract_all(text, F.lit(r'"(?:nativeQueryRef|queryRef|Property)"\s*:\s*"([^"]+)"'), F.lit(1))
+    rows = report.where("visual_id IS NOT NULL").select("project", "page_id", F.explode(F.concat(brackets, references)).alias("name"))
+    return rows.where("name <> ''").distinct()

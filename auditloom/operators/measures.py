@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import dax
 
-#: Levels of dependencies that are followed; cycles end a path earlier.
-MAX_DEPTH = 100
+#: Measures that depend on each other in a ring are walked exactly up to so many; a larger ring counts as long as it has members.
+RING = 12
 
 
 def dependencies(measures: DataFrame, columns: DataFrame) -> DataFrame:
@@ -19,17 +20,90 @@ def dependencies(measures: DataFrame, columns: DataFrame) -> DataFrame:
     return raw.join(names, ["project", "dependency"], "left_semi").join(columns.select("project", F.col("name").alias("dependency")).distinct(), ["project", "dependency"], "left_anti").select("project", "name", "dependency")
 
 
+def longest(edges: dict[str, set[str]]) -> dict[str, int]:
+    """The longest path from each node that has edges: distinct nodes, and an edge that closes a ring counts once more and ends the path.
+
+    Rings (strongly connected nodes) are found first; what lies between them is
+    one pass from the ends upwards, whatever the number of paths.
+    """
+    nodes = set(edges) | {d for own in edges.values() for d in own}
+    order, ring_of = _rings(nodes, edges)
+    members: dict[int, list[str]] = {}
+    for node in order:
+        members.setdefault(ring_of[node], []).append(node)
+    depth: dict[str, int] = {}
+    for ring in sorted(members):  # rings are numbered from the ends upwards
+        own = set(members[ring])
+        leave = {n: max((1 + depth[d] for d in edges.get(n, ()) if d not in own), default=0) for n in own}
+        if len(own) == 1:
+            (node,) = own
+            depth[node] = max(leave[node], 1 if node in edges.get(node, ()) else 0)
+        elif len(own) > RING:
+            depth |= {n: len(own) + max(leave.values()) for n in own}
+        else:
+            depth |= {n: _walk(n, frozenset(), own, edges, leave, {}) for n in own}
+    return {n: depth[n] for n in edges}
+
+
+def _walk(node: str, seen: frozenset, own: set[str], edges: dict[str, set[str]], leave: dict[str, int], known: dict) -> int:
+    """The longest way on from ``node`` when ``seen`` of its ring have been passed."""
+    if node in seen:
+        return 0
+    if (node, seen) not in known:
+        inside = (1 + _walk(d, seen | {node}, own, edges, leave, known) for d in edges[node] if d in own)
+        known[node, seen] = max(leave[node], max(inside, default=0))
+    return known[node, seen]
+
+
+def _rings(nodes: set[str], edges: dict[str, set[str]]) -> tuple[list[str], dict[str, int]]:
+    """Nodes in the order in which their ring is complete, and each one's ring; a ring's targets have smaller numbers. No recursion."""
+    number: dict[str, int] = {}
+    low: dict[str, int] = {}
+    ring_of: dict[str, int] = {}
+    order: list[str] = []
+    held: list[str] = []
+    for start in sorted(nodes):
+        if start in number:
+            continue
+        number[start] = low[start] = len(number)
+        held.append(start)
+        stack = [(start, iter(sorted(edges.get(start, ()))))]
+        while stack:
+            node, targets = stack[-1]
+            for target in targets:
+                if target not in number:
+                    number[target] = low[target] = len(number)
+                    held.append(target)
+                    stack.append((target, iter(sorted(edges.get(target, ())))))
+                    break
+                if target not in ring_of:
+                    low[node] = min(low[node], number[target])
+            else:
+                stack.pop()
+                if stack:
+                    low[stack[-1][0]] = min(low[stack[-1][0]], low[node])
+                if low[node] == number[node]:
+                    ring = ring_of[order[-1]] + 1 if order else 0
+                    while True:
+                        member = held.pop()
+                        ring_of[member] = ring
+                        order.append(member)
+                        if member == node:
+                            break
+    return order, ring_of
+
+
 def depths(edges: DataFrame) -> DataFrame:
-    """project, name, depth: the longest path of distinct measures; an edge that closes a cycle counts once more and ends the path."""
-    view = "measure_edges"
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
-        WITH RECURSIVE walk(project, name, at, path, depth, stop) MAX RECURSION LEVEL {MAX_DEPTH} AS (
-            SELECT project, name, dependency, array(name, dependency), 1, name = dependency FROM {view}
-            UNION ALL
-            SELECT w.project, w.name, e.dependency, array_append(w.path, e.dependency), w.depth + 1, array_contains(w.path, e.dependency)
-            FROM walk w JOIN {view} e ON e.project = w.project AND e.name = w.at WHERE NOT w.stop
-        ) SELECT project, name, max(depth) AS depth FROM walk GROUP BY project, name""")
+    """project, name, depth: the longest path of dependencies (``longest``). The edges of a project are one group: a model's measures are few."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own: dict[str, set[str]] = {}
+        for name, target in zip(pdf["name"], pdf["dependency"], strict=True):
+            own.setdefault(name, set()).add(target)
+        found = longest(own)
+        return pd.DataFrame({"project": pdf["project"].iloc[0], "name": list(found), "depth": pd.Series(list(found.values()), dtype="int32")})
+
+    return edges.select("project", "name", "dependency").groupBy("project").applyInPandas(run, "project string, name string, depth int")
 
 
 def graph(measures: DataFrame, edges: DataFrame) -> DataFrame:
@@ -101,3 +175,9 @@ def usage_summary(usage: DataFrame) -> DataFrame:
         F.count_if(F.col("usage_percentage") == 100).alias("tables_with_full_usage"),
         F.bround(F.avg("usage_percentage"), 1).alias("average_table_usage_percentage"),
     )
+
+
+def lowest_usage(usage: DataFrame, top: int = 5) -> DataFrame:
+    """The ``top`` tables of each project that are used least: by percentage, then most unused columns, then name."""
+    order = Window.partitionBy("project").orderBy("usage_percentage", F.desc("unused_columns"), "table")
+    return usage.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

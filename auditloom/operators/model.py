@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
@@ -161,6 +161,12 @@ def degrees(edges: DataFrame, active_only: bool = False) -> DataFrame:
     return endpoints(rows).groupBy("project", "table").agg(F.count("*").alias("degree"))
 
 
+def hubs(edges: DataFrame, top: int = 5) -> DataFrame:
+    """project, table, degree, rank: the ``top`` tables of each project that most active relationships touch, ties by name."""
+    order = Window.partitionBy("project").orderBy(F.desc("degree"), "table")
+    return degrees(edges, True).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
 def class_counts(classes: DataFrame) -> DataFrame:
     """project and a count for each class, unknown included, with totals."""
     counts = [F.count_if(F.col("classification") == name).alias(f"{name.lower()}_tables") for name in K.CLASSES]

@@ -8,10 +8,10 @@ inputs score 100.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
@@ -37,12 +37,23 @@ def _listed(rows: DataFrame, dimension: str, rule: str, name: str, n: Column | N
     return _finding(grouped, dimension, rule, F.col("count"), F.col("names"))
 
 
+def first_affected(rows: DataFrame, name: str, k: int = 3) -> DataFrame:
+    """project, first (the ``k`` smallest distinct names, sorted), more (how many others): ranked with a limit, no group is collected."""
+    names = rows.select("project", name).distinct()
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(name))
+    first = names.withColumn("rank", rank).where(F.col("rank") <= k).groupBy("project").agg(F.array_sort(F.collect_list(name)).alias("first"))
+    total = names.groupBy("project").agg(F.count("*").alias("total"))
+    both = total.join(first, total["project"].eqNullSafe(first["project"]))
+    return both.select(total["project"], "first", (F.col("total") - F.size("first")).cast("long").alias("more"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def model_findings(classes: DataFrame, edges: DataFrame, columns: DataFrame) -> DataFrame:
+def model_findings(classes: DataFrame, edges: DataFrame, columns: DataFrame, names: R.RuleSet | None = None) -> DataFrame:
     """Findings about tables and relationships."""
+    limits = (names or R.RuleSet()).limits
     totals = M.schema_type(classes, edges)
     counts = M.class_counts(classes)
     intended = F.col("classification").isin("CALCULATION", "PARAMETER") | F.col("table").rlike("^(_|param|Param)")
@@ -55,7 +66,7 @@ def model_findings(classes: DataFrame, edges: DataFrame, columns: DataFrame) ->
     typed = columns.select("project", F.col("table").alias("t"), F.col("name").alias("c"), "data_type")
     ends = edges.select("project", F.explode(F.array(F.struct(F.col("from_table").alias("t"), F.col("from_column").alias("c")), F.struct(F.col("to_table").alias("t"), F.col("to_column").alias("c")))).alias("e")).select("project", "e.*")
     text_keys = ends.join(typed.where("data_type = 'string'"), ["project", "t", "c"]).select("project", "t").distinct()
-    low = classes.where((F.col("confidence") < 0.6) & ~F.col("classification").isin("CALCULATION", "PARAMETER"))
+    low = classes.where((F.col("confidence") < limits["low_confidence_classification"]) & ~F.col("classification").isin("CALCULATION", "PARAMETER"))
     facts = classes.where("classification = 'FACT' AND calculated_columns > 0")
     t = totals.join(counts.select("project", "average_confidence", "bridge_tables"), "project").join(shared, "project", "left").na.fill(0, ["shared"])
     flag = lambda rule, when: _finding(t.where(when), "MODEL", rule, F.lit(1))
@@ -72,15 +83,16 @@ def model_findings(classes: DataFrame, edges: DataFrame, columns: DataFrame) ->
         _listed(low, "MODEL", "low_confidence_classification", "table"),
         flag("clean_dimensional_model", "n_facts > 0 AND n_dimensions > 0 AND n_edges > 0"),
         _finding(t, "MODEL", "bridge_tables_present", F.col("bridge_tables")),
-        flag("high_classification_confidence", "average_confidence >= 0.85"),
+        flag("high_classification_confidence", F.col("average_confidence") >= limits["high_classification_confidence"]),
     ])
 
 
-def dax_findings(measures: DataFrame, literal: bool = False) -> DataFrame:
+def dax_findings(measures: DataFrame, literal: bool = False, names: R.RuleSet | None = None) -> DataFrame:
     """Findings about measures (name, table, expression, line_breaks, format_string)."""
-    e = F.col("expression")
-    m = measures.withColumn("complex", F.coalesce((F.col("line_breaks") >= 5) | (dax.paren_depth(e) > 4), F.lit(False))).withColumn("has_var", F.coalesce(dax.var_count(e) > 0, F.lit(False)))
-    m = m.withColumn("outside", ~F.col("table").isin(*R.MEASURE_TABLES))
+    names = names or R.RuleSet()
+    limits, e = names.limits, F.col("expression")
+    m = measures.withColumn("complex", F.coalesce((F.col("line_breaks") >= limits["complex_measure_min_lines"]) | (dax.paren_depth(e) > limits["max_measure_nesting_depth"]), F.lit(False))).withColumn("has_var", F.coalesce(dax.var_count(e) > 0, F.lit(False)))
+    m = m.withColumn("outside", ~F.col("table").isin(*names.measure_tables))
     share = m.groupBy("project").agg(
         F.count("*").alias("total"), F.count_if("outside").alias("out"), F.array_sort(F.collect_set(F.when(F.col("outside"), F.col("name")))).alias("names"),
         F.count_if("complex").alias("complex"), F.count_if(F.col("complex") & F.col("has_var")).alias("with_var"),
@@ -92,7 +104,7 @@ def dax_findings(measures: DataFrame, literal: bool = False) -> DataFrame:
         _listed(m.where(F.lit(not literal) & F.col("format_string").isNull()), "DAX", "measure_without_format", "name"),
         _finding(share.where("out / total > 0.10"), "DAX", "measures_outside_dedicated_table", F.col("out"), F.slice("names", 1, 10)),
         _finding(share.where("out = 0"), "DAX", "all_measures_in_dedicated_table", F.lit(1)),
-        _finding(share.where("complex > 0 AND with_var / complex >= 0.70"), "DAX", "var_usage_rate", F.lit(1)),
+        _finding(share.where((F.col("complex") > 0) & (F.col("with_var") / F.greatest("complex", F.lit(1)) >= limits["var_usage_rate"])), "DAX", "var_usage_rate", F.lit(1)),
     ])
 
 
@@ -114,9 +126,10 @@ def report_findings(pages: DataFrame, visuals: DataFrame, classes: DataFrame, wa
     ])
 
 
-def governance_findings(projects: DataFrame, tables: DataFrame, measures: DataFrame, roles: DataFrame | None = None) -> DataFrame:
+def governance_findings(projects: DataFrame, tables: DataFrame, measures: DataFrame, roles: DataFrame | None = None, names: R.RuleSet | None = None) -> DataFrame:
     """Findings about names, descriptions and roles; ``roles``: (project, role, is_dynamic), if known."""
-    bad = tables.where(F.col("table").isin(*R.FORBIDDEN_NAMES))
+    names = names or R.RuleSet()
+    bad = tables.where(F.col("table").isin(*names.forbidden))
     bare = F.coalesce(F.trim("description"), F.lit("")) == ""
     described = measures.groupBy("project").agg(F.count("*").alias("total"), F.countDistinct(F.when(bare, F.col("name"))).alias("bare"), F.array_sort(F.collect_set(F.when(bare, F.col("name")))).alias("names"))
     by = projects.join(described, "project", "left").na.fill(0, ["total", "bare"])
@@ -124,13 +137,13 @@ def governance_findings(projects: DataFrame, tables: DataFrame, measures: DataFr
         role_counts = projects.select("project", F.lit(0).alias("static"), F.lit(0).alias("dynamic"))
     else:
         role_counts = projects.join(roles.groupBy("project").agg(F.count_if(~F.col("is_dynamic")).alias("static"), F.count_if("is_dynamic").alias("dynamic")), "project", "left").na.fill(0)
-    sensitive = tables.where(F.lower("table").rlike("|".join(R.SENSITIVE))).groupBy("project").agg(F.array_sort(F.collect_set("table")).alias("names"))
+    sensitive = tables.where(F.lower("table").rlike("|".join(names.sensitive))).groupBy("project").agg(F.array_sort(F.collect_set("table")).alias("names"))
     open_ = role_counts.where("static + dynamic = 0").join(sensitive, "project")
     return _union([
         _listed(bad, "GOVERNANCE", "naming_violations", "table"),
-        _finding(by.where("total > 0 AND bare / total > 0.50"), "GOVERNANCE", "no_description_on_measures", F.lit(1), F.slice("names", 1, 10)),
+        _finding(by.where((F.col("total") > 0) & (F.col("bare") / F.greatest("total", F.lit(1)) > names.limits["no_description_on_measures"])), "GOVERNANCE", "no_description_on_measures", F.lit(1), F.slice("names", 1, 10)),
         _finding(open_, "GOVERNANCE", "no_rls_defined", F.lit(1), F.col("names")),
-        _finding(role_counts.where("static > 5"), "GOVERNANCE", "static_rls_overuse", F.col("static") - 5),
+        _finding(role_counts, "GOVERNANCE", "static_rls_overuse", F.col("static") - names.limits["static_rls_overuse"]),
         _finding(projects.join(bad, "project", "left_anti"), "GOVERNANCE", "consistent_naming", F.lit(1)),
         _finding(role_counts.where("dynamic > 0"), "GOVERNANCE", "dynamic_rls_implemented", F.lit(1)),
         _finding(by.where("bare = 0"), "GOVERNANCE", "documented_measures", F.lit(1)),
@@ -154,24 +167,24 @@ def issues(findings: DataFrame, rules: DataFrame) -> DataFrame:
     return f.withColumn("code", F.when(F.col("most") > 0, F.format_string("%s%03d", prefix, number))).select("project", "dimension", "rule_no", "rule", "code", "severity", "points", "affected", "detail", "recommendation")
 
 
-def dimension_scores(projects: DataFrame, found: DataFrame, schema: DataFrame) -> DataFrame:
+def dimension_scores(projects: DataFrame, found: DataFrame, schema: DataFrame, names: R.RuleSet | None = None) -> DataFrame:
     """project, dimension, score, weight, weighted and counts of issues, for all four dimensions."""
-    spark = projects.sparkSession
-    weights = spark.createDataFrame(list(R.WEIGHTS.items()), "dimension string, weight double")
-    every = projects.select("project").distinct().join(F.broadcast(weights), F.lit(True))
+    names = names or R.RuleSet()
+    weights = F.array(*(F.struct(F.lit(d).alias("dimension"), F.lit(float(w)).alias("weight")) for d, w in names.weights.items()))
+    every = projects.select("project").distinct().select("project", F.explode(weights).alias("w")).select("project", "w.*")
     sums = found.groupBy("project", "dimension").agg(
         F.sum("points").alias("points"), F.count_if(F.col("severity") == "CRITICAL").alias("critical"), F.count_if(F.col("severity") == "WARNING").alias("warnings"), F.count_if(F.col("severity") == "INFO").alias("infos"),
     )
-    ceiling = K.first_of([(F.col("schema_type") == k, v) for k, v in R.CEILINGS.items()], R.CEILINGS["UNKNOWN"])
+    ceiling = K.first_of([(F.col("schema_type") == k, v) for k, v in names.ceilings.items()], names.ceilings["UNKNOWN"])
     rows = every.join(sums, ["project", "dimension"], "left").join(schema.select("project", ceiling.alias("ceiling")), "project", "left").na.fill(0, ["points", "critical", "warnings", "infos"])
     score = S.clamp(F.least(F.lit(100) + F.col("points"), F.when(F.col("dimension") == "MODEL", F.coalesce("ceiling", F.lit(100))).otherwise(F.lit(1_000_000))))
     rows = rows.withColumn("score", score.cast("double"))
     return rows.withColumn("weighted", F.bround(F.col("score") * F.col("weight"), 2)).select("project", "dimension", "score", "weight", "weighted", "critical", "warnings", "infos")
 
 
-def project_scores(dimensions: DataFrame) -> DataFrame:
+def project_scores(dimensions: DataFrame, grades: dict[str, int] | None = None) -> DataFrame:
     out = dimensions.groupBy("project").agg(F.bround(F.sum(F.col("weighted").cast("decimal(12,4)")), 0).cast("int").alias("global_score"), F.sum("critical").alias("critical"), F.sum("warnings").alias("warnings"), F.sum("infos").alias("infos"))
-    return out.withColumn("grade", K.grade(F.col("global_score"))).withColumn("status", K.status(F.col("global_score")))
+    return out.withColumn("grade", K.grade(F.col("global_score"), grades or R.GRADES)).withColumn("status", K.status(F.col("global_score")))
 
 
 def related_codes(found: DataFrame) -> DataFrame:
@@ -187,3 +200,16 @@ def next_steps(found: DataFrame) -> DataFrame:
     order = Window.partitionBy("project", "severity").orderBy("rule_no", "code")
     rows = found.where("code IS NOT NULL").withColumn("step_no", F.row_number().over(order))
     return rows.where(F.col("step_no") <= F.when(F.col("severity") == "CRITICAL", 3).otherwise(5)).select("project", "severity", "step_no", "code", "recommendation")
+
+
+def own_findings(relations: Mapping[str, DataFrame], names: R.RuleSet) -> list[DataFrame]:
+    """Findings of the rules that the caller has registered."""
+    return [_finding(find(relations), dimension, rule, F.col("n"), F.col("affected")) for dimension, rule, find in names.own]
+
+
+def metadata(scores: DataFrame, schema: DataFrame, tables: DataFrame, columns: DataFrame, measures: DataFrame, edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """project, grade, schema type and how many tables, columns, measures, relationships and pages were scored."""
+    out = scores.select("project", "global_score", "grade").join(schema.select("project", "schema_type"), "project", "left")
+    for name, rows in (("total_tables", tables), ("total_columns", columns), ("total_measures", measures), ("total_relationships", edges), ("total_pages", pages)):
+        out = out.join(rows.groupBy("project").agg(F.count("*").alias(name)), "project", "left")
+    return out.na.fill(0)

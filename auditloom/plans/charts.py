@@ -50,5 +50,11 @@ def class_shares(classes: DataFrame) -> DataFrame:
 
 
 def datatype_bars(columns: DataFrame) -> DataFrame:
-    """project, display_type, n, largest first."""
-    return columns.groupBy("project", K.display_type(F.col("name"), F.col("data_type")).alias("display_type")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "display_type")
+    """project, display_type, n."""
+    return columns.groupBy("project", K.display_type(F.col("name"), F.col("data_type")).alias("display_type")).agg(F.count("*").alias("n"))
+
+
+def datatype_statistics(columns: DataFrame) -> DataFrame:
+    """project, columns in all, distinct display types and the most frequent one (ties by name)."""
+    bars = datatype_bars(columns).groupBy("project").agg(F.sum("n").cast("long").alias("total"), F.count("*").alias("distinct_types"), F.min(F.struct((-F.col("n")).alias("n"), "display_type"))["display_type"].alias("most_common"))
+    return bars

@@ -1,4 +1,4 @@
-"""A small project of our own, as text: what the queries on definition files read."""
+"""Three small projects of our own, as text: what the queries on definition files read."""
 
 from __future__ import annotations
 
@@ -164,6 +164,111 @@ FILES = {
     "tables/_Measures.tmdl": MEASURES, "tables/Slicer Choice.tmdl": PARAMETER, "relationships.tmdl": RELATIONSHIPS, "expressions.tmdl": EXPRESSIONS,
 }
 
+#: A project without a report: two tables that nothing connects, measures beside the columns.
+FLAT_FILES = {
+    "tables/Sheet1.tmdl": """table Sheet1
+\tcolumn Email Address
+\t\tdataType: string
+\tcolumn 'Pay Code' = ```
+\t\t\t[Email Address] & "x"
+\t\t\t```
+\t\tdataType: string
+\tcolumn Paid
+\t\tdataType: boolean
+\t\tisHidden: true
+\tmeasure 'Head Count' =
+\t\t\tVAR n = COUNTROWS(Sheet1)
+\t\t\tVAR m = COUNTA(Sheet1[Paid])
+\t\t\tVAR k = MAX(Sheet1[Paid])
+\t\t\tVAR o = MIN(Sheet1[Paid])
+\t\t\tVAR p = 1
+\t\t\tRETURN IF(n > m, n, DIVIDE(n, m))
+\t\tisHidden
+\t\tdescription: People
+\tmeasure Ratio = [Head Count] / COUNTA(Sheet1[Paid])
+\tpartition Sheet1 = m
+\t\tmode: directQuery
+\t\tsource = PostgreSQL.Database("pg.example.org", "people")
+""",
+    "tables/salary_2020.tmdl": """table salary_2020
+\tisHidden
+\tannotation Note = 'own'
+\tcolumn Amount
+\t\tdataType: decimal
+\t\tsummarizeBy: sum
+\tcolumn Country
+\t\tdataType: string
+\t\tdataCategory: Country
+\tpartition a = m
+\t\tsource = SharePoint.Files("https://share.example.org/pay")
+\tpartition b = m
+\t\tsource = "no call"
+""",
+}
+
+#: A project with tables that the product makes itself, two facts and a bridge.
+WIDE_FILES = {
+    "tables/fact_orders.tmdl": """table fact_orders
+\tcolumn customer_id
+\t\tdataType: int64
+\tcolumn store_id
+\t\tdataType: int64
+\tcolumn date_id
+\t\tdataType: int64
+\tcolumn amount
+\t\tdataType: double
+\t\tsummarizeBy: sum
+\tcolumn net
+\t\tdataType: double
+\t\tsummarizeBy: sum
+\tcolumn tax
+\t\tdataType: double
+\t\tsummarizeBy: sum
+\tcolumn doubled = [amount] * 2
+\t\tdataType: double
+\tpartition fact_orders = m
+\t\tsource = Sql.Database("wide.example.org", "dw", [Query="select 1"])
+""",
+    "tables/fact_returns.tmdl": """table fact_returns
+\tcolumn customer_id
+\t\tdataType: int64
+\tcolumn store_id
+\t\tdataType: int64
+\tcolumn date_id
+\t\tdataType: int64
+\tcolumn amount
+\t\tdataType: double
+\t\tsummarizeBy: sum
+\tpartition fact_returns = m
+\t\tsource = Sql.Database("wide.example.org", "dw")
+""",
+    "tables/dim_customer.tmdl": "table dim_customer\n\tcolumn customer_id\n\t\tdataType: int64\n\tcolumn name\n\t\tdataType: string\n\tpartition c = m\n\t\tsource = Web.Contents('http://x.example.org/c.json')\n",
+    "tables/dim_store.tmdl": "table dim_store\n\tcolumn store_id\n\t\tdataType: int64\n\tcolumn opened\n\t\tdataType: dateTime\n\tcolumn closed\n\t\tdataType: dateTime\n",
+    "tables/dim_date.tmdl": "table dim_date\n\tcolumn date_id\n\t\tdataType: int64\n\tcolumn day\n\t\tdataType: dateTime\n",
+    "tables/bridge_map.tmdl": "table bridge_map\n\tcolumn customer_id\n\t\tdataType: string\n\tcolumn store_id\n\t\tdataType: int64\n",
+    "tables/LocalDateTable_1.tmdl": "table LocalDateTable_1\n\tcolumn Date\n\t\tdataType: dateTime\n\tmeasure Hidden = 1 + 1\n",
+    "tables/Calculations.tmdl": """table Calculations
+\tmeasure Total = SUM(fact_orders[amount])
+\t\tformatString: #,0
+\t\tdescription: All orders
+\tmeasure Back = SUM(fact_returns[amount])
+\t\tformatString: #,0
+\t\tdescription: All returns
+\tmeasure Share = DIVIDE([Back], [Total])
+\t\tformatString: 0%
+\t\tdescription: Part
+\tmeasure Rank = RANKX(ALL(dim_store), [Total])
+\t\tformatString: 0
+\t\tdescription: Place
+""",
+    "relationships.tmdl": "".join(f"relationship {k}\n\tfromColumn: {a}\n\ttoColumn: {b}\n{more}\n" for k, a, b, more in (
+        ("w1", "fact_orders.customer_id", "dim_customer.customer_id", ""), ("w2", "fact_orders.store_id", "dim_store.store_id", ""), ("w3", "fact_orders.date_id", "dim_date.date_id", ""),
+        ("w4", "fact_returns.customer_id", "dim_customer.customer_id", ""), ("w5", "fact_returns.store_id", "dim_store.store_id", ""), ("w6", "fact_returns.date_id", "dim_date.date_id", ""),
+        ("w7", "bridge_map.customer_id", "dim_customer.customer_id", "\tfromCardinality: one\n\ttoCardinality: one\n"),
+    )),
+    "model.tmdl": "model Model\n\tsource = see https://wiki.example.org/odata\n",
+}
+
 
 def _visual(kind: str, **roles: list[str]) -> str:
     import json
@@ -184,10 +289,33 @@ REPORT = [
 ]
 
 
-def files(spark: SparkSession, project: str = "shop") -> DataFrame:
-    rows = [(project, path, path.rsplit("/", 1)[-1].removesuffix(".tmdl"), text) for path, text in FILES.items()]
+WIDE_REPORT = [
+    (None, None, '[{"id": "a"}, {"name": "b"}]'),
+    ("a", None, '{"displayName": "First"}'),
+    *[("a", f"v{i}", _visual("lineChart", Category=["day"], Values=["Total"])) for i in range(9)],
+    ("a", "t", _visual("matrix", Rows=["name"], Values=["Rank"])),
+    ("a", "s", _visual("slicer", Values=["fact_orders.amount"])),
+    ("a", "h", '{"isHidden": true, "visual": {"visualType": "textbox"}}'),
+]
+
+#: project: (definition files, report files or None)
+PROJECTS = {"shop": (FILES, REPORT), "flat": (FLAT_FILES, None), "wide": (WIDE_FILES, WIDE_REPORT)}
+
+
+def file_rows() -> list[tuple]:
+    return [(project, path, path.rsplit("/", 1)[-1].removesuffix(".tmdl"), text) for project, (own, _) in PROJECTS.items() for path, text in own.items()]
+
+
+def report_rows() -> list[tuple]:
+    return [(project, *r) for project, (_, own) in PROJECTS.items() for r in own or ()]
+
+
+def files(spark: SparkSession, *projects: str) -> DataFrame:
+    """project, rel_path, file_stem, content of the definition files (of all projects, if none is named)."""
+    rows = [r for r in file_rows() if not projects or r[0] in projects]
     return spark.createDataFrame(rows, "project string, rel_path string, file_stem string, content string")
 
 
-def report(spark: SparkSession, project: str = "shop") -> DataFrame:
-    return spark.createDataFrame([(project, *r) for r in REPORT], "project string, page_id string, visual_id string, content string")
+def report(spark: SparkSession, *projects: str) -> DataFrame:
+    rows = [r for r in report_rows() if not projects or r[0] in projects]
+    return spark.createDataFrame(rows, "project string, page_id string, visual_id string, content string")

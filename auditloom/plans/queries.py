@@ -82,7 +82,7 @@ def isolated_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def shared_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges, classes = _classes(spark, sf_dir)
-    return model.edge_classes(edges, classes).where("from_class = 'FACT' OR to_class = 'DIMENSION'").groupBy(F.col("to_table").alias("dimension")).agg(F.count("*").alias("n_edges"))
+    return model.shared_dimensions(edges, classes).select("dimension", "n_edges")
 
 
 @query
@@ -138,23 +138,24 @@ def orphan_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-def _nation_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customers = _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    active = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("hit", F.lit(1))
-    by = customers.join(active, "c_custkey", "left").groupBy("c_nationkey").agg(F.count("*").alias("total"), F.count("hit").alias("used"))
-    nation = _table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    return nation.join(by, nation["n_nationkey"] == by["c_nationkey"]).select("n_name", "total", "used", (F.col("total") - F.col("used")).alias("unused"), F.bround(F.col("used") * 100.0 / F.col("total"), 0).alias("usage"))
+def _customer_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as columns of their nation's table, orders as expressions that name one: which customers are used."""
+    nation = _table(spark, sf_dir, "nation").select("n_nationkey", F.trim("n_name").alias("table"))
+    customers = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    columns = customers.select(F.lit("shop").alias("project"), "table", F.col("c_custkey").cast("string").alias("name"))
+    orders = _table(spark, sf_dir, "orders").select(F.lit("shop").alias("project"), F.concat(F.lit("order "), "o_orderkey").alias("name"), F.array(F.col("o_custkey").cast("string")).alias("bracketed"))
+    return measures.column_usage(columns, orders)
 
 
 @query
 def usage_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _nation_usage(spark, sf_dir)
+    u = _customer_usage(spark, sf_dir)
+    return u.select("table", "total_columns", "used_columns", "unused_columns", F.col("usage_percentage").cast("long").alias("usage_percentage"), F.element_at("used_column_names", 1).alias("first_used"))
 
 
 @query
 def usage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = _nation_usage(spark, sf_dir)
-    return u.agg(F.sum("total").alias("total"), F.sum("used").alias("used"), F.count_if(F.col("usage") == 100).alias("full_groups"), F.bround(F.avg("usage"), 1).alias("average_usage"))
+    return measures.usage_summary(_customer_usage(spark, sf_dir)).drop("project")
 
 
 @query
@@ -183,8 +184,21 @@ def grade_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = lambda k: F.count_if(F.col("event_type") == k).alias(k)
-    return _table(spark, sf_dir, "events").groupBy("user_id").agg(kind("error"), kind("click"), kind("view"), F.count("*").alias("total"))
+    """Events as issues of their user: scores, weights and severity counts of the four dimensions."""
+    severity = F.when(F.col("event_type") == "error", "CRITICAL").when(F.col("event_type") == "click", "WARNING").otherwise("INFO")
+    dimension = F.element_at(F.array(*map(F.lit, rules.WEIGHTS)), (F.col("event_id") % 4 + 1).cast("int"))
+    issues = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("project"), dimension.alias("dimension"), severity.alias("severity"), F.lit(-2.5).alias("points"))
+    users = issues.select("project").distinct()
+    kind = F.when(F.col("project").cast("long") % 2 == 0, "GALAXY").otherwise("FLAT")
+    out = scoring.dimension_scores(users, issues, users.select("project", kind.alias("schema_type")))
+    return out.select("project", "dimension", "score", "weighted", "critical", "warnings", "infos")
+
+
+@query
+def project_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same scores by project."""
+    rows = severity_rollup(spark, sf_dir)
+    return scoring.project_scores(rows).select("project", "global_score", "grade", "status", "critical", "warnings", "infos")
 
 
 @query
@@ -196,8 +210,8 @@ def issue_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_k_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = _table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_name")).alias("names"))
-    return names.select("c_nationkey", F.array_join(F.slice("names", 1, 3), ", ").alias("first"), F.greatest(F.size("names") - 3, F.lit(0)).cast("long").alias("more"))
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("project"), F.col("c_name").alias("name"))
+    return scoring.first_affected(rows, "name").select(F.col("project").alias("c_nationkey"), F.array_join("first", ", ").alias("first"), "more")
 
 
 def _shared_parts(rows: DataFrame) -> DataFrame:
@@ -209,13 +223,17 @@ def _shared_parts(rows: DataFrame) -> DataFrame:
 
 @query
 def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bounded as its SQL is: lines of 45 pieces or more. ``cross_refs_whole`` has no bound."""
-    return _shared_parts(_table(spark, sf_dir, "lineitem").where("l_quantity >= 45"))
+    return _shared_parts(_table(spark, sf_dir, "lineitem"))
 
 
 @query
-def cross_refs_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shared_parts(_table(spark, sf_dir, "lineitem"))
+def related_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as issues of their customer: others of the same priority that a line's part ties to them."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").cast("string").alias("part"))
+    parts = lines.groupBy("o_orderkey").agg(F.collect_set("part").alias("affected"))
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("severity"), (F.col("o_custkey") % 100).cast("string").alias("project"))
+    found = orders.join(parts, "o_orderkey").select("project", "severity", F.format_string("D%d", "o_orderkey").alias("code"), "affected")
+    return scoring.related_codes(found).select("project", "code", F.array_join("related", ",").alias("related"))
 
 
 @query
@@ -235,8 +253,7 @@ def url_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flat = F.btrim(F.regexp_replace("text", SPACE, " "), F.lit(" "))
-    return _table(spark, sf_dir, "documents").select("doc_id", F.when(F.length(flat) > 300, F.concat(F.left(flat, F.lit(300)), F.lit("..."))).otherwise(flat).alias("preview"))
+    return _table(spark, sf_dir, "documents").select("doc_id", S.preview(F.col("text")).alias("preview"))
 
 
 @query
@@ -254,22 +271,27 @@ def text_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def token_usage_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = ("the", "and", "of", "die", "de", "la", "que", "is", "es", "en")
-    low = _table(spark, sf_dir, "conversations").select(F.lower("text").alias("t"))
-    n = low.select(F.explode(F.array(*(F.when(F.col("t").contains(w), F.lit(w)) for w in tokens))).alias("token")).where("token IS NOT NULL").groupBy("token").agg(F.count("*").alias("n"))
-    return n.orderBy(F.desc("n"), "token").limit(8)
+    said = _table(spark, sf_dir, "conversations").select(F.col("role").alias("project"), F.col("text").alias("expression"))
+    return prompts.token_usage(said).select("project", "token", "n", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def property_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pick = lambda p: S.blank_to_null(F.regexp_extract("html", p, 1))
-    return _table(spark, sf_dir, "pages").select("page_id", pick(r'<html[^>]*lang="([^"]*)"').alias("lang"), pick(r'charset="?([A-Za-z0-9-]+)').alias("charset"), pick(r"<title>([^<]*)</title>").alias("title"))
+    """Parts written as blocks of properties, read back."""
+    quoted = F.concat(F.lit("\tname: '"), "p_name", F.lit("'\n\t\tbrand:  "), "p_brand", F.lit(" \r\n"))
+    block = F.concat(quoted, F.when(F.col("p_partkey") % 3 == 0, F.lit("\tisHidden\n")).when(F.col("p_partkey") % 3 == 1, F.lit("\tisHidden: false\n")).otherwise(""), F.lit('\tkind: "'), "p_type", F.lit('"\n\tannotation Size = x\n\tname: second'))
+    b = _table(spark, sf_dir, "part").select("p_partkey", block.alias("b"))
+    pairs = S.properties(F.col("b"))
+    return b.select(
+        "p_partkey", S.property_text(F.col("b"), "name").alias("name"), S.property_text(F.col("b"), "brand").alias("brand"), S.property_text(F.col("b"), "kind").alias("kind"),
+        S.property_flag(F.col("b"), "isHidden").alias("hidden"), S.property_text(F.col("b"), "none").alias("none"), F.try_element_at(pairs, F.lit("name")).alias("last_name"), S.annotations(F.col("b"))[0]["value"].alias("size"),
+    )
 
 
 @query
 def quoted_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.regexp_extract_all("html", F.lit('"([^"]*)"'), F.lit(1))
-    return _table(spark, sf_dir, "pages").select("page_id", F.size(v).cast("long").alias("n"), F.get(v, F.lit(0)).alias("first"))
+    v = S.quoted_values(F.col("html"))
+    return _table(spark, sf_dir, "pages").select("page_id", F.size(v).cast("long").alias("n"), F.get(v, F.lit(0)).alias("first"), F.get(v, F.size(v) - 1).alias("last"))
 
 
 @query
@@ -309,51 +331,92 @@ def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    b = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"))
-    c = _table(spark, sf_dir, "events").select(F.col("user_id").alias("id"))
-    tag = lambda df, name: df.agg(F.count("*").alias("n"), F.sum("id").cast("long").alias("total")).select(F.lit(name).alias("operation"), "n", "total")
-    return tag(a.union(c).distinct(), "union").unionByName(tag(a.intersect(b), "intersect")).unionByName(tag(a.exceptAll(b.distinct()), "except")).unionByName(tag(c.intersect(a), "visible"))
+    """Customers as measures, orders and events as what uses them: those that nothing uses, with the risk of deleting them."""
+    name = lambda c: F.concat(F.lit("c"), c).alias("name")
+    customers = _table(spark, sf_dir, "customer").select(
+        F.lit("shop").alias("project"), name("c_custkey"), (F.col("c_acctbal") < 0).alias("is_stub"), (F.col("c_acctbal") / 500).alias("complexity_score"), (F.col("c_mktsegment") == "BUILDING").alias("is_base_measure")
+    )
+    edges = _table(spark, sf_dir, "orders").select(F.lit("shop").alias("project"), F.concat(F.lit("o"), "o_orderkey").alias("name"), F.concat(F.lit("c"), "o_custkey").alias("dependency"))
+    shown = _table(spark, sf_dir, "events").where("event_type = 'purchase'").select(F.lit("shop").alias("project"), F.array(F.concat(F.lit("t[c"), "user_id", F.lit("]"))).alias("all_fields"))
+    return measures.unused(customers, edges, shown).select("name", "cleanup_risk", "reason")
+
 
+# The fixture projects
 
-# The fixture project
+
+def _files(spark: SparkSession) -> DataFrame:
+    files = fixtures.files(spark)
+    return files.where(~K.is_internal_table(F.col("file_stem")))
 
 
 def _objects(spark: SparkSession) -> DataFrame:
-    return blocks.objects(fixtures.files(spark))
+    return blocks.objects(_files(spark))
 
 
 @query
 def tmdl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.columns(_objects(spark)).select("table", "name", "data_type", "is_calculated", "is_hidden", "is_key", "semantic_role", F.col("line").cast("long").alias("line"))
+    c = extract.columns(_objects(spark))
+    notes = F.array_join(F.transform("annotations", lambda a: F.concat_ws("=", a["name"], a["value"])), ",")
+    return c.select("project", "table", "name", "data_type", "is_calculated", "expression", "summarize_by", "is_hidden", "is_key", "semantic_role", notes.alias("annotations"), F.col("line").cast("long").alias("line"))
 
 
 @query
 def tmdl_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.measures(_objects(spark)).select("name", "expression", "format_string", "complexity_score", "is_stub")
+    m = extract.measures(_objects(spark))
+    return m.select(
+        "project", "table", "name", "expression", "format_string", "description", "display_folder", "is_hidden", "complexity_score", "is_stub", F.col("expression_length").cast("long").alias("expression_length"),
+        F.array_join("functions_used", ",").alias("functions_used"), F.array_join("bracketed", ",").alias("bracketed"), "highest_severity",
+    )
+
+
+@query
+def tmdl_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.partitions(_objects(spark)).select("project", "table", "name", "mode", "source_type", "has_m_expression", "has_datatable")
 
 
 @query
 def tmdl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, objects = fixtures.files(spark), _objects(spark)
+    files, objects = _files(spark), _objects(spark)
     c, m, p = extract.columns(objects), extract.measures(objects), extract.partitions(objects)
-    return extract.tables(files, objects, c, m, p).select("table", "column_count", "measure_count", "partition_count", "table_kind")
+    t = extract.tables(files, objects, c, m, p)
+    types = F.array_join(F.transform(F.map_entries("data_type_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    return t.select(
+        "project", "table", "file", "column_count", "measure_count", "partition_count", "hidden_column_count", "calculated_column_count", "key_like_column_count", "table_kind", "is_hidden",
+        F.coalesce(types, F.lit("")).alias("types"), F.col("raw_size_chars").cast("long").alias("raw_size_chars"),
+    )
 
 
 @query
 def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.relationships(_objects(spark)).select("id", "from_table", "from_column", "to_table", "to_column", "cardinality", "cross_filter_direction", "is_active", F.array_join("quality_flags", ",").alias("flags"))
+    return extract.relationships(_objects(spark)).select("project", "id", "from_table", "from_column", "to_table", "to_column", "cardinality", "cross_filter_direction", "is_active", F.array_join("quality_flags", ",").alias("flags"))
 
 
 @query
 def datasources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.datasources(tmdl.source_files(fixtures.files(spark))).select("type", "connector", "confidence", "occurrences", "attributes.server", "attributes.url")
+    d = extract.datasources(tmdl.source_files(fixtures.files(spark)))
+    return d.select("project", "type", "connector", "confidence", "occurrences", "attributes.server", "attributes.database", "attributes.url", "attributes.domain", "attributes.path", "attributes.file_extension")
+
+
+@query
+def datasource_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.datasource_counts(extract.datasources(tmdl.source_files(fixtures.files(spark))))
+
+
+@query
+def datasource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = extract.datasource_summary(extract.datasources(tmdl.source_files(fixtures.files(spark))))
+    return d.select("project", "total_datasources", "has_m_queries", "has_file_based_sources", "has_cloud_sources", "has_database_sources", "has_web_sources", "low_confidence", F.array_join("types", ",").alias("types"))
+
+
+@query
+def report_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.visuals(fixtures.report(spark)).select("project", "page_id", "visual_id", "visual_type", "is_hidden", "category", F.array_join("all_fields", ",").alias("all_fields"), F.size("fields").cast("long").alias("shown"))
 
 
 @query
 def visual_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = extract.visuals(fixtures.report(spark))
-    return extract.pages(fixtures.report(spark), v).select("page_id", "display_name", "visuals_count", "chart_count", "table_count", "card_count", "slicer_count", "other_count")
+    return extract.pages(fixtures.report(spark), v).select("project", "page_id", "display_name", "visuals_count", "chart_count", "table_count", "card_count", "slicer_count", "text_count", "other_count", "hidden_count")
 
 
 def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
@@ -365,57 +428,119 @@ def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 @query
 def measure_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark)[0].select("name", F.col("dependency_depth").cast("long").alias("depth"), F.col("dependents_count").cast("long").alias("dependents"), "architectural_role", "architectural_complexity")
+    return _graph(spark)[0].select("project", "name", F.col("dependency_depth").cast("long").alias("depth"), F.col("dependents_count").cast("long").alias("dependents"), "is_leaf_measure", "architectural_role", "architectural_complexity")
 
 
 @query
 def measure_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark)[1].select("name", "dependency")
+    return _graph(spark)[1].select("project", "name", "dependency")
 
 
 @query
 def unused_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, edges = _graph(spark)
-    return measures.unused(rows, edges, extract.visuals(fixtures.report(spark))).select("name", "cleanup_risk")
+    return measures.unused(rows, edges, extract.visuals(fixtures.report(spark))).select("project", "name", "cleanup_risk")
+
+
+@query
+def unused_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, edges = _graph(spark)
+    return measures.unused_summary(rows, measures.unused(rows, edges, extract.visuals(fixtures.report(spark))))
 
 
 @query
 def antipatterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.measures(_objects(spark)).select("name", F.explode("antipatterns").alias("a"))
-    return found.select("name", "a.code", "a.severity", F.col("a.occurrences").cast("long").alias("occurrences"))
+    found = extract.measures(_objects(spark)).select("project", "name", F.explode("antipatterns").alias("a"))
+    return found.select("project", "name", "a.code", "a.severity", F.col("a.occurrences").cast("long").alias("occurrences"))
 
 
-def _audit(spark: SparkSession) -> dict[str, DataFrame]:
+def _audit(spark: SparkSession) -> audit.Relations:
     return audit.relations(fixtures.files(spark), fixtures.report(spark))
 
 
+@query
+def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles and classes of the fixture tables."""
+    c = _audit(spark)["classifications"]
+    return c.select(
+        "project", "table", "classification", "confidence", "columns", "measures", "relationships_from", "relationships_to", "is_isolated", F.col("calculated_columns").alias("calculated"), "summarized_columns", "numeric_ratio", "date_ratio"
+    )
+
+
+@query
+def project_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _audit(spark)
+    return r["relationship_summary"].select(
+        "project", "total_tables", "total_relationships", "active_relationships", "inactive_relationships", "components", F.array_join("isolated_tables", ",").alias("isolated_tables"), "schema_type", "average_classification_confidence"
+    )
+
+
+@query
+def shared_dimensions_of_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _audit(spark)
+    return model.shared_dimensions(r["relationships"], r["classifications"])
+
+
+@query
+def hub_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tables of each project that most active relationships touch."""
+    return model.hubs(_audit(spark)["relationships"]).select("project", "table", "degree", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def lowest_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five tables of each project whose columns are used least."""
+    return measures.lowest_usage(_audit(spark)["column_usage"]).select("project", "table", "unused_columns", F.col("rank").cast("long").alias("rank"))
+
+
+@query
+def datatype_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return charts.datatype_statistics(_audit(spark)["columns"])
+
+
+@query
+def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visuals by category over all pages of a report."""
+    return extract.category_totals(_audit(spark)["pages"])
+
+
+@query
+def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bracketed names and references anywhere in a visual's definition."""
+    return extract.page_fields(fixtures.report(spark))
+
+
 @query
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["issues"].select("dimension", "rule", "points", F.coalesce("severity", F.lit("-")).alias("severity"))
+    return _audit(spark)["issues"].select("project", "dimension", "rule", "points", F.coalesce("severity", F.lit("-")).alias("severity"), F.coalesce("code", F.lit("-")).alias("code"), F.array_join("affected", ";").alias("affected"))
 
 
 @query
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["dimension_scores"].select("dimension", "score", "weighted")
+    return _audit(spark)["dimension_scores"].select("project", "dimension", "score", "weighted")
+
+
+@query
+def audit_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _audit(spark)["project_scores"].select("project", "global_score", "grade", "status")
 
 
 @query
 def column_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["column_usage"].select("table", "total_columns", "used_columns", F.array_join("used_column_names", ",").alias("used"))
+    return _audit(spark)["column_usage"].select("project", "table", "total_columns", "used_columns", F.array_join("used_column_names", ",").alias("used"), F.array_join("unused_column_names", ",").alias("unused"))
 
 
 @query
 def compliance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.compliance(_audit(spark)).select("document", "section_no", "line_no", "line")
+    return documents.compliance(_audit(spark)).select("project", "document", "section_no", "line_no", "line")
 
 
 @query
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _audit(spark)
-    return documents.technical(r).unionByName(documents.extended(r)).select("document", "section_no", "line_no", "line")
+    return documents.technical(r).unionByName(documents.extended(r)).select("project", "document", "section_no", "line_no", "line")
 
 
 @query
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.prompts(_audit(spark)).select("block", "prompt")
-
+    return prompts.prompts(_audit(spark)).select("project", "block", "prompt")

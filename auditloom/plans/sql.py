@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..functions import classify as K
 from ..sources import catalog
-from . import fixture_sql
+from ..sources import rules as R
+from . import fixture_sql, prompts
 
 _TABLES = ", ".join(f"('{t}')" for t in catalog.TABLES)
 _EDGES = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in catalog.EDGES)
@@ -54,9 +55,14 @@ topology AS (
     SELECT 'isolated_tables' AS rule, -least(25.0, round_even(30.0 * count(*) / (SELECT count(*) FROM classes), 0)) AS points, 'M001' AS code FROM lone WHERE classification NOT IN ('CALCULATION', 'PARAMETER') HAVING count(*) > 0
     UNION ALL SELECT 'clean_dimensional_model', 5.0, '-' FROM typed WHERE n_facts > 0 AND n_edges > 0
 )"""
-_NATION = """SELECT n_name, count(*) AS total, count(o.o_custkey) AS used, count(*) - count(o.o_custkey) AS unused,
-    round_even(count(o.o_custkey) * 100.0 / count(*), 0)::DOUBLE AS usage
-    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o_custkey = c_custkey GROUP BY n_name"""
+_NATION = """SELECT trim(n_name) AS "table", count(*) AS total_columns, count(o.o_custkey) AS used_columns, count(*) - count(o.o_custkey) AS unused_columns,
+    round_even(count(o.o_custkey) * 100.0 / count(*), 0)::BIGINT AS usage_percentage, min(o.o_custkey::VARCHAR) AS first_used
+    FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN (SELECT DISTINCT o_custkey FROM orders) o ON o_custkey = c_custkey GROUP BY 1"""
+_USERS = f"""SELECT project, dimension, greatest(0.0, least(100.0, least(100 - 2.5 * n, CASE WHEN dimension <> 'MODEL' THEN 1000 WHEN project::BIGINT % 2 = 0 THEN {R.CEILINGS['GALAXY']} ELSE {R.CEILINGS['FLAT']} END)))::DOUBLE AS score, weight, critical, warnings, infos
+    FROM (SELECT u.project, d.dimension, d.weight, count(e.user_id) AS n, count(*) FILTER (event_type = 'error') AS critical, count(*) FILTER (event_type = 'click') AS warnings, count(*) FILTER (event_type NOT IN ('error', 'click')) AS infos
+        FROM (SELECT DISTINCT user_id::VARCHAR AS project FROM events) u CROSS JOIN (VALUES {", ".join(f"({i}, '{d}', {w})" for i, (d, w) in enumerate(R.WEIGHTS.items()))}) d(k, dimension, weight)
+        LEFT JOIN events e ON e.user_id::VARCHAR = u.project AND e.event_id % 4 = d.k GROUP BY ALL)"""
+_SPACES = r"[\s\v\x{85}\p{Z}]+"
 
 
 def _keywords(column: str, then: dict[str, str], other: str) -> str:
@@ -88,7 +94,8 @@ SQL: dict[str, str] = {
     "connected_components": f"""WITH RECURSIVE {_COLUMNS}, both_ways AS (SELECT f AS a, t AS b FROM edges UNION SELECT t, f FROM edges),
         reach(a, b) AS (SELECT DISTINCT "table", "table" FROM cols UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON e.a = r.b) SELECT a AS "table", min(b) AS component FROM reach GROUP BY a""",
     "isolated_tables": f"WITH {_SCORES} SELECT \"table\" FROM lone WHERE classification NOT IN ('CALCULATION', 'PARAMETER')",
-    "shared_dimensions": f"WITH {_SCORES} SELECT t AS dimension, count(*) AS n_edges FROM linked WHERE from_class = 'FACT' OR to_class = 'DIMENSION' GROUP BY t",
+    "shared_dimensions": f"""WITH {_SCORES} SELECT dimension, count(*) AS n_edges FROM (SELECT CASE WHEN from_class = 'FACT' AND to_class = 'DIMENSION' THEN t WHEN from_class = 'DIMENSION' AND to_class = 'FACT' THEN f END AS dimension FROM linked)
+        WHERE dimension IS NOT NULL GROUP BY dimension HAVING count(*) >= 2""",
     "model_health": f"WITH {_SCORES} SELECT rule, points::DOUBLE AS points, code FROM health",
     "grade": f"""WITH {_SCORES}, m AS (SELECT greatest(0, least(least(100, 90), 100 + sum(points))) AS score FROM health)
         SELECT round_even(score * 0.35 + 100 * 0.65, 0)::INTEGER AS global_score, CASE WHEN score * 0.35 + 65 >= 85 THEN 'A' WHEN score * 0.35 + 65 >= 75 THEN 'B' ELSE 'C' END AS grade FROM m""",
@@ -99,24 +106,31 @@ SQL: dict[str, str] = {
     "unused_orders": "SELECT o_orderkey, o_custkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)",
     "orphan_edges": " UNION ALL ".join(f"SELECT '{a}.{b}' AS edge, count(*) AS orphans FROM {a} x WHERE NOT EXISTS (SELECT 1 FROM {c} y WHERE y.{d} = x.{b})" for a, b, c, d in catalog.EDGES),
     "usage_by_nation": _NATION,
-    "usage_summary": f"SELECT sum(total)::BIGINT AS total, sum(used)::BIGINT AS used, count(*) FILTER (usage = 100) AS full_groups, round_even(avg(usage), 1)::DOUBLE AS average_usage FROM ({_NATION})",
+    "usage_summary": f"SELECT sum(total_columns)::BIGINT AS total_columns, sum(used_columns)::BIGINT AS used_columns, sum(unused_columns)::BIGINT AS total_unused, count(*) FILTER (usage_percentage = 100) AS tables_with_full_usage, round_even(avg(usage_percentage), 1)::DOUBLE AS average_table_usage_percentage FROM ({_NATION})",
     "dedup_first_wins": "SELECT l_partkey, l_suppkey, min(l_orderkey) AS first_order, count(*) AS occurrences, max(l_extendedprice) AS best FROM lineitem GROUP BY 1, 2",
     "source_id_hash": "SELECT p_partkey, substr(md5(p_name || '|' || p_brand || '|' || p_type), 1, 12) AS source_id FROM part",
     "capped_penalty": "SELECT c_custkey, least(15.0, n * 2.0)::DOUBLE AS points, greatest(0.0, least(100.0, 100.0 - n * 7))::DOUBLE AS score FROM (SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)",
     "grade_buckets": "SELECT CASE WHEN s >= 85 THEN 'A' WHEN s >= 75 THEN 'B' WHEN s >= 60 THEN 'C' WHEN s >= 45 THEN 'D' ELSE 'F' END AS grade, count(*) AS n FROM (SELECT greatest(0, least(100, c_acctbal / 100)) AS s FROM customer) GROUP BY 1",
-    "severity_rollup": "SELECT user_id, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) AS total FROM events GROUP BY user_id",
+    "severity_rollup": f"SELECT project, dimension, score, round_even(score * weight, 2)::DOUBLE AS weighted, critical, warnings, infos FROM ({_USERS})",
+    "project_grades": f"""SELECT project, global_score, CASE WHEN global_score >= 85 THEN 'A' WHEN global_score >= 75 THEN 'B' WHEN global_score >= 60 THEN 'C' WHEN global_score >= 45 THEN 'D' ELSE 'F' END AS grade,
+        CASE WHEN global_score >= 90 THEN 'excellent' WHEN global_score >= 75 THEN 'good' WHEN global_score >= 60 THEN 'fair' WHEN global_score >= 40 THEN 'poor' ELSE 'critical' END AS status, critical, warnings, infos
+        FROM (SELECT project, round_even(sum(round_even(score * weight, 2)::DECIMAL(12, 4))::DOUBLE, 0)::INTEGER AS global_score, sum(critical)::BIGINT AS critical, sum(warnings)::BIGINT AS warnings, sum(infos)::BIGINT AS infos FROM ({_USERS}) GROUP BY project)""",
     "issue_codes": "SELECT event_id, user_id, printf('E%03d', row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS code FROM events WHERE event_type = 'error'",
     "first_k_affected": "SELECT c_nationkey, array_to_string(names[1:3], ', ') AS first, greatest(len(names) - 3, 0)::BIGINT AS more FROM (SELECT c_nationkey, list_sort(list(DISTINCT c_name)) AS names FROM customer GROUP BY c_nationkey)",
-    "cross_refs": "WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 45) SELECT a.l_suppkey, b.l_suppkey AS other, count(*) AS shared_parts FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2",
+    "cross_refs": "WITH p AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem) SELECT a.l_suppkey, b.l_suppkey AS other, count(*) AS shared_parts FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.l_suppkey < b.l_suppkey GROUP BY 1, 2 HAVING count(*) >= 2",
+    "related_codes": """WITH i AS (SELECT DISTINCT (o_custkey % 100)::VARCHAR AS project, o_orderstatus AS severity, 'D' || o_orderkey AS code, l_partkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+        p AS (SELECT DISTINCT a.project, a.code, b.code AS other FROM i a JOIN i b ON a.project = b.project AND a.severity = b.severity AND a.l_partkey = b.l_partkey AND a.code <> b.code)
+        SELECT project, code, string_agg(other, ',' ORDER BY other) AS related FROM p GROUP BY 1, 2""",
     "name_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(p_name), '[ \\t_\\-.]+')) AS token FROM part) WHERE token <> '' GROUP BY token",
     "keyword_class": "SELECT page_id, " + _keywords("url", {k: f"'{k}'" for k in (*K.KEYWORDS, "Database")}, "'Other'") + " AS family, (" + _keywords("url", {**{k: "0.70" for k in K.KEYWORDS}, "Database": "0.55"}, "0.30") + ")::DOUBLE AS confidence FROM pages",
     "url_domain": "SELECT nullif(lower(regexp_extract(url, '(?i)https?://([^/]+)', 1)), '') AS host, count(*) AS n, count(*) FILTER (regexp_matches(url, '\\.[A-Za-z0-9]+$')) AS with_suffix FROM pages GROUP BY 1",
-    "text_preview": "SELECT doc_id, CASE WHEN length(f) > 300 THEN left(f, 300) || '...' ELSE f END AS preview FROM (SELECT doc_id, trim(regexp_replace(text, '[ \\t\\r\\n\\f\\v]+', ' ', 'g'), ' ') AS f FROM documents)",
+    "text_preview": f"SELECT doc_id, CASE WHEN length(f) > 300 THEN left(f, 300) || '...' ELSE f END AS preview FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'), ' ') AS f FROM documents)",
     "paren_depth": "SELECT doc_id, coalesce(depth, 0) AS depth FROM documents LEFT JOIN (" + _depth("text") + ") USING (doc_id)",
     "text_complexity": "SELECT doc_id, round_even(len(regexp_extract_all(text, '(?i)\\bthe\\b')) + len(regexp_extract_all(text, '(?i)\\bof\\b')) * 2 + len(regexp_extract_all(text, '(?i)\\band\\b')) * 3 + coalesce(depth, 0) * 0.5::DOUBLE + least(log10(greatest(length(text), 1)), 3.0::DOUBLE), 2)::DOUBLE AS complexity FROM documents LEFT JOIN (" + _depth("text") + ") USING (doc_id)",
-    "token_usage_topk": "SELECT token, count(*) AS n FROM conversations, (VALUES ('the'), ('and'), ('of'), ('die'), ('de'), ('la'), ('que'), ('is'), ('es'), ('en')) t(token) WHERE contains(lower(text), token) GROUP BY token ORDER BY n DESC, token LIMIT 8",
-    "property_extract": "SELECT page_id, nullif(regexp_extract(html, '<html[^>]*lang=\"([^\"]*)\"', 1), '') AS lang, nullif(regexp_extract(html, 'charset=\"?([A-Za-z0-9-]+)', 1), '') AS charset, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') AS title FROM pages",
-    "quoted_values": "SELECT page_id, len(v)::BIGINT AS n, v[1] AS first FROM (SELECT page_id, regexp_extract_all(html, '\"([^\"]*)\"', 1) AS v FROM pages)",
+    "token_usage_topk": f"""SELECT project, token, n, rank FROM (SELECT role AS project, token, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, token) AS rank
+        FROM conversations, (VALUES {", ".join(f"('{t}')" for t in prompts.TOKENS)}) t(token) WHERE contains(upper(text), token) GROUP BY role, token) WHERE rank <= 8""",
+    "property_extract": """SELECT p_partkey, p_name AS name, p_brand AS brand, p_type AS kind, p_partkey % 3 = 0 AS hidden, NULL::VARCHAR AS "none", 'second' AS last_name, 'x' AS size FROM part""",
+    "quoted_values": """SELECT page_id, len(v)::BIGINT AS n, v[1] AS first, v[-1] AS last FROM (SELECT page_id, list_concat(regexp_extract_all(html, '"([^"]*)"', 1), regexp_extract_all(html, chr(39) || '([^' || chr(39) || ']*)' || chr(39), 1)) AS v FROM pages)""",
     "block_split": """SELECT doc_id, block_no::BIGINT AS block_no, min(i)::BIGINT AS start_line, count(*) AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (
         SELECT doc_id, i, line, sum(CASE WHEN regexp_matches(line, '^[A-Z]') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS block_no FROM (
             SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)) GROUP BY 1, 2""",
@@ -126,11 +140,9 @@ SQL: dict[str, str] = {
     "category_pivot": """SELECT *, CASE WHEN greatest(click, view, purchase) = 0 THEN 'NONE' WHEN click = greatest(click, view, purchase) THEN 'CHART' WHEN view = greatest(click, view, purchase) THEN 'TABLE' ELSE 'CARD' END AS dominant
         FROM (SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY user_id)""",
     "share_of_total": "SELECT o_orderstatus, count(*) AS n, round_even(count(*) * 100.0 / sum(count(*)) OVER (), 1)::DOUBLE AS share FROM orders GROUP BY 1",
-    "set_algebra": """WITH a AS (SELECT c_custkey AS id FROM customer), b AS (SELECT o_custkey AS id FROM orders), c AS (SELECT user_id AS id FROM events)
-        SELECT 'union' AS operation, count(*) AS n, sum(id)::BIGINT AS total FROM (SELECT * FROM a UNION SELECT * FROM c)
-        UNION ALL SELECT 'intersect', count(*), sum(id)::BIGINT FROM (SELECT * FROM a INTERSECT SELECT * FROM b)
-        UNION ALL SELECT 'except', count(*), sum(id)::BIGINT FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
-        UNION ALL SELECT 'visible', count(*), sum(id)::BIGINT FROM (SELECT * FROM c INTERSECT SELECT * FROM a)""",
+    "set_algebra": """SELECT 'c' || c_custkey AS name, risk AS cleanup_risk, CASE risk WHEN 'SAFE_DELETE' THEN 'Stub or no logic' WHEN 'DO_NOT_DELETE' THEN 'Base measure: may be used elsewhere' WHEN 'INVESTIGATE' THEN 'Complex and unreferenced' ELSE 'Unreferenced: review' END AS reason
+        FROM (SELECT c_custkey, CASE WHEN c_acctbal <= 0 THEN 'SAFE_DELETE' WHEN c_mktsegment = 'BUILDING' THEN 'DO_NOT_DELETE' WHEN c_acctbal / 500 > 10 THEN 'INVESTIGATE' ELSE 'REVIEW_SUGGESTED' END AS risk FROM customer
+            WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase'))""",
 }
 
 SQL |= fixture_sql.SQL

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Weights of the dimensions.
@@ -49,24 +52,103 @@ SENSITIVE = ("salary", "ssn", "email", "password", "credit", "financial")
 MEASURE_TABLES = ("_Measures", "Calculations", "_Calculations")
 
 
-def read_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """dimension, rule, rule_no, per_unit, most, severity, recommendation; ``path``: a YAML file whose ``scoring`` overrides points.
+#: Grades by the least score that gets them, and the limits that rules compare with.
+GRADES = {"A": 85, "B": 75, "C": 60, "D": 45, "F": 0}
+LIMITS = {
+    "complex_measure_min_lines": 5, "max_measure_nesting_depth": 4, "warning_threshold": 8, "critical_threshold": 12,
+    "low_confidence_classification": 0.60, "high_classification_confidence": 0.85, "var_usage_rate": 0.70, "no_description_on_measures": 0.50, "static_rls_overuse": 5,
+}
+#: What a rule file calls the dimensions' weights, and the points of one unit or at once.
+FILE_WEIGHTS = {"model_health": "MODEL", "dax_quality": "DAX", "report_design": "REPORT", "governance": "GOVERNANCE"}
+FILE_UNITS = ("per_table_ratio", "per_relationship", "per_table", "per_column", "per_measure", "per_visual", "per_visual_over_warning", "per_role_over_threshold", "value")
+_COLUMNS = ("dimension", "rule", "rule_no", "per_unit", "most", "severity", "recommendation")
+_SCHEMA = "dimension string, rule string, rule_no int, per_unit double, most double, severity string, recommendation string"
+
+
+@dataclass
+class RuleSet:
+    """Rules, weights, ceilings and limits of one run. ``add`` registers a caller's own rule."""
+
+    rows: dict[tuple[str, str], list] = field(default_factory=lambda: {(d, r): [d, r, i, per, most, severity, text] for i, (d, r, per, most, severity, text) in enumerate(RULES)})
+    weights: dict[str, float] = field(default_factory=lambda: dict(WEIGHTS))
+    ceilings: dict[str, int] = field(default_factory=lambda: dict(CEILINGS))
+    grades: dict[str, int] = field(default_factory=lambda: dict(GRADES))
+    limits: dict[str, float] = field(default_factory=lambda: dict(LIMITS))
+    forbidden: tuple[str, ...] = FORBIDDEN_NAMES
+    sensitive: tuple[str, ...] = SENSITIVE
+    measure_tables: tuple[str, ...] = MEASURE_TABLES
+    #: Rules that a file names and that are not evaluated.
+    unscored: list[str] = field(default_factory=list)
+    own: list[tuple[str, str, Callable[[Mapping[str, DataFrame]], DataFrame]]] = field(default_factory=list)
+
+    def frame(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame([tuple(r) for r in self.rows.values()], _SCHEMA)
+
+    def add(self, dimension: str, rule: str, per_unit: float, most: float, severity: str | None, recommendation: str | None, find: Callable[[Mapping[str, DataFrame]], DataFrame]) -> None:
+        """A rule of the caller: ``find`` gets the relations and returns (project, n, affected) with n findings each; ``most`` below zero is a bonus."""
+        if dimension not in self.weights:
+            raise ValueError(f"unknown dimension: {dimension}")
+        if (dimension, rule) in self.rows:
+            raise ValueError(f"there is a rule {dimension}.{rule}")
+        self.rows[dimension, rule] = [dimension, rule, len(self.rows), float(per_unit), float(most), severity, recommendation]
+        self.own.append((dimension, rule, find))
 
-    Such a file maps dimension and rule to ``per_unit``, ``most`` or ``severity``; unknown rules are refused.
-    """
-    rows = {(d, r): [d, r, i, per, most, severity, text] for i, (d, r, per, most, severity, text) in enumerate(RULES)}
-    if path:
+    def _points(self, dimension: str, rule: str, given: dict, bonus: bool) -> None:
+        """One rule of a file's penalties or bonuses."""
+        row = self.rows.get((dimension, rule))
+        if row is None:
+            self.unscored.append(f"{dimension}.{rule}")
+            return
+        units = [float(given[k]) for k in FILE_UNITS if k in given]
+        if units:
+            row[3] = units[0]
+            row[4] = float(given.get("max", units[0])) * (-1 if bonus else 1)
+        for key in ("threshold", "ratio_threshold"):
+            if key in given and rule in self.limits:
+                self.limits[rule] = float(given[key])
+        self.limits |= {k: float(given[k]) for k in ("warning_threshold", "critical_threshold") if k in given}
+
+    def read(self, path: str) -> RuleSet:
+        """Take over a YAML rule file: ``scoring`` with weights, and penalties, bonuses, ceilings, limits and names by dimension; or changes by dimension and rule."""
         import yaml
 
         with open(path, encoding="utf-8") as f:
             given = yaml.safe_load(f)
         if not given or "scoring" not in given:
             raise ValueError("the rule file has no scoring section")
-        for dimension, rules in given["scoring"].items():
-            for rule, change in rules.items():
-                row = rows.get((dimension.upper(), rule))
+        self.grades |= given["scoring"].get("grade_thresholds") or {}
+        for section, content in given["scoring"].items():
+            if section == "weights":
+                self.weights |= {FILE_WEIGHTS[k]: float(v) for k, v in content.items()}
+            elif section not in ("grade_thresholds", "metadata"):
+                self._dimension(section.upper(), content)
+        return self
+
+    def _dimension(self, dimension: str, content: dict) -> None:
+        if dimension not in self.weights:
+            raise ValueError(f"unknown dimension: {dimension}")
+        for rule, change in content.items():
+            if rule in ("penalties", "bonuses"):
+                for name, given in (change or {}).items():
+                    self._points(dimension, name, given or {}, rule == "bonuses")
+            elif rule == "schema_ceilings":
+                self.ceilings |= change
+            elif rule == "thresholds":
+                self.limits |= {k: float(v) for k, v in change.items() if k in self.limits}
+            elif rule == "naming_conventions":
+                self.forbidden = tuple(change.get("forbidden_names", self.forbidden))
+            else:
+                row = self.rows.get((dimension, rule))
                 if row is None:
-                    raise ValueError(f"unknown rule: {dimension}.{rule}")
+                    raise ValueError(f"unknown rule: {dimension.lower()}.{rule}")
                 for key, value in change.items():
-                    row[("dimension", "rule", "rule_no", "per_unit", "most", "severity", "recommendation").index(key)] = float(value) if key in ("per_unit", "most") else value
-    return spark.createDataFrame([tuple(r) for r in rows.values()], "dimension string, rule string, rule_no int, per_unit double, most double, severity string, recommendation string")
+                    row[_COLUMNS.index(key)] = float(value) if key in ("per_unit", "most") else value
+
+
+def read_rule_set(path: str | None = None) -> RuleSet:
+    return RuleSet().read(path) if path else RuleSet()
+
+
+def read_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
+    """dimension, rule, rule_no, per_unit, most, severity, recommendation."""
+    return read_rule_set(path).frame(spark)

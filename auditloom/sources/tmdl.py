@@ -6,13 +6,16 @@ are a column, so a batch is one job. Files are small: a file is a row.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import valid_text
+from .shared import ensure_checkpoint_dir
 
 
 def project_name(path: Column) -> Column:
@@ -22,18 +25,27 @@ def project_name(path: Column) -> Column:
     return F.regexp_replace(F.when(found != "", found).otherwise(plain), r"(\.SemanticModel|\.pbip)", "")
 
 
-#: How deep under a root a project may lie.
-DEPTH = 4
+#: File systems that Python on the executors opens itself.
+_OPENED = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 
 
 def _underscored(spark: SparkSession, root: str) -> DataFrame:
-    """path and content of table files whose names start with an underscore: Spark's own readers take them for hidden.
+    """path and content of definition files whose names start with an underscore, at any depth: Spark's own readers take them for hidden.
 
-    The file system's glob finds them, some for each project; executors read them.
+    The file system lists them page by page, some for each project; executors
+    read them. Where a store is known to the JVM only, they are copied to the
+    shared folder under plain names first, and Spark reads the copies.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    found = [s.getPath().toString() for depth in range(DEPTH + 1) for s in fs.globStatus(path(root + "/*" * depth + "/definition/tables/_*.tmdl")) or []]
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    store = hadoop.Path(root).getFileSystem(conf)
+    every = store.listFiles(hadoop.Path(root), True)
+    found = []
+    while every.hasNext():
+        place = every.next().getPath()
+        if place.getName().startswith("_") and place.getName().endswith(".tmdl"):
+            found.append(place)
+    if store.getScheme() not in _OPENED:
+        return _copied(spark, store, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs as files
@@ -42,12 +54,32 @@ def _underscored(spark: SparkSession, root: str) -> DataFrame:
             uris = batch.column("path").to_pylist()
             texts = []
             for uri in uris:
-                store, name = files.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-                with store.open_input_stream(name) as stream:
+                if uri.startswith("file:/"):
+                    own, name = files.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+                else:
+                    own, name = files.FileSystem.from_uri(uri)
+                with own.open_input_stream(name, compression=None) as stream:
                     texts.append(stream.read())
             yield pa.RecordBatch.from_arrays([pa.array(uris), pa.array(texts, pa.binary())], names=["path", "content"])
 
-    return spark.createDataFrame([(x,) for x in found], "path string").mapInArrow(run, "path string, content binary")
+    return spark.createDataFrame([(x.toString(),) for x in found], "path string").mapInArrow(run, "path string, content binary")
+
+
+def _copied(spark: SparkSession, store: object, found: list) -> DataFrame:
+    """path and content of the files ``found`` in ``store``, from copies with plain names in the shared folder."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/copies-{uuid.uuid4().hex}"
+    there = hadoop.Path(folder).getFileSystem(conf)
+    there.mkdirs(hadoop.Path(folder))
+
+    def copy(item: tuple[int, object]) -> None:
+        hadoop.FileUtil.copy(store, item[1], there, hadoop.Path(f"{folder}/{item[0]}.tmdl"), False, conf)
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(copy, enumerate(found)))
+    names = spark.createDataFrame([(str(i), x.toString()) for i, x in enumerate(found)], "copy string, path string")
+    raw = spark.read.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").load(folder)
+    return raw.select(F.regexp_extract("path", r"([0-9]+)\.tmdl$", 1).alias("copy"), "content").join(names, "copy").select("path", "content")
 
 
 def read_tmdl(spark: SparkSession, root: str) -> DataFrame:
@@ -77,6 +109,29 @@ def read_report(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def read_roles(spark: SparkSession, root: str) -> DataFrame | None:
+    """project, role, is_dynamic of each role file (``definition/roles``): dynamic if a filter asks for the user. None if there are none."""
+    files = read_tmdl(spark, root).where(F.col("rel_path").rlike("^roles/"))
+    roles = files.select("project", F.col("file_stem").alias("role"), F.upper("content").rlike(r"USERPRINCIPALNAME\s*\(|USERNAME\s*\(").alias("is_dynamic"))
+    return roles if roles.limit(1).count() else None
+
+
+def found_projects(spark: SparkSession, root: str) -> DataFrame:
+    """project of every folder under ``root`` that is named as one, files in it or not; the file system lists the folders."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    store = hadoop.Path(root).getFileSystem(conf)
+    names, open_ = set(), [hadoop.Path(root)]
+    while open_:
+        for status in store.listStatus(open_.pop()):
+            if status.isDirectory():
+                name = status.getPath().getName()
+                if name.endswith((".SemanticModel", ".pbip")):
+                    names.add(name.removesuffix(".SemanticModel").removesuffix(".pbip"))
+                if not name.endswith((".SemanticModel", ".Report")):
+                    open_.append(status.getPath())
+    return spark.createDataFrame([(x,) for x in sorted(names)], "project string")
+
+
 def table_files(files: DataFrame) -> DataFrame:
     """The files of tables; a table is named by its file."""
     return files.where(F.col("rel_path").rlike("^tables/")).withColumnRenamed("file_stem", "table")

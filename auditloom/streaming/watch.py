@@ -29,7 +29,8 @@ def watch(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool
         changed = files.select("project").distinct()
         whole = read_tmdl(spark, root).join(changed, "project", "left_semi")
         report = read_report(spark, root).join(changed, "project", "left_semi")
-        write_relations(audit.relations(whole, report), f"{out}/batch={number}")
+        with audit.relations(whole, report) as r:
+            write_relations(r, f"{out}/batch={number}")
 
     writer = read_stream(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,7 +1,8 @@
 """The audit on text fixtures: blocks, columns, references, expressions, graph, classes, scores, sinks."""
 
-import json
 import os
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +120,89 @@ def test_governance_boundaries(spark):
     assert ("b", "no_rls_defined") in got and ("a", "no_rls_defined") not in got and ("c", "documented_measures") in got
 
 
+def test_projects_at_any_depth(spark, tmp_path):
+    """Files with a leading underscore are read wherever they lie, and where only Spark knows the store; empty projects are named."""
+    deep = tmp_path / "a/b/c/d/e/f/g/Über.SemanticModel/definition/tables"
+    deep.mkdir(parents=True)
+    (deep / "_Measures.tmdl").write_text("table _Measures\n\tmeasure A = 1 + 1\n")
+    (deep / "sales.tmdl").write_text("table sales\n\tcolumn B\n")
+    (deep.parent / "roles").mkdir()
+    (deep.parent / "roles" / "own.tmdl").write_text("role own\n\ttablePermission sales = [B] = USERPRINCIPALNAME()\n")
+    (tmp_path / "x/Empty.SemanticModel/definition").mkdir(parents=True)
+    files = tmdl.read_tmdl(spark, str(tmp_path))
+    assert {(r["project"], r["rel_path"]) for r in files.collect()} == {("Über", "tables/_Measures.tmdl"), ("Über", "tables/sales.tmdl"), ("Über", "roles/own.tmdl")}
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    place = path(str(deep / "_Measures.tmdl"))
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    (row,) = tmdl._copied(spark, store, [place]).collect()
+    assert row["path"].endswith("_Measures.tmdl") and bytes(row["content"]).startswith(b"table _Measures")
+    with audit.analyze(spark, str(tmp_path)) as r:
+        assert [x["project"] for x in r["skipped_projects"].collect()] == ["Empty"]
+        assert r["measures"].count() == 1
+        assert r["issues"].where("rule = 'dynamic_rls_implemented'").count() == 1
+    assert not os.path.exists(r.run.root.removeprefix("file:"))
+
+
+def test_command_line(spark, project, tmp_path, capsys):
+    from auditloom.__main__ import main
+
+    assert main([project, "--out", str(tmp_path / "o")]) == 0
+    said = capsys.readouterr().out
+    assert "shop: 92 A" in said and "1 projects, 0 skipped" in said
+    assert spark.read.json(str(tmp_path / "o/data/columns")).count() == 19 and spark.read.json(str(tmp_path / "o/documents")).count() == 3
+
+
+def test_lists_and_wrapped_lists(spark, tmp_path):
+    for name, text in (("a", '[{"x": 1}, {"x": 2}]'), ("b", '{"rows": [{"x": 3}]}'), ("c", "{bad"), ("d", '{"other": 1}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    assert sorted(r["x"] for r in sinks.as_list(spark, str(tmp_path), "rows", "x int").collect()) == [1, 2, 3]
+
+
+def test_rule_file_with_penalties_and_bonuses(spark, tmp_path):
+    path = tmp_path / "rules.yaml"
+    path.write_text("""
+scoring:
+  weights: {model_health: 0.4, dax_quality: 0.2, report_design: 0.2, governance: 0.2}
+  model:
+    penalties:
+      many_to_many: {per_relationship: 7, max: 21, label: x}
+      isolated_tables: {per_table_ratio: 40, max: 30}
+      no_fact_table: {condition: y, value: 11}
+    bonuses:
+      bridge_tables_present: {per_table: 1, max: 3}
+      high_classification_confidence: {threshold: 0.5, value: 6}
+    schema_ceilings: {STAR: 50, GALAXY: 50, SNOWFLAKE: 50}
+  dax:
+    penalties:
+      duplicate_logic: {per_pair: 4, max: 12}
+    thresholds: {complex_measure_min_lines: 2}
+  report:
+    penalties:
+      visuals_per_page: {warning_threshold: 20, critical_threshold: 30, per_visual_over_warning: 2, max: 15}
+  governance:
+    naming_conventions: {forbidden_names: [calendar]}
+""")
+    pytest.importorskip("yaml")
+    names = rules.read_rule_set(str(path))
+    rows = {r["rule"]: (r["per_unit"], r["most"]) for r in names.frame(spark).collect()}
+    assert rows["many_to_many"] == (7, 21) and rows["isolated_tables"] == (40, 30) and rows["no_fact_table"] == (11, 11)
+    assert rows["bridge_tables_present"] == (1, -3) and rows["high_classification_confidence"] == (6, -6)
+    assert names.unscored == ["DAX.duplicate_logic"] and names.weights["MODEL"] == 0.4 and names.ceilings["STAR"] == 50 and names.limits["complex_measure_min_lines"] == 2
+
+    def wide(r):
+        found = r["tables"].where("column_count >= 9").groupBy("project").agg(F.count("*").alias("n"), F.collect_list("table").alias("affected"))
+        return found
+
+    names.add("GOVERNANCE", "wide_tables", 3, 9, "INFO", "Split wide tables.", wide)
+    with pytest.raises(ValueError, match="there is a rule"):
+        names.add("GOVERNANCE", "wide_tables", 3, 9, "INFO", None, wide)
+    r = audit.relations(fixtures.files(spark, "shop"), fixtures.report(spark, "shop"), rules_path=names)
+    got = {x["rule"]: x for x in r["issues"].collect()}
+    assert got["wide_tables"]["points"] == -3 and got["wide_tables"]["affected"] == ["sales"]
+    assert got["many_to_many"]["points"] == -7 and "visuals_per_page" not in got and got["naming_violations"]["affected"] == ["calendar"]
+    assert r["dimension_scores"].where("dimension = 'MODEL'").first()["score"] <= 50
+
+
 def test_rule_files(spark, tmp_path):
     path = tmp_path / "rules.yaml"
     path.write_text("scoring:\n  dax:\n    nested_iterators: {per_unit: 1, most: 2}\n")
@@ -151,18 +235,26 @@ def test_projects_on_disk(spark, project, tmp_path):
     assert {(r["page_id"], r["visual_id"]) for r in report.collect()} == {(p, v) for p, v, _ in fixtures.REPORT}
     assert {r["project"] for r in files.collect()} == {r["project"] for r in report.collect()} == {"shop"}
     r = audit.analyze(spark, project)
-    assert r["project_scores"].first()["grade"] == "A"
+    assert len(r) == len(list(r)) and "_objects" not in list(r)
+    assert r["project_scores"].first()["grade"] == "A" and r["skipped_projects"].count() == 0
     usage = r["usage_summary"].first()
     assert usage["total_columns"] == usage["used_columns"] + usage["total_unused"]
     assert sum(x["share"] for x in charts.class_shares(r["classifications"]).collect()) == pytest.approx(100, abs=0.3)
     nodes, edges = charts.relationship_graph(r["tables"], r["relationships"])
     assert nodes.count() == 6 and edges.count() == 3
     assert charts.measure_graph_statistics(r["measures"], r["measure_edges"]).first()["edges"] == 11
-    paths = sinks.write_documents(documents.compliance(r), str(tmp_path / "out"))
-    assert open(paths[0]).read().startswith("# Compliance: shop\nScore 92, grade A")
-    sinks.write_relations({"columns": r["columns"]}, str(tmp_path / "rel"))
-    assert spark.read.json(str(tmp_path / "rel/columns")).count() == 19
-    assert json.dumps(sorted(os.listdir(tmp_path / "rel")))
+    written = sinks.write_documents(documents.all_documents(r), str(tmp_path / "out"))
+    place = Path(written.where("document = 'compliance'").first()["path"])
+    (part,) = place.glob("part-*")
+    assert part.read_text().startswith("# Compliance: shop\nScore 92, grade A") and written.count() == 3
+    some = {name: r[name] for name in ("columns", "issues", "project_scores", "datasource_counts", "relationship_summary", "score_metadata")}
+    sinks.write_relations(some, str(tmp_path / "rel"))
+    again = sinks.read_relations(spark, str(tmp_path / "rel"), {**some, "pages": r["pages"]})
+    for name, df in some.items():
+        assert sorted(map(str, again[name].select(*df.columns).collect())) == sorted(map(str, df.collect())), name
+    assert again["pages"].count() == 0 and set(sinks.read_relations(spark, str(tmp_path / "rel"))) == set(some)
+    meta = r["score_metadata"].first()
+    assert (meta["total_tables"], meta["total_measures"], meta["total_relationships"], meta["total_pages"]) == (6, 12, 4, 2)
     answers = prompts.complete(prompts.prompts(r), lambda p: p.split()[0]).collect()
     assert {a["answer"] for a in answers} == {"Describe"} and len(answers) == 4
     assert prompts.token_usage(r["measures"]).where("token = 'IF'").first()["n"] == 1
@@ -181,6 +273,40 @@ def test_empty_projects(spark):
     assert all(r[name].count() == 0 for name in ("columns", "measures", "classifications", "project_scores", "unused_summary"))
 
 
+def test_longest_paths(spark):
+    """Chains and ladders of any length; rings as they are walked one by one."""
+    chain = {f"m{i}": {f"m{i + 1}"} for i in range(500)}
+    assert measures.longest(chain)["m0"] == 500
+    ladder = {f"{s}{i}": {f"a{i + 1}", f"b{i + 1}"} for i in range(40) for s in "ab"}
+    assert measures.longest(ladder)["a0"] == 40
+    assert measures.longest({"1": {"2"}, "2": {"3"}, "3": {"1"}}) == {"1": 3, "2": 3, "3": 3}
+
+    def walked(edges, node, seen=frozenset()):
+        if node in seen or not edges.get(node):
+            return 0
+        return 1 + max(walked(edges, d, seen | {node}) for d in edges[node])
+
+    random.seed(3)
+    for _ in range(300):
+        n = random.randint(2, 7)
+        edges = {}
+        for a in range(n):
+            for b in range(n):
+                if a != b and random.random() < 0.25:
+                    edges.setdefault(str(a), set()).add(str(b))
+        assert measures.longest(edges) == {x: walked(edges, x) for x in edges}, edges
+    ring = {str(i): {str((i + 1) % 30)} for i in range(30)}
+    assert set(measures.longest(ring).values()) == {30}
+    rows = [("p", a, b) for a, own in chain.items() for b in own] + [("q", a, b) for a, own in ladder.items() for b in own]
+    got = {(r["project"], r["name"]): r["depth"] for r in measures.depths(spark.createDataFrame(rows, "project string, name string, dependency string")).collect()}
+    assert got["p", "m0"] == 500 and got["q", "b0"] == 40
+
+
+def test_first_affected(spark):
+    rows = spark.createDataFrame([("p", x) for x in ("d", "a", "c", "a", "b")] + [("q", "z"), (None, "y")], "project string, name string")
+    assert {r["project"]: (r["first"], r["more"]) for r in scoring.first_affected(rows, "name").collect()} == {"p": (["a", "b", "c"], 1), "q": (["z"], 0), None: (["y"], 0)}
+
+
 def test_graph_shapes(spark):
     rows = [("p", n, e) for n, e in (("a", "1"), ("b", "[a]"), ("c", "[a] + [b]"), ("d", "[c] + [b]"), ("self", "[self] + 1"), ("u", "[nowhere]"), ("col", "[X]"))]
     m = extract.analysed(spark.createDataFrame(rows, "project string, name string, expression string"))

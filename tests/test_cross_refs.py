@@ -22,12 +22,12 @@ def brute(part, supplier):
 def test_whole_table(spark):
     rows = pq.read_table(f"{SF}/lineitem.parquet", columns=["l_partkey", "l_suppkey"])
     want = brute(*(c.to_pylist() for c in rows.columns))
-    got = [tuple(r) for r in entry.queries()["cross_refs_whole"](spark, SF).select("l_suppkey", "other", "shared_parts").collect()]
+    got = [tuple(r) for r in entry.queries()["cross_refs"](spark, SF).select("l_suppkey", "other", "shared_parts").collect()]
     assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_small_quantities_and_repeated_lines_count_once(spark, tmp_path):
     rows = [(1, 1, 1.0), (1, 2, 1.0), (2, 1, 44.0), (2, 2, 2.0), (2, 2, 2.0), (3, 3, 50.0), (3, 1, 50.0), (3, 1, 50.0)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
-    got = [tuple(r) for r in entry.queries()["cross_refs_whole"](spark, str(tmp_path)).select("l_suppkey", "other", "shared_parts").collect()]
+    got = [tuple(r) for r in entry.queries()["cross_refs"](spark, str(tmp_path)).select("l_suppkey", "other", "shared_parts").collect()]
     assert got == [(1, 2, 2)]

@@ -8,7 +8,7 @@ from auditloom.plans import audit, documents, fixtures, prompts, queries
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    return queries._audit(spark)
+    return audit.relations(fixtures.files(spark, "shop"), fixtures.report(spark, "shop"))
 
 
 def texts(shop):
@@ -55,7 +55,7 @@ def test_sections_on_unused(shop):
 
 
 def test_project_without_measures_has_prompts(spark):
-    bare = fixtures.files(spark).withColumn("content", F.regexp_replace("content", r"(?m)^\tmeasure ", "\tnothing "))
+    bare = fixtures.files(spark, "shop").withColumn("content", F.regexp_replace("content", r"(?m)^\tmeasure ", "\tnothing "))
     r = audit.relations(bare)
     assert r["measures"].count() == 0
     assert {p["block"] for p in prompts.prompts(r).collect()} == {"overview", "expressions", "performance", "quality"}
