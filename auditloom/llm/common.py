@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,27 +18,56 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 1 << 18
 #: Bytes of an Arrow batch at most: what a Python worker and its buffer in the executor hold of the input at a time.
 BATCH_BYTES = 4 << 20
-#: A set of ids is broadcast only up to this many rows (8 bytes each); beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: A table is broadcast only up to this many cells (8 bytes each); beyond it the join shuffles.
+BROADCAST_ROWS = 250_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a local session gets one of its own; a cluster has none to guess."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="auditloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+class Scratch:
+    """The tables that one run writes to the shared folder, in a folder of its own: it goes when Python ends, single tables earlier."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.paths = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", {}
+        atexit.register(_remove, spark, self.root)
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` once and read it back: lineage ends there, lost executors cost nothing."""
+        path = f"{self.root}/{name}-{len(self.paths.setdefault(name, []))}"
+        self.paths[name].append(path)
+        df.write.option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Remove tables that no later plan reads."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                _remove(self.spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """Delete ``path`` by the file system that holds it; when the JVM is gone already, nothing can be done."""
+    context = spark.sparkContext
+    try:
+        conf = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    except (Py4JError, AttributeError, OSError):
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """Write ``df`` once to a folder of its own and read it back."""
+    return Scratch(df.sparkSession, name).table(df, name)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +76,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def semi_by_size(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows of ``df`` whose ``key`` is in ``ids`` (distinct rows); broadcast only if the count allows it."""
-    small = ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return df.join(F.broadcast(ids) if small else ids, key, "left_semi")
+    return join_by_size(df, ids, [key], "left_semi")
+
+
+def join_by_size(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner", null_safe: bool = False) -> DataFrame:
+    """``df`` joined with ``small``, which is broadcast only if it has few cells; beyond that both are shuffled and hot keys of ``df`` are split.
+
+    ``small`` should be a written table: its rows are counted, and a join with it alone can be split.
+    """
+    limit = BROADCAST_ROWS // len(small.columns)
+    if small.limit(limit + 1).count() <= limit:
+        small = F.broadcast(small)
+    if not null_safe:
+        return df.join(small, on, how)
+    return df.join(small, reduce(lambda a, b: a & b, (df[c].eqNullSafe(small[c]) for c in on)), how)
 
 
 def text_batches(batch: pa.RecordBatch, column: str, limit: int = 4 * CHUNK_BYTES) -> Iterator[tuple[int, list[str]]]:

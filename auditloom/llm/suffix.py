@@ -7,21 +7,27 @@ is filed under its anchor: the position, among those it can hold, whose gram of
 whose gram occurs twice are followed up, each with the bytes around it that its
 strings can reach (its context).
 
-Contexts that are equal are one class: where a class has two members all its
-strings repeat. The distinct contexts of a gram are put into a text, the gram
-itself as one symbol that sorts first, and their suffixes are sorted in two
-stages: those smaller than their successor directly, all others induced by one
-scan over the buckets of first symbols. Neighbours in the suffix array whose
-common prefix is a whole string are repeats.
-
-A gram with very many distinct contexts is not sorted in one task: its strings
-are cut into two halves by where they start, each half has a longer common gram,
-and contexts are filed anew under it, until the groups are small. At most eight
-such rounds lead to single strings, where equal keys are equal strings.
-
-Nulls: a null text is empty. Rows are told apart by id and text together, so
-repeated rows repeat each other. Texts shorter than ``LENGTH`` keep all bytes.
-An empty table gives an empty result; extra columns are ignored.
+Equal contexts are one class, which counts as often as it has members. The
+classes of a gram are put into a text, the gram itself as one symbol that sorts
+first, and their suffixes are sorted in two stages: those smaller than their
+successor directly, all others induced by one scan over the buckets of first
+symbols. Neighbours in the suffix array whose common prefix is a whole string
+are one run; the strings of a run that counts more than once are repeats, in
+all members of its classes.
+
+A gram of very many classes is not sorted in one task: its strings are cut into
+two ranges by where they start, each range has a longer common gram, and the
+cut contexts are filed anew under it and counted, until the groups are small
+enough to be sorted. At most eight such rounds lead to single strings.
+
+Besides, the text is winnowed: of every ``PASSAGE - GRAM + 1`` neighbouring
+grams the one that hashes lowest is looked up. Each passage of ``PASSAGE`` bytes
+(fifty words or so) that occurs elsewhere holds one that does; a text that
+shares no ``GRAM`` bytes holds none. This is counted only, nothing is removed for it.
+
+Nulls: a null text is empty; a null id is an id. Repeated rows repeat each
+other. Texts shorter than ``LENGTH`` keep all bytes. An empty table gives an
+empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,29 +38,25 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, map_arrow, materialize, mix64, semi_by_size, text_batches
+from .common import ByteHash, Scratch, join_by_size, map_arrow, mix64, text_batches
 
-LENGTH, GRAM = 400, 256
+LENGTH, GRAM, PASSAGE = 400, 200, 264
 REACH = LENGTH - GRAM
-#: Distinct contexts that one group may have, and that are sorted at a time.
-GROUP, BLOCK = 2000, 3000
+#: Classes that one group may have, and that are sorted at a time.
+GROUP, BLOCK = 200, 2000
 _AT_BITS = 26
 #: Symbols of a context's text: the gram sorts first, the end last; bytes are shifted by one (UTF-8 has none above 0xF4).
 _GRAM_SYMBOL, _END_SYMBOL = 0, 255
 
 
-def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(position, key, context hash, left and right reach) of a text's anchors; ``data`` has LENGTH bytes at least."""
-    n, width = len(data), REACH + 1
-    hashed = ByteHash(data)
-    first = np.arange(n - GRAM + 1)
-    grams = hashed.slices(first, first + GRAM)
+def lowest(grams: np.ndarray, width: int) -> np.ndarray:
+    """Positions, ascending, of the lowest of every ``width`` neighbouring hashes (the first of equal ones)."""
     found = []
     step = (1 << _AT_BITS) - width
-    for base in range(0, max(1, len(grams) - width + 1), step):
+    for base in range(0, len(grams) - width + 1, step):
         own = grams[base : base + step + width - 1]
         low = (own >> np.uint64(_AT_BITS) << np.uint64(_AT_BITS)) | np.arange(len(own), dtype=np.uint64)
         size = 1
@@ -63,71 +65,89 @@ def anchors(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
             size *= 2
         if rest := width - size:
             low = np.minimum(low[:-rest], low[rest:])
-        found.append(low[np.concatenate([[True], low[1:] != low[:-1]])] & np.uint64((1 << _AT_BITS) - 1))
-        found[-1] = found[-1].astype(np.int64) + base
-    at = np.unique(np.concatenate(found))
+        low = low[np.concatenate([[True], low[1:] != low[:-1]])]
+        found.append((low & np.uint64((1 << _AT_BITS) - 1)).astype(np.int64) + base)
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+
+
+def anchors(data: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the winnowed grams of a text, and (key, context hash, place) of its anchors; place packs position, left and right reach."""
+    n, none = len(data), np.zeros(0, np.int64)
+    if n < PASSAGE:
+        return none, (none, none, none)
+    hashed = ByteHash(data)
+    first = np.arange(n - GRAM + 1)
+    grams = hashed.slices(first, first + GRAM)
+    winnowed = grams[lowest(grams, PASSAGE - GRAM + 1)].view(np.int64)
+    at = lowest(grams, REACH + 1)
     left, right = np.minimum(at, REACH), np.minimum(n - at, LENGTH)
     shape = (left * 1024 + right).astype(np.uint64)
     context = mix64(hashed.slices(at - left, at + right) + shape * np.uint64(0x9E3779B97F4A7C15))
-    return at, grams[at].view(np.int64), context.view(np.int64), (left << 9) | right
+    return winnowed, (grams[at].view(np.int64), context.view(np.int64), (at << 17) | (left << 9) | right)
 
 
-def _filed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc, n_bytes, sha256 and anchors (key, context, place) of each row; place packs position and reaches."""
-    schema = "doc_id long, doc long, n_bytes long, sha256 string, anchors array<struct<key:long,context:long,place:long>>"
+def _lists(parts: list[pa.Array], sizes: list[int]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), parts[0])
+
+
+def _filed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc_id, n_bytes, sha256, winnowed grams and anchors (key, context, place) of each row, and a number of its own (row)."""
+    schema = "doc_id long, n_bytes long, sha256 string, grams array<long>, anchors array<struct<key:long,context:long,place:long>>"
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids, doc = batch.column("doc_id"), batch.column("doc")
+        ids = batch.column("doc_id")
         for begin, texts in text_batches(batch, "text"):
             raw = [x.encode("utf-8", "surrogatepass") for x in texts]
-            sizes, parts = [], []
-            for x in raw:
-                if len(x) < LENGTH:
-                    sizes.append(0)
-                    continue
-                at, key, context, reach = anchors(np.frombuffer(x, np.uint8))
-                sizes.append(len(at))
-                parts.append((key, context, (at << 17) | reach))
-            columns = [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in range(3)]
-            structs = pa.StructArray.from_arrays([pa.array(c) for c in columns], ["key", "context", "place"])
-            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            found = [anchors(np.frombuffer(x, np.uint8)) for x in raw]
+            grams = pa.array(np.concatenate([g for g, _ in found]))
+            structs = pa.StructArray.from_arrays([pa.array(np.concatenate([a[k] for _, a in found])) for k in range(3)], ["key", "context", "place"])
             yield {
                 "doc_id": ids.slice(begin, len(texts)),
-                "doc": doc.slice(begin, len(texts)),
                 "n_bytes": [len(x) for x in raw],
                 "sha256": [hashlib.sha256(x).hexdigest() for x in raw],
-                "anchors": pa.ListArray.from_arrays(offsets, structs),
+                "grams": _lists([grams], [len(g) for g, _ in found]),
+                "anchors": _lists([structs], [len(a[0]) for _, a in found]),
             }
 
-    return materialize(map_arrow(docs, work, schema), "filed")
+    return scratch.table(map_arrow(docs, work, schema).withColumn("row", F.monotonically_increasing_id()), "filed")
+
+
+def _sha() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
 
 
-def _row_key():
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))
+def _with_text(rows: DataFrame, filed: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` (row, ...) with the text of their row, found by id and SHA-256: texts are shuffled once, if their id is wanted."""
+    placed = rows.join(filed.select("row", F.col("doc_id").alias("__id"), F.col("sha256").alias("__sha")), "row")
+    texts = docs.withColumnRenamed("doc_id", "__id")
+    texts = join_by_size(texts, placed.select("__id").distinct(), ["__id"], "left_semi", null_safe=True)
+    texts = texts.select("__id", "text", _sha().alias("__sha")).dropDuplicates(["__id", "__sha"])
+    same = placed["__id"].eqNullSafe(texts["__id"]) & (placed["__sha"] == texts["__sha"])
+    return placed.join(texts, same).select(*rows.columns, "text")
 
 
-_CONTEXT = "key long, context long, doc long, at long, size int, left binary, right binary"
+_CONTEXT = "key long, context long, size int, n long, left binary, right binary"
 
 
-def _contexts(wanted: DataFrame, texts: DataFrame) -> DataFrame:
-    """The bytes around the anchors ``wanted`` (key, doc, place): a row of ``_CONTEXT`` each."""
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("own"))
-    rows = semi_by_size(texts, by_doc.select("doc"), "doc").dropDuplicates(["doc"]).join(by_doc, "doc")
+def _contexts(classes: DataFrame, filed: DataFrame, docs: DataFrame) -> DataFrame:
+    """The bytes around the first member of each class (key, context, n, row, place): a row of ``_CONTEXT`` each."""
+    by_row = classes.groupBy("row").agg(F.collect_list(F.struct("key", "context", "n", "place")).alias("own"))
+    rows = _with_text(by_row, filed, docs)
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        docs, own = batch.column("doc").to_pylist(), batch.column("own").to_pylist()
+        own = batch.column("own").to_pylist()
         for begin, pieces in text_batches(batch, "text"):
-            out: dict[str, list] = {k: [] for k in ("key", "context", "doc", "at", "size", "left", "right")}
+            out: dict[str, list] = {k: [] for k in ("key", "context", "size", "n", "left", "right")}
             for i, text in enumerate(pieces, begin):
                 raw = text.encode("utf-8", "surrogatepass")
                 for a in own[i]:
                     at, left, right = a["place"] >> 17, (a["place"] >> 9) & 255, a["place"] & 511
-                    row = (a["key"], 0, docs[i], at, REACH, raw[at - left : at], raw[at + GRAM : at + right])
+                    row = (a["key"], a["context"], REACH, a["n"], raw[at - left : at], raw[at + GRAM : at + right])
                     for k, v in zip(out, row, strict=True):
                         out[k].append(v)
             yield out
 
-    return map_arrow(rows.select("doc", "text", "own"), work, _CONTEXT)
+    return map_arrow(rows.select("text", "own"), work, _CONTEXT)
 
 
 # Sorting one block of contexts
@@ -182,12 +202,12 @@ def suffix_order(text: np.ndarray, first: np.ndarray, gram: np.ndarray, depth: i
     return np.concatenate(out)
 
 
-def common_prefix(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Whether each neighbour pair of ``order`` has ``depth`` symbols in common, word by word."""
+def common_prefix(text: np.ndarray, order: np.ndarray, depth: int, before: np.ndarray | None = None) -> np.ndarray:
+    """Whether each neighbour pair of ``order`` has ``depth`` symbols in common, word by word; pairs that differ in ``before`` (where their gram stands) have not."""
     padded = np.concatenate([text, np.zeros(8, np.uint8)])
     words = np.ndarray((len(text) + 1,), np.uint64, padded.data, strides=(1,))
     a, b = order[:-1], order[1:]
-    alive = np.arange(len(a))
+    alive = np.arange(len(a)) if before is None else np.flatnonzero(before[1:] == before[:-1])
     for k in [*range(0, depth - 7, 8), depth - 8] if depth >= 8 else []:
         alive = alive[words[a[alive] + k] == words[b[alive] + k]]
     for k in range(depth) if depth < 8 else []:
@@ -197,8 +217,8 @@ def common_prefix(text: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray
     return same
 
 
-def repeats(keys: np.ndarray, lefts: list[bytes], rights: list[bytes], size: int) -> Iterator[tuple[int, int, int]]:
-    """(context, least, most): strings that start least to most symbols before the gram hold all that the context shares with others of its key."""
+def repeats(keys: np.ndarray, counts: np.ndarray, lefts: list[bytes], rights: list[bytes], size: int) -> Iterator[tuple[int, int, int]]:
+    """(context, least, most): strings that start least to most symbols before the gram hold all that occur more than once under the context's key."""
     depth = size + 1
     left, right = np.array([len(x) for x in lefts]), np.array([len(x) for x in rights])
     length = left + right + 2
@@ -212,10 +232,11 @@ def repeats(keys: np.ndarray, lefts: list[bytes], rights: list[bytes], size: int
     before = gram[owner] - order
     whole = size - before <= right[owner]
     order, owner, before = order[whole], owner[whole], before[whole]
-    run = np.concatenate([[0], np.cumsum(~common_prefix(text, order, depth))]) if len(order) else np.zeros(0, np.int64)
+    same = common_prefix(text, order, depth, before)
+    run = np.concatenate([[0], np.cumsum(~same)]) if len(order) else np.zeros(0, np.int64)
     _, key = np.unique(keys, return_inverse=True)
-    _, of, count = np.unique(run * (len(keys) + 1) + key[owner], return_inverse=True, return_counts=True)
-    again = count[of] > 1
+    _, of = np.unique(run * (len(keys) + 1) + key[owner], return_inverse=True)
+    again = np.bincount(of, weights=np.minimum(counts, 2)[owner])[of] > 1 if len(of) else np.zeros(0, bool)
     owner, before = owner[again], before[again]
     least, most = np.full(len(keys), depth), np.full(len(keys), -1)
     np.minimum.at(least, owner, before)
@@ -224,94 +245,123 @@ def repeats(keys: np.ndarray, lefts: list[bytes], rights: list[bytes], size: int
         yield i, int(least[i]), int(most[i])
 
 
-_SPAN = pa.schema([("doc", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+_SPAN = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("begin", pa.int64()), ("end", pa.int64())])
+
+
+def _found(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
+    """(key, context, begin, end) of whole groups, rows (size, key, context, n, left, right) in order. A group of one class has no neighbours to compare."""
+    size, several = rows[0][0], []
+    for i, (_, key, context, n, left, right) in enumerate(rows):
+        alone = (not i or rows[i - 1][1] != key) and (i + 1 == len(rows) or rows[i + 1][1] != key)
+        if not alone:
+            several.append(i)
+        elif n > 1 and len(left) + len(right) >= size:
+            yield key, context, -len(left), LENGTH - max(0, size - len(right))
+    if several:
+        keys, counts, lefts, rights = (np.array([rows[i][1] for i in several], np.int64), np.array([rows[i][3] for i in several], np.int64), [rows[i][4] for i in several], [rows[i][5] for i in several])
+        for i, least, most in repeats(keys, counts, lefts, rights, size):
+            yield rows[several[i]][1], rows[several[i]][2], -most, LENGTH - least
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:
-    """(doc, begin, end) of what the suffix arrays of small groups find."""
+    """(key, context, begin, end), from the start of the gram, of what the suffix arrays of small groups find; at most one row a class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # whole groups, and the last one as far as it has come
-        whole = 0
-
-        def flush(rows: list[tuple]) -> pa.RecordBatch:
-            size = rows[0][0]
-            keys = np.array([r[1] for r in rows], np.int64)
-            docs, begin, end = [], [], []
-            for i, least, most in repeats(keys, [r[4] for r in rows], [r[5] for r in rows], size):
-                docs.append(rows[i][2])
-                begin.append(rows[i][3] - most)
-                end.append(rows[i][3] - least + LENGTH)
-            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (docs, begin, end)], schema=_SPAN)
+
+        def flush() -> pa.RecordBatch:
+            found = list(_found(held))
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in range(4)], schema=_SPAN)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("size", "key", "doc", "at", "left", "right")), strict=True):
-                if held and row[:2] != held[-1][:2]:
-                    whole = len(held)
-                    if whole >= BLOCK or row[0] != held[-1][0]:
-                        yield flush(held)
-                        held, whole = [], 0
+            for row in zip(*(batch.column(c).to_pylist() for c in ("size", "key", "context", "n", "left", "right")), strict=True):
+                if held and row[:2] != held[-1][:2] and (len(held) >= BLOCK or row[0] != held[-1][0]):
+                    yield flush()
+                    held.clear()
                 held.append(row)
         if held:
-            yield flush(held)
+            yield flush()
 
-    rows = contexts.repartition("size", "key").sortWithinPartitions("size", "key").select("size", "key", "doc", "at", "left", "right")
-    return rows.mapInArrow(run, "doc long, begin long, end long")
+    rows = contexts.select("size", "key", "context", "n", "left", "right").repartition("key").sortWithinPartitions("size", "key")
+    return rows.mapInArrow(run, "key long, context long, begin long, end long")
+
+
+_HALF = "key long, context long, of_key long, of_context long, shift long, size int, n long, left binary, right binary"
 
 
 def _halves(contexts: DataFrame) -> DataFrame:
     """Each context twice, filed under the longer grams that the first and the second half of its strings have in common."""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        out: dict[str, list] = {k: [] for k in ("key", "context", "doc", "at", "size", "left", "right")}
-        for key, doc, at, size, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "at", "size", "left", "right")), strict=True):
+        out: dict[str, list] = {k: [] for k in ("key", "context", "of_key", "of_context", "shift", "size", "n", "left", "right")}
+        for key, context, size, n, left, right in zip(*(batch.column(c).to_pylist() for c in ("key", "context", "size", "n", "left", "right")), strict=True):
             low = size // 2
             cut, more = size - low, low + 1
             halves = []
             if len(right) >= cut:
-                halves.append((b"r" + right[:cut], at, low, left[max(0, len(left) - low) :], right[cut:size]))
+                halves.append((b"r" + right[:cut], 0, low, left[max(0, len(left) - low) :], right[cut:size]))
             if len(left) >= more:
-                halves.append((b"l" + left[len(left) - more :], at - more, size - more, left[: len(left) - more], right[: size - more]))
-            for gained, start, width, own_left, own_right in halves:
+                halves.append((b"l" + left[len(left) - more :], -more, size - more, left[: len(left) - more], right[: size - more]))
+            for gained, shift, width, own_left, own_right in halves:
                 new = xxhash.xxh3_128_intdigest(gained, seed=key & ((1 << 64) - 1))
                 whole = xxhash.xxh3_64_intdigest(own_left + b"\xff" + own_right, seed=new >> 64)
-                row = ((new & ((1 << 64) - 1)) - (1 << 63), whole - (1 << 63), doc, start, width, own_left, own_right)
+                row = ((new & ((1 << 64) - 1)) - (1 << 63), whole - (1 << 63), key, context, shift, width, n, own_left, own_right)
                 for k, v in zip(out, row, strict=True):
                     out[k].append(v)
         yield out
 
-    return materialize(map_arrow(contexts, work, _CONTEXT), "halves")
-
-
-def repeated_spans(filed: DataFrame, texts: DataFrame, group: int = GROUP) -> DataFrame:
-    """(doc, begin, end) that cover exactly the bytes to remove; spans may overlap."""
-    each = filed.select("doc", F.explode("anchors").alias("a")).select("a.key", "a.context", "doc", "a.place")
-    twice = each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    again = materialize(each.join(twice, "key"), "anchors")
-    classes = materialize(again.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "place")).alias("first")).select("key", "context", "n", "first.doc", "first.place"), "classes")
-    position, left, right = F.shiftright("place", 17), F.shiftright("place", 9).bitwiseAND(255), F.col("place").bitwiseAND(511)
-    spans = [again.join(classes.where("n > 1").select("key", "context"), ["key", "context"]).select("doc", (position - left).alias("begin"), (position + right).alias("end"))]
-    distinct = classes.groupBy("key").agg(F.count("*").alias("distinct")).where("distinct > 1")
-    rows = materialize(_contexts(classes.join(distinct.select("key"), "key").select("key", "doc", "place"), texts), "contexts")
-    sizes = distinct
-    while True:
-        small = rows.join(sizes.where(F.col("distinct") <= group).select("key"), "key", "left_semi")
-        spans.append(materialize(_sorted_spans(small), "spans"))
-        large = sizes.where(F.col("distinct") > group).select("key")
-        if not large.limit(1).count():
-            break
-        halves = _halves(rows.join(large, "key", "left_semi"))
-        twice = halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-        halves = materialize(halves.join(twice, "key"), "halves")
-        same = materialize(halves.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc", "at")).alias("first")).select("key", "context", "n", "first.doc", "first.at"), "classes")
-        all_ = halves.join(same.where("n > 1").select("key", "context"), ["key", "context"])
-        spans.append(all_.select("doc", (F.col("at") - F.length("left")).alias("begin"), (F.col("at") + LENGTH - F.col("size") + F.length("right")).alias("end")))
-        sizes = same.groupBy("key").agg(F.count("*").alias("distinct")).where("distinct > 1")
-        rows = materialize(halves.join(same.drop("n"), ["key", "context", "doc", "at"], "left_semi").join(sizes.select("key"), "key", "left_semi"), "contexts")
-    out = spans[0]
-    for more in spans[1:]:
-        out = out.unionByName(more)
-    return out
+    return map_arrow(contexts, work, _HALF)
+
+
+_SPANS = "array<struct<begin:bigint,end:bigint>>"
+
+
+def _shifted(spans: str, by: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct((s["begin"] + by).alias("begin"), (s["end"] + by).alias("end")))
+
+
+def _joined(spans: Column) -> Column:
+    """Spans in order, those that overlap or touch as one."""
+    none = F.array().cast(_SPANS)
+
+    def step(done: Column, s: Column) -> Column:
+        last = F.element_at(done, -1)
+        longer = F.array(F.struct(last["begin"].alias("begin"), F.greatest(last["end"], s["end"]).alias("end")))
+        return F.when((F.size(done) > 0) & (F.get(done, F.size(done) - 1)["end"] >= s["begin"]), F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), longer)).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), none, step)
+
+
+def _spans_of_classes(rows: DataFrame, scratch: Scratch, group: int) -> DataFrame:
+    """(key, context, spans), a row a class, of the classes ``rows`` (``_CONTEXT``): small groups are sorted, large ones cut in halves first."""
+    sizes = scratch.table(rows.groupBy("key").agg(F.count("*").alias("classes")).where(F.col("classes") > group).select("key"), "large")
+    found = _sorted_spans(join_by_size(rows, sizes, ["key"], "left_anti"))
+    spans = scratch.table(found.select("key", "context", F.array(F.struct("begin", "end")).alias("spans")), "sorted")
+    if not sizes.limit(1).count():
+        return spans
+    halves = scratch.table(_halves(join_by_size(rows, sizes, ["key"], "left_semi")), "halves")
+    twice = scratch.table(halves.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key"), "twice")
+    again = join_by_size(halves, twice, ["key"], "left_semi")
+    cut = again.groupBy("key", "context").agg(F.min("size").alias("size"), F.sum("n").alias("n"), F.min("left").alias("left"), F.min("right").alias("right"))
+    inner = _spans_of_classes(scratch.table(cut, "cut"), scratch, group)
+    of = join_by_size(halves.select("key", "context", "of_key", "of_context", "shift"), inner, ["key", "context"])
+    of = of.select(F.col("of_key").alias("key"), F.col("of_context").alias("context"), _shifted("spans", F.col("shift")).alias("spans"))
+    outer = of.groupBy("key", "context").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumn("spans", _joined(F.col("spans")))
+    return spans.unionByName(scratch.table(outer, "outer"))
+
+
+def repeated_spans(filed: DataFrame, docs: DataFrame, scratch: Scratch, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """(row, spans) that cover exactly the bytes to remove, a row an anchor, and (row, n_passages): a row's winnowed grams that occur elsewhere."""
+    grams = filed.select("row", F.explode("grams").alias("key"))
+    twice = scratch.table(grams.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
+    passages = join_by_size(grams, twice, ["key"], "left_semi").groupBy("row").agg(F.count("*").alias("n_passages"))
+    each = filed.select("row", F.explode("anchors").alias("a")).select("a.key", "a.context", "row", "a.place")
+    again = scratch.table(join_by_size(each, twice, ["key"], "left_semi"), "anchors")
+    grouped = again.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("first"))
+    classes = scratch.table(grouped.select("key", "context", "n", "first.row", "first.place"), "classes")
+    rows = scratch.table(_contexts(classes, filed, docs), "contexts")
+    spans = _spans_of_classes(rows, scratch, group)
+    return join_by_size(again, spans, ["key", "context"]).select("row", _shifted("spans", F.shiftright("place", 17)).alias("spans")), passages
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -324,14 +374,15 @@ def _merged(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row; with ``keep_text`` also kept, the remaining bytes."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("doc"), "text")
-    filed = _filed(texts)
-    spans = repeated_spans(filed, texts.select("doc", "text"))
-    by_doc = materialize(spans.groupBy("doc").agg(F.collect_set(F.struct("begin", "end")).alias("spans")), "by-doc")
-    cut = semi_by_size(texts.select("doc", "text"), by_doc.select("doc"), "doc").join(by_doc, "doc")
-    schema = "doc long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
+def remove_repeats(docs: DataFrame, keep_text: bool = False, group: int = GROUP) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and n_passages of each row; with ``keep_text`` also kept, the remaining bytes."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    scratch = Scratch(docs.sparkSession, "suffix")
+    filed = _filed(texts, scratch)
+    spans, passages = repeated_spans(filed, texts, scratch, group)
+    by_row = scratch.table(spans.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "by-row")
+    counted = scratch.table(passages, "passages")
+    schema = "row long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         own = batch.column("spans").to_pylist()
@@ -346,14 +397,15 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 kept.append(b"".join(out) + raw[at:])
                 removed.append(len(raw) - len(kept[-1]))
                 count.append(len(merged))
-            got = {"doc": batch.column("doc").slice(begin, len(pieces)), "n_removed": removed, "n_spans": count, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
+            got = {"row": batch.column("row").slice(begin, len(pieces)), "n_removed": removed, "n_spans": count, "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept]}
             yield got | ({"kept": kept} if keep_text else {})
 
-    done = map_arrow(cut.select("doc", "text", "spans"), work, schema)
-    done = done.groupBy("doc").agg(*(F.first(c).alias(c) for c in done.columns[1:]))
-    all_ = filed.select("doc_id", "doc", "n_bytes", "sha256")
+    done = scratch.table(map_arrow(_with_text(by_row, filed, texts).select("row", "text", "spans"), work, schema), "done")
+    scratch.drop("twice", "anchors", "classes", "contexts", "large", "sorted", "halves", "cut", "outer", "by-row")
+    own = filed.select("row", "doc_id", "n_bytes", "sha256")
     if keep_text:
-        all_ = all_.join(texts.select("doc", F.coalesce("text", F.lit("")).cast("binary").alias("raw")).dropDuplicates(["doc"]), "doc")
-    out = all_.join(done, "doc", "left")
-    columns = ["doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256")]
+        own = _with_text(own, filed, texts).withColumn("raw", F.coalesce("text", F.lit("")).cast("binary"))
+    out = own.join(done, "row", "left").join(counted, "row", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    columns = ["doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept_sha256", "sha256").alias("kept_sha256"), zero("n_passages")]
     return out.select(*columns, *([F.coalesce("kept", "raw").alias("kept")] if keep_text else []))

@@ -172,16 +172,15 @@ def brute_repeats(texts, length=400):
     return out
 
 
-@pytest.mark.parametrize("group", [2000, 2])
-def test_repeats_against_brute_force(spark, group, monkeypatch):
+@pytest.mark.parametrize("group", [suffix.GROUP, 2])
+def test_repeats_against_brute_force(spark, group):
     random.seed(6)
     letters = lambda n: "".join(random.choice("abcdé ") for _ in range(n))
     shared = letters(700)
     texts = [letters(500) + shared[random.randrange(200) : 700 - random.randrange(150)] + letters(random.randrange(400)) for _ in range(25)]
     texts += ["ab" * 900, "ab" * 300 + "c", "\0" * 500, letters(399), "", None, shared, shared, letters(900) * 2]
     df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string").selectExpr("*", "1 AS doc", "'k' AS key")
-    monkeypatch.setattr(suffix.repeated_spans, "__defaults__", (group,))
-    got = {r["doc_id"]: r for r in rows_of(suffix.remove_repeats(df))}
+    got = {r["doc_id"]: r for r in rows_of(suffix.remove_repeats(df, group=group))}
     for i, (gone, spans, kept) in enumerate(brute_repeats([(t or "").encode() for t in texts])):
         assert (got[i]["n_removed"], got[i]["n_spans"], got[i]["kept_sha256"]) == (gone, spans, kept), i
 
@@ -355,3 +354,36 @@ def test_targets_stop_at_three_times_the_size():
     assert got["b"] == 30.0 and got[None] == 15.0 and abs(sum(got.values()) - 2015) < 1e-9
     assert abs(got["c"] / got["a"] - 3) < 1e-9
     assert mixing.targets([("a", 0), ("b", 0)]) == {"a": 0.0, "b": 0.0}
+
+
+def test_texts_of_one_id_are_one_component(spark):
+    other = " ".join(f"else{i}" for i in range(50))
+    rows = [(3, BASE, "a"), (5, BASE, "a"), (5, other, "a"), (7, other + " more", "b"), (8, "lone text", "b")]
+    got = rows_of(minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")))
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in got} == {(3, 3, True), (5, 3, False), (7, 3, False), (8, 8, True)}
+
+
+def test_every_link_between_short_texts(spark):
+    """Sets of few shingles are paired exactly: all links of many short texts, against all pairs."""
+    random.seed(11)
+    texts = []
+    for i in range(300):
+        base = [f"t{i}w{k}" for k in range(random.randint(7, 20))]
+        texts += [" ".join(base), " ".join([*base, f"end{i}"]), " ".join([*base[:-1], f"last{i}"]), " ".join([f"start{i}", *base])]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(minhash.near_duplicates(spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")))}
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for first in range(0, len(texts), 4):
+        for i in range(first, first + 4):
+            for j in range(first, i):
+                both = len(sets[i] & sets[j])
+                if 100 * both >= 75 * len(sets[i] | sets[j]):
+                    x, y = root(i), root(j)
+                    parent[max(x, y)] = min(x, y)
+    assert got == {i: root(i) for i in range(len(texts))}
