@@ -14,11 +14,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"))
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents")).drop("mark")
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"))
+    # the table names no repository: each document is one
+    found = secrets.scan_secrets(read_table(spark, sf_dir, "documents"), owner="source", repository="doc_id")
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_copied")
 
 

@@ -3,9 +3,10 @@
 Three kinds of base spans come from fixed patterns. Besides them every long
 mixed token is a candidate. The values of all spans and candidates are hashed
 and, over the whole corpus, each hash is counted by distinct repositories and
-owners. A value that many owners hold is a widely copied example; one that few
-hold and that looks random is live-looking. Candidates that look live become
-spans of kind ``owned``; base spans stay whatever their frequency says.
+owners. A value that several owners or many repositories hold is a widely copied
+example; one that few hold and that looks random is live-looking. Candidates
+that look live become spans of kind ``owned``; base spans stay whatever their
+frequency says.
 
 Nulls: a null text is empty; a null owner or repository counts as one of its
 own; a null ``doc_id`` keeps its row. Repeated rows count once for each distinct
@@ -36,8 +37,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}(?![A-Za-z0-9_-])")
 #: Needs letters, digits and this much entropy (bits a character) to look random.
 MIN_ENTROPY = 3.2
-#: Up to so many owners hold a live-looking value.
-MAX_OWNERS = 1
+#: Up to so many owners, and repositories, hold a live-looking value.
+MAX_OWNERS, MAX_REPOSITORIES = 1, 8
 
 
 def entropy(value: str) -> float:
@@ -105,15 +106,16 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("value").agg(F.count("*").alias("n_owners"), F.sum("repositories").alias("n_repositories"), F.sum("n").alias("n_uses"))
 
 
-def scan_secrets(docs: DataFrame, owner: str = "source", repository: str = "lang", max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base, spans (all, joined), n_live and n_copied, a row for each row of ``docs``.
 
-    A repository is known by its owner and its name: ``repository`` need not be unique.
+    ``owner`` and ``repository`` are columns; a repository is known by its owner
+    and its name: ``repository`` need not be unique.
     """
     found = _found(docs, owner, repository)
     counted = materialize(ownership(found), "owners")
     each = found.select("row", F.explode("spans").alias("s")).select("row", "s.*")
-    live = (F.col("n_owners") <= max_owners) & F.col("random")
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories) & F.col("random")
     judged = each.join(counted, "value").select("row", "start", "kind", "end", live.alias("live"))
     kept = judged.where((F.col("kind") < 3) | F.col("live"))
     kinds = F.array(*map(F.lit, KINDS))
