@@ -1,11 +1,12 @@
 """Personal data by bootstrapped contextual extraction.
 
 Four kinds of base spans come from fixed patterns: they are the seed entities.
-What stands before an entity, in words, is a lexical pattern. Spark scores the
-graph of patterns and instances in rounds: a pattern is as good as its instances
-are known to be personal data, an instance as likely as its patterns make it.
-Unseen identifier-like tokens whose score passes a threshold become spans of
-kind ``found``. Base spans stay whatever the scores say.
+The words before an entity are a lexical pattern, those behind it another. Spark
+scores the graph of patterns and instances in rounds: a pattern is as good as its
+instances are known to be personal data, an instance as likely as its patterns
+make it; what one round finds supports further patterns in the next. Unseen
+identifier-like tokens whose score passes a threshold become spans of kind
+``found``. Base spans stay whatever the scores say.
 
 Nulls: a null text is empty; a null ``doc_id`` keeps its row. Repeated rows
 support a pattern once for each distinct instance. An empty table gives an empty
@@ -23,11 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize
+from .common import Scratch, join_by_size, map_arrow
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: The patterns of the base kinds. Emails are found from their ``@`` outwards, by these two.
-EMAIL_LOCAL = "".join(map(chr, (*range(48, 58), *range(65, 91), *range(97, 123)))) + "._%+-"
+EMAIL_LOCAL = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz._%+-"
 EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -35,11 +36,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 #: An unseen identifier: one token of 6 to 40 characters, a digit among them.
 TOKEN = re.compile(r"(?<![A-Za-z0-9._@+-])(?=[A-Za-z-]{0,40}[0-9])[A-Za-z0-9][A-Za-z0-9-]{5,39}(?![A-Za-z0-9@_-])")
-#: Words before an entity that make its pattern, and how far back they may start.
+#: Words before and behind an entity that make its patterns, and how far away they may be.
 WORDS, REACH = 2, 80
 WORD = re.compile(r"[^\W\d_]+")
 #: Rounds of scoring; what a pattern and an unseen instance need.
-ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 3, 5, 0.7, 0.8
+ROUNDS, MIN_SUPPORT, MIN_PATTERN, MIN_INSTANCE = 3, 5, 0.4, 0.8
 
 
 def luhn(digits: str) -> bool:
@@ -85,7 +86,7 @@ def _key(value: str) -> int:
 
 
 def _mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
-    """Base spans and unseen identifiers, each with its pattern and instance."""
+    """Base spans and unseen identifiers, each with its patterns and instance."""
     taken = sorted((s, e) for _, s, e in base)
     starts = np.array([s for s, _ in taken], np.int64)
     fresh = []
@@ -95,16 +96,15 @@ def _mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
             fresh.append((4, *m.span()))
     out = []
     for kind, s, e in base + fresh:
-        before = WORD.findall(text[max(0, s - REACH) : s].lower())[-WORDS:]
-        if before:
-            out.append({"kind": kind, "start": s, "end": e, "pattern": _key(" ".join(before)), "instance": _key(text[s:e])})
-        else:
-            out.append({"kind": kind, "start": s, "end": e, "pattern": None, "instance": _key(text[s:e])})
+        before, behind = WORD.findall(text[max(0, s - REACH) : s].lower())[-WORDS:], WORD.findall(text[e : e + REACH].lower())[:WORDS]
+        patterns = [_key(" ".join(["<", *before]))] if before else []
+        patterns += [_key(" ".join([">", *behind]))] if behind else []
+        out.append({"kind": kind, "start": s, "end": e, "patterns": patterns, "instance": _key(text[s:e])})
     return out
 
 
-def _scan(docs: DataFrame) -> DataFrame:
-    schema = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<kind:int,start:int,end:int,pattern:long,instance:long>>"
+def _scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    schema = "doc_id long, text_key long, n_email long, n_ip long, n_card long, n_phone long, base string, mentions array<struct<kind:int,start:int,end:int,patterns:array<long>,instance:long>>"
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         texts = [x or "" for x in batch.column("text").to_pylist()]
@@ -117,34 +117,38 @@ def _scan(docs: DataFrame) -> DataFrame:
         }
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
-    return materialize(map_arrow(slim, work, schema).withColumn("row", F.monotonically_increasing_id()), "pii")
+    return scratch.table(map_arrow(slim, work, schema).withColumn("row", F.monotonically_increasing_id()), "scan")
 
 
-def score_instances(edges: DataFrame, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_pattern: float = MIN_PATTERN) -> DataFrame:
+def score_instances(edges: DataFrame, scratch: Scratch, rounds: int = ROUNDS, min_support: int = MIN_SUPPORT, min_pattern: float = MIN_PATTERN) -> DataFrame:
     """Unseen instances and their scores. ``edges``: distinct (pattern, instance, seed).
 
     A pattern's score is the mean of its instances' scores (seeds 1, unseen 0 at
     first), and 0 with too few instances or too low a mean; an instance's is one
-    minus the product of its patterns' doubts. Each round is written: its lineage is one join.
+    minus the product of its patterns' doubts. Patterns and scores of a round are
+    written: joins with them can be split where one pattern has very many instances.
     """
-    known = edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0))
+    known = scratch.table(edges.where("seed").select("instance").distinct().withColumn("score", F.lit(1.0)), "known")
+    unseen = scratch.table(edges.where("not seed").join(known.select("instance"), "instance", "left_anti").select("pattern", "instance"), "unseen")
     scores = known
     for _ in range(rounds):
-        scored = edges.join(scores, "instance", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+        scored = join_by_size(edges, scores, ["instance"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         patterns = scored.groupBy("pattern").agg(F.avg("score").alias("trust"), F.count("*").alias("n")).where((F.col("n") >= min_support) & (F.col("trust") >= min_pattern)).select("pattern", "trust")
         doubt = F.log(F.greatest(F.lit(1) - F.col("trust") * F.lit(0.95), F.lit(1e-12)))
-        unseen = edges.where("not seed").join(patterns, "pattern").groupBy("instance").agg((F.lit(1.0) - F.exp(F.sum(doubt))).alias("score"))
-        scores = materialize(known.unionByName(unseen.join(known.select("instance"), "instance", "left_anti")), "pii-scores")
+        fresh = join_by_size(unseen, scratch.table(patterns, "patterns"), ["pattern"]).groupBy("instance").agg((F.lit(1.0) - F.exp(F.sum(doubt))).alias("score"))
+        scores = scratch.table(known.unionByName(fresh), "scores")
     return scores
 
 
 def find_pii(docs: DataFrame, min_instance: float = MIN_INSTANCE) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base, spans (all, joined) and all (kind, start, end), a row for each row of ``docs``."""
-    scan = _scan(docs)
+    scratch = Scratch(docs.sparkSession, "pii")
+    scan = _scan(docs, scratch)
     each = scan.select("row", F.explode("mentions").alias("m")).select("row", "m.*")
-    edges = materialize(each.where("pattern is not null").groupBy("pattern", "instance").agg(F.max(F.col("kind") < 4).alias("seed")), "pii-edges")
-    good = score_instances(edges).where(F.col("score") >= min_instance).select("instance")
-    fresh = each.where("kind = 4").join(good, "instance", "left_semi").select("row", "kind", "start", "end")
+    pairs = each.select("kind", F.explode("patterns").alias("pattern"), "instance")
+    edges = scratch.table(pairs.groupBy("pattern", "instance").agg(F.max(F.col("kind") < 4).alias("seed")), "edges")
+    good = scratch.table(score_instances(edges, scratch).where(F.col("score") >= min_instance).select("instance"), "good")
+    fresh = join_by_size(each.where("kind = 4"), good, ["instance"], "left_semi").select("row", "kind", "start", "end")
     added = fresh.groupBy("row").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     own = F.transform(F.filter("mentions", lambda m: m["kind"] < 4), lambda m: F.struct(m["kind"].alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
     both = scan.join(added, "row", "left").withColumn("all", F.sort_array(F.concat(own, F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>")))))
