@@ -1,16 +1,18 @@
 """Quality scores from compression: two zstandard dictionaries, one of good text and one of bad.
 
 A text is compressed in chunks with either dictionary. The difference of the
-two sizes, divided by the text's length (with a little of the training mean for
-short texts), is the only feature; a logistic curve fitted on labelled texts
+two sizes, divided by the text's length (short texts are drawn to what scores the
+share of good labels), is the only feature; a logistic curve fitted on labelled texts
 that neither dictionary has seen turns it into a score between 0 and 1.
 
 The model is fitted on a bounded sample of labelled rows, ``MAX_PER_CLASS`` of
 each label and texts of at most ``MAX_CHARS`` characters, taken in hash order;
-every row is scored, on its whole text. Only the text enters a score.
+every row is scored, on its whole text. Only the text enters a score. Calibration
+weighs its rows by the counts of all labels that may be learnt from, so a score
+means the same however large the sample is.
 
-Nulls: a null text is empty, and scores what the mean difference scores; a null
-label or id is no label; of several labels for an id the larger counts. With
+Nulls: a null text is empty, and scores the share of good labels; a null label
+or id is no label; of several labels for an id the larger counts. With
 only one class labelled, the score is that class's share. An empty table gives
 an empty result; repeated rows get equal scores; extra columns are ignored.
 """
@@ -31,7 +33,7 @@ from .common import map_arrow
 #: The bounds of the labelled sample.
 MAX_PER_CLASS, MAX_CHARS = 2000, 16384
 DICTIONARY_BYTES, CHUNK, LEVEL = 65536, 1024, 3
-#: Texts count as this many bytes longer, at the training mean.
+#: Texts count as this many bytes longer, at the difference that scores the share of good labels.
 PRIOR_BYTES = 48
 #: Of five labelled texts one calibrates, the others make dictionaries.
 CALIBRATE_EVERY = 5
@@ -56,7 +58,7 @@ class Model:
         return out
 
     def differences(self, texts: list[str]) -> np.ndarray:
-        """(bad size - good size) / length of each text, drawn to the mean when short."""
+        """(bad size - good size) / length of each text, drawn to ``mean`` when short."""
         if not self.good:
             return np.zeros(len(texts))
         good, bad = self.compressors()
@@ -89,14 +91,14 @@ def _dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes, bo
         return (*(b"\n".join(own)[:DICTIONARY_BYTES] for own in pieces), True)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a logistic curve, by Newton's method with a weak prior."""
+def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and intercept of a logistic curve over weighted rows, by Newton's method with a weak prior."""
     spread = float(x.std()) or 1.0
     z, w = (x - x.mean()) / spread, np.zeros(2)
     rows = np.stack([z, np.ones_like(z)], axis=1)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(rows @ w, -30, 30)))
-        step = np.linalg.solve((rows * (p * (1 - p))[:, None]).T @ rows + np.diag([0.05, 1e-6]), rows.T @ (y - p) - np.array([0.05, 0]) * w)
+        step = np.linalg.solve((rows * (weight * p * (1 - p))[:, None]).T @ rows + np.diag([0.05, 1e-6]), rows.T @ (weight * (y - p)) - np.array([0.05, 0]) * w)
         w += np.clip(step, -4, 4)
         if np.abs(step).max() < 1e-8:
             break
@@ -115,19 +117,23 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_per_clas
     for y in (0, 1):
         rows += found.where(F.col("y") == y).orderBy(*order).limit(max_per_class).collect()
     sides = [[r["text"].encode("utf-8") for r in rows if r["y"] == y] for y in (0, 1)]
-    share = (len(sides[1]) + 1) / (len(rows) + 2)
-    prior = float(np.log(share / (1 - share)))
+    counted = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = [counted.get(0, 0), counted.get(1, 0)]
+    prior = float(np.log((total[1] + 1) / (total[0] + 1)))
     if not sides[0] or not sides[1]:
         return Model(b"", b"", True, 0.0, 0.0, prior)
     learn = [[x for i, x in enumerate(own) if i % CALIBRATE_EVERY or len(own) < CALIBRATE_EVERY] for own in sides]
     check = [[x for i, x in enumerate(own) if not i % CALIBRATE_EVERY] for own in sides]
     bad, good, raw = _dictionaries(*learn)
     model = Model(good, bad, raw, 0.0, 1.0, 0.0)
-    gains = model.differences([x.decode("utf-8") for own in check for x in own])
-    model.mean = float(np.median(gains[len(check[0]) :]))
-    x = model.differences([x.decode("utf-8") for own in check for x in own])
+    size = np.array([len(x) + PRIOR_BYTES for own in check for x in own])
+    gain = model.differences([x.decode("utf-8") for own in check for x in own]) * size
     y = np.repeat([0.0, 1.0], [len(own) for own in check])
-    model.slope, model.intercept = _calibrate(x, y)
+    each = np.array([total[k] / len(check[k]) for k in (0, 1)])
+    weight = each[y.astype(int)] * len(y) / sum(total)
+    for _ in range(8):  # the difference that scores the prior and the curve depend on each other
+        model.slope, model.intercept = _calibrate((gain + PRIOR_BYTES * model.mean) / size, y, weight)
+        model.mean = (prior - model.intercept) / model.slope if abs(model.slope) > 1e-9 else 0.0
     return model
 
 
