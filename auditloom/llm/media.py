@@ -163,12 +163,13 @@ def codec_of(payload: bytes) -> str:
 
 
 def media_columns(docs: DataFrame, rate: int = 16000, keep_media: bool = True) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of each text's audio.
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, pcm_bytes and pcm_sha256 of each text's audio.
 
-    Everything but n_bytes is taken from the stored bytes as they are read back.
-    With ``keep_media`` also the stored file (media) and its PCM at ``rate`` (pcm), as WAV files.
+    Everything but n_bytes is taken from the stored bytes as they are read back;
+    pcm is the WAV file of the PCM at ``rate``, read back for its digest. With
+    ``keep_media`` both files are columns too (media, pcm).
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
     schema += ", media binary, pcm binary" if keep_media else ""
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -178,6 +179,7 @@ def media_columns(docs: DataFrame, rate: int = 16000, keep_media: bool = True) -
             files = [store(p, codec_of(p)) for p in map(payload_of, raw)]
             coded = [load(x) for x in files]
             waves = [resample(x, RATE, rate) for x in decode_many(coded)]
+            pcm = [store_pcm(w, rate) for w in waves]
             out = {
                 "doc_id": ids.slice(at, len(texts)),
                 "n_bytes": [len(x) for x in raw],
@@ -187,9 +189,11 @@ def media_columns(docs: DataFrame, rate: int = 16000, keep_media: bool = True) -
                 "media_bytes": [len(x) for x in files],
                 "media_sha256": [hashlib.sha256(x).hexdigest() for x in files],
                 "feature": [feature(w, c) for w, (c, _) in zip(waves, coded, strict=True)],
+                "pcm_bytes": [len(x) for x in pcm],
+                "pcm_sha256": [hashlib.sha256(load(x)[1]).hexdigest() for x in pcm],
             }
             if keep_media:
-                out |= {"media": files, "pcm": [store_pcm(w, rate) for w in waves]}
+                out |= {"media": files, "pcm": pcm}
             yield out
 
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
