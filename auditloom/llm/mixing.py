@@ -7,7 +7,9 @@ passes over it plus the documents whose hash lies below a threshold. The
 threshold is found without sorting: sizes are summed by source and hash bucket,
 and only the bucket in which the budget runs out is summed again by finer
 buckets, until one hash value is left. A document at the boundary is taken if
-that brings the total nearer to the target.
+that brings the total nearer to the target. Histograms and what is known of each
+source stay in tables: nothing but row counts reaches the driver, and the plan is
+broadcast only while it is small, so sources may be many.
 
 Nulls: a null text has size 0; a null source is a source; a null ``doc_id`` is
 hashed as an empty text. Rows that share a ``doc_id`` share a hash and are taken
@@ -17,12 +19,13 @@ empty result. Extra columns of the input are ignored (or kept, in ``mix``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch, join_by_size
 
 WEIGHTS = (1, 2, 3)
 MAX_REPEAT = 3
@@ -42,81 +45,88 @@ def doc_hash(doc_id: str) -> Column:
     return F.conv(digits, 16, 10).cast("long")
 
 
-def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> dict[str | None, float]:
-    """Each source's target. Water level: target = min(repeat * size, level * weight), and all targets sum to all sizes."""
-    order = sorted(sizes, key=lambda x: (x[0] is None, [ord(c) for c in x[0] or ""]))
-    rows = [(s, repeat * n, weights[i % len(weights)]) for i, (s, n) in enumerate(order)]
-    left, weight, level = sum(n for _, n in order), sum(w for *_, w in rows), 0.0
-    for _, cap, w in sorted(rows, key=lambda x: x[1] / x[2]):
-        level = max(level, left / weight)
-        left, weight = left - cap, weight - w
-    return {s: float(min(cap, level * w)) for s, cap, w in rows}
+def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:
+    """``sizes`` (source, size) with no (its number, from 0) and target: min(repeat * size, level * weight), where all targets sum to all sizes.
 
-
-def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> dict[str | None, dict]:
-    """For each source: its size, target, whole passes and the hash threshold (exclusive) of one more pass.
-
-    ``sized`` has source, size and hash. What comes to the driver is a row for
-    each source, then at most two to the power LEVEL_BITS buckets a source and level.
+    The level is the largest of what the sources that are not full yet would
+    get a unit of weight, with ever more of the smallest full ones left out.
+    Sources are numbered and summed up in order: a row a source, in one task.
+    """
+    order = Window.orderBy(F.col("source").isNull(), F.col("source").cast("binary"))
+    rows = sizes.withColumn("no", (F.row_number().over(order) - 1).cast("long"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("no") % len(weights) + 1).cast("int")).cast("long")
+    rows = rows.withColumn("weight", weight).withColumn("cap", F.col("size") * repeat)
+    fill = Window.orderBy(F.col("cap") / F.col("weight"), "no").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(F.lit(1))
+    left = F.sum("size").over(every) - F.coalesce(F.sum("cap").over(fill), F.lit(0))
+    open_ = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(fill), F.lit(0))
+    rows = rows.withColumn("level", F.greatest(left / open_, F.lit(0.0)))
+    rows = rows.withColumn("target", F.least(F.col("cap").cast("double"), F.max("level").over(every) * F.col("weight")))
+    return rows.select("no", "source", "size", "target")
+
+
+def plan(sized: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT) -> DataFrame:
+    """For each source: source, source_size, target, whole passes and the hash threshold (exclusive) of one more pass.
+
+    ``sized`` has source, size and hash. Each level sums the sizes of a source's
+    current bucket by at most two to the power LEVEL_BITS finer ones, and steps
+    to the one in which its budget ends.
     """
-    totals = [(r["source"], int(r["n"])) for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()]
-    goal = targets(totals, weights, repeat)
-    found = {}
-    for source, n in totals:
-        passes = int(min(repeat, goal[source] // n)) if n else 0
-        found[source] = {"size": n, "target": goal[source], "passes": passes, "rest": goal[source] - passes * n, "before": 0, "low": 0, "threshold": None}
-        if found[source]["rest"] <= 0:
-            found[source]["threshold"] = 0
-    shift = HASH_BITS
-    while (open_ := {s: x for s, x in found.items() if x["threshold"] is None}) and shift > 0:
-        shift -= LEVEL_BITS
-        _refine(sized, open_, shift)
-    return found
-
-
-def _refine(sized: DataFrame, open_: dict, shift: int) -> None:
-    """One level: sum the sizes of each open source's current bucket by finer buckets, step to the one where the budget ends."""
-    spark = sized.sparkSession
-    at = spark.createDataFrame([(s, x["low"] >> (shift + LEVEL_BITS)) for s, x in open_.items()], "source string, top long")
+    sizes = scratch.table(targets(scratch.table(sized.groupBy("source").agg(F.sum("size").alias("size")), "sizes"), weights, repeat), "targets")
+    passes = F.when(F.col("size") > 0, F.least(F.lit(repeat), F.floor(F.col("target") / F.greatest("size", F.lit(1))))).otherwise(0).cast("int")
+    state = sizes.withColumn("passes", passes).withColumn("rest", F.col("target") - F.col("passes") * F.col("size"))
+    state = state.select("*", F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("top"), F.when(F.col("rest") <= 0, F.lit(0).cast("long")).alias("threshold"))
+    state = scratch.table(state, "state")
+    rows = join_by_size(sized, sizes.select("source", F.col("no")), ["source"], null_safe=True).select("no", "size", "hash")
+    for shift in range(HASH_BITS - LEVEL_BITS, -1, -LEVEL_BITS):
+        state = scratch.table(_refined(rows, state, shift), "state")
+    return state.select("source", F.col("size").alias("source_size"), "target", "passes", F.coalesce("threshold", F.lit(1 << HASH_BITS)).alias("threshold"))
+
+
+def _refined(rows: DataFrame, state: DataFrame, shift: int) -> DataFrame:
+    """One level: every open source's bucket cut into finer ones; its budget ends in the first whose running sum exceeds it."""
+    open_ = state.where("threshold IS NULL").select("no", "top", "rest", "before")
     top = F.shiftrightunsigned("hash", shift + LEVEL_BITS)
-    here = sized.withColumn("top", top).alias("a").join(F.broadcast(at).alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.top") == F.col("b.top")))
-    sums = here.groupBy(F.col("a.source").alias("source"), F.shiftrightunsigned("a.hash", shift).alias("bucket")).agg(F.sum("a.size").alias("n")).collect()
-    by: dict = {s: [] for s in open_}
-    for r in sums:
-        by[r["source"]].append((r["bucket"], int(r["n"])))
-    for s, x in open_.items():
-        for bucket, n in sorted(by[s]):
-            if x["before"] + n > x["rest"]:  # the budget ends in here
-                if shift:
-                    x["low"] = bucket << shift
-                else:
-                    x["threshold"] = bucket + 1 if x["before"] + n / 2 < x["rest"] else bucket
-                break
-            x["before"] += n
-        else:  # only if every bucket fits
-            x["threshold"] = 1 << HASH_BITS
+    here = join_by_size(rows.withColumn("top", top), open_.select("no", "top"), ["no", "top"], "left_semi")
+    sums = here.groupBy("no", F.shiftrightunsigned("hash", shift).alias("bucket")).agg(F.sum("size").alias("n"))
+    order = Window.partitionBy("no").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    run = sums.withColumn("run", F.sum("n").over(order)).join(open_, "no")
+    ends = run.where(F.col("before") + F.col("run") > F.col("rest")).groupBy("no").agg(F.min(F.struct("bucket", "n", "run")).alias("end"))
+    bucket, start = F.col("end.bucket"), F.col("before") + F.col("end.run") - F.col("end.n")
+    last = F.when(start + F.col("end.n") / 2 < F.col("rest"), bucket + 1).otherwise(bucket)
+    moved = state.join(ends, "no", "left")
+    # a source whose buckets all fit is taken whole
+    threshold = F.when(F.col("threshold").isNotNull(), F.col("threshold")).when(F.col("end").isNull(), F.lit(1 << HASH_BITS))
+    threshold = threshold.when(F.lit(shift == 0), last)
+    return moved.select("no", "source", "size", "target", "passes", "rest", F.coalesce(start, "before").alias("before"), F.coalesce(bucket, "top").alias("top"), threshold.alias("threshold"))
 
 
 def _measured(docs: DataFrame, weights: tuple[int, ...], repeat: int, size: Callable[[str], Column]) -> tuple[DataFrame, DataFrame]:
-    sized = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size("text").alias("size"), doc_hash("doc_id").alias("hash")), "mix")
-    rows = [(s, x["size"], x["target"], x["passes"], x["threshold"]) for s, x in plan(sized, weights, repeat).items()]
-    return sized, docs.sparkSession.createDataFrame(rows, "source string, source_size long, target double, passes int, threshold long")
+    scratch = Scratch(docs.sparkSession, "mix")
+    sized = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size("text").alias("size"), doc_hash("doc_id").alias("hash")), "sized")
+    return sized, scratch.table(plan(sized, scratch, weights, repeat), "plan")
 
 
-def _with_plan(df: DataFrame, by_source: DataFrame) -> DataFrame:
-    """``df`` with __copies, __source_size and __target; its own columns as they are."""
-    named = by_source.select(*(F.col(c).alias(f"__{c}") for c in by_source.columns))
-    out = df.withColumn("__hash", doc_hash("doc_id")).join(F.broadcast(named), F.col("source").eqNullSafe(F.col("__source")))
-    return out.withColumn("__copies", F.col("__passes") + (F.col("__hash") < F.col("__threshold")).cast("int"))
+def _with_plan(df: DataFrame, by_source: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``df``, whose columns may have any names, with those of the plan and copies, found by the given names."""
+    mark = uuid.uuid4().hex
+    named = by_source.select(*(F.col(c).alias(f"{c}-{mark}") for c in by_source.columns))
+    keyed = df.withColumn(f"source-{mark}", F.col("source").cast("string"))
+    out = join_by_size(keyed, named, [f"source-{mark}"], null_safe=True).drop(keyed[f"source-{mark}"])
+    own = {c: F.col(f"`{c}-{mark}`") for c in by_source.columns}
+    out = out.withColumn(f"copies-{mark}", own["passes"] + (doc_hash("doc_id") < own["threshold"]).cast("int"))
+    return out, own | {"copies": F.col(f"`copies-{mark}`")}
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT, size: Callable[[str], Column] = word_count) -> DataFrame:
     """A row for each document: doc_id, source, size, source_size, target, copies and taken (copies * size)."""
-    sized, by_source = _measured(docs, weights, repeat, size)
-    return _with_plan(sized, by_source).select("doc_id", "source", "size", *(F.col(f"__{c}").alias(c) for c in ("source_size", "target", "copies")), (F.col("__copies") * F.col("size")).alias("taken"))
+    out, own = _with_plan(*_measured(docs, weights, repeat, size))
+    return out.select("doc_id", F.col("source"), "size", *(own[c].alias(c) for c in ("source_size", "target", "copies")), (own["copies"] * F.col("size")).alias("taken"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeat: int = MAX_REPEAT, size: Callable[[str], Column] = word_count) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken, columns unchanged."""
     _, by_source = _measured(docs, weights, repeat, size)
-    return _with_plan(docs, by_source).where("__copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1, __copies)"))).select(*docs.columns)
+    out, own = _with_plan(docs, by_source)
+    copies = out.where(own["copies"] > 0).select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.sequence(F.lit(1), own["copies"])).alias(f"copy-{uuid.uuid4().hex}"))
+    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
