@@ -36,9 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import materialize
+from .common import Scratch
 
 PROJECTIONS, SHARD_ROWS, BLOCK_ROWS = 64, 16384, 4096
+#: Parts that the pairing of blocks and shards of one dimension is dealt into.
+SPREAD = 64
 #: A candidate falls into this share of the windows; the search of a band ends no sooner than so large a share of it, and so
 #: many vectors at least, are candidates. Vectors that point everywhere alike need shares like these for a recall of 0.9.
 COLLISION_SHARE, CANDIDATE_SHARE, CANDIDATES = 0.85, 0.3, 800
@@ -213,14 +215,19 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     """query_id, rank, vec_id, score: each query's ``k`` nearest rows found, nearest first, ties to the smaller id."""
     spark = table.sparkSession
     rows = usable(table, id_column, vector)
+    scratch = Scratch(spark, "ann")
     # shards are of one size whatever the shuffle's partitions: what a query finds grows with the vectors alone
     shards = max(1, -(-rows.count() // SHARD_ROWS))
-    index = materialize(_packed(rows.repartition(shards), SHARD_ROWS).withColumn("shard", F.monotonically_increasing_id()), "ann-index")
+    index = scratch.table(_packed(rows.repartition(shards), SHARD_ROWS).withColumn("shard", F.monotonically_increasing_id()), "index")
     asked = usable(queries, id_column, vector)
     blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    packed = materialize(_packed(asked.repartition(blocks), BLOCK_ROWS), "ann-queries").withColumnsRenamed({"ids": "query_ids", "vectors": "query_vectors"})
-    # a stated query set meets every shard: each block is sent once to each shard of its dimension
-    met = packed.join(index.select("dim", "shard"), "dim").join(index.drop("dim"), "shard")
+    packed = _packed(asked.repartition(blocks), BLOCK_ROWS).withColumnsRenamed({"dim": "query_dim", "ids": "query_ids", "vectors": "query_vectors"})
+    packed = packed.withColumn("block", F.monotonically_increasing_id())
+    packed = scratch.table(packed, "blocks")
+    # a stated query set meets every shard of its dimension: numbers are paired by dimension and SPREAD remainders, then each block goes where the shard is
+    ends = packed.select(F.col("query_dim").alias("dim"), "block", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    pairs = scratch.table(ends.join(index.select("dim", "shard", (F.col("shard") % SPREAD).cast("int").alias("part")), ["dim", "part"]).select("block", "shard"), "pairs")
+    met = pairs.join(packed, "block").drop("block", "query_dim").join(index, "shard")
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
