@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from functools import reduce
 
 import pyarrow as pa
@@ -23,7 +23,7 @@ def token_usage(measures: DataFrame, top: int = 8) -> DataFrame:
     return n.withColumn("rank", F.row_number().over(Window.partitionBy("project").orderBy(F.desc("n"), "token"))).where(F.col("rank") <= top)
 
 
-def metrics(r: dict[str, DataFrame]) -> DataFrame:
+def metrics(r: Mapping[str, DataFrame]) -> DataFrame:
     """project, block, name, value: the numbers of the overview, expression, performance and quality blocks."""
     live = r["measures"].where("NOT is_stub").groupBy("project").agg(F.bround(F.avg("complexity_score"), 2).alias("mean_complexity"), F.max("complexity_score").alias("max_complexity"))
     text = F.coalesce("expression", F.lit(""))
@@ -60,7 +60,7 @@ def _listed(rows: DataFrame, block: str, number: int, title: str, line: Column,
     return ranked.select("project", F.lit(block).alias("block"), F.lit(number).alias("list_no"), F.lit(title).alias("title"), "rank", F.concat(F.lit("- "), line).alias("line"))
 
 
-def lists(r: dict[str, DataFrame]) -> DataFrame:
+def lists(r: Mapping[str, DataFrame]) -> DataFrame:
     """project, block, list_no, title, rank, line: the tables and measures that a block names. Ties by name."""
     table, measure = [F.col("table")], [F.desc("complexity_score"), F.col("name"), F.col("table")]
     classes = r["classifications"].groupBy("project", "classification").agg(F.count("*").alias("n"))
@@ -81,7 +81,7 @@ def lists(r: dict[str, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def prompts(r: dict[str, DataFrame]) -> DataFrame:
+def prompts(r: Mapping[str, DataFrame]) -> DataFrame:
     """project, block, prompt: one text for each metric block, its numbers first, then its lists."""
     lines = metrics(r).withColumn("line", F.concat(F.lit("- "), F.col("name"), F.lit(": "), F.coalesce(F.col("value").cast("string"), F.lit("unknown"))))
     text = F.array_join(F.array_sort(F.collect_list("line")), "\n")

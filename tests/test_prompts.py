@@ -52,6 +52,18 @@ def test_sections_on_unused(shop):
     assert [x.split(" | ")[1] for x in section(extended, "Unused measures")] == [m["name"] for m in unused]
     assert len(section(extended, "Column use")) == shop["column_usage"].count()
     assert f"- Unused columns: {shop['usage_summary'].first()['total_unused']}" in section(extended, "Column use summary")
+    meta = shop["score_metadata"].first()
+    assert section(extended, "Model statistics")[:3] == [f"- Tables: {meta['total_tables']}", f"- Relationships: {meta['total_relationships']}", f"- Measures: {meta['total_measures']}"]
+    counts = {r["classification"]: r["count"] for r in shop["classifications"].groupBy("classification").count().collect()}
+    assert section(extended, "Table distribution")[0] == f"- Fact tables: {counts.get('FACT', 0)}"
+    assert len(section(technical, "Data sources")) == shop["datasources"].count() and len(section(technical, "Composition")) == shop["tables"].count()
+    assert [x[2:].rsplit(" (", 1)[0] for x in section(technical, "Most complex unused measures")] == [m["name"] for m in unused][:5]
+    total = shop["category_totals"].first()
+    assert section(technical, "Visuals by category")[0].startswith(f"| Chart | {total['chart_count']} |")
+    assert len(section(technical, "Least used tables")) == min(5, shop["column_usage"].count())
+    compliance = documents.compliance(shop).collect()
+    assert len(section(compliance, "Points")) == shop["issues"].count()
+    assert section(compliance, "Notes") == [f"- The model dimension cannot score more than its schema type allows: {meta['schema_type']}"]
 
 
 def test_project_without_measures_has_prompts(spark):
