@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import Scratch
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,7 +16,8 @@ def components(edges: DataFrame) -> DataFrame:
     with the logarithm of the longest chain. Each round is written, so a lost
     executor costs one round's tasks at most. Two numbers a round reach the driver.
     """
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.table(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
     mark = print_of(now)
     while mark[0]:
@@ -25,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small_least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = materialize(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        now = scratch.table(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         if (then := print_of(now)) == mark:
             break
         mark = then

@@ -8,15 +8,16 @@ candidate link is confirmed on the full shingle sets.
 
 Documents with equal sets are one class; only classes are banded. In a band's
 bucket every member is first held against the bucket's smallest member. Only
-members of buckets that still hold more than one component are looked at again:
-they are paired across components by their rarest shingles, which leaves out no
-pair that reaches the threshold. So a bucket of many copies costs one pair a copy.
+members of buckets that still hold more than one component are looked at again,
+and all sets of fewer than ``SMALL`` shingles, whose signatures say little: they
+are paired across components by their rarest shingles, which leaves out no pair
+that reaches the threshold. So a bucket of many copies costs one pair a copy.
 
 Nulls: a null text has no words, an empty set and no links. Rows with a null
 ``doc_id`` take no part in linking: their component is null and they are not
-kept. Rows that share a ``doc_id`` are linked with what any of their texts is
-linked with. Texts of fewer than five words are one shingle. An empty table
-gives an empty result; extra columns are ignored.
+kept. All texts of rows that share a ``doc_id`` are one component, with what any
+of them is linked with. Texts of fewer than five words are one shingle. An empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +29,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialize, semi_by_size, shingle_sets, splitmix, text_batches
+from .common import Scratch, join_by_size, map_arrow, shingle_sets, small_batches, splitmix, text_batches
 from .graph import components
 
 SHINGLE, THRESHOLD = 5, 75
-#: Bands of ROWS values. A pair at 0.75 shares none of them once in 60,000 times.
+#: Bands of ROWS values. A pair of large sets at 0.75 shares none of them once in 60,000 times.
 BANDS, ROWS = 56, 6
-#: Shingles are counted in a table of two to this power slots, 4 MB, whatever the corpus.
-COUNT_BITS = 20
+#: Sets of fewer shingles are paired exactly: of so few values minimum and maximum are not independent.
+SMALL = 32
+#: Shingles are counted in a table of as many slots as there are shingles, between two to these powers (256 KB to 16 MB).
+COUNT_BITS = (16, 22)
+#: Partners that one task holds against a set at a time: a set with more is sent to several.
+SLICE = 500
 
 
 def signature(sets: list[np.ndarray], permutations: int) -> np.ndarray:
@@ -71,8 +76,8 @@ def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n (shingles), set_a and set_b (what the set hashes to) and bands of each row."""
-    schema = "doc_id long, n long, set_a long, set_b long, bands array<long>"
+    """doc_id, mark (of the text), n (shingles), set_a and set_b (what the set hashes to) and bands of each row."""
+    schema = "doc_id long, mark long, n long, set_a long, set_b long, bands array<long>"
     # a band never holds both ends of one permutation next to each other only: values alternate, min and max
     permutations = -(-bands * rows // 2)
 
@@ -86,122 +91,149 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                     keys[i] = row
             yield {
                 "doc_id": batch.column("doc_id").slice(at, len(texts)),
+                "mark": batch.column("mark").slice(at, len(texts)),
                 "n": [len(x) for x in sets],
                 "set_a": [int(x.sum(dtype=np.uint64).view(np.int64)) for x in sets],
                 "set_b": [int(np.bitwise_xor.reduce(x * (x | np.uint64(1)) ^ (x >> np.uint64(17))).view(np.int64)) if len(x) else 0 for x in sets],
                 "bands": keys,
             }
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), work, schema)
+    return map_arrow(_marked(docs), work, schema)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= threshold * union; texts come from ``docs`` by doc_id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(semi_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id"), "texts")
-    with_b = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = with_b.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+def _marked(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("mark"))
 
-    def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-        text_a, text_b = batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()
-        found, at = [], 0
-        while at < len(a):  # a bounded number of characters at a time; a text that many pairs share is cut once
-            index: dict[str, int] = {}
-            end, size = at, 0
-            while end < len(a) and (end == at or size < 1 << 19):
-                for x in (text_a[end] or "", text_b[end] or ""):
-                    if x not in index:
-                        index[x] = len(index)
-                        size += len(x)
-                end += 1
-            sets = list(shingle_sets(list(index), SHINGLE))
-            for i in range(at, end):
-                x, y = sets[index[text_a[i] or ""]], sets[index[text_b[i] or ""]]
-                if len(x) and len(y):
-                    both_ = np.concatenate([x, y])
-                    both_.sort()
-                    shared = int(np.count_nonzero(both_[1:] == both_[:-1]))
-                    if 100 * shared >= threshold * (len(x) + len(y) - shared):
-                        found.append(i)
-            at = end
-        yield {"a": [a[i] for i in found], "b": [b[i] for i in found]}
-
-    return map_arrow(both, work, "a long, b long")
-
-
-def prefix_pairs(rest: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ``rest`` (rep, n, component) of different components that may reach the threshold; none is left out.
+
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, text) of the classes ``ids`` (node): the text of each one's first row, known by id and mark."""
+    first = scratch.table(join_by_size(classes.select("node", "rep", "mark"), scratch.table(ids.distinct(), "ids"), ["node"], "left_semi"), "first")
+    some = join_by_size(_marked(docs).withColumnRenamed("doc_id", "rep"), first.select("rep", "mark"), ["rep", "mark"], "left_semi")
+    return scratch.table(some.dropDuplicates(["rep", "mark"]).join(first, ["rep", "mark"]).select("node", "text"), "texts")
+
+
+def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= threshold * union.
+
+    ``a``'s text is sent once for ``SLICE`` partners, whose texts follow it: no
+    task holds all partners of one set, and no pair carries two texts.
+    """
+    pairs = scratch.table(pairs, "pairs")
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")), classes, docs, scratch)
+    counts = scratch.table(pairs.groupBy("a").agg((F.floor((F.count("*") - 1) / SLICE) + 1).cast("int").alias("slices")), "counts")
+    sliced = join_by_size(pairs, counts, ["a"]).withColumn("slice", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int"))
+    partners = sliced.join(texts.withColumnRenamed("node", "b"), "b").select("a", "slice", "b", "text")
+    heads = counts.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice")).join(texts.withColumnRenamed("node", "a"), "a")
+    both = heads.select("a", "slice", F.lit(None).cast("long").alias("b"), "text").unionByName(partners)
+    rows = both.repartition("a", "slice").sortWithinPartitions("a", "slice", F.col("b").asc_nulls_first())
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
+            found = []
+            for at, texts in text_batches(batch, "text", 1 << 19):
+                for i, x in enumerate(shingle_sets(texts, SHINGLE), at):
+                    if b[i] is None:
+                        head, own = a[i], x
+                    elif a[i] == head and len(x) and len(own):
+                        merged = np.concatenate([x, own])
+                        merged.sort()
+                        shared = int(np.count_nonzero(merged[1:] == merged[:-1]))
+                        if 100 * shared >= threshold * (len(x) + len(own) - shared):
+                            found.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in found], pa.int64()), pa.array([b[i] for i in found], pa.int64())], schema=schema)
+
+    return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
+
+
+def prefix_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (node, n, component) of different components that may reach the threshold; none is left out.
 
     Two sets that reach it share a shingle among the first n - ceil(t * n) + 1
     of each, in whatever common order. Rare shingles come first here, by counts
-    in a table of fixed size, so copies of one text that each differ in their
+    in a table of bounded size, so copies of one text that each differ in their
     own way meet nobody: a bucket's members need not all be paired. What stands
     before the first shared shingle bounds the overlap, and prunes more.
     """
     spark = docs.sparkSession
-    ids = rest.select(F.col("rep").alias("doc_id")).distinct()
-    texts = materialize(semi_by_size(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ids, "doc_id"), "texts")
-    mask = np.uint64((1 << COUNT_BITS) - 1)
+    texts = _texts(rest.select("node"), classes, docs, scratch)
+    total = rest.agg(F.sum("n")).first()[0] or 0
+    bits = min(max(int(total).bit_length(), COUNT_BITS[0]), COUNT_BITS[1])
+    mask = np.uint64((1 << bits) - 1)
 
     def count(batch: pa.RecordBatch) -> Iterator[dict]:
         for _, piece in text_batches(batch, "text"):
             slot, n = np.unique(np.concatenate([*shingle_sets(piece, SHINGLE), np.zeros(0, np.uint64)]) & mask, return_counts=True)
             yield {"slot": slot.astype(np.int64), "n": n}
 
-    counted = map_arrow(texts, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    table = np.zeros(1 << COUNT_BITS, np.uint32)
-    table[counted.column("slot").to_numpy()] = np.minimum(counted.column("n").to_numpy(), (1 << 32) - 1)
+    counted = map_arrow(texts, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("slot").cast("int"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
+    table = np.zeros(1 << bits, np.uint32)
+    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
     counts = spark.sparkContext.broadcast(table)
 
     def prefix(batch: pa.RecordBatch) -> Iterator[dict]:
-        ids = batch.column("doc_id").to_numpy()
+        ids = batch.column("node").to_numpy()
         for at, piece in text_batches(batch, "text"):
-            reps, tokens, places = [], [], []
+            reps, tokens, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, x in enumerate(shingle_sets(piece, SHINGLE), at):
                 size = len(x) - -(-len(x) * threshold // 100) + 1
                 first = np.lexsort((x, counts.value[(x & mask).astype(np.int64)]))[:size]
                 tokens.append(x[first].view(np.int64))
                 reps.append(np.full(len(first), ids[i]))
                 places.append(np.arange(len(first)))
-            yield {"rep": np.concatenate(reps), "token": np.concatenate(tokens), "place": np.concatenate(places)}
+            yield {"node": np.concatenate(reps), "token": np.concatenate(tokens), "place": np.concatenate(places)}
 
-    rare = map_arrow(texts, prefix, "rep long, token long, place long").join(rest, "rep")
+    rare = scratch.table(map_arrow(texts, prefix, "node long, token long, place long").join(rest, "node"), "rare")
+    twice = scratch.table(rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "tokens")
+    rare = scratch.table(join_by_size(rare, twice, ["token"], "left_semi"), "rare")
     left, right = rare.alias("x"), rare.alias("y")
-    fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.rep") < F.col("y.rep"))
+    fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
     fits &= F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
     # if this is the first shingle that the two share, no more than what follows it can be shared
     fits &= F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold
-    return left.join(right, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    return left.join(right, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, a row for each row of ``docs``."""
-    signed = materialize(signatures(docs, bands, rows), "signed")
+    """doc_id, n_shingles, component_id, kept and mark (of the text), a row for each row of ``docs``."""
+    scratch = Scratch(docs.sparkSession, "minhash")
+    signed = scratch.table(signatures(docs, bands, rows), "signed")
     sets = signed.where("n > 0 AND doc_id IS NOT NULL")
-    classes = materialize(sets.groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep")), "classes")
-    own = sets.select("doc_id", "n", "set_a", "set_b", "bands").join(classes.withColumnRenamed("n", "size"), ["set_a", "set_b"]).where("doc_id = rep AND n = size")
-    members = own.select("rep", "n", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last").select("key", "hub")
-    shared = materialize(members.join(hubs, "key").select("key", "hub", "rep", "n"), "buckets")
-    sizes = classes.select(F.col("rep").alias("hub"), F.col("n").alias("hub_n")).groupBy("hub").agg(F.min("hub_n").alias("low"), F.max("hub_n").alias("high"))
-    near = F.least("n", "high") * 100 >= F.greatest("n", "low") * threshold
-    first = shared.where("rep <> hub").groupBy("hub", "rep").agg(F.min("n").alias("n")).join(sizes, "hub").where(near).select(F.col("hub").alias("a"), F.col("rep").alias("b"))
-    links = materialize(confirm(first, docs, threshold), "links")
+    grouped = sets.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    classes = scratch.table(grouped.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), "first.mark").withColumn("node", F.monotonically_increasing_id()), "classes")
+    own = sets.select("set_a", "set_b", "n", F.col("doc_id").alias("rep"), "mark", "bands").join(classes, ["set_a", "set_b", "n", "rep", "mark"])
+    members = own.select("node", "n", F.explode("bands").alias("key"))
+    hubs = scratch.table(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
+    shared = scratch.table(join_by_size(members, hubs, ["key"]).select("key", "hub", "hub_n", "node", "n"), "buckets")
+    near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * threshold
+    first = shared.where("node <> hub").where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = scratch.table(confirm(first, classes, docs, scratch, threshold), "links")
+    # texts of one id belong together, whatever they are
+    sized = F.struct("set_a", "set_b", "n")
+    several = scratch.table(sets.groupBy("doc_id").agg(F.min(sized).alias("low"), F.max(sized).alias("high")).where("low <> high").select("doc_id"), "several")
+    own = join_by_size(sets.select("doc_id", "set_a", "set_b", "n"), several, ["doc_id"], "left_semi").join(classes.select("set_a", "set_b", "n", "node"), ["set_a", "set_b", "n"])
+    own = scratch.table(own.select("doc_id", F.col("node").alias("b")).distinct(), "same-id")
+    same = join_by_size(own, scratch.table(own.groupBy("doc_id").agg(F.min("b").alias("a")), "same-first"), ["doc_id"]).where("a <> b").select("a", "b")
+    links = links.unionByName(same)
     groups = components(links)
 
-    at = shared.join(groups.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    at = materialize(at, "placed")
-    split = at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    at = scratch.table(shared.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    split = scratch.table(at.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key"), "split")
     # the hub is held against all its bucket already
-    rest = materialize(at.where("rep <> hub").join(split, "key", "left_semi").select("rep", "n", "component").distinct(), "rest")
-    second = prefix_pairs(rest, docs, threshold)
-    more = materialize(confirm(second, docs, threshold), "links")
+    rest = join_by_size(at.where("node <> hub"), split, ["key"], "left_semi").select("node", "n", "component")
+    few = classes.where(F.col("n") < SMALL).select("node", "n").join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
+    rest = scratch.table(rest.unionByName(few).distinct(), "rest")
+    more = scratch.table(confirm(prefix_pairs(rest, classes, docs, scratch, threshold), classes, docs, scratch, threshold), "more-links")
     if more.limit(1).count():
         groups = components(links.unionByName(more))
 
-    named = classes.join(groups.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.col("n").alias("size"), F.coalesce("component", "rep").alias("class_component"))
-    named = materialize(named, "named")
+    placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = scratch.table(placed.join(least, "component").select("set_a", "set_b", F.col("n").alias("size"), "component_id"), "named")
+    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "hubs", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "rare", "tokens", "more-links")
     out = signed.drop("bands").join(named, (signed["set_a"] == named["set_a"]) & (signed["set_b"] == named["set_b"]) & (signed["n"] == named["size"]) & signed["doc_id"].isNotNull(), "left")
-    component = F.coalesce("class_component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "mark")

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -83,21 +84,43 @@ def brute_secrets(text):
 def test_secrets_against_brute_force(spark, odd, empty):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
-    for r in rows_of(secrets.scan_secrets(docs)):
+    for r in rows_of(secrets.scan_secrets(docs, "source", "doc_id")):
         assert r["base"] == brute_secrets(texts[r["doc_id"]])
         assert set(filter(None, r["base"].split(","))) <= set(filter(None, r["spans"].split(",")))
-    assert secrets.scan_secrets(odd).count() == odd.count()
-    assert secrets.scan_secrets(empty).count() == 0
+    assert secrets.scan_secrets(odd, "source", "doc_id").count() == odd.count()
+    assert secrets.scan_secrets(empty, "source", "doc_id").count() == 0
 
 
 def test_ownership_separates_copied_from_own_values(spark):
     live, copied = "q7Rk2mZx9Lw4Tn8Vb3Yc", "Zx81kQm27Wv93Lp46Tn0"
     rows = [(i, f"see {copied} here", "en", f"owner{i}") for i in range(5)] + [(9, f"mine {live} é", "en", "owner9")]
-    got = {r["doc_id"]: r for r in rows_of(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")))}
+    got = {r["doc_id"]: r for r in rows_of(secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "source", "lang"))}
     assert got[9]["spans"] == f"owned:5:{5 + len(live)}" and got[9]["n_live"] == 1
     assert all(got[i]["spans"] == "" for i in range(5))
 
 
+def test_both_counts_decide(spark):
+    """All counts of planted values against brute force: one owner with many repositories is copied, one with few is live."""
+    random.seed(12)
+    value = lambda: "".join(random.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(24)) + "a1"
+    values = [value() for _ in range(40)]
+    rows, held = [], {}
+    for i in range(400):
+        own, owner, repository = random.sample(values, 2) + ["plain"], f"o{random.randrange(3) if i % 2 else 0}", random.choice([None, *(f"r{k}" for k in range(14))])
+        own = own if i % 3 else [values[0], "text"] if i % 2 else [f"{i}", "nothing"]
+        rows.append((i, " and ".join(own), owner, repository, "x", "y"))
+        for v in own:
+            if v in values:
+                held.setdefault(v, set()).add((owner, repository))
+    rows += [(1000 + i, f"here {value()} once", "solo", "r", "x", "y") for i in range(5)] + [rows[0]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, repo string, value string, owner string")
+    live = {v for v, places in held.items() if len({o for o, _ in places}) <= secrets.MAX_OWNERS and len(places) <= secrets.MAX_REPOSITORIES}
+    for r in rows_of(secrets.scan_secrets(df, "source", "repo")):
+        text = next(t for i, t, *_ in rows if i == r["doc_id"])
+        want = [f"owned:{m.start()}:{m.end()}" for m in secrets.TOKEN.finditer(text) if (m[0] in live or (r["doc_id"] >= 1000 and m[0] not in held)) and secrets.looks_random(m[0])]
+        assert r["spans"] == ",".join(want), text
+
+
 # 3
 
 
@@ -137,6 +160,34 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[20] == "found:19:28" and got[21] == ""
 
 
+def test_planted_identifiers_are_found(spark):
+    """Identifiers outside the base kinds, planted behind and before the words that seeds have beside them: precision and recall."""
+    random.seed(8)
+    number = lambda: f"{random.choice('ABCDEF')}{random.randint(10, 99)}-{random.randint(10000, 99999)}"
+    rows, want = [], {}
+    for i in range(300):
+        kind = i % 6
+        if kind < 2:
+            text = f"filler {random.choice(['alpha', 'beta'])} please reach me on +1 555 010 {1000 + i} before noon today"
+        elif kind == 2:
+            text = f"his card ends, mail to u{i}@example.org for the account holder record"
+        elif kind == 3:
+            own = number()
+            text = f"some words please reach me on {own} whenever"
+            want[i] = (text.index(own), text.index(own) + len(own))
+        elif kind == 4:
+            own = number()
+            text = f"see {own} for the account holder record"
+            want[i] = (text.index(own), text.index(own) + len(own))
+        else:
+            text = f"the part number {number()} fits the pump housing {number()} of model x"
+        rows.append((i, text, "a"))
+    got = {r["doc_id"]: [tuple(map(int, x.split(":")[1:])) for x in r["spans"].split(",") if x.startswith("found")] for r in rows_of(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string, source string")))}
+    hits = sum(want[i] in got[i] for i in want)
+    assert hits / len(want) >= 0.95, hits
+    assert hits / sum(map(len, got.values())) >= 0.95
+
+
 # 4
 
 
@@ -257,6 +308,11 @@ def test_quality_on_held_out_labels(spark, odd, empty):
     assert len(scored) == odd.count() and all(0 <= r["score"] <= 1 for r in scored)
     assert quality.keep_good(odd, model, 0.0).count() == odd.count()
     assert quality.score(empty, model).count() == 0
+    share = labels.where(~quality.held_out()).where("quality IS NOT NULL").selectExpr("(sum(quality) + 1) / (count(*) + 2)").first()[0]
+    assert model.scores([""])[0] == pytest.approx(share, abs=1e-6)
+    twice = labels.unionByName(labels).unionByName(labels.limit(50).selectExpr("doc_id", "0 AS quality", "toxic"))
+    again = quality.fit(docs.unionByName(docs.limit(200)), twice)
+    assert again.scores(["some text", ""])[0] == pytest.approx(model.scores(["some text"])[0], abs=1e-9)
     none = quality.fit(empty, labels.limit(0))
     assert {r["score"] for r in rows_of(quality.score(odd, none))} == {0.5}
 
@@ -296,12 +352,60 @@ def test_speculation_repairs_only_what_fails():
 # 9
 
 
+def brute_wave(codec, payload):
+    """Samples one by one, from the codecs' definitions."""
+    out = []
+    if codec == "mulaw":
+        for x in payload:
+            x = ~x & 255
+            size = ((x & 15) * 8 + 132) * 2 ** (x >> 4 & 7) - 132
+            out.append(-size if x & 128 else size)
+    elif codec == "alaw":
+        for x in payload:
+            x ^= 85
+            high, low = x >> 4 & 7, x & 15
+            size = low * 16 + 8 if high == 0 else (low * 16 + 264) * 2 ** (high - 1)
+            out.append(size if x & 128 else -size)
+    else:
+        for at in range(0, len(payload), 576):
+            block = payload[at : at + 576]
+            sample, index = int.from_bytes(block[:2], "little", signed=True), min(block[2], 88)
+            out.append(sample)
+            for byte in block[4:]:
+                for code in (byte & 15, byte >> 4):
+                    step = int(media.STEPS[index])
+                    change = step // 8 + (step if code & 4 else 0) + (step // 2 if code & 2 else 0) + (step // 4 if code & 1 else 0)
+                    sample = max(-32768, min(32767, sample + (-change if code & 8 else change)))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[code & 7]))
+                    out.append(sample)
+    return out
+
+
+def brute_resample(wave):
+    out = []
+    for k in range(2 * len(wave)):
+        a, b = wave[k // 2], wave[min(k // 2 + 1, len(wave) - 1)]
+        out.append(round(a + (b - a) * (k % 2) / 2))
+    return out
+
+
+def brute_feature(codec, wave):
+    rms = (sum(x * x for x in wave) / max(1, len(wave))) ** 0.5
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(wave, wave[1:], strict=False))
+    return f"{codec}:{len(wave)}:{rms:.3f}:{max(map(abs, wave), default=0)}:{crossings}:{zlib.crc32(np.array(wave, '<i2').tobytes()):08x}"
+
+
 def test_media_round_trip_and_codecs(spark, odd, empty):
-    for r in rows_of(media.media_columns(odd)):
+    for r in rows_of(media.media_columns(odd.where("char_length(coalesce(text, '')) < 6000"))):
         codec, payload = media.load(bytes(r["media"]))
         assert hashlib.sha256(payload).hexdigest() == r["payload_sha256"] and len(payload) == r["payload_bytes"] and len(payload) % 576 == 0
         assert payload[: r["n_bytes"]] + b"\xff" * (len(payload) - r["n_bytes"]) == payload and codec == media.codec_of(payload)
         assert media.load(bytes(r["pcm"]))[0] == "pcm"
+        wave = brute_wave(codec, payload)
+        assert r["feature"] == brute_feature(codec, brute_resample(wave)), codec
+        assert np.frombuffer(media.load(bytes(r["pcm"]))[1], "<i2").tolist() == brute_resample(wave)
+        assert r["tail_crc32"] == zlib.crc32(payload[-32:]) and r["media_sha256"] == hashlib.sha256(r["media"]).hexdigest() and r["media_bytes"] == len(r["media"])
+        assert r["pcm_bytes"] == len(r["pcm"]) and r["pcm_sha256"] == hashlib.sha256(media.load(bytes(r["pcm"]))[1]).hexdigest()
     got = rows_of(media.media_columns(odd, keep_media=False))
     texts = {(r["doc_id"], r["payload_sha256"]): r["feature"] for r in got}
     assert texts[3, next(r["payload_sha256"] for r in got if r["doc_id"] == 3)] == next(r["feature"] for r in got if r["doc_id"] == 1)
@@ -349,11 +453,72 @@ def test_mix_meets_its_targets(spark, odd, empty):
     assert mixing.mix(odd).columns == odd.columns and mixing.mix(odd).where("copies <> 1 OR hash <> 'x'").count() == 0
 
 
-def test_targets_stop_at_three_times_the_size():
-    got = mixing.targets([("a", 1000), ("b", 10), ("c", 1000), (None, 5)])
+def test_targets_stop_at_three_times_the_size(spark):
+    of = lambda rows: {r["source"]: r["target"] for r in rows_of(mixing.targets(spark.createDataFrame(rows, "source string, size long")))}
+    got = of([("a", 1000), ("b", 10), ("c", 1000), (None, 5)])
     assert got["b"] == 30.0 and got[None] == 15.0 and abs(sum(got.values()) - 2015) < 1e-9
     assert abs(got["c"] / got["a"] - 3) < 1e-9
-    assert mixing.targets([("a", 0), ("b", 0)]) == {"a": 0.0, "b": 0.0}
+    assert of([("a", 0), ("b", 0)]) == {"a": 0.0, "b": 0.0}
+
+
+def brute_targets(sizes):
+    """Fill by weight, fix what is full, share the rest again."""
+    order = sorted(sizes, key=lambda s: (s is None, [ord(c) for c in s or ""]))
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}
+    full, left = {}, dict(sizes)
+    while True:
+        rest = sum(sizes.values()) - sum(full.values())
+        share = {s: rest * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s: 3 * sizes[s] for s in left if share[s] > 3 * sizes[s]}
+        if not over:
+            return full | share
+        full |= over
+        left = {s: n for s, n in left.items() if s not in over}
+
+
+def test_mix_of_many_sources(spark):
+    """Hundreds of sources, hot ones and tiny ones, with columns named as the operator's own."""
+    random.seed(5)
+    rows = [(i, "w " * random.choice([0, 1, 3, 50]), random.choice(["hot"] * 200 + [f"s{k}" for k in range(300)] + [None]), 1, 2, 3, "x", "y") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, __copies int, __threshold int, no int, hash string, __source string")
+    got = rows_of(mixing.mixture(df))
+    sizes = {}
+    for _, t, s, *_ in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = brute_targets(sizes)
+    by = {}
+    for r in got:
+        by.setdefault(r["source"], []).append(r)
+        assert r["target"] == pytest.approx(want[r["source"]]) and r["source_size"] == sizes[r["source"]] and r["taken"] <= 3 * r["size"]
+    for s, x in by.items():
+        assert abs(sum(r["taken"] for r in x) - want[s]) <= max(r["size"] for r in x) / 2 + 1e-6
+    assert mixing.mix(df).columns == df.columns and mixing.mix(df).count() == sum(r["copies"] for r in got)
+
+
+def test_neighbours_with_repeated_ids_and_mixed_dimensions(spark):
+    rng = np.random.RandomState(4)
+    rows = [(i % 50, [float(x) for x in rng.standard_normal(8)]) for i in range(100)] + [(i, [float(x) for x in rng.standard_normal(5)]) for i in range(100, 130)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in rows_of(ann.search(df, df.where("vec_id IN (0, 20, 100, 120)"), k=5)):
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert set(got) == {0, 20, 100, 120}
+    for q, found in got.items():
+        assert all(i != q for _, i in found) and all((i < 50) == (q < 50) for _, i in found) and [r for r, _ in sorted(found)] == [1, 2, 3, 4, 5]
+
+
+def test_passages_are_counted(spark):
+    """A passage of PASSAGE bytes in two texts is always seen; texts that share less than GRAM bytes are not."""
+    random.seed(13)
+    letters = lambda n: "".join(random.choice("abcdefgh ") for _ in range(n))
+    texts, shared = [], []
+    for i in range(60):
+        passage = letters(suffix.PASSAGE if i % 2 else suffix.GRAM - 1)
+        texts += [letters(random.randrange(300)) + passage + letters(random.randrange(300)) for _ in range(2)]
+        shared += [bool(i % 2)] * 2
+    got = {r["doc_id"]: r for r in rows_of(suffix.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")))}
+    assert [got[i]["n_passages"] > 0 for i in range(len(texts))] == shared
+    assert all(r["n_removed"] == 0 for r in got.values())
 
 
 def test_texts_of_one_id_are_one_component(spark):
