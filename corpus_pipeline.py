@@ -8,6 +8,7 @@ columns of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditloom.llm import bpe, minhash, mixing, pii, quality
 from auditloom.llm.common import materialize, read_table
@@ -19,10 +20,16 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest id; rows without id are no group and stay."""
-    kept = minhash.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    known = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return known.unionByName(docs.where("doc_id IS NULL"))
+    """One row of each group of near-duplicates stays: of the smallest id, and of its texts one.
+
+    Rows without id take part under a number made from their text, so of equal
+    ones one stays. Repeated rows are one row; a null text is an empty one.
+    """
+    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    found = minhash.near_duplicates(docs.select(number.alias("doc_id"), "text"))
+    kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("__number")).agg(F.min("mark").alias("__mark")), "kept")
+    rows = docs.join(kept, (number == F.col("__number")) & (F.xxhash64("text") == F.col("__mark")), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"])
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
