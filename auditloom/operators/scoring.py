@@ -31,10 +31,21 @@ def _finding(rows: DataFrame, dimension: str, rule: str, n: Column, affected: Co
     ).where("n > 0")
 
 
-def _listed(rows: DataFrame, dimension: str, rule: str, name: str, n: Column | None = None) -> DataFrame:
-    """Rows with a name, one finding each."""
-    grouped = rows.groupBy("project").agg((F.count("*") if n is None else n).alias("count"), F.array_sort(F.collect_set(name)).alias("names"))
-    return _finding(grouped, dimension, rule, F.col("count"), F.col("names"))
+def _findings(wide: DataFrame, dimension: str, *rules: tuple[str, Column, Column | None]) -> DataFrame:
+    """One row a project becomes one finding a rule (rule, n, affected) that has any: a single pass for all rules of an input."""
+    none = F.array().cast("array<string>")
+    items = F.array(*(F.struct(F.lit(rule).alias("rule"), n.cast("double").alias("n"), (none if affected is None else F.coalesce(affected, none)).alias("affected")) for rule, n, affected in rules))
+    null = F.lit(None).cast("string")
+    rows = wide.select("project", F.explode(items).alias("f")).where("f.n > 0")
+    return rows.select("project", F.lit(dimension).alias("dimension"), "f.rule", "f.n", null.alias("detail"), "f.affected", null.alias("severity_given"))
+
+
+def _sorted(when: Column, name: str) -> Column:
+    return F.array_sort(F.collect_set(F.when(when, F.col(name))))
+
+
+def _flag(when: Column) -> Column:
+    return F.when(when, 1).otherwise(0)
 
 
 def first_affected(rows: DataFrame, name: str, k: int = 3) -> DataFrame:
@@ -54,36 +65,39 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def model_findings(classes: DataFrame, edges: DataFrame, columns: DataFrame, names: R.RuleSet | None = None) -> DataFrame:
     """Findings about tables and relationships."""
     limits = (names or R.RuleSet()).limits
-    totals = M.schema_type(classes, edges)
-    counts = M.class_counts(classes)
-    intended = F.col("classification").isin("CALCULATION", "PARAMETER") | F.col("table").rlike("^(_|param|Param)")
-    alone = M.isolated(classes, edges).join(classes.select("project", "table", "classification"), ["project", "table"]).where(~intended)
-    ratio = alone.groupBy("project").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("table")).alias("names")).join(totals.select("project", "n_tables"), "project")
+    c = F.col
     shared = M.shared_dimensions(edges, classes).groupBy("project").agg(F.count("*").alias("shared"))
-    label = F.concat_ws(" -> ", "from_table", "to_table")
-    named = edges.withColumn("label", label)
-    many = (F.col("from_cardinality") == "many") & (F.col("to_cardinality") == "many")
-    typed = columns.select("project", F.col("table").alias("t"), F.col("name").alias("c"), "data_type")
-    ends = edges.select("project", F.explode(F.array(F.struct(F.col("from_table").alias("t"), F.col("from_column").alias("c")), F.struct(F.col("to_table").alias("t"), F.col("to_column").alias("c")))).alias("e")).select("project", "e.*")
-    text_keys = ends.join(typed.where("data_type = 'string'"), ["project", "t", "c"]).select("project", "t").distinct()
-    low = classes.where((F.col("confidence") < limits["low_confidence_classification"]) & ~F.col("classification").isin("CALCULATION", "PARAMETER"))
-    facts = classes.where("classification = 'FACT' AND calculated_columns > 0")
-    t = totals.join(counts.select("project", "average_confidence", "bridge_tables"), "project").join(shared, "project", "left").na.fill(0, ["shared"])
-    flag = lambda rule, when: _finding(t.where(when), "MODEL", rule, F.lit(1))
+    counts = M.class_counts(classes).select("project", "average_confidence", "bridge_tables")
+    t = M.schema_type(classes, edges).join(counts, "project").join(shared, "project", "left").na.fill(0, ["shared"])
+    named = edges.withColumn("label", F.concat_ws(" -> ", "from_table", "to_table"))
+    many = (c("from_cardinality") == "many") & (c("to_cardinality") == "many")
+    both, off = F.lower("cross_filter_direction").isin("both", "bothdirections"), ~c("is_active")
+    links = named.groupBy("project").agg(
+        F.count_if(many).alias("many"), _sorted(many, "label").alias("many_names"), F.count_if(both).alias("both"), _sorted(both, "label").alias("both_names"), F.count_if(off).alias("off"), _sorted(off, "label").alias("off_names")
+    )
+    helper = c("classification").isin("CALCULATION", "PARAMETER")
+    alone = c("is_isolated") & ~(helper | c("table").rlike("^(_|param|Param)"))
+    fact, low = (c("classification") == "FACT") & (c("calculated_columns") > 0), (c("confidence") < limits["low_confidence_classification"]) & ~helper
+    own = classes.groupBy("project").agg(
+        (F.count_if(alone) / F.count("*")).alias("alone"), _sorted(alone, "table").alias("alone_names"), F.sum(F.when(fact, c("calculated_columns"))).alias("calculated"), _sorted(fact, "table").alias("fact_names"),
+        F.count_if(low).alias("low"), _sorted(low, "table").alias("low_names"),
+    )
+    typed = columns.where("data_type = 'string'").select("project", c("table").alias("t"), c("name").alias("c"))
+    ends = edges.select("project", F.explode(F.array(F.struct(c("from_table").alias("t"), c("from_column").alias("c")), F.struct(c("to_table").alias("t"), c("to_column").alias("c")))).alias("e")).select("project", "e.*")
+    keys = ends.join(typed, ["project", "t", "c"], "left_semi").groupBy("project").agg(F.countDistinct("t").alias("n"), F.array_sort(F.collect_set("t")).alias("names"))
     return _union([
-        flag("no_relationships", "n_tables > 1 AND n_edges = 0"),
-        _finding(ratio, "MODEL", "isolated_tables", F.col("n") / F.col("n_tables"), F.col("names")),
-        flag("no_fact_table", "n_edges > 0 AND n_facts = 0"),
-        flag("multiple_facts_no_shared_dims", "n_facts >= 2 AND shared = 0"),
-        _listed(named.where(many), "MODEL", "many_to_many", "label"),
-        _listed(named.where(F.lower("cross_filter_direction").isin("both", "bothdirections")), "MODEL", "bidirectional", "label"),
-        _listed(named.where("NOT is_active"), "MODEL", "inactive_relationships", "label"),
-        _listed(text_keys, "MODEL", "string_keys", "t"),
-        _listed(facts, "MODEL", "calculated_columns_in_facts", "table", F.sum("calculated_columns")),
-        _listed(low, "MODEL", "low_confidence_classification", "table"),
-        flag("clean_dimensional_model", "n_facts > 0 AND n_dimensions > 0 AND n_edges > 0"),
-        _finding(t, "MODEL", "bridge_tables_present", F.col("bridge_tables")),
-        flag("high_classification_confidence", F.col("average_confidence") >= limits["high_classification_confidence"]),
+        _findings(
+            t, "MODEL",
+            ("no_relationships", _flag((c("n_tables") > 1) & (c("n_edges") == 0)), None),
+            ("no_fact_table", _flag((c("n_edges") > 0) & (c("n_facts") == 0)), None),
+            ("multiple_facts_no_shared_dims", _flag((c("n_facts") >= 2) & (c("shared") == 0)), None),
+            ("clean_dimensional_model", _flag((c("n_facts") > 0) & (c("n_dimensions") > 0) & (c("n_edges") > 0)), None),
+            ("bridge_tables_present", c("bridge_tables"), None),
+            ("high_classification_confidence", _flag(c("average_confidence") >= limits["high_classification_confidence"]), None),
+        ),
+        _findings(links, "MODEL", ("many_to_many", c("many"), c("many_names")), ("bidirectional", c("both"), c("both_names")), ("inactive_relationships", c("off"), c("off_names"))),
+        _findings(own, "MODEL", ("isolated_tables", c("alone"), c("alone_names")), ("calculated_columns_in_facts", c("calculated"), c("fact_names")), ("low_confidence_classification", c("low"), c("low_names"))),
+        _findings(keys, "MODEL", ("string_keys", c("n"), c("names"))),
     ])
 
 
@@ -93,19 +107,24 @@ def dax_findings(measures: DataFrame, literal: bool = False, names: R.RuleSet |
     limits, e = names.limits, F.col("expression")
     m = measures.withColumn("complex", F.coalesce((F.col("line_breaks") >= limits["complex_measure_min_lines"]) | (dax.paren_depth(e) > limits["max_measure_nesting_depth"]), F.lit(False))).withColumn("has_var", F.coalesce(dax.var_count(e) > 0, F.lit(False)))
     m = m.withColumn("outside", ~F.col("table").isin(*names.measure_tables))
-    share = m.groupBy("project").agg(
-        F.count("*").alias("total"), F.count_if("outside").alias("out"), F.array_sort(F.collect_set(F.when(F.col("outside"), F.col("name")))).alias("names"),
-        F.count_if("complex").alias("complex"), F.count_if(F.col("complex") & F.col("has_var")).alias("with_var"),
+    c = F.col
+    bare = F.lit(not literal) & c("format_string").isNull()
+    whole, hidden, nested = dax.filters_whole_table(e), c("complex") & ~c("has_var"), dax.nests_iterators(e)
+    wide = m.groupBy("project").agg(
+        F.count("*").alias("total"), F.count_if("outside").alias("out"), _sorted(c("outside"), "name").alias("out_names"), F.count_if("complex").alias("complex"), F.count_if(c("complex") & c("has_var")).alias("with_var"),
+        F.count_if(whole).alias("whole"), _sorted(whole, "name").alias("whole_names"), F.count_if(hidden).alias("hidden"), _sorted(hidden, "name").alias("hidden_names"),
+        F.count_if(nested).alias("nested"), _sorted(nested, "name").alias("nested_names"), F.count_if(bare).alias("bare"), _sorted(bare, "name").alias("bare_names"),
+    )
+    return _findings(
+        wide, "DAX",
+        ("filter_over_full_table", c("whole"), c("whole_names")),
+        ("no_var_in_complex_measure", c("hidden"), c("hidden_names")),
+        ("nested_iterators", c("nested"), c("nested_names")),
+        ("measure_without_format", c("bare"), c("bare_names")),
+        ("measures_outside_dedicated_table", F.when(c("out") / c("total") > 0.10, c("out")).otherwise(0), F.slice("out_names", 1, 10)),
+        ("all_measures_in_dedicated_table", _flag(c("out") == 0), None),
+        ("var_usage_rate", _flag((c("complex") > 0) & (c("with_var") / F.greatest("complex", F.lit(1)) >= limits["var_usage_rate"])), None),
     )
-    return _union([
-        _listed(m.where(dax.filters_whole_table(e)), "DAX", "filter_over_full_table", "name"),
-        _listed(m.where("complex AND NOT has_var"), "DAX", "no_var_in_complex_measure", "name"),
-        _listed(m.where(dax.nests_iterators(e)), "DAX", "nested_iterators", "name"),
-        _listed(m.where(F.lit(not literal) & F.col("format_string").isNull()), "DAX", "measure_without_format", "name"),
-        _finding(share.where("out / total > 0.10"), "DAX", "measures_outside_dedicated_table", F.col("out"), F.slice("names", 1, 10)),
-        _finding(share.where("out = 0"), "DAX", "all_measures_in_dedicated_table", F.lit(1)),
-        _finding(share.where((F.col("complex") > 0) & (F.col("with_var") / F.greatest("complex", F.lit(1)) >= limits["var_usage_rate"])), "DAX", "var_usage_rate", F.lit(1)),
-    ])
 
 
 def report_findings(pages: DataFrame, visuals: DataFrame, classes: DataFrame, warn: int = 8, critical: int = 12) -> DataFrame:
@@ -115,7 +134,7 @@ def report_findings(pages: DataFrame, visuals: DataFrame, classes: DataFrame, wa
     dense = pages.withColumn("shown", shown).where(F.col("shown") > warn)
     detail = F.concat(F.col("display_name"), F.lit(": "), F.col("shown").cast("string"), F.lit(" visuals, mostly "), F.lower(most))
     density = _finding(dense, "REPORT", "visuals_per_page", F.col("shown") - warn, F.array("display_name"), detail, F.when(F.col("shown") > critical, "CRITICAL").otherwise("WARNING"))
-    hidden = pages.where("hidden_count > 0").groupBy("project").agg(F.sum("hidden_count").alias("n"), F.array_sort(F.collect_set("display_name")).alias("names"))
+    hidden = pages.groupBy("project").agg(F.sum("hidden_count").alias("n"), _sorted(F.col("hidden_count") > 0, "display_name").alias("names"))
     slicers = visuals.where("category = 'SLICER'").select("project", "visual_id", F.explode_outer("all_fields").alias("f")).withColumn("t", F.regexp_extract("f", r"^'?([^'\[.]+)'?[\[.]", 1))
     facts = classes.where("classification = 'FACT'").select("project", F.col("table").alias("t"), F.lit(1).alias("on_fact"))
     clean = slicers.join(facts, ["project", "t"], "left").groupBy("project").agg(F.count("*").alias("n"), F.count("on_fact").alias("on_fact"))
@@ -129,25 +148,27 @@ def report_findings(pages: DataFrame, visuals: DataFrame, classes: DataFrame, wa
 def governance_findings(projects: DataFrame, tables: DataFrame, measures: DataFrame, roles: DataFrame | None = None, names: R.RuleSet | None = None) -> DataFrame:
     """Findings about names, descriptions and roles; ``roles``: (project, role, is_dynamic), if known."""
     names = names or R.RuleSet()
-    bad = tables.where(F.col("table").isin(*names.forbidden))
+    c = F.col
+    forbidden, sensitive = c("table").isin(*names.forbidden), F.lower("table").rlike("|".join(names.sensitive))
+    named = tables.groupBy("project").agg(F.count_if(forbidden).alias("bad"), _sorted(forbidden, "table").alias("bad_names"), F.count_if(sensitive).alias("sensitive"), _sorted(sensitive, "table").alias("sensitive_names"))
     bare = F.coalesce(F.trim("description"), F.lit("")) == ""
-    described = measures.groupBy("project").agg(F.count("*").alias("total"), F.countDistinct(F.when(bare, F.col("name"))).alias("bare"), F.array_sort(F.collect_set(F.when(bare, F.col("name")))).alias("names"))
-    by = projects.join(described, "project", "left").na.fill(0, ["total", "bare"])
+    described = measures.groupBy("project").agg(F.count("*").alias("total"), F.size(F.collect_set(F.when(bare, c("name")))).alias("bare"), _sorted(bare, "name").alias("names"))
+    wide = projects.join(named, "project", "left").join(described, "project", "left")
     if roles is None:
-        role_counts = projects.select("project", F.lit(0).alias("static"), F.lit(0).alias("dynamic"))
+        wide = wide.withColumn("static", F.lit(0)).withColumn("dynamic", F.lit(0))
     else:
-        role_counts = projects.join(roles.groupBy("project").agg(F.count_if(~F.col("is_dynamic")).alias("static"), F.count_if("is_dynamic").alias("dynamic")), "project", "left").na.fill(0)
-    sensitive = tables.where(F.lower("table").rlike("|".join(names.sensitive))).groupBy("project").agg(F.array_sort(F.collect_set("table")).alias("names"))
-    open_ = role_counts.where("static + dynamic = 0").join(sensitive, "project")
-    return _union([
-        _listed(bad, "GOVERNANCE", "naming_violations", "table"),
-        _finding(by.where((F.col("total") > 0) & (F.col("bare") / F.greatest("total", F.lit(1)) > names.limits["no_description_on_measures"])), "GOVERNANCE", "no_description_on_measures", F.lit(1), F.slice("names", 1, 10)),
-        _finding(open_, "GOVERNANCE", "no_rls_defined", F.lit(1), F.col("names")),
-        _finding(role_counts, "GOVERNANCE", "static_rls_overuse", F.col("static") - names.limits["static_rls_overuse"]),
-        _finding(projects.join(bad, "project", "left_anti"), "GOVERNANCE", "consistent_naming", F.lit(1)),
-        _finding(role_counts.where("dynamic > 0"), "GOVERNANCE", "dynamic_rls_implemented", F.lit(1)),
-        _finding(by.where("bare = 0"), "GOVERNANCE", "documented_measures", F.lit(1)),
-    ])
+        wide = wide.join(roles.groupBy("project").agg(F.count_if(~c("is_dynamic")).alias("static"), F.count_if("is_dynamic").alias("dynamic")), "project", "left")
+    wide = wide.na.fill(0, ["bad", "sensitive", "total", "bare", "static", "dynamic"])
+    return _findings(
+        wide, "GOVERNANCE",
+        ("naming_violations", c("bad"), c("bad_names")),
+        ("no_description_on_measures", _flag((c("total") > 0) & (c("bare") / F.greatest("total", F.lit(1)) > names.limits["no_description_on_measures"])), F.slice("names", 1, 10)),
+        ("no_rls_defined", _flag((c("sensitive") > 0) & (c("static") + c("dynamic") == 0)), c("sensitive_names")),
+        ("static_rls_overuse", c("static") - names.limits["static_rls_overuse"], None),
+        ("consistent_naming", _flag(c("bad") == 0), None),
+        ("dynamic_rls_implemented", _flag(c("dynamic") > 0), None),
+        ("documented_measures", _flag(c("bare") == 0), None),
+    )
 
 
 def issues(findings: DataFrame, rules: DataFrame) -> DataFrame:
