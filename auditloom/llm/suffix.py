@@ -380,7 +380,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False, group: int = GROUP)
     scratch = Scratch(docs.sparkSession, "suffix")
     filed = _filed(texts, scratch)
     spans, passages = repeated_spans(filed, texts, scratch, group)
-    by_row = scratch.table(spans.groupBy("row").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")), "by-row")
+    by_row = scratch.table(spans.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans")), "by-row")
     counted = scratch.table(passages, "passages")
     schema = "row long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
 
