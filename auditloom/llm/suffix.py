@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ByteHash, Scratch, join_by_size, map_arrow, mix64, text_batches
+from .common import CHUNK_BYTES, ByteHash, Scratch, join_by_size, map_arrow, mix64, text_batches
 
 LENGTH, GRAM, PASSAGE = 400, 200, 264
 REACH = LENGTH - GRAM
@@ -52,42 +52,63 @@ _AT_BITS = 26
 _GRAM_SYMBOL, _END_SYMBOL = 0, 255
 
 
-def lowest(grams: np.ndarray, width: int) -> np.ndarray:
-    """Positions, ascending, of the lowest of every ``width`` neighbouring hashes (the first of equal ones)."""
-    found = []
-    step = (1 << _AT_BITS) - width
-    for base in range(0, len(grams) - width + 1, step):
-        own = grams[base : base + step + width - 1]
+def lowest(grams: np.ndarray, whole: list[np.ndarray], widths: tuple[int, ...]) -> list[np.ndarray]:
+    """For each width, ascending: positions, ascending, of the lowest of every so many neighbouring hashes (the first of equal ones), of the windows that start where ``whole`` says."""
+    found: list[list[np.ndarray]] = [[] for _ in widths]
+    step = (1 << _AT_BITS) - widths[-1]
+    for base in range(0, len(grams), step):
+        own = grams[base : base + step + widths[-1] - 1]
         low = (own >> np.uint64(_AT_BITS) << np.uint64(_AT_BITS)) | np.arange(len(own), dtype=np.uint64)
         size = 1
-        while 2 * size <= width:
-            low = np.minimum(low[:-size], low[size:])
-            size *= 2
-        if rest := width - size:
-            low = np.minimum(low[:-rest], low[rest:])
-        low = low[np.concatenate([[True], low[1:] != low[:-1]])]
-        found.append((low & np.uint64((1 << _AT_BITS) - 1)).astype(np.int64) + base)
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-
-def anchors(data: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Hashes of the winnowed grams of a text, and (key, context hash, place) of its anchors; place packs position, left and right reach."""
+        for k, width in enumerate(widths):
+            if len(own) < width:
+                break
+            while 2 * size <= width:
+                low = np.minimum(low[:-size], low[size:])
+                size *= 2
+            rest = width - size
+            least = np.minimum(low[:-rest], low[rest:]) if rest else low
+            least = least[:step][whole[k][base : base + min(step, len(least))]]
+            if len(least):
+                least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+                found[k].append((least & np.uint64((1 << _AT_BITS) - 1)).astype(np.int64) + base)
+    return [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int64) for x in found]
+
+
+def anchors(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Of many texts at once: hashes of their winnowed grams and how many each has, (key, context hash, place) of their anchors and how many each has.
+
+    Place packs position, left and right reach.
+    """
+    sizes = np.array([len(x) for x in raw], np.int64)
+    end = np.cumsum(sizes)
+    start = end - sizes
+    data = np.frombuffer(b"".join(raw), np.uint8)
     n, none = len(data), np.zeros(0, np.int64)
     if n < PASSAGE:
-        return none, (none, none, none)
+        return none, np.zeros(len(raw), np.int64), (none, none, none), np.zeros(len(raw), np.int64)
     hashed = ByteHash(data)
     first = np.arange(n - GRAM + 1)
     grams = hashed.slices(first, first + GRAM)
-    winnowed = grams[lowest(grams, PASSAGE - GRAM + 1)].view(np.int64)
-    at = lowest(grams, REACH + 1)
-    left, right = np.minimum(at, REACH), np.minimum(n - at, LENGTH)
+    whole = []
+    for length in (PASSAGE, LENGTH):  # windows of grams that lie in one text
+        edge = np.zeros(n + 1, np.int32)
+        long = sizes >= length
+        np.add.at(edge, start[long], 1)
+        np.add.at(edge, end[long] - length + 1, -1)
+        whole.append(np.cumsum(edge[:-1]) > 0)
+    winnowed, at = lowest(grams, whole, (PASSAGE - GRAM + 1, REACH + 1))
+    of = np.searchsorted(end, at, "right")
+    left, right = np.minimum(at - start[of], REACH), np.minimum(end[of] - at, LENGTH)
     shape = (left * 1024 + right).astype(np.uint64)
     context = mix64(hashed.slices(at - left, at + right) + shape * np.uint64(0x9E3779B97F4A7C15))
-    return winnowed, (grams[at].view(np.int64), context.view(np.int64), (at << 17) | (left << 9) | right)
+    place = ((at - start[of]) << 17) | (left << 9) | right
+    count = lambda x: np.bincount(np.searchsorted(end, x, "right"), minlength=len(raw))
+    return grams[winnowed].view(np.int64), count(winnowed), (grams[at].view(np.int64), context.view(np.int64), place), count(at)
 
 
-def _lists(parts: list[pa.Array], sizes: list[int]) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), parts[0])
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), values)
 
 
 def _filed(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -96,17 +117,15 @@ def _filed(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = batch.column("doc_id")
-        for begin, texts in text_batches(batch, "text"):
+        for begin, texts in text_batches(batch, "text", CHUNK_BYTES):
             raw = [x.encode("utf-8", "surrogatepass") for x in texts]
-            found = [anchors(np.frombuffer(x, np.uint8)) for x in raw]
-            grams = pa.array(np.concatenate([g for g, _ in found]))
-            structs = pa.StructArray.from_arrays([pa.array(np.concatenate([a[k] for _, a in found])) for k in range(3)], ["key", "context", "place"])
+            grams, n_grams, own, n_own = anchors(raw)
             yield {
                 "doc_id": ids.slice(begin, len(texts)),
                 "n_bytes": [len(x) for x in raw],
                 "sha256": [hashlib.sha256(x).hexdigest() for x in raw],
-                "grams": _lists([grams], [len(g) for g, _ in found]),
-                "anchors": _lists([structs], [len(a[0]) for _, a in found]),
+                "grams": _lists(pa.array(grams), n_grams),
+                "anchors": _lists(pa.StructArray.from_arrays([pa.array(x) for x in own], ["key", "context", "place"]), n_own),
             }
 
     return scratch.table(map_arrow(docs, work, schema).withColumn("row", F.monotonically_increasing_id()), "filed")
