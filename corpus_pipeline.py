@@ -15,17 +15,21 @@ from auditloom.llm.common import materialize, read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; it learns from the labels beside the tables."""
+    """Documents that the classifier rejects go; it learns from the labels beside the tables.
+
+    A null text is an empty one, which scores the share of good labels. Repeated rows share their score.
+    """
     return quality.keep_good(docs, quality.fit(docs, read_table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates stays: of the smallest id, and of its texts one.
 
-    Rows without id take part under a number made from their text, so of equal
-    ones one stays. Repeated rows are one row; a null text is an empty one.
+    Rows without id take part under a number made from their text, above all
+    usual ids: of their group one stays, with an id if any has one. Repeated
+    rows are one row; a null text is an empty one, and such rows are no group.
     """
-    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseOR(F.lit(-(1 << 63))))
+    number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     found = minhash.near_duplicates(docs.select(number.alias("doc_id"), "text"))
     kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("__number")).agg(F.min("mark").alias("__mark")), "kept")
     rows = docs.join(kept, (number == F.col("__number")) & (F.xxhash64("text") == F.col("__mark")), "left_semi")
@@ -33,17 +37,17 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each span of personal data becomes the name of its kind; n_chars follows."""
+    """Each span of personal data becomes the name of its kind; n_chars follows. A null text stays null; repeated rows change alike."""
     return pii.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it. A null source is a source; documents without words are taken or not by their id's hash alone."""
     return mixing.mix(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each document that is left, repeats included, and digests of ids and decoded text."""
+    """The token ids of each document that is left, repeats included, and digests of ids and decoded text. A null text has no tokens."""
     return bpe.encode(docs).drop("decoded")
 
 
