@@ -552,3 +552,30 @@ def test_every_link_between_short_texts(spark):
                     x, y = root(i), root(j)
                     parent[max(x, y)] = min(x, y)
     assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_base_spans_of_odd_rows(spark, odd):
+    """op2, op3, op8 and op10 on null, empty, very long and repeated texts give what brute force gives."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.default_path())
+    texts = {}
+    for r in odd.select("doc_id", "text").collect():
+        texts.setdefault(r["doc_id"], set()).add(r["text"])
+    for r in rows_of(secrets.scan_secrets(odd, "source", "doc_id")):
+        assert r["base"] in {brute_secrets(t) for t in texts[r["doc_id"]]}
+    for r in rows_of(pii.find_pii(odd)):
+        assert r["base"] in {brute_pii(t) for t in texts[r["doc_id"]]}
+    want = {i: {tuple(library.encode(t or "", add_special_tokens=False).ids) for t in own} for i, own in texts.items()}
+    for r in rows_of(bpe.encode(odd)):
+        assert tuple(r["ids"]) in want[r["doc_id"]]
+    for r in rows_of(mixing.mixture(odd)):
+        assert r["size"] in {len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts[r["doc_id"]]} and r["taken"] == r["copies"] * r["size"]
+
+
+def test_very_long_conversation(spark):
+    turns = [(7, i, "assistant" if i % 2 else "user", f"<|im_end|>{i} " * 200) for i in range(400)]
+    made = chat.format_chats(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    (got,) = rows_of(chat.read_chats(made))
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [(r, t) for _, _, r, t in turns]
+    assert got["loss_texts"] == [t for _, _, r, t in turns if r == "assistant"]

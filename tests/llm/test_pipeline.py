@@ -4,9 +4,9 @@ import re
 
 import corpus_pipeline as pipeline
 from conftest import frame
-from test_operators import brute_pii, rows_of
+from test_operators import brute_pii, brute_targets, rows_of
 
-from auditloom.llm import bpe, minhash, mixing, quality
+from auditloom.llm import bpe, minhash, quality
 from auditloom.llm.common import materialize
 
 SF = "/root/testdata/sf0.01"
@@ -72,7 +72,7 @@ def test_stages(spark):
     totals = {}
     for (r,) in kept[2].values():
         totals[r["source"]] = totals.get(r["source"], 0) + size(r["text"])
-    goal = mixing.targets(list(totals.items()))
+    goal = brute_targets(totals)
     taken = {}
     for rows in kept[3].values():
         assert len(rows) <= 3
@@ -91,6 +91,32 @@ def test_repeated_rows_and_rows_without_id(spark):
     base = " ".join(f"word{i}" for i in range(50))
     docs = frame(spark, [(1, base, "a"), (1, base, "a"), (2, base, "b"), (None, base, "c"), (None, None, None), (3, None, "a")])
     got = sorted(str(r["doc_id"]) for r in rows_of(pipeline.drop_near_duplicates(spark, docs, SF)))
-    assert got == ["1", "3", "None", "None"]
+    assert got == ["1", "3", "None"]
     assert minhash.near_duplicates(docs).count() == 6
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, empty):
+    """Nulls, empty and very long texts, repeated rows, clashing column names: every stage keeps the columns and drops only what it says."""
+    for name, stage in pipeline.STAGES:
+        nothing = stage(spark, empty, SF)
+        assert nothing.count() == 0, name
+        out = stage(spark, odd, SF)
+        rows = rows_of(out)
+        if name == "tokens":
+            assert len(rows) == odd.count() and all(r["n_tokens"] == len(r["ids"]) for r in rows)
+            assert [r["n_tokens"] for r in rows if r["doc_id"] in (4, 5)] == [0, 0]
+            continue
+        assert out.columns == odd.columns, name
+        assert all(r["component_id"] == r["size"] == r["key"] == r["hash"] == r["spans"] == "x" and r["copies"] == 1 for r in rows), name
+        if name == "near-duplicates":
+            assert sorted(str(r["doc_id"]) for r in rows) == ["1", "10", "11", "12", "4", "5", "6", "8", "None"]
+        if name == "personal data":
+            texts = {r["doc_id"]: r["text"] for r in rows}
+            assert len(rows) == odd.count() and texts[11].startswith("Mail <EMAIL>") and texts[5] is None
     assert pipeline.run.__doc__
+
+
+def test_run_on_an_empty_table(spark, empty, tmp_path):
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
