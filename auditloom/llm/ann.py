@@ -129,12 +129,19 @@ class Shard:
             self.bands.append(Band(at, self.vectors[at:end], lengths[at:end]))
             at = end
 
-    def _best(self, entries: np.ndarray, query: np.ndarray, query_id: int, k: int, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best ``k`` of what is known and of ``entries``, ties to the smaller id."""
-        scores = (self.vectors[entries] * query).sum(axis=1)
+    def _best(self, entries: np.ndarray, band: Band, query: np.ndarray, length: float, query_id: int, k: int, ids: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best ``k`` of what is known and of the band's ``entries``, ties to the smaller id. Quick products choose whose exact measure is computed."""
+        if len(entries) > 2 * k:
+            quick = (band.vectors @ query)[entries] if 4 * len(entries) > len(band.vectors) else band.vectors[entries] @ query
+            least = np.partition(quick, len(quick) - k - 1)[len(quick) - k - 1]  # the query itself may be one
+            entries = entries[quick >= (max(least, values[-1]) if len(values) == k else least) - 1e-10 * length * band.longest]
+        scores = (band.vectors[entries] * query).sum(axis=1)
+        entries = entries + band.first
         if len(entries) > k + 1:  # entries with equal scores stay together
             some = scores >= np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
             entries, scores = entries[some], scores[some]
+        if not len(entries):
+            return ids, values
         new = [self.ids[self.start[e] : min(self.start[e] + k + 1, self.start[e + 1])] for e in entries]
         flat, value = np.concatenate(new), np.repeat(scores, [len(x) for x in new])
         other = flat != query_id
@@ -157,7 +164,7 @@ class Shard:
                 if len(ids) == k and values[-1] > lengths[i] * band.longest * (1 + 1e-9):
                     break  # no product in this band or a shorter one is as large
                 if n <= CANDIDATES + k:
-                    ids, values = self._best(np.arange(band.first, band.first + n), queries[i], query_ids[i], k, ids, values)
+                    ids, values = self._best(np.arange(n), band, queries[i], lengths[i], query_ids[i], k, ids, values)
                     continue
                 steps = band.candidates(own[i] * band.longest, min(n, max(CANDIDATES + k, int(CANDIDATE_SHARE * n))), enough)
                 found, r = next(steps)
@@ -165,7 +172,7 @@ class Shard:
                 while True:
                     new = found[~known[found]]
                     if len(new):
-                        ids, values = self._best(new + band.first, queries[i], query_ids[i], k, ids, values)
+                        ids, values = self._best(new, band, queries[i], lengths[i], query_ids[i], k, ids, values)
                     known[new] = True
                     if len(found) == n:
                         break
