@@ -201,13 +201,15 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
     """doc_id, n_shingles, component_id, kept and mark (of the text), a row for each row of ``docs``."""
     scratch = Scratch(docs.sparkSession, "minhash")
     signed = scratch.table(signatures(docs, bands, rows), "signed")
-    sets = signed.where("n > 0 AND doc_id IS NOT NULL")
+    slim = scratch.table(signed.drop("bands"), "slim")
+    sets = slim.where("n > 0 AND doc_id IS NOT NULL")
     grouped = sets.groupBy("set_a", "set_b", "n").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
     classes = scratch.table(grouped.select("set_a", "set_b", "n", F.col("first.doc_id").alias("rep"), "first.mark").withColumn("node", F.monotonically_increasing_id()), "classes")
-    own = sets.select("set_a", "set_b", "n", F.col("doc_id").alias("rep"), "mark", "bands").join(classes, ["set_a", "set_b", "n", "rep", "mark"])
+    own = signed.where("n > 0 AND doc_id IS NOT NULL").withColumnRenamed("doc_id", "rep").join(classes, ["set_a", "set_b", "n", "rep", "mark"])
     members = own.select("node", "n", F.explode("bands").alias("key"))
     hubs = scratch.table(members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("hub"), F.max("node").alias("last")).where("hub.node <> last").select("key", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n")), "hubs")
     shared = scratch.table(join_by_size(members, hubs, ["key"]).select("key", "hub", "hub_n", "node", "n"), "buckets")
+    scratch.drop("signed", "hubs")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * threshold
     first = shared.where("node <> hub").where(near).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = scratch.table(confirm(first, classes, docs, scratch, threshold), "links")
@@ -233,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
     placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.table(placed.join(least, "component").select("set_a", "set_b", F.col("n").alias("size"), "component_id"), "named")
-    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "hubs", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "rare", "tokens", "more-links")
-    out = signed.drop("bands").join(named, (signed["set_a"] == named["set_a"]) & (signed["set_b"] == named["set_b"]) & (signed["n"] == named["size"]) & signed["doc_id"].isNotNull(), "left")
+    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "rare", "tokens", "more-links")
+    out = slim.join(named, (slim["set_a"] == named["set_a"]) & (slim["set_b"] == named["set_b"]) & (slim["n"] == named["size"]) & slim["doc_id"].isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "mark")
