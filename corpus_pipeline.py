@@ -32,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     found = minhash.near_duplicates(docs.select(number.alias("doc_id"), "text"))
     kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("__number")).agg(F.min("mark").alias("__mark")), "kept")
-    rows = docs.join(kept, (number == F.col("__number")) & (F.xxhash64("text") == F.col("__mark")), "left_semi")
-    return rows.dropDuplicates(["doc_id", "text"])
+    rows = docs.withColumn("__number", number).withColumn("__mark", F.xxhash64("text"))
+    # one shuffle of the texts: rows meet their number and mark, and repeated ones each other
+    return rows.join(kept, ["__number", "__mark"], "left_semi").dropDuplicates(["__number", "__mark"]).select(*docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
