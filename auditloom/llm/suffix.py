@@ -13,7 +13,7 @@ first, and their suffixes are sorted in two stages: those smaller than their
 successor directly, all others induced by one scan over the buckets of first
 symbols. Neighbours in the suffix array whose common prefix is a whole string
 are one run; the strings of a run that counts more than once are repeats, in
-all members of its classes.
+all members of its classes. A gram of one class has no neighbours to compare.
 
 A gram of very many classes is not sorted in one task: its strings are cut into
 two ranges by where they start, each range has a longer common gram, and the
