@@ -91,7 +91,7 @@ def _dictionaries(good: list[bytes], bad: list[bytes]) -> tuple[bytes, bytes, bo
         return (*(b"\n".join(own)[:DICTIONARY_BYTES] for own in pieces), True)
 
 
-def _calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept of a logistic curve over weighted rows, by Newton's method with a weak prior."""
     spread = float(x.std()) or 1.0
     z, w = (x - x.mean()) / spread, np.zeros(2)
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_per_clas
     each = np.array([total[k] / len(check[k]) for k in (0, 1)])
     weight = each[y.astype(int)] * len(y) / sum(total)
     for _ in range(8):  # the difference that scores the prior and the curve depend on each other
-        model.slope, model.intercept = _calibrate((gain + PRIOR_BYTES * model.mean) / size, y, weight)
+        model.slope, model.intercept = calibrate((gain + PRIOR_BYTES * model.mean) / size, y, weight)
         model.mean = (prior - model.intercept) / model.slope if abs(model.slope) > 1e-9 else 0.0
     return model
 

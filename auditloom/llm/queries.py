@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, media, minhash, mixing, pii, quality, secrets, suffix
+from . import ann, bpe, chat, lexical, media, minhash, mixing, pii, quality, secrets, suffix, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,16 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, read_table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
+def op13_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_minmax_dedup": op1_minmax_dedup,
     "op2_secret_ownership": op2_secret_ownership,
@@ -82,4 +92,6 @@ QUERIES: dict[str, Query] = {
     "op8_bpe_speculate": op8_bpe_speculate,
     "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mix": op10_source_mix,
+    "op11_kneser_ney_toxicity": op11_kneser_ney_toxicity,
+    "op13_maxscore_search": op13_maxscore_search,
 }

@@ -54,4 +54,21 @@ placed AS (SELECT source, hash, own, sum(own) OVER (PARTITION BY source ORDER BY
 SELECT d.doc_id, d.size, g.n AS source_size, g.target, (d.size * (g.passes + CASE WHEN p.before + p.own / 2.0 < g.target - g.passes * g.n THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM sized d JOIN goals g ON g.source IS NOT DISTINCT FROM d.source JOIN placed p ON p.source IS NOT DISTINCT FROM d.source AND p.hash = d.hash"""
 
-SQL: dict[str, str] = {"op1_minmax_dedup": _OP1, "op4_chat_format": _OP4, "op10_source_mix": _OP10}
+_TERMS = r"unnest(regexp_extract_all(translate(text, '{0}', '{1}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))".format(string.ascii_uppercase, string.ascii_lowercase)
+
+_OP13 = f"""
+WITH numbered AS (SELECT row_number() OVER () AS row, doc_id, text FROM documents),
+counted AS (SELECT row, term, count(*) AS tf FROM (SELECT row, {_TERMS} AS term FROM numbered) GROUP BY row, term),
+sizes AS (SELECT row, sum(tf)::BIGINT AS n FROM counted GROUP BY row),
+totals AS (SELECT count(*) AS docs, coalesce(sum(n), 0)::BIGINT AS terms FROM sizes),
+asked AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, {_TERMS} AS term FROM benchmark) WHERE item_id IS NOT NULL),
+weights AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM counted, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+gains AS (
+    SELECT row, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))) AS gain
+    FROM counted JOIN weights USING (term) JOIN sizes USING (row), totals
+), scores AS (SELECT item_id, row, sum(gain)::BIGINT AS score FROM asked JOIN gains USING (term) GROUP BY item_id, row)
+SELECT item_id, rank, doc_id, score FROM (
+    SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scores JOIN numbered USING (row) WHERE score > 0
+) WHERE rank <= 10"""
+
+SQL: dict[str, str] = {"op1_minmax_dedup": _OP1, "op4_chat_format": _OP4, "op10_source_mix": _OP10, "op13_maxscore_search": _OP13}
