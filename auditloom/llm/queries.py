@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, lexical, media, minhash, mixing, pii, quality, secrets, suffix, toxicity
+from . import ann, bpe, chat, lexical, media, minhash, mixing, pii, quality, repair, secrets, suffix, toxicity
 from .common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,11 @@ def op11_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+    return repair.repair_all(turns, repair.damage(turns))
+
+
 def op13_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -93,5 +98,6 @@ QUERIES: dict[str, Query] = {
     "op9_telephony_audio": op9_telephony_audio,
     "op10_source_mix": op10_source_mix,
     "op11_kneser_ney_toxicity": op11_kneser_ney_toxicity,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_maxscore_search": op13_maxscore_search,
 }

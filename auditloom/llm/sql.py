@@ -71,4 +71,63 @@ SELECT item_id, rank, doc_id, score FROM (
     SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST))::INTEGER AS rank, doc_id, score FROM scores JOIN numbered USING (row) WHERE score > 0
 ) WHERE rank <= 10"""
 
-SQL: dict[str, str] = {"op1_minmax_dedup": _OP1, "op4_chat_format": _OP4, "op10_source_mix": _OP10, "op13_maxscore_search": _OP13}
+
+
+def _repair_step() -> str:
+    """The cheapest (cost, audit) for each last role (none, s, u, a) after a row, from those before it."""
+    inserts = ((None, 0, 0, 1), (None, None, 0, 1), (None, None, 1, 0), (None, None, 0, 1))  # between two retained roles
+    out = []
+    for r in range(4):
+        ways = [f"{{c: st[{r + 1}].c + 3, a: st[{r + 1}].a || 'D'}}"]
+        for p in range(4):
+            if (n := inserts[p][r]) is not None:
+                ways.append(f"CASE WHEN NOT gone AND initial = '{' sua'[r]}' THEN {{c: st[{p + 1}].c + {2 * n} + cut, a: st[{p + 1}].a || '{'I' * n}K'}} END")
+                if r > 1:
+                    ways.append(f"CASE WHEN NOT gone THEN {{c: st[{p + 1}].c + {2 * n + 2} + cut, a: st[{p + 1}].a || '{'I' * n}R'}} END")
+        out.append(f"list_sort([{', '.join(ways)}], 'ASC', 'NULLS LAST')[1]")
+    return f"[{', '.join(out)}]"
+
+
+_SPACE = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+_CRC = "list_reduce([4294967295::BIGINT] || list_transform(range(length({0})), lambda i: ord(({0})[i + 1])::BIGINT), lambda x, b: {1})"
+_BIT = "(CASE WHEN ({0}) % 2 = 1 THEN xor(({0}) >> 1, 3988292384::BIGINT) ELSE ({0}) >> 1 END)"
+
+_OP12 = f"""
+WITH RECURSIVE bits AS (SELECT i, i AS x, 0 AS k FROM (SELECT unnest(range(256))::BIGINT AS i) UNION ALL SELECT i, {_BIT.format('x')}, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(x ORDER BY i) AS t FROM bits WHERE k = 8),
+given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        xor({_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))", "xor(x >> 8, t[xor(x & 255, b) + 1])")}, 4294967295::BIGINT) % 20 AS kind
+    FROM conversations, crc_table
+), damaged AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+    FROM given WHERE kind <> 0
+), marked AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS n, left(role, 1) AS initial, rtrim(text, {_SPACE}) AS said FROM damaged
+), judged AS (
+    SELECT *, said = '' AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again, NOT right(said, 1) IN ('.', '!', '?') AS open, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM marked
+), rows AS (
+    SELECT *, blank OR again AS gone, CASE WHEN open AND NOT blank AND NOT again THEN 1 ELSE 0 END AS cut FROM judged
+), chosen(conv_id, n, st) AS (
+    SELECT DISTINCT conv_id, 0::BIGINT, [{{c: 0, a: ''}}, {{c: 1000000000, a: ''}}, {{c: 1000000000, a: ''}}, {{c: 1000000000, a: ''}}] FROM rows
+    UNION ALL SELECT c.conv_id, r.n, {_repair_step()} FROM chosen c JOIN rows r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.n = c.n + 1
+), ends AS (
+    SELECT conv_id, list_sort([st[1], {{c: st[2].c + 4, a: st[2].a || 'II'}}, {{c: st[3].c + 2, a: st[3].a || 'I'}}, st[4]])[1] AS best
+    FROM (SELECT conv_id, arg_max(st, n) AS st FROM chosen GROUP BY conv_id)
+), edits AS (
+    SELECT conv_id, i, best.a[i] AS edit, i - length(replace(best.a[:i], 'I', '')) AS inserted FROM (SELECT conv_id, best, unnest(range(1, length(best.a) + 1)) AS i FROM ends)
+), said AS (
+    SELECT e.conv_id, e.i, e.edit, r.role, r.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.i) - max(CASE WHEN e.edit = 'K' AND r.initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY e.conv_id) AS place
+    FROM edits e LEFT JOIN rows r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND e.edit <> 'I' AND r.n = e.i - e.inserted WHERE e.edit <> 'D'
+), told AS (
+    SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY i)) AS repaired FROM said GROUP BY conv_id
+), facts AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (NOT blank AND again) AS duplicate, sum(cut) AS truncated,
+        count(*) FILTER (n > 1 AND NOT before || initial IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id
+)
+SELECT g.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, coalesce(repaired, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM g.conv_id
+LEFT JOIN ends e ON e.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM g.conv_id"""
+
+SQL: dict[str, str] = {"op1_minmax_dedup": _OP1, "op4_chat_format": _OP4, "op10_source_mix": _OP10, "op12_conversation_repair": _OP12, "op13_maxscore_search": _OP13}

@@ -14,7 +14,7 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 @pytest.mark.parametrize("name", sorted(sql.SQL))
 def test_query(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "benchmark"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     df = queries.QUERIES[name](spark, SF)
     cur = con.execute(sql.SQL[name])
