@@ -69,13 +69,13 @@ def is_stub(expression: Column) -> Column:
 def bracketed(expression: Column) -> Column:
     """Every bracketed name, sorted and distinct."""
     found = F.regexp_extract_all(F.coalesce(expression, F.lit("")), F.lit(r"\[([^\]]+)\]"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, F.trim)))
+    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.trim(x))))
 
 
 def measure_candidates(expression: Column, own: Column) -> Column:
     """Bracketed names not qualified by a table, without the measure itself."""
     found = F.regexp_extract_all(F.coalesce(expression, F.lit("")), F.lit(r"(?<![\w'])\[([^\]]+)\]"), F.lit(1))
-    return F.array_sort(F.array_except(F.array_distinct(F.transform(found, F.trim)), F.array(own)))
+    return F.array_sort(F.array_except(F.array_distinct(F.transform(found, lambda x: F.trim(x))), F.array(own)))
 
 
 def _finding(when: Column, code: str, name: Column | str, severity: str, occurrences: Column | int, fix: str) -> Column:

@@ -304,7 +304,7 @@ def category_totals(pages_: DataFrame) -> DataFrame:
 def page_fields(report: DataFrame) -> DataFrame:
     """project, page_id, name: every bracketed name and every field reference anywhere in a visual's definition, however deep."""
     text = F.coalesce("content", F.lit(""))
-    brackets = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\[\]\"{}:,]+)\]"), F.lit(1)), F.trim)
+    brackets = F.transform(F.regexp_extract_all(text, F.lit(r"\[([^\[\]\"{}:,]+)\]"), F.lit(1)), lambda x: F.trim(x))
     references = F.regexp_extract_all(text, F.lit(r'"(?:nativeQueryRef|queryRef|Property)"\s*:\s*"([^"]+)"'), F.lit(1))
     rows = report.where("visual_id IS NOT NULL").select("project", "page_id", F.explode(F.concat(brackets, references)).alias("name"))
     return rows.where("name <> ''").distinct()

@@ -1,4 +1,4 @@
-"""The queries on the fixture projects as SQL over the projects' text: lines, objects, relations, findings and scores, computed by DuckDB."""
+"""The queries on definition and report files as SQL over the text that is written from the tables: lines, objects, relations, findings and scores, computed by DuckDB."""
 
 from __future__ import annotations
 
@@ -6,17 +6,13 @@ from ..functions import classify as K
 from ..functions import dax
 from ..operators import blocks, extract
 from ..sources import rules as R
-from . import charts, fixtures
+from . import row_projects
 
 
 def _text(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
 
 
-def _rows(rows: list[tuple]) -> str:
-    return ", ".join("(" + ", ".join(map(_text, r)) + ")" for r in rows)
-
-
 def _list(items: tuple[str, ...]) -> str:
     return "(" + ", ".join(map(_text, items)) + ")"
 
@@ -46,7 +42,7 @@ def _calls(e: str, name: str) -> str:
 
 _FILE = "project, rel_path, file_stem"
 _SPACES = r"'[\s\v\x{85}\p{Z}]+'"
-_OBJECTS = f"""files(project, rel_path, file_stem, content) AS (VALUES {_rows(fixtures.file_rows())}),
+_OBJECTS = f"""{row_projects.duck_files()},
 own AS (SELECT * FROM files WHERE NOT regexp_matches(file_stem, '^(DateTableTemplate_|LocalDateTable_)')),
 ls AS (SELECT {_FILE}, i, line, trim(line, ' ' || chr(9)) AS t, length(replace(regexp_extract(line, '^[ \\t]*'), chr(9), '    ')) AS ind
     FROM (SELECT *, unnest(string_split(rtrim(content, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(content, chr(10)), chr(10)), 1) AS i FROM own)),
@@ -140,7 +136,7 @@ _TYPE += " " + " ".join(f"WHEN {_has('said', words)} THEN '{kind}'" for kind, wo
 _KNOWN = _list(tuple(n.lower() for names in K.CONNECTORS.values() for n in names))
 _BY_WORD = "CASE " + " ".join(f"WHEN {_has('said', words)} THEN 0.70" for words in K.KEYWORDS.values()) + " WHEN contains(said, 'database') THEN 0.55 ELSE 0.30 END"
 _VALUES = "list_concat(regexp_extract_all(args, '\"([^\"]*)\"', 1), regexp_extract_all(args, chr(39) || '([^' || chr(39) || ']*)' || chr(39), 1))"
-_SOURCES = f"""files(project, rel_path, file_stem, content) AS (VALUES {_rows(fixtures.file_rows())}),
+_SOURCES = f"""{row_projects.duck_files()},
 src AS (SELECT * FROM files WHERE file_stem IN ('model', 'expressions', 'database') OR starts_with(rel_path, 'tables/')),
 calls AS MATERIALIZED (SELECT project, rel_path, unnest(regexp_extract_all(content, {_text(_CALL)}, 1)) AS connector, unnest(regexp_extract_all(content, {_text(_CALL)}, 2)) AS args, unnest(range(len(regexp_extract_all(content, {_text(_CALL)}, 1)))) AS place FROM src
     UNION ALL SELECT project, rel_path, 'source_assignment', trim(regexp_replace(line, '(?i)^\\s*source\\s*=', '')), 1000000 + i FROM (SELECT project, rel_path, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM src)
@@ -161,7 +157,7 @@ def _refs(role: str) -> str:
 
 
 _CATEGORY = "CASE " + " ".join(f"WHEN visual_type IN {_list(names)} THEN '{kind}'" for kind, names in K.VISUALS.items()) + " ELSE 'OTHER' END"
-_VISUALS = f"""report(project, page_id, visual_id, content) AS (VALUES {_rows(fixtures.report_rows())}),
+_VISUALS = f"""{row_projects.duck_report()},
 vis0 AS MATERIALIZED (SELECT project, page_id, visual_id, json_extract_string(j, '$.visual.visualType') AS visual_type, coalesce(json_extract_string(j, '$.isHidden') = 'true', FALSE) AS is_hidden, {", ".join(f"{_refs(r)} AS r{i}" for i, r in enumerate(_ROLES))}
     FROM (SELECT *, CASE WHEN json_valid(content) THEN content::JSON END AS j FROM report WHERE visual_id IS NOT NULL)),
 vis1 AS MATERIALIZED (SELECT *, CASE WHEN visual_type IS NOT NULL THEN {_CATEGORY} END AS category FROM vis0),
@@ -256,7 +252,7 @@ findings AS MATERIALIZED (
     UNION ALL {_rule("DAX", "measures_outside_dedicated_table", "share WHERE outside > 0.10 * total", "any_value(outside)", "array_to_string(any_value(names)[1:10], ';')")}
     UNION ALL {_rule("DAX", "all_measures_in_dedicated_table", "share WHERE outside = 0")}
     UNION ALL {_rule("DAX", "var_usage_rate", "share WHERE complex > 0 AND with_var >= 0.70 * complex")}
-    UNION ALL SELECT project, 'REPORT', 'visuals_per_page', n - 8, display_name, display_name, CASE WHEN n > 12 THEN 'CRITICAL' ELSE 'WARNING' END FROM dense
+    UNION ALL SELECT project, 'REPORT', 'visuals_per_page', n - 8, display_name, display_name || ': ' || n || ' visuals', CASE WHEN n > 12 THEN 'CRITICAL' ELSE 'WARNING' END FROM dense
     UNION ALL {_rule("REPORT", "hidden_visuals", "pages WHERE hidden_count > 0", "sum(hidden_count)", _names("display_name"))}
     UNION ALL {_rule("REPORT", "slicers_from_dimensions_only", "slicers s LEFT JOIN (SELECT project AS p, \"table\" AS f FROM classes WHERE classification = 'FACT') k ON p = project AND f = t", "1", having="count(f) = 0")}
     UNION ALL {_rule("GOVERNANCE", "naming_violations", f'tabs WHERE "table" IN {_list(R.FORBIDDEN_NAMES)}', affected=_names('"table"'))}

@@ -1,4 +1,4 @@
-"""The driver's queries on the operators of the audit: on the catalogue of the tables, on their rows, and on the fixture project."""
+"""The driver's queries on the operators of the audit: on the catalogue of the tables, on their rows, and on projects written from their rows."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from ..functions import dax
 from ..functions import text as S
 from ..operators import blocks, extract, measures, model, scoring
 from ..sources import catalog, rules, tmdl
-from . import audit, charts, documents, fixtures, prompts
+from . import audit, charts, documents, prompts, row_projects
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -341,28 +341,28 @@ def set_algebra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.unused(customers, edges, shown).select("name", "cleanup_risk", "reason")
 
 
-# The fixture projects
+# Projects written from the tables
 
 
-def _files(spark: SparkSession) -> DataFrame:
-    files = fixtures.files(spark)
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = row_projects.files(spark, sf_dir)
     return files.where(~K.is_internal_table(F.col("file_stem")))
 
 
-def _objects(spark: SparkSession) -> DataFrame:
-    return blocks.objects(_files(spark))
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return blocks.objects(_files(spark, sf_dir))
 
 
 @query
 def tmdl_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = extract.columns(_objects(spark))
+    c = extract.columns(_objects(spark, sf_dir))
     notes = F.array_join(F.transform("annotations", lambda a: F.concat_ws("=", a["name"], a["value"])), ",")
     return c.select("project", "table", "name", "data_type", "is_calculated", "expression", "summarize_by", "is_hidden", "is_key", "semantic_role", notes.alias("annotations"), F.col("line").cast("long").alias("line"))
 
 
 @query
 def tmdl_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = extract.measures(_objects(spark))
+    m = extract.measures(_objects(spark, sf_dir))
     return m.select(
         "project", "table", "name", "expression", "format_string", "description", "display_folder", "is_hidden", "complexity_score", "is_stub", F.col("expression_length").cast("long").alias("expression_length"),
         F.array_join("functions_used", ",").alias("functions_used"), F.array_join("bracketed", ",").alias("bracketed"), "highest_severity",
@@ -371,12 +371,12 @@ def tmdl_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tmdl_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.partitions(_objects(spark)).select("project", "table", "name", "mode", "source_type", "has_m_expression", "has_datatable")
+    return extract.partitions(_objects(spark, sf_dir)).select("project", "table", "name", "mode", "source_type", "has_m_expression", "has_datatable")
 
 
 @query
 def tmdl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files, objects = _files(spark), _objects(spark)
+    files, objects = _files(spark, sf_dir), _objects(spark, sf_dir)
     c, m, p = extract.columns(objects), extract.measures(objects), extract.partitions(objects)
     t = extract.tables(files, objects, c, m, p)
     types = F.array_join(F.transform(F.map_entries("data_type_distribution"), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
@@ -388,80 +388,72 @@ def tmdl_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def relationship_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.relationships(_objects(spark)).select("project", "id", "from_table", "from_column", "to_table", "to_column", "cardinality", "cross_filter_direction", "is_active", F.array_join("quality_flags", ",").alias("flags"))
+    return extract.relationships(_objects(spark, sf_dir)).select("project", "id", "from_table", "from_column", "to_table", "to_column", "cardinality", "cross_filter_direction", "is_active", F.array_join("quality_flags", ",").alias("flags"))
 
 
 @query
 def datasources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = extract.datasources(tmdl.source_files(fixtures.files(spark)))
+    d = extract.datasources(tmdl.source_files(row_projects.files(spark, sf_dir)))
     return d.select("project", "type", "connector", "confidence", "occurrences", "attributes.server", "attributes.database", "attributes.url", "attributes.domain", "attributes.path", "attributes.file_extension")
 
 
 @query
 def datasource_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.datasource_counts(extract.datasources(tmdl.source_files(fixtures.files(spark))))
+    return extract.datasource_counts(extract.datasources(tmdl.source_files(row_projects.files(spark, sf_dir))))
 
 
 @query
 def datasource_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = extract.datasource_summary(extract.datasources(tmdl.source_files(fixtures.files(spark))))
+    d = extract.datasource_summary(extract.datasources(tmdl.source_files(row_projects.files(spark, sf_dir))))
     return d.select("project", "total_datasources", "has_m_queries", "has_file_based_sources", "has_cloud_sources", "has_database_sources", "has_web_sources", "low_confidence", F.array_join("types", ",").alias("types"))
 
 
 @query
 def report_visuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.visuals(fixtures.report(spark)).select("project", "page_id", "visual_id", "visual_type", "is_hidden", "category", F.array_join("all_fields", ",").alias("all_fields"), F.size("fields").cast("long").alias("shown"))
+    return extract.visuals(row_projects.report(spark, sf_dir)).select("project", "page_id", "visual_id", "visual_type", "is_hidden", "category", F.array_join("all_fields", ",").alias("all_fields"), F.size("fields").cast("long").alias("shown"))
 
 
 @query
 def visual_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = extract.visuals(fixtures.report(spark))
-    return extract.pages(fixtures.report(spark), v).select("project", "page_id", "display_name", "visuals_count", "chart_count", "table_count", "card_count", "slicer_count", "text_count", "other_count", "hidden_count")
+    v = extract.visuals(row_projects.report(spark, sf_dir))
+    return extract.pages(row_projects.report(spark, sf_dir), v).select("project", "page_id", "display_name", "visuals_count", "chart_count", "table_count", "card_count", "slicer_count", "text_count", "other_count", "hidden_count")
 
 
-def _graph(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    objects = _objects(spark)
-    raw = extract.measures(objects)
-    edges = measures.dependencies(raw, extract.columns(objects))
-    return measures.graph(raw, edges), edges
+def _audit(spark: SparkSession, sf_dir: str) -> audit.Relations:
+    return audit.relations(row_projects.files(spark, sf_dir), row_projects.report(spark, sf_dir))
 
 
 @query
 def measure_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark)[0].select("project", "name", F.col("dependency_depth").cast("long").alias("depth"), F.col("dependents_count").cast("long").alias("dependents"), "is_leaf_measure", "architectural_role", "architectural_complexity")
+    m = _audit(spark, sf_dir)["measures"]
+    return m.select("project", "name", F.col("dependency_depth").cast("long").alias("depth"), F.col("dependents_count").cast("long").alias("dependents"), "is_leaf_measure", "architectural_role", "architectural_complexity")
 
 
 @query
 def measure_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _graph(spark)[1].select("project", "name", "dependency")
+    return _audit(spark, sf_dir)["measure_edges"].select("project", "name", "dependency")
 
 
 @query
 def unused_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, edges = _graph(spark)
-    return measures.unused(rows, edges, extract.visuals(fixtures.report(spark))).select("project", "name", "cleanup_risk")
+    return _audit(spark, sf_dir)["unused_measures"].select("project", "name", "cleanup_risk")
 
 
 @query
 def unused_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, edges = _graph(spark)
-    return measures.unused_summary(rows, measures.unused(rows, edges, extract.visuals(fixtures.report(spark))))
+    return _audit(spark, sf_dir)["unused_summary"]
 
 
 @query
 def antipatterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = extract.measures(_objects(spark)).select("project", "name", F.explode("antipatterns").alias("a"))
+    found = extract.measures(_objects(spark, sf_dir)).select("project", "name", F.explode("antipatterns").alias("a"))
     return found.select("project", "name", "a.code", "a.severity", F.col("a.occurrences").cast("long").alias("occurrences"))
 
 
-def _audit(spark: SparkSession) -> audit.Relations:
-    return audit.relations(fixtures.files(spark), fixtures.report(spark))
-
-
 @query
 def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles and classes of the fixture tables."""
-    c = _audit(spark)["classifications"]
+    """Profiles and classes of the projects' tables."""
+    c = _audit(spark, sf_dir)["classifications"]
     return c.select(
         "project", "table", "classification", "confidence", "columns", "measures", "relationships_from", "relationships_to", "is_isolated", F.col("calculated_columns").alias("calculated"), "summarized_columns", "numeric_ratio", "date_ratio"
     )
@@ -469,7 +461,7 @@ def table_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def project_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _audit(spark)
+    r = _audit(spark, sf_dir)
     return r["relationship_summary"].select(
         "project", "total_tables", "total_relationships", "active_relationships", "inactive_relationships", "components", F.array_join("isolated_tables", ",").alias("isolated_tables"), "schema_type", "average_classification_confidence"
     )
@@ -477,70 +469,70 @@ def project_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shared_dimensions_of_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _audit(spark)
+    r = _audit(spark, sf_dir)
     return model.shared_dimensions(r["relationships"], r["classifications"])
 
 
 @query
 def hub_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tables of each project that most active relationships touch."""
-    return model.hubs(_audit(spark)["relationships"]).select("project", "table", "degree", F.col("rank").cast("long").alias("rank"))
+    return model.hubs(_audit(spark, sf_dir)["relationships"]).select("project", "table", "degree", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def lowest_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five tables of each project whose columns are used least."""
-    return measures.lowest_usage(_audit(spark)["column_usage"]).select("project", "table", "unused_columns", F.col("rank").cast("long").alias("rank"))
+    return measures.lowest_usage(_audit(spark, sf_dir)["column_usage"]).select("project", "table", "unused_columns", F.col("rank").cast("long").alias("rank"))
 
 
 @query
 def datatype_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return charts.datatype_statistics(_audit(spark)["columns"])
+    return charts.datatype_statistics(_audit(spark, sf_dir)["columns"])
 
 
 @query
 def category_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visuals by category over all pages of a report."""
-    return extract.category_totals(_audit(spark)["pages"])
+    return extract.category_totals(_audit(spark, sf_dir)["pages"])
 
 
 @query
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bracketed names and references anywhere in a visual's definition."""
-    return extract.page_fields(fixtures.report(spark))
+    return extract.page_fields(row_projects.report(spark, sf_dir))
 
 
 @query
 def audit_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["issues"].select("project", "dimension", "rule", "points", F.coalesce("severity", F.lit("-")).alias("severity"), F.coalesce("code", F.lit("-")).alias("code"), F.array_join("affected", ";").alias("affected"))
+    return _audit(spark, sf_dir)["issues"].select("project", "dimension", "rule", "points", F.coalesce("severity", F.lit("-")).alias("severity"), F.coalesce("code", F.lit("-")).alias("code"), F.array_join("affected", ";").alias("affected"))
 
 
 @query
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["dimension_scores"].select("project", "dimension", "score", "weighted")
+    return _audit(spark, sf_dir)["dimension_scores"].select("project", "dimension", "score", "weighted")
 
 
 @query
 def audit_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["project_scores"].select("project", "global_score", "grade", "status")
+    return _audit(spark, sf_dir)["project_scores"].select("project", "global_score", "grade", "status")
 
 
 @query
 def column_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _audit(spark)["column_usage"].select("project", "table", "total_columns", "used_columns", F.array_join("used_column_names", ",").alias("used"), F.array_join("unused_column_names", ",").alias("unused"))
+    return _audit(spark, sf_dir)["column_usage"].select("project", "table", "total_columns", "used_columns", F.array_join("used_column_names", ",").alias("used"), F.array_join("unused_column_names", ",").alias("unused"))
 
 
 @query
 def compliance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents.compliance(_audit(spark)).select("project", "document", "section_no", "line_no", "line")
+    return documents.compliance(_audit(spark, sf_dir)).select("project", "document", "section_no", "line_no", "line")
 
 
 @query
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = _audit(spark)
+    r = _audit(spark, sf_dir)
     return documents.technical(r).unionByName(documents.extended(r)).select("project", "document", "section_no", "line_no", "line")
 
 
 @query
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prompts.prompts(_audit(spark)).select("project", "block", "prompt")
+    return prompts.prompts(_audit(spark, sf_dir)).select("project", "block", "prompt")

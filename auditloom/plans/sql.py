@@ -5,7 +5,7 @@ from __future__ import annotations
 from ..functions import classify as K
 from ..sources import catalog
 from ..sources import rules as R
-from . import fixture_sql, prompts
+from . import project_sql, prompts
 
 _TABLES = ", ".join(f"('{t}')" for t in catalog.TABLES)
 _EDGES = ", ".join(f"('{a}', '{b}', '{c}', '{d}')" for a, b, c, d in catalog.EDGES)
@@ -145,4 +145,4 @@ SQL: dict[str, str] = {
             WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey AND event_type = 'purchase'))""",
 }
 
-SQL |= fixture_sql.SQL
+SQL |= project_sql.SQL

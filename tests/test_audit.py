@@ -4,6 +4,7 @@ import os
 import random
 from pathlib import Path
 
+import model_projects
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from auditloom.functions import dax
 from auditloom.functions import text as S
 from auditloom.functions.register import register_functions
 from auditloom.operators import blocks, extract, measures, model, scoring
-from auditloom.plans import audit, charts, documents, fixtures, prompts
+from auditloom.plans import audit, charts, documents, prompts
 from auditloom.sources import rules, sinks, tmdl
 
 
@@ -196,7 +197,7 @@ scoring:
     names.add("GOVERNANCE", "wide_tables", 3, 9, "INFO", "Split wide tables.", wide)
     with pytest.raises(ValueError, match="there is a rule"):
         names.add("GOVERNANCE", "wide_tables", 3, 9, "INFO", None, wide)
-    r = audit.relations(fixtures.files(spark, "shop"), fixtures.report(spark, "shop"), rules_path=names)
+    r = audit.relations(model_projects.files(spark, "shop"), model_projects.report(spark, "shop"), rules_path=names)
     got = {x["rule"]: x for x in r["issues"].collect()}
     assert got["wide_tables"]["points"] == -3 and got["wide_tables"]["affected"] == ["sales"]
     assert got["many_to_many"]["points"] == -7 and "visuals_per_page" not in got and got["naming_violations"]["affected"] == ["calendar"]
@@ -217,11 +218,11 @@ def test_rule_files(spark, tmp_path):
 @pytest.fixture(scope="module")
 def project(tmp_path_factory):
     root = tmp_path_factory.mktemp("projects")
-    for path, text in fixtures.FILES.items():
+    for path, text in model_projects.FILES.items():
         target = root / "shop.SemanticModel/definition" / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(text.encode() + (b"\xff" if path == "expressions.tmdl" else b""))
-    for page, visual, text in fixtures.REPORT:
+    for page, visual, text in model_projects.REPORT:
         name = f"{page}/visuals/{visual}/visual.json" if visual else f"{page}/page.json" if page else "pages.json"
         target = root / "shop.Report/definition/pages" / name
         target.parent.mkdir(parents=True, exist_ok=True)
@@ -231,8 +232,8 @@ def project(tmp_path_factory):
 
 def test_projects_on_disk(spark, project, tmp_path):
     files, report = tmdl.read_tmdl(spark, project), tmdl.read_report(spark, project)
-    assert {r["rel_path"]: r["content"] for r in files.collect()} == fixtures.FILES
-    assert {(r["page_id"], r["visual_id"]) for r in report.collect()} == {(p, v) for p, v, _ in fixtures.REPORT}
+    assert {r["rel_path"]: r["content"] for r in files.collect()} == model_projects.FILES
+    assert {(r["page_id"], r["visual_id"]) for r in report.collect()} == {(p, v) for p, v, _ in model_projects.REPORT}
     assert {r["project"] for r in files.collect()} == {r["project"] for r in report.collect()} == {"shop"}
     r = audit.analyze(spark, project)
     assert len(r) == len(list(r)) and "_objects" not in list(r)
@@ -268,7 +269,7 @@ def test_watched_folder(spark, project, tmp_path):
 
 
 def test_empty_projects(spark):
-    nothing = fixtures.files(spark).limit(0)
+    nothing = model_projects.files(spark).limit(0)
     r = audit.relations(nothing)
     assert all(r[name].count() == 0 for name in ("columns", "measures", "classifications", "project_scores", "unused_summary"))
 

@@ -1,14 +1,15 @@
 """The lists of the prompts and the sections on unused measures and columns, against the relations they come from."""
 
+import model_projects
 import pytest
 from pyspark.sql import functions as F
 
-from auditloom.plans import audit, documents, fixtures, prompts, queries
+from auditloom.plans import audit, documents, prompts, queries
 
 
 @pytest.fixture(scope="module")
 def shop(spark):
-    return audit.relations(fixtures.files(spark, "shop"), fixtures.report(spark, "shop"))
+    return audit.relations(model_projects.files(spark, "shop"), model_projects.report(spark, "shop"))
 
 
 def texts(shop):
@@ -67,7 +68,7 @@ def test_sections_on_unused(shop):
 
 
 def test_project_without_measures_has_prompts(spark):
-    bare = fixtures.files(spark, "shop").withColumn("content", F.regexp_replace("content", r"(?m)^\tmeasure ", "\tnothing "))
+    bare = model_projects.files(spark, "shop").withColumn("content", F.regexp_replace("content", r"(?m)^\tmeasure ", "\tnothing "))
     r = audit.relations(bare)
     assert r["measures"].count() == 0
     assert {p["block"] for p in prompts.prompts(r).collect()} == {"overview", "expressions", "performance", "quality"}
