@@ -12,7 +12,7 @@ from auditloom.functions import classify as K
 from auditloom.functions import dax
 from auditloom.functions import text as S
 from auditloom.functions.register import register_functions
-from auditloom.operators import blocks, extract, measures, model, scoring
+from auditloom.operators import blocks, extract, measures, model, rings, scoring
 from auditloom.plans import audit, charts, documents, prompts
 from auditloom.sources import rules, sinks, tmdl
 
@@ -277,10 +277,10 @@ def test_empty_projects(spark):
 def test_longest_paths(spark):
     """Chains and ladders of any length; rings as they are walked one by one."""
     chain = {f"m{i}": {f"m{i + 1}"} for i in range(500)}
-    assert measures.longest(chain)["m0"] == 500
+    assert rings.longest(chain)["m0"] == 500
     ladder = {f"{s}{i}": {f"a{i + 1}", f"b{i + 1}"} for i in range(40) for s in "ab"}
-    assert measures.longest(ladder)["a0"] == 40
-    assert measures.longest({"1": {"2"}, "2": {"3"}, "3": {"1"}}) == {"1": 3, "2": 3, "3": 3}
+    assert rings.longest(ladder)["a0"] == 40
+    assert rings.longest({"1": {"2"}, "2": {"3"}, "3": {"1"}}) == {"1": 3, "2": 3, "3": 3}
 
     def walked(edges, node, seen=frozenset()):
         if node in seen or not edges.get(node):
@@ -295,14 +295,53 @@ def test_longest_paths(spark):
             for b in range(n):
                 if a != b and random.random() < 0.25:
                     edges.setdefault(str(a), set()).add(str(b))
-        assert measures.longest(edges) == {x: walked(edges, x) for x in edges}, edges
+        assert rings.longest(edges) == {x: walked(edges, x) for x in edges}, edges
     ring = {str(i): {str((i + 1) % 30)} for i in range(30)}
-    assert set(measures.longest(ring).values()) == {30}
+    assert set(rings.longest(ring).values()) == {30}
     rows = [("p", a, b) for a, own in chain.items() for b in own] + [("q", a, b) for a, own in ladder.items() for b in own]
     got = {(r["project"], r["name"]): r["depth"] for r in measures.depths(spark.createDataFrame(rows, "project string, name string, dependency string")).collect()}
     assert got["p", "m0"] == 500 and got["q", "b0"] == 40
 
 
+def test_rings_against_walks():
+    """Rings of up to 20 members with and without chords, two rings that share a member; beyond the search there is no depth."""
+
+    def walked(edges, node, seen=frozenset()):
+        if node in seen or not edges.get(node):
+            return 0
+        return 1 + max(walked(edges, d, seen | {node}) for d in edges[node])
+
+    random.seed(4)
+    for n in range(13, 21):
+        for chords in (0, 1, 4):
+            edges = {str(i): {str((i + 1) % n)} for i in range(n)}
+            for _ in range(chords):
+                edges[str(random.randrange(n))].add(str(random.randrange(n)))
+            edges["x"] = {"0", "1"}
+            edges["3"].add("leaf")
+            assert rings.longest(edges) == {x: walked(edges, x) for x in edges}, edges
+    shared = {**{f"a{i}": {f"a{i + 1}"} for i in range(6)}, "a6": {"s"}, "s": {"a0", "b0"}, **{f"b{i}": {f"b{i + 1}"} for i in range(5)}, "b5": {"s"}}
+    assert rings.longest(shared) == {x: walked(shared, x) for x in shared}
+    assert rings.longest(shared)["s"] == 8
+    assert set(rings.longest({str(i): {str((i + 1) % 1500)} for i in range(1500)}).values()) == {1500}
+    dense = {str(i): {str(j) for j in range(30) if j != i} for i in range(30)} | {"up": {"3"}, "free": {"end"}}
+    assert rings.longest(dense) == dict.fromkeys([*map(str, range(30)), "up"]) | {"free": 1}
+
+
+def test_depths_without_one_group_a_project(spark):
+    """A project beyond the bound is solved over all tasks, with the same depths: chains, rings, rings behind rings."""
+    rows = [("p", a, b) for a, b in ("ab", "bc", "ca", "cd", "de", "ed", "xa", "ef", "yx", "gy", "fg", "hi", "ih", "ih", "dd", "zh")]
+    rows += [("q", f"c{i}", f"c{i + 1}") for i in range(300)] + [("q", f"m{i}", f"m{i // 4}") for i in range(1, 500)] + [("q", "m7", "c0")]
+    edges = {}
+    for project, a, b in rows:
+        edges.setdefault(project, {}).setdefault(a, set()).add(b)
+    want = {(project, n): d for project, own in edges.items() for n, d in rings.longest(own).items()}
+    df = spark.createDataFrame(rows, "project string, name string, dependency string")
+    assert {(r["project"], r["name"]): r["depth"] for r in measures.depths(df, group=12).collect()} == want
+    lost = {r["name"]: r["depth"] for r in measures.depths(df.where("project = 'p'"), group=2).collect()}
+    assert lost["a"] is None and lost["y"] is None and lost["h"] == 2
+
+
 def test_first_affected(spark):
     rows = spark.createDataFrame([("p", x) for x in ("d", "a", "c", "a", "b")] + [("q", "z"), (None, "y")], "project string, name string")
     assert {r["project"]: (r["first"], r["more"]) for r in scoring.first_affected(rows, "name").collect()} == {"p": (["a", "b", "c"], 1), "q": (["z"], 0), None: (["y"], 0)}
