@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, join_by_size
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,10 +22,11 @@ def components(edges: DataFrame) -> DataFrame:
     mark = print_of(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # written tables: joins with them can be split at a hub
+        least = scratch.table(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = scratch.table(join_by_size(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        small_least = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = join_by_size(large, small_least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = scratch.table(small.unionByName(small_least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         if (then := print_of(now)) == mark:
             break

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, join_by_size, map_arrow, shingle_sets, small_batches, splitmix, text_batches
@@ -37,8 +37,6 @@ SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS = 56, 6
 #: Sets of fewer shingles are paired exactly: of so few values minimum and maximum are not independent.
 SMALL = 32
-#: Shingles are counted in a table of as many slots as there are shingles, between two to these powers (256 KB to 16 MB).
-COUNT_BITS = (16, 22)
 #: Partners that one task holds against a set at a time: a set with more is sent to several.
 SLICE = 500
 
@@ -149,52 +147,54 @@ def confirm(pairs: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scra
     return rows.select("a", "b", "text").mapInArrow(run, "a long, b long")
 
 
-def prefix_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ``rest`` (node, n, component) of different components that may reach the threshold; none is left out.
+def rare_prefixes(rest: DataFrame, texts: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """(node, component, n, token, cap) of the rarest shingles of each set of ``rest`` (node, n, component), those that others have too.
 
-    Two sets that reach it share a shingle among the first n - ceil(t * n) + 1
-    of each, in whatever common order. Rare shingles come first here, by counts
-    in a table of bounded size, so copies of one text that each differ in their
-    own way meet nobody: a bucket's members need not all be paired. What stands
-    before the first shared shingle bounds the overlap, and prunes more.
+    Two sets that reach the threshold share a shingle among the first n - ceil(t * n) + 1
+    of each, in whatever common order; rare ones come first here, by counts of
+    all of them. What stands before a shingle is lost for the overlap if it is the first
+    shared one: a partner may have ``cap`` shingles at most.
     """
-    spark = docs.sparkSession
-    texts = _texts(rest.select("node"), classes, docs, scratch)
-    total = rest.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(int(total).bit_length(), COUNT_BITS[0]), COUNT_BITS[1])
-    mask = np.uint64((1 << bits) - 1)
-
-    def count(batch: pa.RecordBatch) -> Iterator[dict]:
-        for _, piece in text_batches(batch, "text"):
-            slot, n = np.unique(np.concatenate([*shingle_sets(piece, SHINGLE), np.zeros(0, np.uint64)]) & mask, return_counts=True)
-            yield {"slot": slot.astype(np.int64), "n": n}
 
-    counted = map_arrow(texts, count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).where("n > 1").select(F.col("slot").cast("int"), F.least("n", F.lit((1 << 31) - 1)).cast("int").alias("n")).toArrow()
-    table = np.zeros(1 << bits, np.uint32)
-    table[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
-    counts = spark.sparkContext.broadcast(table)
-
-    def prefix(batch: pa.RecordBatch) -> Iterator[dict]:
+    def shingles(batch: pa.RecordBatch) -> Iterator[dict]:
         ids = batch.column("node").to_numpy()
         for at, piece in text_batches(batch, "text"):
-            reps, tokens, places = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, x in enumerate(shingle_sets(piece, SHINGLE), at):
-                size = len(x) - -(-len(x) * threshold // 100) + 1
-                first = np.lexsort((x, counts.value[(x & mask).astype(np.int64)]))[:size]
-                tokens.append(x[first].view(np.int64))
-                reps.append(np.full(len(first), ids[i]))
-                places.append(np.arange(len(first)))
-            yield {"node": np.concatenate(reps), "token": np.concatenate(tokens), "place": np.concatenate(places)}
-
-    rare = scratch.table(map_arrow(texts, prefix, "node long, token long, place long").join(rest, "node"), "rare")
-    twice = scratch.table(rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token"), "tokens")
-    rare = scratch.table(join_by_size(rare, twice, ["token"], "left_semi"), "rare")
-    left, right = rare.alias("x"), rare.alias("y")
-    fits = (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node"))
-    fits &= F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * threshold
-    # if this is the first shingle that the two share, no more than what follows it can be shared
-    fits &= F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) * (100 + threshold) >= (F.col("x.n") + F.col("y.n")) * threshold
-    return left.join(right, (F.col("x.token") == F.col("y.token")) & fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+            sets = list(shingle_sets(piece, SHINGLE))
+            yield {"node": np.repeat(ids[at : at + len(piece)], [len(x) for x in sets]), "token": np.concatenate(sets).view(np.int64)}
+
+    every = scratch.table(map_arrow(texts, shingles, "node long, token long"), "shingles")
+    counts = scratch.table(every.groupBy("token").agg(F.count("*").alias("times")).where("times > 1"), "times")
+    own = Window.partitionBy("node")
+    ranked = join_by_size(every, counts, ["token"]).select("node", "token", F.row_number().over(own.orderBy("times", "token")).alias("rank"), F.count("*").over(own).alias("shared"))
+    # shingles of this set alone come first; they meet nobody
+    placed = ranked.join(rest, "node").withColumn("place", F.col("n") - F.col("shared") + F.col("rank") - 1)
+    first = placed.where(F.col("place") <= F.col("n") - F.expr(f"(n * {threshold} + 99) div 100"))
+    return first.select("node", "component", "n", "token", F.expr(f"((n - place) * {100 + threshold}) div {threshold} - n").alias("cap"))
+
+
+def prefix_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
+    """Pairs (a, b) of ``rest`` (node, n, component) of different components that may reach the threshold; none is left out.
+
+    Of a pair, the set that is not larger must have room for one of its own size
+    at least (``cap``): of texts made from one template that differ too much, the
+    common shingles stand too far back for that, so they meet in no pair. Sets of one
+    component, size and cap are one cell of a token; cells are held against each
+    other first, and only the members of two that fit are paired.
+    """
+    texts = _texts(rest.select("node"), classes, docs, scratch)
+    rare = scratch.table(rare_prefixes(rest, texts, scratch, threshold), "rare")
+    tokens = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("cap") - F.col("n")).alias("room"))
+    tokens = scratch.table(tokens.where("low <> high AND room >= 0").select("token"), "tokens")
+    rare = scratch.table(join_by_size(rare, tokens, ["token"], "left_semi"), "rare")
+    own = ["token", "component", "n", "cap"]
+    cells = scratch.table(rare.select(*own).distinct(), "cells")
+    named = lambda df, side: df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"))
+    fits = F.expr(f"component_x <> component_y AND n_x <= n_y AND n_y <= cap_x AND n_x <= cap_y AND n_x * 100 >= n_y * {threshold}")
+    meet = scratch.table(named(cells.where("cap >= n"), "x").join(named(cells, "y"), "token").where(fits), "meet")
+    pairs = meet
+    for side in "xy":
+        pairs = pairs.join(named(rare, side), ["token", *(f"{c}_{side}" for c in own[1:])])
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -235,7 +235,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
     placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.table(placed.join(least, "component").select("set_a", "set_b", F.col("n").alias("size"), "component_id"), "named")
-    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "rare", "tokens", "more-links")
+    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "shingles", "times", "rare", "tokens", "cells", "meet", "more-links")
     out = slim.join(named, (slim["set_a"] == named["set_a"]) & (slim["set_b"] == named["set_b"]) & (slim["n"] == named["size"]) & slim["doc_id"].isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "mark")

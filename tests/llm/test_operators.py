@@ -70,6 +70,25 @@ def test_many_unlike_copies_of_one_text(spark):
     assert got == {i: root(i) for i in sets}
 
 
+def test_texts_of_one_template_meet_in_no_pair(spark, monkeypatch):
+    """20,000 texts that differ in one word of 28 share most shingles and are no links: few pairs are looked at, and real links among them are found."""
+    words = [f"t{i}" for i in range(28)]
+    rows = [(i, " ".join([*words[:14], f"u{i}", *words[15:]])) for i in range(20000)]
+    rows += [(30000, rows[5][1] + " tail"), (30001, rows[7][1].replace("t27", "end")), (30002, " ".join([*words[:27], "x"])), (30003, " ".join([*words[:27], "y"]))]
+    looked, confirm = [], minhash.confirm
+
+    def counted(pairs, *more):
+        looked.append(pairs.count())
+        return confirm(pairs, *more)
+
+    monkeypatch.setattr(minhash, "confirm", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    got = {r["doc_id"]: r["component_id"] for r in rows_of(minhash.near_duplicates(df))}
+    assert got[30000] == 5 and got[30001] == 7 and got[30003] == 30002
+    assert all(got[i] == i for i in range(20000))
+    assert sum(looked) < 200_000
+
+
 # 2
 
 
