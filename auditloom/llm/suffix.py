@@ -13,7 +13,7 @@ first, and their suffixes are sorted in two stages: those smaller than their
 successor directly, all others induced by one scan over the buckets of first
 symbols. Neighbours in the suffix array whose common prefix is a whole string
 are one run; the strings of a run that counts more than once are repeats, in
-all members of its classes. A gram of one class has no neighbours to compare.
+all members of its classes.
 
 A gram of very many classes is not sorted in one task: its strings are cut into
 two ranges by where they start, each range has a longer common gram, and the
@@ -172,6 +172,28 @@ def _contexts(classes: DataFrame, filed: DataFrame, docs: DataFrame) -> DataFram
 # Sorting one block of contexts
 
 
+def by_words(text: np.ndarray, places: np.ndarray, depth: int) -> np.ndarray:
+    """``places`` in the order of the ``depth`` symbols (or up to seven more) that start there: eight at a time, and again only where all so far are equal."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(text) + 1,), ">u8", padded.data, strides=(1,))
+    order = places[np.argsort(words[places].astype(np.uint64), kind="stable")]
+    if not len(order):
+        return order
+    first = words[order]
+    edge = np.concatenate([[True], first[1:] != first[:-1]])
+    for k in range(8, depth, 8):
+        # equal to the one before or behind
+        open_ = np.flatnonzero(~edge | ~np.append(edge[1:], True))
+        if not len(open_):
+            break
+        own = order[open_]
+        word, group = words[np.minimum(own + k, len(text))].astype(np.uint64), np.cumsum(edge[open_])
+        by = np.lexsort((word, group))
+        order[open_], word = own[by], word[by]
+        edge[open_[1:]] |= word[1:] != word[:-1]
+    return order
+
+
 def suffix_order(text: np.ndarray, first: np.ndarray, gram: np.ndarray, depth: int) -> np.ndarray:
     """The positions first[i] to gram[i] of every context i, in the order of their suffixes (to ``depth`` symbols at least).
 
@@ -188,11 +210,7 @@ def suffix_order(text: np.ndarray, first: np.ndarray, gram: np.ndarray, depth: i
     np.add.at(mark, first, 1)
     np.add.at(mark, gram + 1, -1)
     inside = np.cumsum(mark[:-1]) > 0
-    direct = np.flatnonzero(inside & smaller)
-    raw = text.tobytes()
-    keys = [raw[p : p + depth] for p in direct.tolist()]
-    direct = direct[sorted(range(len(keys)), key=keys.__getitem__)]
-    del keys
+    direct = by_words(text, np.flatnonzero(inside & smaller), depth)
     larger = inside & ~smaller
     bounds = np.searchsorted(text[direct], np.arange(257))
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -268,18 +286,10 @@ _SPAN = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("begin", pa.in
 
 
 def _found(rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
-    """(key, context, begin, end) of whole groups, rows (size, key, context, n, left, right) in order. A group of one class has no neighbours to compare."""
-    size, several = rows[0][0], []
-    for i, (_, key, context, n, left, right) in enumerate(rows):
-        alone = (not i or rows[i - 1][1] != key) and (i + 1 == len(rows) or rows[i + 1][1] != key)
-        if not alone:
-            several.append(i)
-        elif n > 1 and len(left) + len(right) >= size:
-            yield key, context, -len(left), LENGTH - max(0, size - len(right))
-    if several:
-        keys, counts, lefts, rights = (np.array([rows[i][1] for i in several], np.int64), np.array([rows[i][3] for i in several], np.int64), [rows[i][4] for i in several], [rows[i][5] for i in several])
-        for i, least, most in repeats(keys, counts, lefts, rights, size):
-            yield rows[several[i]][1], rows[several[i]][2], -most, LENGTH - least
+    """(key, context, begin, end) of whole groups, rows (size, key, context, n, left, right) in order."""
+    keys, counts = (np.array([x[k] for x in rows], np.int64) for k in (1, 3))
+    for i, least, most in repeats(keys, counts, [x[4] for x in rows], [x[5] for x in rows], rows[0][0]):
+        yield rows[i][1], rows[i][2], -most, LENGTH - least
 
 
 def _sorted_spans(contexts: DataFrame) -> DataFrame:

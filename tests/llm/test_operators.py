@@ -283,6 +283,25 @@ def test_repeats_of_odd_rows(spark, odd, empty):
     assert suffix.remove_repeats(empty).count() == 0
 
 
+def test_suffixes_by_words():
+    rng = np.random.default_rng(1)
+    for high, depth in ((3, 40), (2, 401), (250, 17)):
+        text = rng.integers(1, high, 3000).astype(np.uint8)
+        text[1000:1900] = text[0:900]
+        places = np.sort(rng.choice(2500, 900, replace=False))
+        raw = text.tobytes() + bytes(500)
+        got = [raw[p : p + depth] for p in suffix.by_words(text, places, depth).tolist()]
+        assert got == sorted(raw[p : p + depth] for p in places.tolist())
+
+
+def test_a_gram_of_one_class_is_sorted_too(monkeypatch):
+    """What a class of several members removes comes from its suffixes' neighbours; without the sort nothing is found."""
+    rows = [(suffix.REACH, 5, 9, 2, b"a" * 200, b"b" * 200), (suffix.REACH, 6, 9, 1, b"c" * 200, b"d" * 200)]
+    assert list(suffix._found(rows)) == [(5, 9, -200, 400)]
+    monkeypatch.setattr(suffix, "suffix_order", lambda text, *_: np.zeros(0, np.int64))
+    assert list(suffix._found(rows)) == []
+
+
 # 6
 
 
