@@ -7,14 +7,13 @@ are a column, so a batch is one job. Files are small: a file is a row.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import valid_text
+from . import model_files
 from .shared import ensure_checkpoint_dir
 
 
@@ -29,40 +28,38 @@ def project_name(path: Column) -> Column:
 _OPENED = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 
 
-def _underscored(spark: SparkSession, root: str) -> DataFrame:
-    """path and content of definition files whose names start with an underscore, at any depth: Spark's own readers take them for hidden.
+def _is_opened(spark: SparkSession, root: str) -> bool:
+    """Whether executors can list and open ``root`` themselves; other stores are known to the JVM only."""
+    return spark._jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() in _OPENED
 
-    The file system lists them page by page, some for each project; executors
-    read them. Where a store is known to the JVM only, they are copied to the
-    shared folder under plain names first, and Spark reads the copies.
-    """
+
+def _root(spark: SparkSession, root: str) -> str:
+    """``root`` with its scheme, as executors open it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    place = hadoop.Path(root)
+    uri = place.makeQualified(place.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), hadoop.Path("/")).toString()
+    return uri.removeprefix("file:") if uri.startswith("file:") else uri
+
+
+def raw_files(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """path of the files of ``kind`` (definition or report) under ``root``, and a way to their content: ``contents``."""
+    return model_files.listing(spark, _root(spark, root), kind)
+
+
+def _by_jvm(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """path and content of files in a store that only the JVM knows. Spark's reader takes names with a leading underscore for hidden: those are listed by the store, one page after another, and read from copies."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").format("binaryFile").load(root)
+    raw = raw.select(F.url_decode("path").alias("path"), "content")
+    if suffix != ".tmdl":
+        return raw
     hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
     store = hadoop.Path(root).getFileSystem(conf)
-    every = store.listFiles(hadoop.Path(root), True)
-    found = []
+    every, found = store.listFiles(hadoop.Path(root), True), []
     while every.hasNext():
         place = every.next().getPath()
-        if place.getName().startswith("_") and place.getName().endswith(".tmdl"):
+        if place.getName().startswith("_") and place.getName().endswith(suffix):
             found.append(place)
-    if store.getScheme() not in _OPENED:
-        return _copied(spark, store, found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs as files
-
-        for batch in batches:
-            uris = batch.column("path").to_pylist()
-            texts = []
-            for uri in uris:
-                if uri.startswith("file:/"):
-                    own, name = files.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-                else:
-                    own, name = files.FileSystem.from_uri(uri)
-                with own.open_input_stream(name, compression=None) as stream:
-                    texts.append(stream.read())
-            yield pa.RecordBatch.from_arrays([pa.array(uris), pa.array(texts, pa.binary())], names=["path", "content"])
-
-    return spark.createDataFrame([(x.toString(),) for x in found], "path string").mapInArrow(run, "path string, content binary")
+    return raw.unionByName(_copied(spark, store, found))
 
 
 def _copied(spark: SparkSession, store: object, found: list) -> DataFrame:
@@ -82,11 +79,9 @@ def _copied(spark: SparkSession, store: object, found: list) -> DataFrame:
     return raw.select(F.regexp_extract("path", r"([0-9]+)\.tmdl$", 1).alias("copy"), "content").join(names, "copy").select("path", "content")
 
 
-def read_tmdl(spark: SparkSession, root: str) -> DataFrame:
-    """project, rel_path, file_stem and content of each definition file; bytes that are not UTF-8 are left out."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tmdl").format("binaryFile").load(root)
-    raw = raw.select("path", "content").unionByName(_underscored(spark, root))
-    path = F.url_decode(F.col("path"))
+def definitions(raw: DataFrame) -> DataFrame:
+    """project, rel_path, file_stem and content of definition files (path, content); bytes that are not UTF-8 are left out."""
+    path = F.col("path")
     return raw.select(
         project_name(path).alias("project"),
         F.regexp_extract(path, r"/definition/(.*)$", 1).alias("rel_path"),
@@ -95,41 +90,44 @@ def read_tmdl(spark: SparkSession, root: str) -> DataFrame:
     ).where("rel_path <> ''")
 
 
-def read_report(spark: SparkSession, root: str) -> DataFrame:
-    """project, page_id, visual_id (null: the page itself; page_id null: the page list), content of each report file."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").format("binaryFile").load(root)
-    path = F.url_decode(F.col("path"))
-    place = F.regexp_extract(path, r"/definition/pages/(.*)$", 1)
+def reports(raw: DataFrame) -> DataFrame:
+    """project, page_id, visual_id (null: the page itself; page_id null: the page list), content of report files (path, content)."""
+    place = F.regexp_extract("path", r"/definition/pages/(.*)$", 1)
     pick = lambda pattern: F.when(F.regexp_extract(place, pattern, 1) != "", F.regexp_extract(place, pattern, 1))
-    return raw.where(path.rlike(r"\.Report/definition/pages/")).select(
-        project_name(path).alias("project"),
+    return raw.select(
+        project_name(F.col("path")).alias("project"),
         pick(r"^([^/]+)/").alias("page_id"),
         pick(r"^[^/]+/visuals/([^/]+)/visual\.json$").alias("visual_id"),
         valid_text(F.col("content")).alias("content"),
     )
 
 
-def read_roles(spark: SparkSession, root: str) -> DataFrame | None:
-    """project, role, is_dynamic of each role file (``definition/roles``): dynamic if a filter asks for the user. None if there are none."""
-    files = read_tmdl(spark, root).where(F.col("rel_path").rlike("^roles/"))
-    roles = files.select("project", F.col("file_stem").alias("role"), F.upper("content").rlike(r"USERPRINCIPALNAME\s*\(|USERNAME\s*\(").alias("is_dynamic"))
-    return roles if roles.limit(1).count() else None
+def read_tmdl(spark: SparkSession, root: str, part: str = "") -> DataFrame:
+    """``definitions`` of all files under ``root``, or of those whose place in a project starts with ``part``: no others are opened."""
+    if not _is_opened(spark, root):
+        return definitions(_by_jvm(spark, root, ".tmdl")).where(F.startswith("rel_path", F.lit(part)))
+    found = raw_files(spark, root, "definition")
+    return definitions(model_files.contents(found.where(F.col("path").contains(f"/definition/{part}"))))
+
+
+def read_report(spark: SparkSession, root: str) -> DataFrame:
+    """``reports`` of all files under ``root``; JSON in other places is not opened."""
+    if not _is_opened(spark, root):
+        return reports(_by_jvm(spark, root, ".json").where(F.col("path").rlike(r"\.Report/definition/pages/")))
+    return reports(model_files.contents(raw_files(spark, root, "report")))
+
+
+def read_roles(spark: SparkSession, root: str) -> DataFrame:
+    """project, role, is_dynamic of each role file (``definition/roles``): dynamic if a filter asks for the user."""
+    files = read_tmdl(spark, root, "roles/")
+    return files.select("project", F.col("file_stem").alias("role"), F.upper("content").rlike(r"USERPRINCIPALNAME\s*\(|USERNAME\s*\(").alias("is_dynamic"))
 
 
 def found_projects(spark: SparkSession, root: str) -> DataFrame:
-    """project of every folder under ``root`` that is named as one, files in it or not; the file system lists the folders."""
-    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
-    store = hadoop.Path(root).getFileSystem(conf)
-    names, open_ = set(), [hadoop.Path(root)]
-    while open_:
-        for status in store.listStatus(open_.pop()):
-            if status.isDirectory():
-                name = status.getPath().getName()
-                if name.endswith((".SemanticModel", ".pbip")):
-                    names.add(name.removesuffix(".SemanticModel").removesuffix(".pbip"))
-                if not name.endswith((".SemanticModel", ".Report")):
-                    open_.append(status.getPath())
-    return spark.createDataFrame([(x,) for x in sorted(names)], "project string")
+    """project of every folder under ``root`` that is named as one, files in it or not."""
+    if not _is_opened(spark, root):
+        return _by_jvm(spark, root, ".tmdl").select(project_name(F.col("path")).alias("project")).distinct()
+    return raw_files(spark, root, "projects").select(F.regexp_extract("path", r"([^/]+?)(?:\.SemanticModel)?(?:\.pbip)?$", 1).alias("project")).distinct()
 
 
 def table_files(files: DataFrame) -> DataFrame:

@@ -3,34 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import functions as F
 
-from ..functions.text import valid_text
 from ..plans import audit
+from ..sources import model_files
 from ..sources.sinks import write_relations
-from ..sources.tmdl import project_name
-
-_FILES = "path string, modificationTime timestamp, length long, content binary"
-
-
-def read_stream(spark: SparkSession, root: str, files_per_trigger: int = 1000) -> DataFrame:
-    """New definition files under ``root`` as a stream of (project, rel_path, file_stem, content)."""
-    raw = spark.readStream.schema(_FILES).format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tmdl").option("maxFilesPerTrigger", files_per_trigger).load(root)
-    path = F.url_decode(F.col("path"))
-    return raw.select(project_name(path).alias("project"), F.regexp_extract(path, r"/definition/(.*)$", 1).alias("rel_path"), F.regexp_extract(path, r"([^/]+)\.tmdl$", 1).alias("file_stem"), valid_text(F.col("content")).alias("content"))
-
-
-def watch(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = False) -> StreamingQuery:
-    """Audit every project that new files belong to, whole, and write its relations; restarts go on from ``checkpoint``."""
-    from ..sources.tmdl import read_report, read_tmdl
-
-    def batch(files: DataFrame, number: int) -> None:
-        changed = files.select("project").distinct()
-        whole = read_tmdl(spark, root).join(changed, "project", "left_semi")
-        report = read_report(spark, root).join(changed, "project", "left_semi")
-        with audit.relations(whole, report) as r:
-            write_relations(r, f"{out}/batch={number}")
-
-    writer = read_stream(spark, root).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+from ..sources.tmdl import _root, definitions, project_name, reports
+
+_SEEN = f"{model_files.SCHEMA}, batch long"
+
+
+def changed_files(found: DataFrame, seen: DataFrame) -> DataFrame:
+    """Rows of a listing that no earlier one has: new files, and files of another time or length."""
+    return found.join(seen, ["path", "modified", "length"], "left_anti")
+
+
+def watch(spark: SparkSession, root: str, out: str, checkpoint: str, once: bool = False, every: str = "10 seconds") -> StreamingQuery:
+    """Audit every project that new or changed files belong to, whole, and write its relations; restarts go on from ``checkpoint``.
+
+    Each trigger lists ``root`` on the executors, files that start with an underscore included. What a
+    batch has seen first is kept below ``checkpoint``; a batch that runs again writes the same.
+    Only files of changed projects are opened.
+    """
+
+    def batch(found: DataFrame, number: int) -> None:
+        log = f"{checkpoint}/seen"
+        jvm = spark._jvm.org.apache.hadoop.fs.Path(log)
+        there = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+        seen = (spark.read.schema(_SEEN).parquet(log) if there else spark.createDataFrame([], _SEEN)).where(F.col("batch") < number)
+        listing = found.persist()
+        try:
+            changed_files(listing, seen).write.mode("overwrite").parquet(f"{log}/batch={number}")
+            project = project_name(F.col("path"))
+            changed = spark.read.schema(model_files.SCHEMA).parquet(f"{log}/batch={number}").select(project.alias("project")).distinct()
+            if not changed.limit(1).count():
+                return
+            own = listing.withColumn("project", project).join(changed, "project", "left_semi")
+            is_report = F.col("path").endswith(".json")
+            files, report = (model_files.contents(own.where(c)) for c in (~is_report, is_report))
+            with audit.relations(definitions(files), reports(report)) as r:
+                write_relations(r, f"{out}/batch={number}")
+        finally:
+            listing.unpersist()
+
+    stream = model_files.listings(spark, _root(spark, root))
+    writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -14,7 +14,7 @@ from auditloom.functions import text as S
 from auditloom.functions.register import register_functions
 from auditloom.operators import blocks, extract, measures, model, rings, scoring
 from auditloom.plans import audit, charts, documents, prompts
-from auditloom.sources import rules, sinks, tmdl
+from auditloom.sources import model_files, rules, sinks, tmdl
 
 
 def one(spark, column, **values):
@@ -264,8 +264,40 @@ def test_projects_on_disk(spark, project, tmp_path):
 def test_watched_folder(spark, project, tmp_path):
     from auditloom.streaming.watch import watch
 
-    watch(spark, project, str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination(300)
+    def run():
+        watch(spark, project, str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination(300)
+        return sorted(p.name for p in (tmp_path / "out").iterdir())
+
+    assert run() == ["batch=0"]
     assert spark.read.json(str(tmp_path / "out/batch=0/project_scores")).count() == 1
+    assert run() == ["batch=0"]  # nothing has changed
+    (place,) = Path(project).rglob("_Measures.tmdl")
+    place.write_text(place.read_text().replace("measure Stub = 1", "measure Stub = 2 + [Band]"))
+    (first, second) = run()
+    assert spark.read.json(str(tmp_path / f"out/{second}/measures")).where("name = 'Stub'").first()["expression"] == "2 + [Band]"
+
+
+def test_many_folders_are_listed_in_slots(spark, tmp_path):
+    """10,000 project folders: each file is found by one slot, files in other places are not opened (a pipe would never end)."""
+    for i in range(10_000):
+        folder = tmp_path / f"m{i:05d}.SemanticModel/definition"
+        folder.mkdir(parents=True)
+        (folder / "_own.tmdl").write_text(f"table t{i}\n")
+    page = tmp_path / "deep/er/R.Report/definition/pages/p1"
+    page.mkdir(parents=True)
+    (page / "page.json").write_text('{"displayName": "P"}')
+    for pipe in ("other.json", "m00000.SemanticModel/other.tmdl", "deep/er/R.Report/report.json"):
+        os.mkfifo(tmp_path / pipe)
+    slots = [list(model_files.walk(str(tmp_path), "definition", k, 16)) for k in range(16)]
+    sizes = [len(x) for x in slots]
+    assert sum(sizes) == 10_000 and max(sizes) < 2 * min(sizes) and len({r[0] for x in slots for r in x}) == 10_000
+    files = tmdl.read_tmdl(spark, str(tmp_path))
+    assert files.where("content = concat('table t', cast(substr(project, 2) as int), '\n') and file_stem = '_own'").count() == 10_000
+    assert "model_files" in files._jdf.queryExecution().toString()
+    assert [(r["project"], r["page_id"]) for r in tmdl.read_report(spark, str(tmp_path)).collect()] == [("R", "p1")]
+    assert tmdl.found_projects(spark, str(tmp_path)).count() == 10_000
+    one = model_files.listing(spark, str(tmp_path / "m00007.SemanticModel"), "definition", slots=3)
+    assert [r["path"].rsplit("/", 1)[-1] for r in one.collect()] == ["_own.tmdl"]
 
 
 def test_empty_projects(spark):
