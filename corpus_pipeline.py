@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditloom.llm import bpe, minhash, mixing, pii, quality
-from auditloom.llm.common import materialize, read_table
+from auditloom.llm.common import fresh_names, materialize, read_table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """
     number = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62)))
     found = minhash.near_duplicates(docs.select(number.alias("doc_id"), "text"))
-    kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias("__number")).agg(F.min("mark").alias("__mark")), "kept")
-    rows = docs.withColumn("__number", number).withColumn("__mark", F.xxhash64("text"))
+    keys = fresh_names("number", "mark")
+    kept = materialize(found.where("kept").groupBy(F.col("doc_id").alias(keys[0])).agg(F.min("mark").alias(keys[1])), "kept")
+    rows = docs.withColumn(keys[0], number).withColumn(keys[1], F.xxhash64("text"))
     # one shuffle of the texts: rows meet their number and mark, and repeated ones each other
-    return rows.join(kept, ["__number", "__mark"], "left_semi").dropDuplicates(["__number", "__mark"]).select(*docs.columns)
+    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
