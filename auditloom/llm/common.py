@@ -70,6 +70,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession, name).table(df, name)
 
 
+def fresh_names(*names: str) -> list[str]:
+    """Column names that no table has."""
+    mark = uuid.uuid4().hex
+    return [f"{name}-{mark}" for name in names]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_by_size, map_arrow
+from .common import Scratch, fresh_names, join_by_size, map_arrow
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: The patterns of the base kinds. Emails are found from their ``@`` outwards, by these two.
@@ -164,12 +164,13 @@ def redact(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """
     found = find_pii(docs) if found is None else found
     columns = docs.columns
-    spans = found.where(F.size("all") > 0).groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.first("all").alias("__spans"))
-    joined_ = docs.join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
+    own_id, own_key, own_spans = fresh_names("id", "key", "spans")
+    spans = found.where(F.size("all") > 0).groupBy(F.col("doc_id").alias(own_id), F.col("text_key").alias(own_key)).agg(F.first("all").alias(own_spans))
+    joined_ = docs.join(spans, docs["doc_id"].cast("long").eqNullSafe(spans[own_id]) & (F.xxhash64(docs["text"]) == spans[own_key]), "left")
     schema = docs.schema
 
     def work(batch: pa.RecordBatch) -> Iterator[dict]:
-        texts, spans_ = batch.column("text").to_pylist(), batch.column("__spans").to_pylist()
+        texts, spans_ = batch.column("text").to_pylist(), batch.column(own_spans).to_pylist()
         done = [x if not s else _replace(x or "", s) for x, s in zip(texts, spans_, strict=True)]
         out = {c: batch.column(c) for c in columns}
         out["text"] = done

@@ -128,7 +128,3 @@ def scan_secrets(docs: DataFrame, owner: str, repository: str, max_owners: int =
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     listed = by_row.select("row", text.alias("spans"), "n_live", "n_copied")
     return found.drop("spans").join(listed, "row", "left").select("doc_id", "n_assign", "n_access", "n_hex", "base", F.coalesce("spans", F.lit("")).alias("spans"), zero("n_live"), zero("n_copied"))
-
-
-def base_digest(base: str = "base") -> Column:
-    return F.sha2(F.col(base), 256)

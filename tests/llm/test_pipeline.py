@@ -120,3 +120,12 @@ def test_run_on_an_empty_table(spark, empty, tmp_path):
     empty.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_of_any_name_survive(spark):
+    names = {"__number": 5, "__mark": 6, "__id": 7, "__key": 8, "__spans": 9}
+    text = "Mail me@x.org now, said the clerk to nobody"
+    docs = spark.createDataFrame([(1, text, "a", len(text), *names.values())], "doc_id long, text string, source string, n_chars long, " + ", ".join(f"{c} long" for c in names))
+    for stage in (pipeline.drop_near_duplicates, pipeline.mask_personal_data, pipeline.mix_sources):
+        (row,) = stage(spark, docs, SF).distinct().collect()
+        assert stage(spark, docs, SF).columns == docs.columns and {c: row[c] for c in names} == names
