@@ -1,4 +1,4 @@
-"""The data of charts; drawing is left to the reader of the rows."""
+"""The data of charts; ``svg`` draws them."""
 
 from __future__ import annotations
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..functions import text as S
 from ..operators import measures, model, scoring
+from . import svg
 
 
 def _cells(*columns: str | Column) -> Column:
@@ -88,7 +89,7 @@ def technical(r: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def extended(r: Mapping[str, DataFrame]) -> DataFrame:
-    """The extended document: overview, tables, classes with reasons, measures, unused measures, columns, pages, column use, data quality."""
+    """The extended document: overview, tables, classes with reasons, measures, unused measures, columns, pages, column use, data quality, charts (beside it, where ``svg.drawings`` are written)."""
     d = "extended"
     summary = r["schema"]
     types = r["columns"].where("NOT is_calculated").groupBy("project", "table").agg(F.array_sort(F.collect_set("data_type")).alias("types"))
@@ -114,6 +115,7 @@ def extended(r: Mapping[str, DataFrame]) -> DataFrame:
         section(_use(r), d, 8, "Column use summary", F.concat(F.lit("- "), F.col("label"), F.lit(": "), F.col("value")), [F.col("no")]),
         section(usage, d, 9, "Column use", _cells("table", "used_columns", "total_columns", "usage_percentage", "calculated_column_count", "measure_count", "table_kind"), [F.col("usage_percentage"), F.desc("unused_columns"), F.col("table")], ("Table", "Used", "Columns", "%", "Calculated", "Measures", "Kind")),
         section(flags, d, 10, "Data quality", _cells(F.concat_ws(" -> ", "from_table", "to_table"), F.array_join("quality_flags", ", ")), [F.col("from_table"), F.col("to_table"), F.col("id")], ("Edge", "Flags")),
+        section(svg.embedded(svg.drawings(r)), d, 14, "Charts", F.col("line"), [F.col("document")]),
     ])
 
 

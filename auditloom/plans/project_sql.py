@@ -6,7 +6,7 @@ from ..functions import classify as K
 from ..functions import dax
 from ..operators import blocks, extract
 from ..sources import rules as R
-from . import row_projects
+from . import row_projects, svg
 
 
 def _text(x: str | None) -> str:
@@ -312,3 +312,63 @@ SQL = {
         SELECT project, global_score, CASE {" ".join(f"WHEN global_score >= {v} THEN '{k}'" for k, v in K.GRADES.items())} END AS grade, CASE {" ".join(f"WHEN global_score >= {v} THEN '{k}'" for k, v in K.STATES.items())} END AS status FROM g""",
     "column_usage": f"""WITH {_USAGE} SELECT project, "table", total_columns, used_columns, used, unused FROM usage""",
 }
+
+
+# Charts
+
+
+def _cat(template: str, **values: str) -> str:
+    pieces = template.replace("}", "{").split("{")
+    return "concat(" + ", ".join(f"({values[x]})::VARCHAR" if k % 2 else _text(x) for k, x in enumerate(pieces) if x) + ")"
+
+
+def _safe(x: str) -> str:
+    return f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
+
+
+def _round(x: str) -> str:
+    return f"floor({x} + 0.5::DOUBLE)::BIGINT"
+
+
+def _paint(x: str) -> str:
+    return f"CASE {x} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in svg.FILLS.items()) + " ELSE '#7f8c8d' END"
+
+
+def _layers(document: str, rows: str, height: str, *layers: str) -> str:
+    head = _cat(f'<svg xmlns="http://www.w3.org/2000/svg" width="{svg.WIDTH}" height="{{h}}" font-family="sans-serif" font-size="12">', h=height)
+    parts = [f"SELECT project, 0 AS section_no, 0::BIGINT AS line_no, {head} AS line FROM {rows} GROUP BY project", *(f"SELECT project, {k}, {x}" for k, x in enumerate(layers, 1)), f"SELECT DISTINCT project, 99, 0, '</svg>' FROM {rows}"]
+    return " UNION ALL ".join(f"SELECT project, '{document}' AS document, section_no::INTEGER AS section_no, line_no::BIGINT AS line_no, line FROM ({p}) x(project, section_no, line_no, line)" for p in parts)
+
+
+_R, _L = svg.ROW, svg.LABEL
+_SHARE = "1000.0::DOUBLE / total"
+_A, _B = _round(f"before * {_SHARE}"), _round(f"(before + n) * {_SHARE}")
+_DONUT = _cat('<circle cx="160" cy="160" r="100" fill="none" stroke="{f}" stroke-width="48" pathLength="1000" stroke-dasharray="{d} 1000" stroke-dashoffset="{o}"/>', f=_paint("classification"), d=f"{_B} - {_A}", o=f"-{_A}")
+_KIND = "CASE WHEN contains(lower(\"table\"), 'fact') THEN 'fact' WHEN contains(lower(\"table\"), 'dim') THEN 'dimension' WHEN contains(lower(\"table\"), 'bridge') THEN 'bridge' WHEN contains(lower(\"table\"), 'measure') THEN 'measure' ELSE 'other' END"
+_CHARTS = f"""{_CLASSES}, {_GRAPH.removeprefix(_MEASURES + ", ")},
+bars AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, display_type) AS k, {_round("n * 600.0::DOUBLE / max(n) OVER (PARTITION BY project)")} AS w FROM (SELECT project, {_TYPE_WORDS} AS display_type, count(*) AS n FROM cols GROUP BY ALL)),
+arcs AS MATERIALIZED (SELECT *, row_number() OVER w AS k, sum(n) OVER (PARTITION BY project)::BIGINT AS total, coalesce(sum(n) OVER (PARTITION BY project ORDER BY classification ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+    FROM (SELECT project, classification, count(*) AS n FROM classes GROUP BY ALL) WINDOW w AS (PARTITION BY project ORDER BY classification)),
+touched AS (SELECT project, t, count(*) AS degree FROM (SELECT project, unnest([from_table, to_table]) AS t FROM edges) GROUP BY ALL),
+heat0 AS (SELECT t.project, t."table", [least(column_count / 5.0::DOUBLE, 10), least(measure_count * 2.0::DOUBLE, 10), least(coalesce(degree, 0) * 2.0::DOUBLE, 10), coalesce((SELECT avg(complexity_score) FROM meas m WHERE m.project = t.project AND m."table" = t."table"), 0)::DOUBLE] AS v
+    FROM tabs t LEFT JOIN touched d ON d.project = t.project AND d.t = t."table"),
+heat AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY v[1] + v[2] + v[3] + v[4] DESC, "table") AS rank FROM heat0) WHERE rank <= 15),
+cells AS (SELECT project, rank, unnest(range(4)) AS k, unnest(v) AS value FROM heat),
+dots AS MATERIALIZED (SELECT *, list_position({list(svg.KINDS)}, kind) * 190 - 100 AS x, row_number() OVER (PARTITION BY project, kind ORDER BY "table") * {2 * _R} AS y, row_number() OVER (PARTITION BY project ORDER BY "table") AS k FROM (SELECT project, "table", column_count, {_KIND} AS kind FROM tabs)),
+ties AS MATERIALIZED (SELECT e.project, from_table, to_table, arg_max(cardinality, id) AS cardinality, any_value(a.x) AS x1, any_value(a.y) AS y1, any_value(b.x) AS x2, any_value(b.y) AS y2
+    FROM edges e JOIN dots a ON a.project = e.project AND a."table" = from_table JOIN dots b ON b.project = e.project AND b."table" = to_table GROUP BY e.project, from_table, to_table),
+points AS MATERIALIZED (SELECT *, dependency_depth * 140 + 150 AS x, row_number() OVER (PARTITION BY project, dependency_depth ORDER BY name) * {_R} AS y, row_number() OVER (PARTITION BY project ORDER BY name) AS k,
+    CASE WHEN complexity_score <= 3 THEN 'low' WHEN complexity_score <= 6 THEN 'medium' ELSE 'high' END AS level FROM graph),
+arrows AS MATERIALIZED (SELECT d.project, d.name, d.dependency, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM deps d JOIN points a ON a.project = d.project AND a.name = d.name JOIN points b ON b.project = d.project AND b.name = d.dependency WHERE d.name <> d.dependency)
+"""
+_LINES = " UNION ALL ".join([
+    _layers("datatypes.svg", "bars", f"(count(*) + 2) * {_R}", "k, " + _cat(f'<text x="8" y="{{t}}">{{name}}</text><rect x="{_L}" y="{{y}}" width="{{w}}" height="{_R - 6}" fill="#2980b9"/><text x="{{e}}" y="{{t}}">{{n}}</text>', t=f"k * {_R} + 14", y=f"k * {_R}", name=_safe("display_type"), w="w", e=f"w + {_L + 6}", n="n") + " FROM bars"),
+    _layers("classes.svg", "arcs", "340", f"k, {_DONUT} FROM arcs", "k, " + _cat('<text x="320" y="{y}" fill="{f}">{name}: {n}</text>', y=f"k * {_R} + 40", f=_paint("classification"), name="classification", n="n") + " FROM arcs"),
+    _layers("heatmap.svg", "heat", f"(count(*) + 2) * {_R}", "rank, " + _cat('<text x="8" y="{y}">{t}</text>', y=f"rank * {_R} + 15", t=_safe('"table"')) + " FROM heat",
+        "rank * 10 + k, " + _cat(f'<rect x="{{x}}" y="{{y}}" width="116" height="{_R - 2}" fill="#c0392b" fill-opacity="{{o}}%"/>', x=f"k * 120 + {_L}", y=f"rank * {_R}", o=f"least({_round('value * 10')}, 100)") + " FROM cells"),
+    _layers("relationships.svg", "dots", f"max(y) + {3 * _R}", "row_number() OVER (PARTITION BY project ORDER BY from_table, to_table), " + _cat('<line x1="{a}" y1="{b}" x2="{c}" y2="{d}" stroke="#555"{s}/>', a="x1", b="y1", c="x2", d="y2", s="CASE WHEN cardinality = 'Many-to-Many' THEN ' stroke-dasharray=\"4 4\"' ELSE '' END") + " FROM ties",
+        "k, " + _cat('<circle cx="{x}" cy="{y}" r="{r}" fill="{f}"/><text x="{x}" y="{t}" text-anchor="middle">{n}</text>', x="x", y="y", r=f"least(20, 6 + {_round('column_count * 100 / 200.0::DOUBLE')})", f=_paint("kind"), t="y + 30", n=_safe('"table"')) + " FROM dots"),
+    _layers("measures.svg", "points", f"max(y) + {2 * _R}", "row_number() OVER (PARTITION BY project ORDER BY name, dependency), " + _cat('<line x1="{a}" y1="{b}" x2="{c}" y2="{d}" stroke="#999"/>', a="x1", b="y1", c="x2", d="y2") + " FROM arrows",
+        "k, " + _cat('<circle cx="{x}" cy="{y}" r="6" fill="{f}"/><text x="{t}" y="{u}">{n}</text>', x="x", y="y", f=_paint("level"), t="x + 9", u="y + 4", n=_safe("name")) + " FROM points"),
+])
+SQL["chart_lines"] = f"WITH RECURSIVE {_CHARTS} {_LINES}"

@@ -12,7 +12,7 @@ from ..functions import dax
 from ..functions import text as S
 from ..operators import blocks, extract, measures, model, scoring
 from ..sources import catalog, rules, tmdl
-from . import audit, charts, documents, prompts, row_projects
+from . import audit, charts, documents, prompts, row_projects, svg
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -536,3 +536,9 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prompts.prompts(_audit(spark, sf_dir)).select("project", "block", "prompt")
+
+
+@query
+def chart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five charts of each project as lines of SVG."""
+    return svg.drawings(_audit(spark, sf_dir))

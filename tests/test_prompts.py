@@ -72,3 +72,24 @@ def test_project_without_measures_has_prompts(spark):
     r = audit.relations(bare)
     assert r["measures"].count() == 0
     assert {p["block"] for p in prompts.prompts(r).collect()} == {"overview", "expressions", "performance", "quality"}
+
+
+def test_charts_are_drawings(shop):
+    """Each chart is well-formed, holds an element a row, and is shown in the extended document; names are escaped."""
+    from xml.etree import ElementTree
+
+    from auditloom.plans import charts, svg
+    from auditloom.sources import sinks
+
+    drawn = {r["document"]: ElementTree.fromstring(r["text"]) for r in sinks.assembled(svg.drawings(shop)).collect()}
+    assert set(drawn) == set(svg.TITLES)
+    count = lambda name, tag: len(drawn[name].findall(f"{{http://www.w3.org/2000/svg}}{tag}"))
+    assert count("datatypes.svg", "rect") == charts.datatype_bars(shop["columns"]).count()
+    assert count("measures.svg", "circle") == shop["measures"].count() and count("measures.svg", "line") == shop["measure_edges"].count()
+    assert count("relationships.svg", "circle") == shop["tables"].count() and count("heatmap.svg", "rect") == 4 * shop["tables"].count()
+    dashes = [int(x.get("stroke-dasharray").split()[0]) for x in drawn["classes.svg"] if x.get("stroke-dasharray")]
+    assert sum(dashes) == 1000 and len(dashes) == count("classes.svg", "text")
+    shown = [r["line"] for r in documents.extended(shop).where("section_no = 14").orderBy("line_no").collect()]
+    assert shown[0] == "## Charts" and "![Data types](datatypes.svg)" in shown
+    odd = svg.datatype_bars(shop["columns"].selectExpr("'p' AS project", "'<&>' AS name", "'<x>' AS data_type").limit(1))
+    assert any("Other (&lt;x&gt;)" in r["line"] for r in odd.collect())
