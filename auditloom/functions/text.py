@@ -157,3 +157,8 @@ def capped(n: Column, per_unit: float, most: float) -> Column:
 
 def clamp(c: Column, low: float = 0, high: float = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
+
+
+def first_seen(items: Column) -> Column:
+    """``items`` without repeats, in the order in which each is seen first; nulls and empty ones are left out."""
+    return F.array_distinct(F.filter(items, lambda x: F.coalesce(x, F.lit("")) != ""))

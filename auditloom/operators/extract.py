@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
@@ -308,3 +308,10 @@ def page_fields(report: DataFrame) -> DataFrame:
     references = F.regexp_extract_all(text, F.lit(r'"(?:nativeQueryRef|queryRef|Property)"\s*:\s*"([^"]+)"'), F.lit(1))
     rows = report.where("visual_id IS NOT NULL").select("project", "page_id", F.explode(F.concat(brackets, references)).alias("name"))
     return rows.where("name <> ''").distinct()
+
+
+def ordered_sources(sources: DataFrame) -> DataFrame:
+    """``sources`` with ``position``: the place in its project by type, connector, server, address and path; what is missing is empty."""
+    keys = [F.coalesce(c, F.lit("")) for c in ("type", "connector", "attributes.server", "attributes.url", "attributes.path")]
+    order = Window.partitionBy("project").orderBy(*keys, F.coalesce("attributes.database", F.lit("")))
+    return sources.withColumn("position", F.row_number().over(order))

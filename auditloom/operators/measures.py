@@ -226,23 +226,41 @@ def unused_summary(measures: DataFrame, unused_: DataFrame) -> DataFrame:
     return out.withColumn("used_measures", F.col("names") - F.col("unused_names")).withColumn("unused_percentage", F.bround(F.try_divide(F.col("unused_measures") * 100.0, F.col("total_measures")), 1)).drop("names", "unused_names")
 
 
-def column_usage(columns: DataFrame, measures: DataFrame, visuals: DataFrame | None = None) -> DataFrame:
-    """A row for each table: which columns are used by name, in measures or visuals. Measure names do not count as columns."""
+def column_hits(columns: DataFrame, measures: DataFrame, visuals: DataFrame | None = None) -> DataFrame:
+    """project, table, name, hit of each column: used by name, in measures or visuals. Measure names do not count as columns."""
     used = measures.select("project", F.explode("bracketed").alias("name"))
     used = used.join(measures.select("project", "name").distinct(), ["project", "name"], "left_anti")
     if visuals is not None:
         used = used.unionByName(visual_fields(visuals))
-    flagged = columns.select("project", "table", "name").distinct().join(used.distinct().withColumn("hit", F.lit(True)), ["project", "name"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
-    out = flagged.groupBy("project", "table").agg(
+    return columns.select("project", "table", "name").distinct().join(used.distinct().withColumn("hit", F.lit(True)), ["project", "name"], "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+def unused_columns(hits: DataFrame) -> DataFrame:
+    """project, table, name of the columns that nothing uses; a table without any is not there."""
+    return hits.where("NOT hit").select("project", "table", "name")
+
+
+def column_usage(columns: DataFrame, measures: DataFrame, visuals: DataFrame | None = None, names: bool = True) -> DataFrame:
+    """A row for each table: how many columns are used, and the first of them; with ``names``, which: a table of a model has few, other groups may be too large for a list."""
+    listed = [
+        F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("name")))).alias("used_column_names"),
+        F.array_sort(F.collect_set(F.when(~F.col("hit"), F.col("name")))).alias("unused_column_names"),
+    ]
+    out = column_hits(columns, measures, visuals).groupBy("project", "table").agg(
         F.count("*").alias("total_columns"),
         F.count_if("hit").alias("used_columns"),
         F.count_if(~F.col("hit")).alias("unused_columns"),
-        F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("name")))).alias("used_column_names"),
-        F.array_sort(F.collect_set(F.when(~F.col("hit"), F.col("name")))).alias("unused_column_names"),
+        F.min(F.when(F.col("hit"), F.col("name"))).alias("first_used"),
+        *(listed if names else []),
     )
     return out.withColumn("usage_percentage", F.bround(F.col("used_columns") * 100.0 / F.col("total_columns"), 0).cast("int"))
 
 
+def by_table(measures: DataFrame) -> DataFrame:
+    """``measures`` with ``position``: the place among the measures of its table, by name and line."""
+    return measures.withColumn("position", F.row_number().over(Window.partitionBy("project", "table").orderBy("name", "line")))
+
+
 def usage_summary(usage: DataFrame) -> DataFrame:
     return usage.groupBy("project").agg(
         F.sum("total_columns").alias("total_columns"),

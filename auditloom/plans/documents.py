@@ -139,5 +139,36 @@ def compliance(r: Mapping[str, DataFrame]) -> DataFrame:
     ])
 
 
+def headings(lines: DataFrame) -> DataFrame:
+    """project, document, section_no, line_no, level, title and slug of each heading.
+
+    A slug is the title in lower case, without signs, with hyphens for spaces; of headings with
+    one slug in a document the second is numbered -1, the third -2.
+    """
+    found = lines.where(F.col("line").rlike("^#{1,6} ")).withColumn("level", F.length(F.regexp_extract("line", "^(#+)", 1))).withColumn("title", F.trim(F.regexp_replace("line", "^#+ ", "")))
+    base = F.replace(F.regexp_replace(F.lower("title"), r"[^\p{L}\p{N} _-]", ""), F.lit(" "), F.lit("-"))
+    before = F.row_number().over(Window.partitionBy("project", "document", "base").orderBy("section_no", "line_no")) - 1
+    named = found.withColumn("base", base).withColumn("before", before)
+    slug = F.concat("base", F.when(F.col("before") > 0, F.concat(F.lit("-"), F.col("before"))).otherwise(""))
+    return named.select("project", "document", "section_no", "line_no", "level", "title", slug.alias("slug"))
+
+
+def contents(lines: DataFrame) -> DataFrame:
+    """``lines`` with a list of contents behind each document's first section: a link to each heading below the title."""
+    linked = headings(lines).where("level > 1")
+    number = F.row_number().over(Window.partitionBy("project", "document").orderBy("section_no", "line_no"))
+    title = F.regexp_replace("title", r"([\[\]])", r"\\$1")
+    item = F.concat(F.repeat(F.lit("  "), F.col("level") - 2), F.lit("- ["), title, F.lit("](#"), F.col("slug"), F.lit(")"))
+    items = linked.select("project", "document", F.lit(0).alias("section_no"), (number + 1000).cast("int").alias("line_no"), item.alias("line"))
+    top = linked.select("project", "document").distinct().select("project", "document", F.lit(0).alias("section_no"), F.posexplode(F.array(F.lit("**Contents**"), F.lit(""))).alias("k", "line"))
+    return lines.unionByName(top.select("project", "document", "section_no", (F.col("k") + 900).cast("int").alias("line_no"), "line")).unionByName(items)
+
+
+def file_name(at: Column | None = None) -> Column:
+    """A document's file: project, document and the time ``at`` (now, if none)."""
+    safe = F.regexp_replace("project", r"[^\p{L}\p{N}._-]+", "_")
+    return F.concat(safe, F.lit("_"), F.col("document"), F.lit("_"), F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss"), F.lit(".md"))
+
+
 def all_documents(r: Mapping[str, DataFrame]) -> DataFrame:
-    return _all([technical(r), extended(r), compliance(r)])
+    return contents(_all([technical(r), extended(r), compliance(r)]))

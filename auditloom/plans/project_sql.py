@@ -372,3 +372,11 @@ _LINES = " UNION ALL ".join([
         "k, " + _cat('<circle cx="{x}" cy="{y}" r="6" fill="{f}"/><text x="{t}" y="{u}">{n}</text>', x="x", y="y", f=_paint("level"), t="x + 9", u="y + 4", n=_safe("name")) + " FROM points"),
 ])
 SQL["chart_lines"] = f"WITH RECURSIVE {_CHARTS} {_LINES}"
+
+_BY_PLACE = ", ".join(f"coalesce({c}, '')" for c in ("type", "connector", "server", "url", "path", "database"))
+SQL |= {
+    "unused_columns": f'WITH {_USAGE} SELECT project, "table", name FROM hits WHERE NOT hit',
+    "datasource_order": f"WITH {_SOURCES} SELECT project, row_number() OVER (PARTITION BY project ORDER BY {_BY_PLACE}) AS position, type, connector, server, url, path FROM sources",
+    "measures_by_table": f'WITH {_MEASURES} SELECT project, "table", row_number() OVER (PARTITION BY project, "table" ORDER BY name, line) AS position, name FROM meas',
+    "first_seen_words": r"SELECT conv_id, turn, array_to_string([w FOR w, i IN ws IF w <> '' AND list_position(ws, w) = i], ' ') AS words FROM (SELECT conv_id, turn, regexp_split_to_array(coalesce(text, ''), '[ \n]') AS ws FROM conversations)",
+}

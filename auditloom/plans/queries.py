@@ -144,13 +144,13 @@ def _customer_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = _table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     columns = customers.select(F.lit("shop").alias("project"), "table", F.col("c_custkey").cast("string").alias("name"))
     orders = _table(spark, sf_dir, "orders").select(F.lit("shop").alias("project"), F.concat(F.lit("order "), "o_orderkey").alias("name"), F.array(F.col("o_custkey").cast("string")).alias("bracketed"))
-    return measures.column_usage(columns, orders)
+    return measures.column_usage(columns, orders, names=False)
 
 
 @query
 def usage_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _customer_usage(spark, sf_dir)
-    return u.select("table", "total_columns", "used_columns", "unused_columns", F.col("usage_percentage").cast("long").alias("usage_percentage"), F.element_at("used_column_names", 1).alias("first_used"))
+    return u.select("table", "total_columns", "used_columns", "unused_columns", F.col("usage_percentage").cast("long").alias("usage_percentage"), "first_used")
 
 
 @query
@@ -542,3 +542,28 @@ def prompt_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chart_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five charts of each project as lines of SVG."""
     return svg.drawings(_audit(spark, sf_dir))
+
+
+@query
+def unused_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of each table that no measure and no visual names."""
+    r = _audit(spark, sf_dir)
+    return measures.unused_columns(measures.column_hits(r["columns"], r["measures"], r["visuals"]))
+
+
+@query
+def datasource_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = extract.ordered_sources(_audit(spark, sf_dir)["datasources"])
+    return d.select("project", "position", "type", "connector", "attributes.server", "attributes.url", "attributes.path")
+
+
+@query
+def measures_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return measures.by_table(extract.measures(_objects(spark, sf_dir))).select("project", "table", "position", "name")
+
+
+@query
+def first_seen_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's words without repeats, in order."""
+    words = F.split(F.coalesce("text", F.lit("")), "[ \\n]")
+    return _table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(S.first_seen(words), " ").alias("words"))

@@ -93,3 +93,18 @@ def test_charts_are_drawings(shop):
     assert shown[0] == "## Charts" and "![Data types](datatypes.svg)" in shown
     odd = svg.datatype_bars(shop["columns"].selectExpr("'p' AS project", "'<&>' AS name", "'<x>' AS data_type").limit(1))
     assert any("Other (&lt;x&gt;)" in r["line"] for r in odd.collect())
+
+
+def test_every_link_of_the_contents_meets_a_heading(spark):
+    rows = [("p", "d", 0, 0, "# Title"), ("p", "d", 1, 0, "## Pages & [more]"), ("p", "d", 2, 0, "## Pages"), ("p", "d", 3, 0, "## Pages"), ("p", "d", 3, 4, "### Été 2"), ("p", "e", 0, 0, "# Alone"), ("q", "d", 2, 0, "## Pages"), ("q", "d", 2, 1, "#nothing")]
+    lines = spark.createDataFrame(rows, "project string, document string, section_no int, line_no int, line string")
+    out = documents.contents(lines)
+    slugs = {(r["project"], r["document"], r["slug"]) for r in documents.headings(lines).collect()}
+    assert {s for p, d, s in slugs if (p, d) == ("p", "d")} == {"title", "pages--more", "pages", "pages-1", "été-2"}
+    links = [(r["project"], r["document"], r["line"].split("(#")[1][:-1]) for r in out.where("line LIKE '%](#%'").collect()]
+    assert len(links) == 5 and set(links) <= slugs
+    got = [r["line"] for r in out.where("project = 'p' AND document = 'd'").orderBy("section_no", "line_no").collect()]
+    assert got[:7] == ["# Title", "**Contents**", "", r"- [Pages & \[more\]](#pages--more)", "- [Pages](#pages)", "- [Pages](#pages-1)", "  - [Été 2](#été-2)"]
+    assert out.where("document = 'e'").count() == 1
+    name = lines.select(documents.file_name(F.lit("2024-05-06 07:08:09").cast("timestamp"))).first()[0]
+    assert name == "p_d_20240506_070809.md"
