@@ -42,12 +42,12 @@ PROJECTIONS, SHARD_ROWS, BLOCK_ROWS = 64, 16384, 4096
 #: Parts that the pairing of blocks and shards of one dimension is dealt into.
 SPREAD = 64
 #: A candidate falls into this share of the windows; the search of a band ends no sooner than so large a share of it, and so
-#: many vectors at least, are candidates. Vectors that point everywhere alike need shares like these for a recall of 0.9.
-COLLISION_SHARE, CANDIDATE_SHARE, CANDIDATES = 0.85, 0.3, 800
+#: many times the wanted vectors at least, are candidates. Vectors that point everywhere alike need shares like these for a recall of 0.9.
+COLLISION_SHARE, CANDIDATE_SHARE, CANDIDATES = 0.85, 0.3, 20
 #: Entries from which a query's first radius is guessed, and what a radius is multiplied by when the windows hold too few.
 GUESS_ROWS, GROWTH = 256, 1.06
-#: A band holds lengths down to this share of its longest, and ``CANDIDATES`` vectors at least.
-BAND_SHARE, FOUND = 0.8, 0.95
+#: A band holds lengths down to this share of its longest, and so many vectors at least.
+BAND_SHARE, BAND_ROWS, FOUND = 0.8, 800, 0.95
 
 
 def directions(dim: int, count: int = PROJECTIONS) -> np.ndarray:
@@ -74,12 +74,10 @@ def lengths_of(vectors: np.ndarray) -> np.ndarray:
 
 
 class Band:
-    """Vectors of like length, with the sorted arrays unless all of them are candidates anyway."""
+    """Vectors of like length, with the sorted arrays."""
 
     def __init__(self, first: int, vectors: np.ndarray, lengths: np.ndarray):
         self.first, self.vectors, self.longest = first, vectors, float(lengths[0])
-        if len(vectors) <= CANDIDATES:
-            return
         extra = self.longest * np.sqrt(1 - (lengths / self.longest) ** 2)[:, None]
         projected = np.hstack([vectors, extra]) @ directions(vectors.shape[1])
         order = np.argsort(projected, axis=0, kind="stable")
@@ -125,7 +123,7 @@ class Shard:
         self.ids, self.start = ids[by_entry], np.concatenate([[0], np.cumsum(np.bincount(of))])
         self.bands, at = [], 0
         while at < len(lengths):
-            end = max(at + CANDIDATES, int(np.searchsorted(-lengths, -BAND_SHARE * lengths[at], "right")))
+            end = max(at + BAND_ROWS, int(np.searchsorted(-lengths, -BAND_SHARE * lengths[at], "right")))
             self.bands.append(Band(at, self.vectors[at:end], lengths[at:end]))
             at = end
 
@@ -163,10 +161,7 @@ class Shard:
                 n = len(band.vectors)
                 if len(ids) == k and values[-1] > lengths[i] * band.longest * (1 + 1e-9):
                     break  # no product in this band or a shorter one is as large
-                if n <= CANDIDATES + k:
-                    ids, values = self._best(np.arange(n), band, queries[i], lengths[i], query_ids[i], k, ids, values)
-                    continue
-                steps = band.candidates(own[i] * band.longest, min(n, max(CANDIDATES + k, int(CANDIDATE_SHARE * n))), enough)
+                steps = band.candidates(own[i] * band.longest, min(n, max(CANDIDATES * k, int(CANDIDATE_SHARE * n))), enough)
                 found, r = next(steps)
                 known = np.zeros(n, bool)
                 while True:
@@ -234,16 +229,21 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
     # a stated query set meets every shard of its dimension: numbers are paired by dimension and SPREAD remainders, then each block goes where the shard is
     ends = packed.select(F.col("query_dim").alias("dim"), "block", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
     pairs = scratch.table(ends.join(index.select("dim", "shard", (F.col("shard") % SPREAD).cast("int").alias("part")), ["dim", "part"]).select("block", "shard"), "pairs")
-    met = pairs.join(packed, "block").drop("block", "query_dim").join(index, "shard")
+    # a shard goes once to each group of blocks, its arrays are sorted there once, and the blocks follow
+    groups = max(1, min(blocks, -(-spark.sparkContext.defaultParallelism // shards)))
+    heads = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(None).cast("long").alias("block"), "dim", "ids", "vectors")
+    asks = pairs.join(packed, "block").select("shard", (F.col("block") % groups).cast("int").alias("group"), "block", F.col("query_dim").alias("dim"), F.col("query_ids").alias("ids"), F.col("query_vectors").alias("vectors"))
+    met = heads.unionByName(asks).repartition("shard", "group").sortWithinPartitions("shard", "group", F.col("block").asc_nulls_first())
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = None
         for batch in batches:
-            for row in range(batch.num_rows):
-                cell = lambda c: batch.column(c)[row].as_py()  # noqa: E731, B023
-                dim = cell("dim")
-                shard = Shard(np.frombuffer(cell("ids"), np.int64), np.frombuffer(cell("vectors"), np.float64).reshape(-1, dim))
-                ids, vectors = np.frombuffer(cell("query_ids"), np.int64), np.frombuffer(cell("query_vectors"), np.float64).reshape(-1, dim)
+            for row in batch.to_pylist():
+                ids, vectors = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["vectors"], np.float64).reshape(-1, row["dim"])
+                if row["block"] is None:
+                    shard = Shard(ids, vectors)
+                    continue
                 found = list(shard.search(vectors, ids, k))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.repeat(ids[[i for i, *_ in found]], [len(x) for _, x, _ in found])),
@@ -251,6 +251,6 @@ def search(table: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "
                     pa.array(np.concatenate([s for *_, s in found])),
                 ], schema=schema)
 
-    near = met.select("dim", "ids", "vectors", "query_ids", "query_vectors").mapInArrow(run, "query_id long, vec_id long, score double")
+    near = met.select("block", "dim", "ids", "vectors").mapInArrow(run, "query_id long, vec_id long, score double")
     order = W.Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
