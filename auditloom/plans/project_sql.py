@@ -68,6 +68,7 @@ _ENDS = "|".join(blocks.MEASURE_KEYS)
 _DEPTH = """(SELECT coalesce(max(run - least(low, 0)), 0) FROM (SELECT run, min(run) OVER (ORDER BY k) AS low FROM (
     SELECT k, sum(CASE c WHEN '(' THEN 1 ELSE -1 END) OVER (ORDER BY k) AS run FROM (SELECT unnest(string_split(regexp_replace(m.expression, '[^()]', '', 'g'), '')) AS c, generate_subscripts(string_split(regexp_replace(m.expression, '[^()]', '', 'g'), ''), 1) AS k) WHERE c <> '')))"""
 _VARS = "len(regexp_extract_all(upper(m.expression), '\\bVAR\\b'))"
+_COMPLEXITY = f"""coalesce(round_even({" + ".join(f"{_calls('m.expression', f)} * {w}" for f, w in dax.FUNCTIONS.items())} + {_DEPTH} * 0.5::DOUBLE + {_VARS} * 1.5::DOUBLE + least(log10(greatest(length(m.expression), 1)), 3.0::DOUBLE), 2), 0)::DOUBLE"""
 _MEASURES = f"""{_COLUMNS}, m0 AS MATERIALIZED (
     SELECT project, file_stem AS "table", {_NAME} AS name, line, block,
         CASE WHEN contains({_INLINE}, '```') OR ({_INLINE} = '' AND starts_with(ltrim(block, ' ' || chr(9) || chr(10)), '```')) THEN split_part({_INLINE} || chr(10) || block, '```', 2)
@@ -76,7 +77,7 @@ _MEASURES = f"""{_COLUMNS}, m0 AS MATERIALIZED (
         {_property("block", "formatString")} AS format_string, {_property("block", "description")} AS description, {_property("block", "displayFolder")} AS display_folder, ({_flag("block", "hidden")} OR {_flag("block", "isHidden")}) AS is_hidden
     FROM objects WHERE kind = 'measure'),
 m1 AS MATERIALIZED (SELECT *, nullif(trim(regexp_replace(replace(body, '```', ' '), {_SPACES}, ' ', 'g')), '') AS expression, len(regexp_extract_all(trim(coalesce(body, ''), ' ' || chr(9) || chr(10)), '\\n')) AS line_breaks FROM m0),
-meas AS MATERIALIZED (SELECT *, coalesce(round_even({" + ".join(f"{_calls('m.expression', f)} * {w}" for f, w in dax.FUNCTIONS.items())} + {_DEPTH} * 0.5::DOUBLE + {_VARS} * 1.5::DOUBLE + least(log10(greatest(length(m.expression), 1)), 3.0::DOUBLE), 2), 0)::DOUBLE AS complexity_score,
+meas AS MATERIALIZED (SELECT *, {_COMPLEXITY} AS complexity_score,
     coalesce(length(trim(expression)) < 5, TRUE) AS is_stub, coalesce({_DEPTH}, 0) AS depth, coalesce({_VARS}, 0) AS vars,
     list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(expression, ''), '\\[([^\\]]+)\\]', 1), lambda x: trim(x)))) AS bracketed,
     list_filter(list_distinct(list_transform(regexp_extract_all(' ' || coalesce(expression, ''), '[^\\w'']\\[([^\\]]+)\\]', 1), lambda x: trim(x))), lambda x: x <> name) AS candidates FROM m1 m)"""
@@ -375,6 +376,7 @@ SQL["chart_lines"] = f"WITH RECURSIVE {_CHARTS} {_LINES}"
 
 _BY_PLACE = ", ".join(f"coalesce({c}, '')" for c in ("type", "connector", "server", "url", "path", "database"))
 SQL |= {
+    "text_complexity": f"SELECT doc_id, {_COMPLEXITY} AS complexity FROM (SELECT doc_id, text AS expression FROM documents) m",
     "unused_columns": f'WITH {_USAGE} SELECT project, "table", name FROM hits WHERE NOT hit',
     "datasource_order": f"WITH {_SOURCES} SELECT project, row_number() OVER (PARTITION BY project ORDER BY {_BY_PLACE}) AS position, type, connector, server, url, path FROM sources",
     "measures_by_table": f'WITH {_MEASURES} SELECT project, "table", row_number() OVER (PARTITION BY project, "table" ORDER BY name, line) AS position, name FROM meas',

@@ -263,10 +263,8 @@ def paren_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def text_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = lambda w: F.regexp_count("text", F.lit(rf"(?i)\b{w}\b"))
-    length = F.least(F.log10(F.greatest(F.length("text"), F.lit(1))), F.lit(3.0))
-    total = count("the") + count("of") * 2 + count("and") * 3 + dax.paren_depth(F.col("text")) * 0.5 + length
-    return _table(spark, sf_dir, "documents").select("doc_id", F.bround(total, 2).alias("complexity"))
+    """Texts scored as if they were expressions."""
+    return _table(spark, sf_dir, "documents").select("doc_id", dax.complexity(F.col("text")).alias("complexity"))
 
 
 @query
@@ -325,8 +323,9 @@ def category_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def share_of_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _table(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
-    return n.withColumn("share", F.bround(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))), 1))
+    """Order states as classes of one project."""
+    states = _table(spark, sf_dir, "orders").select(F.lit("shop").alias("project"), F.col("o_orderstatus").alias("classification"))
+    return charts.class_shares(states).select(F.col("classification").alias("o_orderstatus"), "n", "share")
 
 
 @query

@@ -126,7 +126,6 @@ SQL: dict[str, str] = {
     "url_domain": "SELECT nullif(lower(regexp_extract(url, '(?i)https?://([^/]+)', 1)), '') AS host, count(*) AS n, count(*) FILTER (regexp_matches(url, '\\.[A-Za-z0-9]+$')) AS with_suffix FROM pages GROUP BY 1",
     "text_preview": f"SELECT doc_id, CASE WHEN length(f) > 300 THEN left(f, 300) || '...' ELSE f END AS preview FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_SPACES}', ' ', 'g'), ' ') AS f FROM documents)",
     "paren_depth": "SELECT doc_id, coalesce(depth, 0) AS depth FROM documents LEFT JOIN (" + _depth("text") + ") USING (doc_id)",
-    "text_complexity": "SELECT doc_id, round_even(len(regexp_extract_all(text, '(?i)\\bthe\\b')) + len(regexp_extract_all(text, '(?i)\\bof\\b')) * 2 + len(regexp_extract_all(text, '(?i)\\band\\b')) * 3 + coalesce(depth, 0) * 0.5::DOUBLE + least(log10(greatest(length(text), 1)), 3.0::DOUBLE), 2)::DOUBLE AS complexity FROM documents LEFT JOIN (" + _depth("text") + ") USING (doc_id)",
     "token_usage_topk": f"""SELECT project, token, n, rank FROM (SELECT role AS project, token, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, token) AS rank
         FROM conversations, (VALUES {", ".join(f"('{t}')" for t in prompts.TOKENS)}) t(token) WHERE contains(upper(text), token) GROUP BY role, token) WHERE rank <= 8""",
     "property_extract": """SELECT p_partkey, p_name AS name, p_brand AS brand, p_type AS kind, p_partkey % 3 = 0 AS hidden, NULL::VARCHAR AS "none", 'second' AS last_name, 'x' AS size FROM part""",
