@@ -172,29 +172,46 @@ def rare_prefixes(rest: DataFrame, texts: DataFrame, scratch: Scratch, threshold
     return first.select("node", "component", "n", "token", F.expr(f"((n - place) * {100 + threshold}) div {threshold} - n").alias("cap"))
 
 
-def prefix_pairs(rest: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
-    """Pairs (a, b) of ``rest`` (node, n, component) of different components that may reach the threshold; none is left out.
+def prefix_cells(rest: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """The cells (token, component, n, cap) of ``rest`` (node, n, component) that meet, in pairs x and y with the least node of each, and their members.
 
-    Of a pair, the set that is not larger must have room for one of its own size
+    Of a pair of sets that reaches the threshold, the one that is not larger has room for one of its own size
     at least (``cap``): of texts made from one template that differ too much, the
     common shingles stand too far back for that, so they meet in no pair. Sets of one
     component, size and cap are one cell of a token; cells are held against each
-    other first, and only the members of two that fit are paired.
+    other, so that members of one component never are. None is left out.
     """
     texts = _texts(rest.select("node"), classes, docs, scratch)
     rare = scratch.table(rare_prefixes(rest, texts, scratch, threshold), "rare")
+    scratch.drop("shingles", "times")
     tokens = rare.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(F.col("cap") - F.col("n")).alias("room"))
     tokens = scratch.table(tokens.where("low <> high AND room >= 0").select("token"), "tokens")
     rare = scratch.table(join_by_size(rare, tokens, ["token"], "left_semi"), "rare")
-    own = ["token", "component", "n", "cap"]
-    cells = scratch.table(rare.select(*own).distinct(), "cells")
-    named = lambda df, side: df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"))
-    fits = F.expr(f"component_x <> component_y AND n_x <= n_y AND n_y <= cap_x AND n_x <= cap_y AND n_x * 100 >= n_y * {threshold}")
-    meet = scratch.table(named(cells.where("cap >= n"), "x").join(named(cells, "y"), "token").where(fits), "meet")
-    pairs = meet
+    cells = scratch.table(rare.groupBy(*_CELL).agg(F.min("node").alias("node")), "cells")
+    fits = F.expr(f"component_x <> component_y AND n_x <= n_y AND (n_x < n_y OR component_x < component_y) AND n_y <= cap_x AND n_x <= cap_y AND n_x * 100 >= n_y * {threshold}")
+    return scratch.table(_side(cells.where("cap >= n"), "x").join(_side(cells, "y"), "token").where(fits), "meet"), rare
+
+
+_CELL = ["token", "component", "n", "cap"]
+
+
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select("token", *(F.col(c).alias(f"{c}_{side}") for c in df.columns if c != "token"))
+
+
+def _pairs(meet: DataFrame) -> DataFrame:
+    return meet.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def cell_pairs(meet: DataFrame, rare: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b) of all members of two cells that meet and that ``groups`` (node, component) has not joined yet."""
+    now = lambda side: F.coalesce(f"now_{side}", f"component_{side}")
+    for side in "xy":
+        meet = meet.join(groups.select(F.col("node").alias(f"node_{side}"), F.col("component").alias(f"now_{side}")), f"node_{side}", "left")
+    left = meet.where(now("x") != now("y")).drop("node_x", "node_y", "now_x", "now_y")
     for side in "xy":
-        pairs = pairs.join(named(rare, side), ["token", *(f"{c}_{side}" for c in own[1:])])
-    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+        left = left.join(_side(rare, side), ["token", *(f"{c}_{side}" for c in _CELL[1:])])
+    return _pairs(left)
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -228,14 +245,17 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, bands: int = BA
     rest = join_by_size(at.where("node <> hub"), split, ["key"], "left_semi").select("node", "n", "component")
     few = classes.where(F.col("n") < SMALL).select("node", "n").join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("component"))
     rest = scratch.table(rest.unionByName(few).distinct(), "rest")
-    more = scratch.table(confirm(prefix_pairs(rest, classes, docs, scratch, threshold), classes, docs, scratch, threshold), "more-links")
-    if more.limit(1).count():
-        groups = components(links.unionByName(more))
+    meet, rare = prefix_cells(rest, classes, docs, scratch, threshold)
+    for pairs in (_pairs, lambda meet: cell_pairs(meet, rare, groups)):  # one pair of two cells may join them; only then all
+        more = scratch.table(confirm(pairs(meet), classes, docs, scratch, threshold), "more-links")
+        if more.limit(1).count():
+            links = links.unionByName(more)
+            groups = components(links)
 
     placed = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = placed.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.table(placed.join(least, "component").select("set_a", "set_b", F.col("n").alias("size"), "component_id"), "named")
-    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "shingles", "times", "rare", "tokens", "cells", "meet", "more-links")
+    scratch.drop("ids", "first", "texts", "pairs", "counts", "classes", "buckets", "links", "several", "same-id", "same-first", "placed", "split", "rest", "rare", "tokens", "cells", "meet", "more-links")
     out = slim.join(named, (slim["set_a"] == named["set_a"]) & (slim["set_b"] == named["set_b"]) & (slim["n"] == named["size"]) & slim["doc_id"].isNotNull(), "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "mark")
