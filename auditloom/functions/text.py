@@ -155,6 +155,11 @@ def capped(n: Column, per_unit: float, most: float) -> Column:
     return F.least(F.lit(most), n * F.lit(per_unit))
 
 
+def mean(c: Column) -> Column:
+    """The mean of numbers with two decimals, summed exactly: the order of the rows does not count. An aggregate."""
+    return F.try_divide(F.sum(c.cast("decimal(18,2)")).cast("double"), F.count(c).cast("double"))
+
+
 def clamp(c: Column, low: float = 0, high: float = 100) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), c))
 

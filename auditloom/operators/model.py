@@ -172,12 +172,12 @@ def class_counts(classes: DataFrame) -> DataFrame:
     counts = [F.count_if(F.col("classification") == name).alias(f"{name.lower()}_tables") for name in K.CLASSES]
     return classes.groupBy("project").agg(
         F.count("*").alias("total_tables"), F.sum("columns").alias("total_columns"), F.sum("measures").alias("total_measures"), F.bround(F.avg("columns"), 2).alias("avg_columns_per_table"),
-        F.avg("confidence").alias("average_confidence"), *counts, F.count_if(~F.col("classification").isin(*K.CLASSES)).alias("unknown_tables"),
+        S.mean(F.col("confidence")).alias("average_confidence"), *counts, F.count_if(~F.col("classification").isin(*K.CLASSES)).alias("unknown_tables"),
     )
 
 
 def relationship_summary(classes: DataFrame, edges: DataFrame) -> DataFrame:
-    base = classes.groupBy("project").agg(F.count("*").alias("total_tables"), F.bround(F.coalesce(F.avg("confidence"), F.lit(0.5)), 3).alias("average_classification_confidence"))
+    base = classes.groupBy("project").agg(F.count("*").alias("total_tables"), F.bround(F.coalesce(S.mean(F.col("confidence")), F.lit(0.5)), 3).alias("average_classification_confidence"))
     links = edges.groupBy("project").agg(F.count("*").alias("total_relationships"), F.count_if("is_active").alias("active_relationships"), F.count_if(~F.col("is_active")).alias("inactive_relationships"))
     parts = components(classes, edges).groupBy("project", "component").agg(F.array_sort(F.collect_list("table")).alias("members")).groupBy("project").agg(F.count("*").alias("components"), F.sort_array(F.collect_list("members")).alias("component_details"))
     alone = isolated(classes, edges).groupBy("project").agg(F.array_sort(F.collect_list("table")).alias("isolated_tables"))
