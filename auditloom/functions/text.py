@@ -55,8 +55,9 @@ def properties(block: Column) -> Column:
     """All ``key: value`` lines as a map; the last of one key counts."""
     lines = F.filter(F.split(block, r"\r?\n"), lambda x: x.rlike(r"^\s*\w+\s*:\s*\S"))
     pairs = F.transform(lines, lambda x: F.struct(trimmed(F.split(x, ":", 2)[0]).alias("k"), strip_quotes(F.split(x, ":", 2)[1]).alias("v")))
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs) + 1), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(last)
+    last = lambda found: F.filter(found, lambda p, i: ~F.exists(F.slice(found, i + 2, F.size(found) + 1), lambda q: q["k"] == p["k"]))
+    # bound as a variable, the pairs are read once a block, not once a pair
+    return F.get(F.transform(F.array(pairs), lambda found: F.map_from_entries(last(found))), F.lit(0))
 
 
 def fenced(block: Column) -> Column:

@@ -29,6 +29,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over all cores, for work that costs more than reading: a file of few bytes would be one task, however many rows it has."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # Catalogue
 
 
@@ -278,7 +283,7 @@ def property_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as blocks of properties, read back."""
     quoted = F.concat(F.lit("\tname: '"), "p_name", F.lit("'\n\t\tbrand:  "), "p_brand", F.lit(" \r\n"))
     block = F.concat(quoted, F.when(F.col("p_partkey") % 3 == 0, F.lit("\tisHidden\n")).when(F.col("p_partkey") % 3 == 1, F.lit("\tisHidden: false\n")).otherwise(""), F.lit('\tkind: "'), "p_type", F.lit('"\n\tannotation Size = x\n\tname: second'))
-    b = _table(spark, sf_dir, "part").select("p_partkey", block.alias("b"))
+    b = _dealt(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey").select("p_partkey", block.alias("b"))
     pairs = S.properties(F.col("b"))
     return b.select(
         "p_partkey", S.property_text(F.col("b"), "name").alias("name"), S.property_text(F.col("b"), "brand").alias("brand"), S.property_text(F.col("b"), "kind").alias("kind"),
