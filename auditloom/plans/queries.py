@@ -16,6 +16,8 @@ from . import audit, charts, documents, prompts, row_projects, svg
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Lines whose pairs one task makes.
+LINES = 1 << 18
 #: ASCII white space, spelt out: the same in both engines.
 SPACE = r"[ \t\r\n\f\x0b]+"
 
@@ -220,10 +222,16 @@ def first_k_affected(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _shared_parts(rows: DataFrame) -> DataFrame:
-    """Pairs of suppliers with two or more parts in common. Parts are counted once: distinct pairs go into the join."""
-    pairs = rows.select("l_partkey", "l_suppkey").distinct()
+    """Pairs of suppliers with two or more parts in common. Parts are counted once: distinct pairs go into the join.
+
+    A task gets about ``LINES`` lines, however few bytes they have, as each meets many others. What they make is dealt
+    by pair before it is counted: a task counts all of a pair, and holds its share of the pairs, not all that a join makes.
+    """
+    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, rows.count() // LINES + 1)
+    pairs = rows.select("l_partkey", "l_suppkey").repartition(tasks, "l_partkey").distinct()
     other = pairs.withColumnRenamed("l_suppkey", "other")
-    return pairs.join(other, "l_partkey").where("l_suppkey < other").groupBy("l_suppkey", "other").agg(F.count("*").alias("shared_parts")).where("shared_parts >= 2")
+    met = pairs.join(other, "l_partkey").where("l_suppkey < other").select("l_suppkey", "other")
+    return met.repartition(tasks, "l_suppkey", "other").groupBy("l_suppkey", "other").agg(F.count("*").alias("shared_parts")).where("shared_parts >= 2")
 
 
 @query
