@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..sources.shared import small_batches
+
 #: What starts an object of a definition.
 KEYWORDS = ("table", "column", "measure", "hierarchy", "level", "partition", "annotation", "relationship", "calculationGroup", "calculationItem")
-#: The kinds that the audit reads.
+#: The kinds that are found.
 KINDS = ("table", "column", "measure", "partition", "relationship")
+#: Those that relations are made of; the block of a table is all of its file, which is read as a file.
+PARTS = ("column", "measure", "partition", "relationship")
+#: Characters that a task takes from a file, and of found objects that it gives back, at a time.
+PART = 1 << 20
 #: Properties of a measure that end its expression.
 MEASURE_KEYS = ("formatString", "displayFolder", "description", "lineageTag", "isHidden", "hidden", "dataCategory", "detailRowsDefinition", "kpi", "annotation", "changedProperty", "extendedProperty")
 
@@ -67,24 +73,64 @@ def measure_body(header: str, block: str) -> str | None:
     return "\n".join(lines).strip() or None
 
 
+def _lines(content: str) -> Iterator[str]:
+    """``content.splitlines()``, a part at a time."""
+    at = 0
+    while at < len(content):
+        end = content.find("\n", at + PART) + 1 or len(content)
+        yield from content[at:end].splitlines()
+        at = end
+
+
+def split_kinds(content: str, kinds: tuple[str, ...]) -> Iterator[tuple[str, str, str, int]]:
+    """(kind, header, block, line) of the objects of several kinds, each as ``split_blocks`` has it, in one pass: only open blocks are held."""
+    open_: dict[str, tuple[str, int, int, list[str]]] = {}
+    for number, line in enumerate(_lines(content), 1):
+        text = line.strip()
+        head, _, rest = text.partition(" ")
+        started = None
+        if rest and (head in KEYWORDS or head in kinds):
+            depth = indent(line)
+            if head in KEYWORDS:
+                for kind in [k for k, x in open_.items() if depth <= x[1]]:
+                    header, _, first, body = open_.pop(kind)
+                    yield kind, header, "\n".join(body), first
+            if head in kinds and head not in open_:
+                started = head
+                open_[head] = rest.strip(), depth, number, []
+        for kind, x in open_.items():
+            if kind != started:
+                x[3].append(line)
+    for kind, (header, _, first, body) in open_.items():
+        yield kind, header, "\n".join(body), first
+
+
 def objects(files: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """project, rel_path, file_stem, kind, header, block, line, body of all objects of all files, in one pass.
 
-    A null content has no objects. ``body`` is the expression of a measure.
+    A null content has no objects. ``body`` is the expression of a measure. A task holds one file
+    and what it has found since its last batch, of ``PART`` characters or so.
     """
     fields = StructType.fromDDL("project string, rel_path string, file_stem string, kind string, header string, block string, line int, body string")
     schema = to_arrow_schema(fields)
 
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
         for batch in batches:
-            rows = [
-                (project, path, stem, kind, header, block, line, measure_body(header, block) if kind == "measure" else None)
-                for project, path, stem, content in zip(*(batch.column(c).to_pylist() for c in ("project", "rel_path", "file_stem", "content")), strict=True)
-                for kind in kinds
-                for header, block, line in split_blocks(content or "", kind)
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
+            for i in range(batch.num_rows):
+                project, path, stem, content = (batch.column(c)[i].as_py() for c in ("project", "rel_path", "file_stem", "content"))
+                for kind, header, block, line in split_kinds(content or "", kinds):
+                    rows.append((project, path, stem, kind, header, block, line, measure_body(header, block) if kind == "measure" else None))
+                    size += len(header) + len(block) + 100
+                    if size > PART:
+                        yield made(rows)
+                        rows, size = [], 0
+        yield made(rows)
+
+    small_batches(files.sparkSession)
     return files.select("project", "rel_path", "file_stem", "content").mapInArrow(run, fields)
 
 

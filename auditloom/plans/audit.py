@@ -89,7 +89,7 @@ def _relation(*needs: str, kept: bool = False) -> Callable:
 
 @_relation(kept=True)
 def _objects(r: Relations) -> DataFrame:
-    return blocks.objects(r.own)
+    return blocks.objects(r.own, blocks.PARTS)
 
 
 @_relation("_objects", kept=True)

@@ -362,7 +362,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.objects(_files(spark, sf_dir))
+    return blocks.objects(_files(spark, sf_dir), blocks.PARTS)
 
 
 @query

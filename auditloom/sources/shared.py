@@ -22,6 +22,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Bytes of an Arrow batch at most: what a Python worker holds of its input at a time, if a row has not more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless its bound is lower already."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None) or ""
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 class Run:
     """A folder of one run in the shared folder, for tables that later plans start from; it goes with ``close``, or when Python ends."""
 
