@@ -41,13 +41,14 @@ def header_expression(header: Column) -> Column:
 
 def property_text(block: Column, key: str) -> Column:
     """The first ``key: value`` line's value without quotes, or null."""
-    return blank_to_null(strip_quotes(F.regexp_extract(block, rf"(?m)^[ \t]*{key}:[ \t]*(\S.*?)[ \t\r]*$", 1)))
+    found = F.regexp_extract(block, rf"(?m)^[ \t]*{key}:[ \t]*(\S.*?)[ \t\r]*$", 1)
+    return blank_to_null(strip_quotes(F.when(block.contains(f"{key}:"), found)))  # most blocks have few of the keys, and lines cost more than a search
 
 
 def property_flag(block: Column, key: str, default: bool = False) -> Column:
     """``key: true``, or ``key`` alone, as a boolean."""
     value = F.lower(F.regexp_extract(block, rf"(?m)^[ \t]*{key}[ \t]*(?::[ \t]*(\w+))?[ \t\r]*$", 1))
-    there = block.rlike(rf"(?m)^[ \t]*{key}[ \t]*(:|\r?$)")
+    there = block.contains(key) & block.rlike(rf"(?m)^[ \t]*{key}[ \t]*(:|\r?$)")
     return F.when(~there, F.lit(default)).otherwise((value == "true") | (value == ""))
 
 

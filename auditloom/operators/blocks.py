@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..sources.shared import small_batches
+from ..sources.shared import dealt, small_batches
 
 #: What starts an object of a definition.
 KEYWORDS = ("table", "column", "measure", "hierarchy", "level", "partition", "annotation", "relationship", "calculationGroup", "calculationItem")
@@ -134,6 +134,11 @@ def objects(files: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     return files.select("project", "rel_path", "file_stem", "content").mapInArrow(run, fields)
 
 
+def dealt_objects(files: DataFrame, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """``objects`` over all cores: what is read from each of them costs more than finding it, and a large file has many."""
+    return dealt(objects(files, kinds), "project", "rel_path", "kind", "line")
+
+
 def register_blocks(spark: SparkSession) -> None:
     """``tmdl_blocks(content, kind)`` for use in SQL by LATERAL."""
 

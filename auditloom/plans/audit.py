@@ -19,18 +19,22 @@ from pyspark.sql import functions as F
 from ..functions import classify as K
 from ..operators import blocks, extract, measures, model, scoring
 from ..sources import rules, tmdl
-from ..sources.shared import Run
+from ..sources.shared import Run, dealt
 
 _REPORT = "project string, page_id string, visual_id string, content string"
 
 
 class Relations(Mapping):
-    """Relations by name; each is planned once. ``Relations`` is a context manager: its end is ``close``."""
+    """Relations by name; each is planned once. ``Relations`` is a context manager: its end is ``close``.
 
-    def __init__(self, files: DataFrame, report: DataFrame | None = None, roles: DataFrame | None = None, rules_path: str | rules.RuleSet | None = None, projects: DataFrame | None = None):
+    ``computed``: the text of the files is the result of a query; it is made and written once, not for each relation that reads it.
+    """
+
+    def __init__(self, files: DataFrame, report: DataFrame | None = None, roles: DataFrame | None = None, rules_path: str | rules.RuleSet | None = None, projects: DataFrame | None = None, computed: bool = False):
         self.spark, self.files, self.roles, self.projects = files.sparkSession, files, roles, projects
         self.report = self.spark.createDataFrame([], _REPORT) if report is None else report
         self.rules = rules_path if isinstance(rules_path, rules.RuleSet) else rules.read_rule_set(rules_path)
+        self.computed = computed
         self.run = Run(self.spark, "audit")
         self._made: dict[str, DataFrame] = {}
         self._locks = {name: RLock() for name in _PLANS}
@@ -72,7 +76,7 @@ class Relations(Mapping):
     @property
     def own(self) -> DataFrame:
         """The files of tables that the product has not made itself."""
-        return self.files.where(~K.is_internal_table(F.col("file_stem")))
+        return self["_files"].where(~K.is_internal_table(F.col("file_stem")))
 
 
 #: name: (plan, what it builds on and is planned at the same time, whether it is written)
@@ -87,9 +91,14 @@ def _relation(*needs: str, kept: bool = False) -> Callable:
     return add
 
 
-@_relation(kept=True)
+@_relation()
+def _files(r: Relations) -> DataFrame:
+    return r.run.settled(dealt(r.files, "project", "rel_path"), "files") if r.computed else r.files
+
+
+@_relation("_files", kept=True)
 def _objects(r: Relations) -> DataFrame:
-    return blocks.objects(r.own, blocks.PARTS)
+    return blocks.dealt_objects(r.own, blocks.PARTS)
 
 
 @_relation("_objects", kept=True)
@@ -127,9 +136,9 @@ def tables(r: Relations) -> DataFrame:
     return extract.tables(r.own, r["_objects"], r["columns"], r["_raw_measures"], r["partitions"])
 
 
-@_relation(kept=True)
+@_relation("_files", kept=True)
 def datasources(r: Relations) -> DataFrame:
-    return extract.datasources(tmdl.source_files(r.files))
+    return extract.datasources(tmdl.source_files(r["_files"]))
 
 
 @_relation("datasources")
@@ -229,12 +238,12 @@ def score_metadata(r: Relations) -> DataFrame:
 def skipped_projects(r: Relations) -> DataFrame:
     """Projects that were found but have no definition file; none if the places were not searched."""
     found = r.spark.createDataFrame([], "project string") if r.projects is None else r.projects
-    return tmdl.skipped_projects(found, r.files)
+    return tmdl.skipped_projects(found, r["_files"])
 
 
-def relations(files: DataFrame, report: DataFrame | None = None, roles: DataFrame | None = None, rules_path: str | None = None) -> Relations:
+def relations(files: DataFrame, report: DataFrame | None = None, roles: DataFrame | None = None, rules_path: str | None = None, computed: bool = False) -> Relations:
     """All relations of the audit from definition files and, if there, report files."""
-    return Relations(files, report, roles, rules_path)
+    return Relations(files, report, roles, rules_path, computed=computed)
 
 
 def analyze(spark: SparkSession, root: str, rules_path: str | None = None) -> Relations:

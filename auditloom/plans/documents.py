@@ -14,6 +14,13 @@ from ..operators import measures, model, scoring
 from . import svg
 
 
+#: What the technical and the extended document read: ``prepare`` plans it at the same time.
+RELATIONS = (
+    "category_totals", "tables", "classifications", "unused_measures", "datasources", "relationships", "unused_summary", "pages", "usage_summary", "column_usage",
+    "columns", "measures", "measure_edges", "schema", "score_metadata", "relationship_summary",
+)
+
+
 def _cells(*columns: str | Column) -> Column:
     cells = [S.markdown_cell(F.col(c) if isinstance(c, str) else c) for c in columns]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))

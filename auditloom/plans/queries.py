@@ -12,6 +12,7 @@ from ..functions import dax
 from ..functions import text as S
 from ..operators import blocks, extract, measures, model, scoring
 from ..sources import catalog, rules, tmdl
+from ..sources.shared import dealt
 from . import audit, charts, documents, prompts, row_projects, svg
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,11 +32,6 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _dealt(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` over all cores, for work that costs more than reading: a file of few bytes would be one task, however many rows it has."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
-
-
 # Catalogue
 
 
@@ -291,7 +287,7 @@ def property_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts written as blocks of properties, read back."""
     quoted = F.concat(F.lit("\tname: '"), "p_name", F.lit("'\n\t\tbrand:  "), "p_brand", F.lit(" \r\n"))
     block = F.concat(quoted, F.when(F.col("p_partkey") % 3 == 0, F.lit("\tisHidden\n")).when(F.col("p_partkey") % 3 == 1, F.lit("\tisHidden: false\n")).otherwise(""), F.lit('\tkind: "'), "p_type", F.lit('"\n\tannotation Size = x\n\tname: second'))
-    b = _dealt(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey").select("p_partkey", block.alias("b"))
+    b = dealt(_table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey").select("p_partkey", block.alias("b"))
     pairs = S.properties(F.col("b"))
     return b.select(
         "p_partkey", S.property_text(F.col("b"), "name").alias("name"), S.property_text(F.col("b"), "brand").alias("brand"), S.property_text(F.col("b"), "kind").alias("kind"),
@@ -362,7 +358,7 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return blocks.objects(_files(spark, sf_dir), blocks.PARTS)
+    return blocks.dealt_objects(_files(spark, sf_dir), blocks.PARTS)
 
 
 @query
@@ -432,7 +428,7 @@ def visual_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _audit(spark: SparkSession, sf_dir: str) -> audit.Relations:
-    return audit.relations(row_projects.files(spark, sf_dir), row_projects.report(spark, sf_dir))
+    return audit.relations(row_projects.files(spark, sf_dir), row_projects.report(spark, sf_dir), computed=True)
 
 
 @query
@@ -542,6 +538,7 @@ def compliance_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _audit(spark, sf_dir)
+    r.prepare(*documents.RELATIONS)
     return documents.technical(r).unionByName(documents.extended(r)).select("project", "document", "section_no", "line_no", "line")
 
 

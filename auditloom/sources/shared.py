@@ -34,6 +34,11 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` over all cores by ``keys``, for work that costs more than reading: small files, or groups that shrink in a shuffle, would be few tasks, however many rows they have."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 class Run:
     """A folder of one run in the shared folder, for tables that later plans start from; it goes with ``close``, or when Python ends."""
 

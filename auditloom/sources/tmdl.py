@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import valid_text
 from . import model_files
-from .shared import ensure_checkpoint_dir
+from .shared import dealt, ensure_checkpoint_dir
 
 
 def project_name(path: Column) -> Column:
@@ -137,7 +137,8 @@ def table_files(files: DataFrame) -> DataFrame:
 
 def source_files(files: DataFrame) -> DataFrame:
     """The files that may name data sources."""
-    return files.where(F.col("file_stem").isin("model", "expressions", "database") | F.col("rel_path").rlike("^tables/")).dropDuplicates(["project", "rel_path"])
+    found = files.where(F.col("file_stem").isin("model", "expressions", "database") | F.col("rel_path").rlike("^tables/"))
+    return dealt(found, "project", "rel_path").dropDuplicates(["project", "rel_path"])
 
 
 def skipped_projects(found: DataFrame, files: DataFrame) -> DataFrame:
