@@ -149,7 +149,9 @@ def relationships(objects: DataFrame) -> DataFrame:
 
 
 #: A connector call and its arguments, and the connectors whose arguments say a database, an address or a path.
-_CALL = r"(?s)(?<![A-Za-z0-9_])([A-Za-z0-9_]++\.[A-Za-z0-9_]++)\s*+\((.*?)\)"
+_CALL = r"(?s)([A-Za-z0-9_]+\.[A-Za-z0-9_]+)\s*\((.*?)\)"
+#: The same calls, tried once a word: SQL has no such signs.
+_WORD_CALL = r"(?s)(?<![A-Za-z0-9_])([A-Za-z0-9_]++\.[A-Za-z0-9_]++)\s*+\((.*?)\)"
 DATABASE_CALLS = ("sql.database", "analysisservices.database", "oracle.database", "postgresql.database", "mysql.database", "commondataservice.database")
 WEB_CALLS = ("web.contents", "web.page", "odata.feed", "sharepoint.files", "sharepoint.contents", "sharepoint.tables")
 PATH_CALLS = ("file.contents", "excel.workbook", "csv.document", "folder.files", "folder.contents")
@@ -161,9 +163,9 @@ def source_rows(files: DataFrame) -> DataFrame:
     named = base.select("*", F.regexp_extract_all("content", F.lit(r"(?ms)^\s*expression\s+('[^']+'|\S+)\s*=(.*?)(?=^\s*expression\s|\z)"), F.lit(0)).alias("named"))
     parts = F.when(F.size("named") > 0, F.transform("named", lambda x: F.struct(S.strip_quotes(F.regexp_extract(x, r"expression\s+('[^']+'|\S+)\s*=", 1)).alias("expression_name"), x.alias("body")))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("expression_name"), F.col("content").alias("body"))))
     bodies = named.select("project", "rel_path", F.explode(parts).alias("part")).select("project", "rel_path", "part.*")
-    calls = F.regexp_extract_all("body", F.lit(_CALL), F.lit(0))
+    calls = F.regexp_extract_all("body", F.lit(_WORD_CALL), F.lit(0))
     called = bodies.select("project", "rel_path", "expression_name", F.posexplode(calls).alias("place", "call"))
-    called = called.select("project", "rel_path", "expression_name", "place", F.regexp_extract("call", _CALL, 1).alias("connector"), F.regexp_extract("call", _CALL, 2).alias("args"))
+    called = called.select("project", "rel_path", "expression_name", "place", F.regexp_extract("call", _WORD_CALL, 1).alias("connector"), F.regexp_extract("call", _WORD_CALL, 2).alias("args"))
     lines = F.filter(F.split("content", r"\r?\n"), lambda x: x.rlike(r"(?i)^\s*source\s*=") & ~x.rlike(r"[A-Za-z0-9_]+\.[A-Za-z0-9_]+\s*\("))
     plain = base.select("project", "rel_path", F.lit(None).cast("string").alias("expression_name"), F.posexplode(lines).alias("place", "line"))
     plain = plain.select("project", "rel_path", "expression_name", (F.col("place") + 1_000_000).alias("place"), F.lit("source_assignment").alias("connector"), F.trim(F.regexp_replace("line", r"(?i)^\s*source\s*=", "")).alias("args"))
